@@ -1,0 +1,387 @@
+"""Each operator against a plain version of its contract, on the small tables and on odd rows."""
+
+import hashlib
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+import xxhash
+from freightgraph.llm import registry
+from freightgraph.llm.blocks import gram_hashes
+from freightgraph.llm.chunk_dedup import dedup_substrings, repeated_spans
+from freightgraph.llm.decontaminate import contaminated
+from freightgraph.llm.fingerprint import fingerprint_documents, likeness, sketches
+from freightgraph.llm.language_id import LanguageModel, identify_languages
+from freightgraph.llm.license_scan import BASE, scan_licenses
+from freightgraph.llm.packing import Encoder, lengths, pack_documents
+from freightgraph.llm.sharding import feistel, shard_rows
+from freightgraph.llm.simhash import forest, near_duplicates
+from freightgraph.llm.toxicity import VOTERS, LabelModel, fit_toxicity, score_toxicity
+from freightgraph.llm.url_filter import Rule, filter_urls, split_url
+
+DATA = "/root/testdata/sf0.001"
+LOWER = {c: c + 32 for c in range(65, 91)}
+held_out = lambda i: zlib.crc32(str(i).encode()) % 5 == 0
+
+
+# 1 — URL filter
+
+def test_url_parts():
+    assert split_url("http://Sub.Example.ORG:80/A/b?x#y") == ("sub.example.org:80", "/A/b")
+    assert split_url("a://b?c/d") == ("b", "") and split_url("x://h#/p") == ("h", "")
+    assert split_url(None) == ("", "") and split_url("no scheme/at all") == ("", "") and split_url("a://") == ("", "")
+    assert split_url("u://a://b/c") == ("a:", "//b/c")
+
+
+def test_url_verdicts(spark):
+    rows = [
+        (1, "https://a.example.org/es/x"), (2, "https://notexample.org/es/"), (3, "https://example.org/en/12"), (4, "http://org/"),
+        (5, "http://org"), (6, "http://x.com/fr/free-sex"), (7, "http://x.com/de/"), (8, "http://x.net/porn"), (9, "http://x.net/pornography"),
+        (10, "http://x.net/casino-poker"), (11, "http://x.net/casino/casino"), (12, None), (13, ""), (14, "http://X.NET/PoRn"), (14, "http://X.NET/PoRn"),
+    ]
+    got = {r["page_id"]: (r["rule"], r["verdict"]) for r in filter_urls(spark.createDataFrame(rows, "page_id long, url string")).collect()}
+    assert got == {
+        1: ("example.org/es/", "block"), 2: ("org/", "allow"), 3: ("example.org/en/1", "block"), 4: ("org/", "allow"), 5: (None, "allow"),
+        6: ("com/fr/", "allow"), 7: ("com/de/", "block"), 8: (None, "block"), 9: (None, "allow"), 10: (None, "block"), 11: (None, "allow"),
+        12: (None, "allow"), 13: (None, "allow"), 14: (None, "block"),
+    }
+    own = filter_urls(spark.createDataFrame([(1, "http://a.b.net/x")], "page_id long, url string"), rules=[Rule("net/", True), Rule("b.net/x", False)])
+    assert own.first()["rule"] == "b.net/x"
+    assert filter_urls(spark.createDataFrame([], "page_id long, url string, host string, key int")).count() == 0
+
+
+# 2 — packing
+
+@pytest.fixture(scope="module")
+def tokenizer():
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(registry.tokenizer_path())
+    t.encode_special_tokens = True
+    return t
+
+
+def test_encoder_equals_tokenizer(tokenizer, texts, odd):
+    e = Encoder(registry.tokenizer_path())
+    tricky = ["", " ", "  a", "a  b", "a b ", "a \n b", "a\u00a0b c", " lead", "x's y'll  z", "tab\t x", "é ü 🙂 🙂", "a b\r\nc d", "<|endoftext|> x", "1 22 333 a1", "\u2003a b", "a \u2003b"]
+    for group in (tricky, [t for t in texts.values() if t], [r["text"] or "" for r in odd.collect()]):
+        assert [np.frombuffer(x, "<u4").tolist() for x in e.encode(group)] == [tokenizer.encode(t, add_special_tokens=False).ids for t in group]
+
+
+def test_lengths():
+    for n in (1, 2, 3, 2047, 2048, 2049, 10_000):
+        got = lengths(n, 2048)
+        assert sum(got) == n and all(x & (x - 1) == 0 and x <= 2048 for x in got)
+
+
+def check_packing(df, table, tokenizer):
+    want = Counter()
+    for r in table.select("doc_id", "text").collect():
+        ids = np.asarray(tokenizer.encode(r["text"] or "", add_special_tokens=False).ids + [1], "<u4")
+        start = 0
+        for n in lengths(len(ids), 2048):
+            want[(r["doc_id"], start, n, zlib.crc32(ids[start : start + n].tobytes()), len(ids))] += 1
+            start += n
+    got = df.collect()
+    assert Counter((r["doc_id"], r["start"], r["length"], r["ids_crc32"], r["doc_tokens"]) for r in got) == want
+    assert sorted(r["sequence_id"] for r in got) == list(range(len(got))) and all(r["offset"] == 0 for r in got)
+    by = defaultdict(list)
+    for r in got:
+        by[r["bucket"]].append(r["slot"])
+    assert all(sorted(s) == list(range(len(s))) for s in by.values())
+
+
+def test_packing(docs, odd, empty, tokenizer):
+    check_packing(pack_documents(docs, registry.tokenizer_path()), docs, tokenizer)
+    check_packing(pack_documents(odd, registry.tokenizer_path()), odd, tokenizer)
+    assert pack_documents(empty, registry.tokenizer_path()).count() == 0
+    with pytest.raises(ValueError):
+        pack_documents(docs, registry.tokenizer_path(), longest=1000)
+
+
+# 3 — fingerprints
+
+def check_fingerprints(df, table):
+    rows = sorted(((r["doc_id"], r["text"] or "") for r in table.select("doc_id", "text").collect()), key=lambda x: (x[0] is not None, x[0]))
+    got = defaultdict(list)
+    for r in df.collect():
+        got[r["doc_id"]].append(r)
+    assert sum(map(len, got.values())) == len(rows)
+    keys = [k for k, _ in rows]
+    for i, (k, t) in enumerate(rows):
+        r = got[k][0]
+        assert r["n_chars"] == len(t)
+        if keys.count(k) == 1:
+            n = rows[(i + 1) % len(rows)][1]
+            edited = t[: len(t) - len(t) // 4] + n[: len(t) // 4]
+            assert r["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
+            a, b, c = sketches([t, edited, n])
+            assert (r["fingerprint"], r["edited_fingerprint"]) == (a.tobytes().hex(), b.tobytes().hex())
+            assert r["near_edited"] == likeness(a[None], b[None])[0] and r["near_next"] == likeness(a[None], c[None])[0]
+    return got
+
+
+def test_fingerprints(docs, odd, empty, texts):
+    got = check_fingerprints(fingerprint_documents(docs), docs)
+    clear = [r[0]["near_edited"] > r[0]["near_next"] for k, r in got.items() if texts[k] and len(texts[k]) >= 40]
+    assert np.mean(clear) > 0.97
+    check_fingerprints(fingerprint_documents(odd), odd)
+    check_fingerprints(fingerprint_documents(docs, parts=1), docs)
+    assert fingerprint_documents(empty).count() == 0
+    one = fingerprint_documents(docs.limit(1)).first()
+    assert one["near_next"] == 1.0
+
+
+def test_fingerprints_ignore_offset(texts):
+    body = max(texts.values(), key=lambda t: len(t or ""))[:20_000]
+    a, b = sketches([body, "a few words put before it " + body])
+    assert likeness(a[None], b[None])[0] > 0.9
+
+
+# 4 — license scan
+
+WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+
+def check_licenses(df, table):
+    want = Counter()
+    for r in table.select("doc_id", "text").collect():
+        w = WORD.findall((r["text"] or "").translate(LOWER))
+        at, found = [], set()
+        for phrase, label in BASE.items():
+            p = phrase.split()
+            hits = [i for i in range(len(w) - len(p) + 1) if w[i : i + len(p)] == p]
+            at += hits
+            found |= {label} if hits else set()
+        want[(r["doc_id"], len(w), len(at), min(at, default=None), max(at, default=None), ",".join(sorted(found)))] += 1
+    got = df.collect()
+    assert Counter((r["doc_id"], r["n_words"], r["n_base"], r["first_word"], r["last_word"], r["base_labels"]) for r in got) == want
+    for r in got:
+        assert set(r["base_labels"].split(",")) - {""} <= set(r["labels"].split(",")) and 0 <= r["score"] <= 1
+    return got
+
+
+def test_licenses(spark, docs, odd, empty):
+    check_licenses(scan_licenses(docs), docs)
+    check_licenses(scan_licenses(odd), odd)
+    assert scan_licenses(empty).count() == 0
+    rows = [
+        (1, "x MIT  License, mit-license. MIT license"), (2, "Licensed under CC BY-NC 4.0."), (3, "Licensed under the quite Apache License, Version 2.0"),
+        (4, "general public general public license"), (5, "license mit"),
+        (6, "Redistribution and use, in source and binary forms, with or without any modification, are permitted"), (7, "in source and in forms"),
+    ]
+    got = {r["doc_id"]: r for r in check_licenses(scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")), spark.createDataFrame(rows, "doc_id long, text string"))}
+    assert got[1]["n_base"] == 3 and got[1]["labels"] == "mit" and got[2]["labels"] == "cc-by-nc" and "apache" in got[3]["labels"] and got[6]["labels"] == "bsd" and got[7]["labels"] == ""
+
+
+# 5 — substring deduplication
+
+def test_repeats(spark, texts, odd, empty):
+    words = [w for t in texts.values() for w in (t or "").split()]
+    passage = " ".join(words[100:160])
+    rows = [(i, " ".join(words[1000 * i + 200 : 1000 * i + 400])) for i in range(1, 11)]
+    planted = [(i, t if i % 2 else " ".join(t.split()[: 20 + i]) + " " + passage + " " + " ".join(t.split()[20 + i :])) for i, t in rows]
+    table = spark.createDataFrame(planted, "doc_id long, text string").withColumn("n_chars", __import__("pyspark").sql.functions.lit(1))
+    got = repeated_spans(table).collect()
+    assert {r["doc_id"] for r in got} == {4, 6, 8, 10} and {r["first_doc_id"] for r in got} == {2}
+    for r in got:
+        raw = dict(planted)[r["doc_id"]].encode()
+        piece = raw[r["start"] : r["start"] + r["length"]].decode()
+        assert piece.strip() in passage and len(piece.split()) >= 30
+    cut = {r["doc_id"]: r["text"] for r in dedup_substrings(table).collect()}
+    assert all(cut[i] == t for i, t in planted if i % 2 or i == 2)
+    assert all(len(cut[i].split()) < len(t.split()) - 25 for i, t in planted if i in (4, 6, 8, 10))
+    assert repeated_spans(empty).count() == 0 and dedup_substrings(empty).count() == 0
+    again = dedup_substrings(odd, min_words=3)
+    kept = {(r["doc_id"], r["text"]) for r in again.collect()}
+    assert again.columns == odd.columns and (1, None) in kept and (6, "") in kept and (5, "same words again and again here") in kept and again.count() == odd.count()
+
+
+# 6 — sharding
+
+def test_feistel_is_a_permutation():
+    for n in (1, 2, 3, 7, 40, 1000, 4096, 5001):
+        assert sorted(feistel(np.arange(n), n, 7).tolist()) == list(range(n))
+
+
+def check_sharding(df, n, shards):
+    rows = df.collect()
+    by = defaultdict(list)
+    for r in rows:
+        by[r["shard"]].append(r["slot"])
+    assert len(rows) == n and set(by) <= set(range(shards))
+    assert all(sorted(s) == list(range(len(s))) for s in by.values())
+    assert n < shards or max(map(len, by.values())) - min(map(len, by.values())) <= 1
+
+
+def test_sharding(spark, docs, odd, empty):
+    df = registry.op6_sharding(spark, DATA)
+    check_sharding(df, docs.count(), 40)
+    want = {r["doc_id"]: ((0 if r["text"] is None else len(r["text"].encode())) + 16, zlib.crc32((r["text"] or "").encode())) for r in docs.collect()}
+    assert {r["doc_id"]: (r["size"], r["text_crc32"]) for r in df.collect()} == want
+    key = lambda d: sorted((r["doc_id"], r["shard"], r["slot"]) for r in d.collect())
+    assert key(df) == key(registry.op6_sharding(spark, DATA))
+    check_sharding(shard_rows(odd.select("doc_id", "text"), ["doc_id", "text"], 4), odd.count(), 4)
+    assert shard_rows(empty.select("doc_id"), ["doc_id"], 4).count() == 0
+
+
+# 7 — SimHash
+
+def simhash(text, k=4):
+    w = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(LOWER))
+    grams = [" ".join(w[i : i + k]) for i in range(max(1, len(w) - k + 1))] if w else []
+    votes = [0] * 64
+    for g in grams:
+        h = xxhash.xxh64_intdigest(g.encode(), 42)
+        for b in range(64):
+            votes[b] += h >> b & 1
+    return sum(1 << b for b in range(64) if 2 * votes[b] > len(grams))
+
+
+def groups(prints, radius):
+    root = {i: i for i in prints}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    ids = sorted(prints)
+    for x, a in enumerate(ids):
+        for b in ids[:x]:
+            if bin(prints[a] ^ prints[b]).count("1") <= radius:
+                ra, rb = find(a), find(b)
+                root[max(ra, rb)] = min(ra, rb)
+    return {i: find(i) for i in ids}
+
+
+@pytest.mark.parametrize("tile", [16_384, 8])
+def test_simhash(docs, texts, tile):
+    prints = {i: simhash(t) for i, t in texts.items()}
+    got = near_duplicates(docs, tile_rows=tile).collect()
+    assert {r["doc_id"]: r["f0"] & (1 << 64) - 1 for r in got} == prints
+    assert {r["doc_id"]: r["component_id"] for r in got} == groups(prints, 4)
+
+
+def test_simhash_odd(odd, empty):
+    got = defaultdict(set)
+    for r in near_duplicates(odd).collect():
+        got[r["doc_id"]].add(r["component_id"])
+    assert near_duplicates(odd).count() == odd.count()
+    assert got[1] == got[2] == got[3] == {1} and got[5] == got[6] == {5}
+    assert near_duplicates(empty).count() == 0
+
+
+@pytest.mark.parametrize(("parts", "radius"), [(1, 4), (1, 15), (2, 26)])
+def test_forest_keeps_all_components(parts, radius):
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 1 << 63, (40, parts), dtype=np.uint64)
+    bits = base[rng.integers(0, 40, 700)]
+    for _ in range(4):
+        bits = bits ^ np.where(rng.random(bits.shape) < 0.6, np.uint64(1) << rng.integers(0, 64, bits.shape, dtype=np.uint64), np.uint64(0))
+    bits = np.unique(bits, axis=0)
+    apart = np.bitwise_count(bits[:, None] ^ bits[None]).sum(axis=2)
+    root = np.arange(len(bits))
+    for i, j in zip(*np.nonzero(apart <= radius), strict=True):
+        root[root == root[i]] = root[j]
+    for same in (True, False):
+        left, right = (bits, bits) if same else (bits[:300], bits[300:])
+        a, b = forest(left, right, radius, same)
+        got = np.arange(len(bits))
+        for i, j in zip(a, b + (0 if same else 300), strict=True):
+            assert apart[i, j] <= radius and got[i] != got[j]  # a true link that joins two trees
+            got[got == got[i]] = got[j]
+        if same:
+            assert len(np.unique(got)) == len(np.unique(root)) and all(len(np.unique(got[root == r])) == 1 for r in np.unique(root))
+        else:
+            cross = np.arange(len(bits))
+            for i, j in zip(*np.nonzero(apart[:300, 300:] <= radius), strict=True):
+                cross[cross == cross[i]] = cross[300 + j]
+            assert all(len(np.unique(got[cross == r])) == 1 for r in np.unique(cross))
+
+
+# 8 — language ID
+
+def test_language(spark, odd, empty):
+    got = registry.op8_language_id(spark, "/root/testdata/sf0.01").collect()
+    truth = {r["doc_id"]: r["lang"] for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
+    assert len(got) == len(truth) and all(r["held_out"] == held_out(r["doc_id"]) for r in got)
+    right = [r["lang_pred"] == truth[r["doc_id"]] for r in got if r["held_out"] and truth[r["doc_id"]] is not None]
+    assert np.mean(right) > 0.95
+    model = LanguageModel.fit(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    seen = defaultdict(set)
+    for r in identify_languages(odd, model, keep=("text", "score")).collect():
+        seen[r["doc_id"]].add(r["lang_pred"])
+    assert seen[1] == seen[2] == seen[3] == seen[9] == {"und"} and "und" not in seen[5]
+    assert identify_languages(empty, model).count() == 0
+    nothing = LanguageModel.fit(empty)
+    assert {r["lang_pred"] for r in identify_languages(odd, nothing).collect()} == {"und"}
+
+
+def test_language_mixture(spark):
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = LanguageModel.fit(table)
+    by = {r["lang"]: r["text"] for r in table.where("length(text) between 2000 and 3000").collect()}
+    rows = [(1, by["en"][:1500] + "\n" + by["fr"][:700]), (2, by["de"][:2000])]
+    got = {r["doc_id"]: r for r in identify_languages(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    assert got[1]["lang_pred"] == "en" and got[1]["languages"] == "en,fr" and 0.55 < got[1]["score"] < 0.8
+    assert got[2]["languages"] == "de" and got[2]["score"] == 1.0
+
+
+# 9 — decontamination
+
+def test_decontamination(spark, docs, texts, odd, empty):
+    items = spark.read.parquet(f"{DATA}/benchmark.parquet")
+
+    def shingles(t):
+        w = WORD.findall((t or "").translate(LOWER))
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    have = {i: shingles(t) for i, t in texts.items()}
+    want = set()
+    for r in items.collect():
+        q = shingles(r["text"])
+        want |= {(i, r["item_id"], len(q & s), len(q)) for i, s in have.items() if q and len(q & s) >= 0.6 * len(q)}
+    got = contaminated(docs, items).collect()
+    assert {(r["doc_id"], r["item_id"], r["hits"], r["n_shingles"]) for r in got} == want and want
+    probe = spark.createDataFrame([(1, "same words again and again here"), (2, None), (3, ""), (4, "one"), (4, "one"), (None, "one")], "item_id long, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in contaminated(odd, probe).collect()} == {(5, 1), (6, 1), (4, 4)}
+    assert contaminated(empty, probe).count() == 0 and contaminated(odd, probe.where("false")).count() == 0
+    long_item = spark.createDataFrame([(1, " ".join(texts[max(texts, key=lambda i: len(texts[i] or ""))].split()[:3000]))], "item_id long, text string")
+    assert contaminated(docs, long_item).count() >= 1
+
+
+# 10 — toxicity
+
+def test_toxicity(spark, odd, empty):
+    got = registry.op10_toxicity(spark, "/root/testdata/sf0.1").collect()
+    truth = {r["doc_id"]: r["toxic"] for r in spark.read.parquet("/root/testdata/sf0.1/labels.parquet").collect()}
+    pairs = [(r["score"], r["predicted"], truth[r["doc_id"]]) for r in got if r["held_out"] and truth.get(r["doc_id"]) is not None]
+    tp = sum(p and y for _, p, y in pairs)
+    assert tp / max(1, sum(p for _, p, _ in pairs)) > 0.9 and tp / sum(y for *_, y in pairs) > 0.9
+    labels = spark.createDataFrame([(4, 1), (5, 0), (5, None), (None, 1), (99, 1)], "doc_id long, toxic int")
+    model = fit_toxicity(odd, labels)
+    scored = score_toxicity(odd, model).collect()
+    assert len(scored) == odd.count() and all(0 <= r["score"] <= 1 for r in scored)
+    assert score_toxicity(empty, model).count() == 0
+    assert score_toxicity(odd, fit_toxicity(empty, labels.where("false"))).count() == odd.count()
+
+
+def test_label_model_shares_weight_of_dependent_voters():
+    rng = np.random.default_rng(1)
+    y = rng.random(20_000) < 0.1
+    fire = lambda hit, miss: np.where(y, rng.random(len(y)) < hit, rng.random(len(y)) < miss)
+    a, b = fire(0.7, 0.01), fire(0.6, 0.01)
+    votes = a * 1 | b * 2 | a * 4  # the third voter repeats the first
+    patterns, counts = np.unique(votes, return_counts=True)
+    model = LabelModel(patterns, counts.astype(float), 0.1)
+    assert model.share[0] < 0.7 and model.share[1] > model.share[0] and len(VOTERS) == model.m
+    assert (model.posterior(votes) > 0.5)[y].mean() > 0.6 and (model.posterior(votes) > 0.5)[~y].mean() < 0.05
+
+
+def test_grams_stay_in_their_row():
+    words = np.arange(10, dtype=np.uint64)
+    hashes, start, place = gram_hashes(words, np.array([0, 3, 3, 5, 10]), 3)
+    assert start.tolist() == [0, 3, 5, 6, 7] and place.tolist() == [0, 1, 1, 2, 5] and len(set(hashes.tolist())) == 5
