@@ -175,22 +175,25 @@ class LabelModel:
     patterns, classes, weights) keep it. Correlation of two voters within a class (their excess of
     agreement over independence) is measured in each round; a voter's log likelihood ratio is divided
     by one plus its correlations with the others, so a clique of voters that repeat one signal counts
-    about once. A voter that does not fire abstains: lexicons of other languages say nothing.
+    about once. A voter that does not fire abstains: lexicons of other languages say nothing. That none
+    fires at all is itself a vote, for class 0.
     """
 
     def __init__(self, patterns: np.ndarray, counts: np.ndarray, prior: float, known: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None, rounds: int = 25):
         self.m = len(VOTERS)
         sure, classes, weights = known or (np.empty(0, np.int64), np.empty(0), np.empty(0))
         votes = self.unpack(np.concatenate([patterns, sure]))
+        silent = np.concatenate([patterns, sure]) == 0
         posterior = np.where(patterns != 0, 0.5, 0.02)
         self.prior = float(np.clip(prior, 1e-3, 0.5))
         for _ in range(rounds):
-            self.rates = []
+            self.rates, self.silence = [], []
             corr = np.zeros((self.m, self.m))
             for c in (0, 1):
                 w = np.concatenate([(posterior if c else 1 - posterior) * counts, (classes == c) * weights])
                 total = w.sum() + 2.0
                 mean = (votes.T @ w + 0.02) / total
+                self.silence.append((w @ silent + 0.02) / total)
                 self.rates.append(np.clip(mean, 1e-4, 1 - 1e-4))
                 both = (votes.T * w) @ votes / total - np.outer(mean, mean)
                 spread = np.sqrt(np.maximum(mean * (1 - mean), 1e-6))
@@ -206,7 +209,8 @@ class LabelModel:
         zero, one = self.rates
         # a voter that fires no likelier in class 1 is no evidence for it
         fired = self.share * np.maximum(np.log(one / zero), 0)
-        odds = np.log(self.prior / (1 - self.prior)) + self.unpack(patterns) @ fired
+        quiet = min(0.0, float(np.log(self.silence[1] / self.silence[0])))
+        odds = np.log(self.prior / (1 - self.prior)) + self.unpack(patterns) @ fired + (patterns == 0) * quiet
         return 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
 
 
