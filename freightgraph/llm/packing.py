@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import base64
 import zlib
-from collections.abc import Iterable, Iterator
+from array import array
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -12,57 +14,93 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from freightgraph.functions.scratch import written
-from freightgraph.llm.blocks import blocks
+from freightgraph.llm.blocks import Block, blocks
 
 MAX_LENGTH = 2048
 END_ID = 1
-CACHE_WORDS = 300_000
+CACHE_WORDS = 700_000
+
+
+class WordIds(dict):
+    """Ids of words as bytes, made on demand and kept up to a bound."""
+
+    def __init__(self, encode: Callable[[str], list[int]]):
+        super().__init__()
+        self.encode = encode
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) >= CACHE_WORDS:
+            self.clear()
+        ids = self[word] = array("I", self.encode(word)).tobytes()
+        return ids
+
+
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
+_BLANK = np.zeros(256, bool)
+_BLANK[[10, 32]] = True
+_ODD = np.zeros(256, bool)
+_ODD[[*range(10), *range(11, 32), 127, *range(0xCA, 256)]] = True
+_STOP = np.zeros(256, bool)
+_STOP[[44, 46]] = True
 
 
 class Encoder:
     """Token ids of whole texts, as little-endian 32-bit bytes.
 
-    A single space between two characters that are not white space always begins a new piece of the
-    tokenizer's pattern, so a text without other runs of white space around its spaces is the
-    concatenation of its space-led words, and the ids of each distinct word are kept (up to a bound).
-    Any other text is encoded as a whole.
+    In a plain text (Latin letters, no white space but single spaces and line ends) a space always
+    begins a new piece of the tokenizer's pattern, a line end is a piece of its own, and so is a full
+    stop or comma between a letter and a blank; so the text's ids are those of its words one after
+    another, and each distinct word's are kept. Their ids come from the same vocabulary's ranks. Any
+    other text is encoded as a whole by the tokenizer itself.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, ranks: str):
+        import tiktoken
         from tokenizers import Tokenizer
 
+        import public_tokenizers
+
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.cache: dict[str, bytes] = {}
-
-    def fill(self, words: set[str]) -> None:
-        """Encode words not seen before."""
-        new = [w for w in words if w not in self.cache]
-        if len(self.cache) + len(new) > CACHE_WORDS:
-            self.cache.clear()
-            new = list(words)
-        for word, ids in zip(new, self._many(new), strict=True):
-            self.cache[word] = ids
-
-    def _many(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        with open(ranks, "rb") as lines:
+            merges = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
+        words = tiktoken.Encoding("words", pat_str=public_tokenizers.PATTERN, mergeable_ranks=merges, special_tokens={})
+        self.words = WordIds(words.encode_ordinary)
 
     @staticmethod
-    def pieces(text: str) -> list[str] | None:
-        """Words that are encoded apart: the first, then each with its space in front; None if spaces meet other white space."""
-        parts = text.split(" ")
-        if len(parts) == 1:
-            return None
-        for p in parts:
-            if not p or p[0].isspace() or p[-1].isspace():
-                return None
-        return [parts[0], *[" " + p for p in parts[1:]]]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [self.pieces(t) for t in texts]
-        whole = iter(self._many([t for t, c in zip(texts, cut, strict=True) if c is None]))
-        self.fill({p for c in cut if c is not None for p in c})
-        return [next(whole) if c is None else b"".join(map(self.cache.__getitem__, c)) for c in cut]
+    def plain(block: Block) -> tuple[np.ndarray, np.ndarray]:
+        """For each row: whether its words can be encoded apart, and whether its stops can too."""
+        data, n = block.data, len(block.data)
+        if not n:
+            return np.zeros(block.n, bool), np.zeros(block.n, bool)
+        edge = np.zeros(n + 1, bool)
+        edge[block.offsets] = True
+        blank = _BLANK[data]
+        after = np.append(data[1:], 32)
+        before = np.append(32, data[:-1])
+        odd = _ODD[data] | ((data == 0xC2) & ((after == 0xA0) | (after == 0x85)))
+        odd |= blank & (edge[:n] | edge[1:] | np.append(blank[1:], True))
+        accent = (np.append([0, 0], data[:-2])[:n] == 0xC3) & (before != 0x97) & (before != 0xB7)
+        close = edge[1:] | _BLANK[after]
+        loose = _STOP[data] & ~((_LETTER[before] | accent) & ~edge[:n] & close)
+        sums = lambda x: np.diff(np.concatenate([[0], np.cumsum(x)])[block.offsets])
+        return sums(odd) == 0, sums(loose) == 0
+
+    def encode(self, block: Block, texts: list[str]) -> list[bytes]:
+        plain, stops = self.plain(block)
+        whole = self.tokenizer.encode_batch_fast([t for t, ok in zip(texts, plain, strict=True) if not ok], add_special_tokens=False)
+        rest = iter(np.asarray(e.ids, "<u4").tobytes() for e in whole)
+        look = self.words.__getitem__
+        out = []
+        for t, ok, cut in zip(texts, plain, stops, strict=True):
+            if not ok:
+                out.append(next(rest))
+                continue
+            if cut:
+                t = t.replace(".", "\0.").replace(",", "\0,")
+            out.append(b"".join(map(look, t.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0"))))
+        return out
 
 
 def lengths(tokens: int, longest: int) -> list[int]:
@@ -72,7 +110,7 @@ def lengths(tokens: int, longest: int) -> list[int]:
 
 
 def pack_documents(
-    docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", longest: int = MAX_LENGTH, end_id: int = END_ID,
+    docs: DataFrame, tokenizer: str, ranks: str, key: str = "doc_id", text: str = "text", longest: int = MAX_LENGTH, end_id: int = END_ID,
 ) -> DataFrame:
     """Cut every document's tokens into power-of-two pieces; each piece is one sequence of its bucket.
 
@@ -82,6 +120,7 @@ def pack_documents(
     power-of-two length and needs no padding. Which of a bucket's slots a piece has follows the order
     in which the table is read; it is fixed by one write.
 
+    ``tokenizer`` is the path of a tokenizer file, ``ranks`` that of the same vocabulary as ranks;
     ``longest`` is a power of two. The texts are read once and never shuffled. A null or empty text
     has the one token ``end_id``; a very long text yields as many longest pieces as it fills; repeated
     rows are packed each; an empty table gives an empty result; other columns are ignored.
@@ -91,13 +130,13 @@ def pack_documents(
     kind = dict(docs.dtypes)[key]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, task = Encoder(tokenizer), TaskContext.get().partitionId()
+        encoder, task = Encoder(tokenizer, ranks), TaskContext.get().partitionId()
         used = dict.fromkeys((1 << b for b in range(longest.bit_length())), 0)  # pieces of each length so far in this task
         end = np.asarray([end_id], "<u4").tobytes()
         for block in blocks(batches, "text"):
             keys = block.batch.column(0)
             out: list[tuple[int, int, int, int, int, int]] = []
-            for i, ids in enumerate(encoder.encode([t or "" for t in block.batch.column(1).to_pylist()])):
+            for i, ids in enumerate(encoder.encode(block, [t or "" for t in block.batch.column(1).to_pylist()])):
                 ids += end
                 tokens, start = len(ids) // 4, 0
                 for n in lengths(tokens, longest):

@@ -17,17 +17,17 @@ from freightgraph.llm.toxicity import fit_toxicity, score_toxicity
 from freightgraph.llm.url_filter import RULES, SOFT, SOFT_HITS, STRICT, filter_urls
 
 SHARDS = 40
-TOKENIZER = "byte_bpe_50k.json"
+TOKENIZER, RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def tokenizer_path() -> str:
+def tokenizer_paths() -> tuple[str, str]:
     import public_tokenizers
 
-    return public_tokenizers.path(TOKENIZER)
+    return public_tokenizers.path(TOKENIZER), public_tokenizers.path(RANKS)
 
 
 def fold() -> F.Column:
@@ -41,7 +41,7 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
+    return pack_documents(table(spark, sf_dir, "documents"), *tokenizer_paths())
 
 
 def op3_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:

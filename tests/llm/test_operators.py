@@ -6,10 +6,11 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from freightgraph.llm import registry
-from freightgraph.llm.blocks import gram_hashes
+from freightgraph.llm.blocks import blocks, gram_hashes
 from freightgraph.llm.chunk_dedup import dedup_substrings, repeated_spans
 from freightgraph.llm.decontaminate import contaminated
 from freightgraph.llm.fingerprint import fingerprint_documents, likeness, sketches
@@ -58,16 +59,17 @@ def test_url_verdicts(spark):
 def tokenizer():
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(registry.tokenizer_path())
+    t = Tokenizer.from_file(registry.tokenizer_paths()[0])
     t.encode_special_tokens = True
     return t
 
 
 def test_encoder_equals_tokenizer(tokenizer, texts, odd):
-    e = Encoder(registry.tokenizer_path())
-    tricky = ["", " ", "  a", "a  b", "a b ", "a \n b", "a\u00a0b c", " lead", "x's y'll  z", "tab\t x", "é ü 🙂 🙂", "a b\r\nc d", "<|endoftext|> x", "1 22 333 a1", "\u2003a b", "a \u2003b"]
+    e = Encoder(*registry.tokenizer_paths())
+    tricky = ["", " ", "  a", "a  b", "a b ", "a \n b", "a\u00a0b c", " lead", "x's y'll  z", "tab\t x", "é ü 🙂 🙂", "a b\r\nc d", "<|endoftext|> x", "1 22 333 a1", "\u2003a b", "a \u2003b", "a. b, c.", "a., b", "3.5 x", "don't. no,", "é. ñ, ×. ÷,", "a .b", "a.\nb\n\nc", "a\n", "\na", ".", "a,b"]
     for group in (tricky, [t for t in texts.values() if t], [r["text"] or "" for r in odd.collect()]):
-        assert [np.frombuffer(x, "<u4").tolist() for x in e.encode(group)] == [tokenizer.encode(t, add_special_tokens=False).ids for t in group]
+        block = next(blocks([pa.RecordBatch.from_arrays([pa.array(group)], ["text"])], "text", 1 << 30))
+        assert [np.frombuffer(x, "<u4").tolist() for x in e.encode(block, group)] == [tokenizer.encode(t, add_special_tokens=False).ids for t in group]
 
 
 def test_lengths():
@@ -94,11 +96,11 @@ def check_packing(df, table, tokenizer):
 
 
 def test_packing(docs, odd, empty, tokenizer):
-    check_packing(pack_documents(docs, registry.tokenizer_path()), docs, tokenizer)
-    check_packing(pack_documents(odd, registry.tokenizer_path()), odd, tokenizer)
-    assert pack_documents(empty, registry.tokenizer_path()).count() == 0
+    check_packing(pack_documents(docs, *registry.tokenizer_paths()), docs, tokenizer)
+    check_packing(pack_documents(odd, *registry.tokenizer_paths()), odd, tokenizer)
+    assert pack_documents(empty, *registry.tokenizer_paths()).count() == 0
     with pytest.raises(ValueError):
-        pack_documents(docs, registry.tokenizer_path(), longest=1000)
+        pack_documents(docs, *registry.tokenizer_paths(), longest=1000)
 
 
 # 3 — fingerprints
