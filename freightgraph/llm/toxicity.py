@@ -15,10 +15,11 @@ from freightgraph.llm.blocks import U64, Block, blocks, byte_table, span_hashes,
 BUCKETS = 1 << 18
 PREFIXES = (4, 5, 6, 7, 8, 9)  # bytes
 WIDTH = 1 + len(PREFIXES)  # a word and its prefixes; as many columns again say that one occurs twice
-SAMPLE = (3000, 6000)  # labelled rows of class 1 and 0 that the classifier is fitted on, at most
+SAMPLE = (2500, 5000)  # labelled rows of class 1 and 0 that the classifier is fitted on, at most
 BROADCAST_LABELS = 2_000_000
 LEXICON_SIZE = 400  # entries of a mined lexicon at most
 LEXICON_SUPPORT = 5
+LEAST_ROWS = 3  # of the sample must have a feature for the classifier to use it
 
 #: Lexicon voters by language.
 SEEDS = {
@@ -127,8 +128,8 @@ class ToxicityModel:
         return 1 / (1 + np.exp(-np.clip(total, -30, 30)))
 
 
-def sample_features(docs: DataFrame, labels: DataFrame, key: str, text: str, toxic: str, sample: tuple[int, int]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """Distinct features (column · BUCKETS + bucket), fixed votes and labels of at most ``sample`` labelled rows of each class.
+def sample_features(docs: DataFrame, labels: DataFrame, key: str, text: str, toxic: str, sample: tuple[int, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row and feature of every distinct feature, fixed votes, labels) of at most ``sample`` labelled rows of each class.
 
     The rows with the least hashes of their keys are taken; their keys, at most sum(sample), are joined
     as a broadcast, so no text is shuffled.
@@ -151,13 +152,15 @@ def sample_features(docs: DataFrame, labels: DataFrame, key: str, text: str, tox
 
     rows = docs.select(docs[key].alias("key"), docs[text].cast("string").alias("text")).join(F.broadcast(wanted), "key").select("text", "y")
     got = rows.mapInArrow(run, "votes long, y int, features array<int>").toArrow()
-    lists = [x for c in got.column(2).chunks for x in np.split(c.values.to_numpy()[c.offsets[0].as_py() : c.offsets[-1].as_py()], c.offsets.to_numpy()[1:-1] - c.offsets[0].as_py())]
-    return lists, got.column(0).to_numpy(), got.column(1).to_numpy()
+    lists = [c for c in got.column(2).chunks if len(c)]
+    row = np.repeat(np.arange(len(got), dtype=np.int32), np.concatenate([np.diff(c.offsets.to_numpy()) for c in lists]) if lists else 0)
+    found = np.concatenate([c.flatten().to_numpy() for c in lists]) if lists else np.empty(0, np.int32)
+    return row, found, got.column(0).to_numpy(), got.column(1).to_numpy()
 
 
-def mine(rows: list[np.ndarray], y: np.ndarray) -> np.ndarray:
+def mine(row: np.ndarray, found: np.ndarray, y: np.ndarray) -> np.ndarray:
     """A flag for each feature: in each column, those with the largest log odds of class 1, of enough support and at least 20 times likelier there."""
-    count = lambda c: np.bincount(np.concatenate([rows[i] for i in np.flatnonzero(y == c)] or [np.empty(0, np.int64)]), minlength=2 * WIDTH * BUCKETS)
+    count = lambda c: np.bincount(found[y[row] == c], minlength=2 * WIDTH * BUCKETS)
     one, zero = count(1), count(0)
     odds = np.log((one + 0.1) / (max(1, (y == 1).sum()) + 1)) - np.log((zero + 0.1) / (max(1, (y == 0).sum()) + 1))
     odds[(one < LEXICON_SUPPORT) | (odds < np.log(20))] = 0
@@ -232,15 +235,17 @@ def vote_patterns(docs: DataFrame, text: str, lexicon: np.ndarray) -> DataFrame:
     return docs.select(docs[text].cast("string").alias("text")).mapInArrow(run, "votes long, n long").groupBy("votes").agg(F.sum("n").alias("n"))
 
 
-def fit_linear(rows: list[np.ndarray], target: np.ndarray, weight: np.ndarray, rounds: int = 200, shrink: float = 5e-4) -> tuple[np.ndarray, float]:
+def fit_linear(row: np.ndarray, found: np.ndarray, target: np.ndarray, weight: np.ndarray, rounds: int = 200, shrink: float = 5e-4) -> tuple[np.ndarray, float]:
     """Logistic regression on binary features by accelerated proximal gradient, with small weights set to zero."""
-    at = np.concatenate(rows) if rows else np.empty(0, np.int64)
-    doc = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    n = len(target)
+    keep = (np.bincount(found, minlength=2 * WIDTH * BUCKETS) >= LEAST_ROWS)[found]
+    doc, at = row[keep], found[keep]
     used, place = np.unique(at, return_inverse=True)
+    place = place.astype(np.int32)
     norm = 1 / np.sqrt(np.maximum(np.bincount(place, minlength=len(used)), 1))
     w, last, bias, last_bias = np.zeros(len(used)), np.zeros(len(used)), 0.0, 0.0
     share = weight / max(weight.sum(), 1e-9)
-    forward = lambda v: np.bincount(doc, v[place] * norm[place], minlength=len(rows))
+    forward = lambda v: np.bincount(doc, v[place] * norm[place], minlength=n)
     backward = lambda e: np.bincount(place, e[doc], minlength=len(used)) * norm
     top, curve = np.ones(len(used)), 1.0
     for _ in range(12):  # the largest curvature of the loss, by power iteration
@@ -268,21 +273,19 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text:
     fitted on at most ``sample`` labelled rows of each class; the label model's statistics cover every
     row. Without labels of both classes the mined lexicons stay empty.
     """
-    rows, votes, y = sample_features(docs, labels, key, text, toxic, sample)
-    lexicon = mine(rows, y)
+    row, found, votes, y = sample_features(docs, labels, key, text, toxic, sample)
+    lexicon = mine(row, found, y)
     table = vote_patterns(docs, text, lexicon).toPandas()
     rate = labels.agg(F.avg(labels[toxic].cast("double"))).first()[0] or 0.05
-    doc = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    if len(rows):
-        votes = votes | mined_votes(len(rows), doc, np.concatenate(rows), lexicon)
+    votes = votes | mined_votes(len(y), row, found, lexicon)
     # the sample holds more of class 1 than the table; rows weigh as much as they stand for
     weight = np.where(y == 1, rate / max(1, (y == 1).sum()), (1 - rate) / max(1, (y == 0).sum()))
     counts = table["n"].to_numpy(float)
     model = LabelModel(table["votes"].to_numpy(np.int64), counts, rate, (votes, y, weight * counts.sum()))
     accuracies = {v: (float(a), float(b)) for v, a, b in zip(VOTERS, *model.rates, strict=True)}
-    if not len(rows):
+    if not len(y):
         return ToxicityModel(np.zeros(2 * WIDTH * BUCKETS), -3.0, accuracies, model.correlations)
-    weights, bias = fit_linear(rows, model.posterior(votes), np.sqrt(weight))
+    weights, bias = fit_linear(row, found, model.posterior(votes), np.sqrt(weight))
     return ToxicityModel(weights, bias, accuracies, model.correlations)
 
 
