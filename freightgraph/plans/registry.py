@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
-FLAGSHIP = "r12_compute_routes"
-QUERIES: dict = {}
-ORACLES: dict = {}
+from freightgraph.plans import geometry  # noqa: F401
+from freightgraph.plans.tables import ORACLES, QUERIES
+
+FLAGSHIP = "g1_haversine_km"
+__all__ = ["FLAGSHIP", "ORACLES", "QUERIES"]
