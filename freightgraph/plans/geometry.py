@@ -114,9 +114,10 @@ def p1_polyline_km(t: Tables) -> DataFrame:
     return spatial.polyline_km(t.f_edge_point).select("edge_id", F.round("km", 3).alias("km"))
 
 
-@query("SELECT edge_id, seg, s, round(lon, 3) AS lon, round(lat, 3) AS lat, round(step_km, 3) AS step_km FROM o_sample")
+@query("SELECT edge_id, seg, count(*) AS n, round(avg(lon), 3) AS lon, round(avg(lat), 3) AS lat, round(max(step_km), 3) AS step_km FROM o_sample GROUP BY edge_id, seg")
 def p2_sample_polyline(t: Tables) -> DataFrame:
-    return spatial.sample_polyline(t.f_edge_point).select("edge_id", "seg", "s", *[F.round(c, 3).alias(c) for c in ("lon", "lat", "step_km")])
+    s = spatial.sample_polyline(t.f_edge_point)
+    return s.groupBy("edge_id", "seg").agg(F.count("*").alias("n"), *[F.round(f(c), 3).alias(c) for f, c in ((F.avg, "lon"), (F.avg, "lat"), (F.max, "step_km"))])
 
 
 @query(f"""SELECT h.edge_id, h.zone_id, CAST(floor(sum(step_km) + 0.5) AS BIGINT) AS km FROM
@@ -131,9 +132,9 @@ def p3_tag_edges(t: Tables) -> DataFrame:
 q AS (SELECT *, lag(lon) OVER w AS lon0, lag(lat) OVER w AS lat0, lag(pos) OVER w AS pos0 FROM p WINDOW w AS (PARTITION BY edge_id ORDER BY pos)),
 c AS (SELECT *, coalesce(CAST(abs(lon - lon0) > 180 AS INTEGER), 0) AS cut, CASE WHEN lon0 > 0 THEN 180.0e0 ELSE -180.0e0 END AS side FROM q),
 n AS (SELECT *, sum(cut) OVER (PARTITION BY edge_id ORDER BY pos) AS part FROM c),
-x AS (SELECT edge_id, part, (pos0 + pos) / 2 AS pos, side, lat0 + (lat - lat0) * (side - lon0) / (lon + 2 * side - lon0) AS at FROM n WHERE cut = 1)
-SELECT edge_id, CAST(part AS BIGINT) AS part, pos, round(lon, 3) AS lon, round(lat, 3) AS lat FROM n UNION ALL SELECT edge_id, CAST(part - 1 AS BIGINT), pos, side, round(at, 3) FROM x
-UNION ALL SELECT edge_id, CAST(part AS BIGINT), pos, -side, round(at, 3) FROM x)""")
+x AS (SELECT edge_id, part, (pos0 + pos) / 2 AS pos, side, lat0 + (lat - lat0) * (side - lon0) / (lon + 2 * side - lon0) AS lat_at FROM n WHERE cut = 1)
+SELECT edge_id, CAST(part AS BIGINT) AS part, pos, round(lon, 3) AS lon, round(lat, 3) AS lat FROM n UNION ALL SELECT edge_id, CAST(part - 1 AS BIGINT), pos, side, round(lat_at, 3) FROM x
+UNION ALL SELECT edge_id, CAST(part AS BIGINT), pos, -side, round(lat_at, 3) FROM x)""")
 def p4_split_antimeridian(t: Tables) -> DataFrame:
     return spatial.split_antimeridian(t.f_edge_point).select("edge_id", "part", "pos", F.round("lon", 3).alias("lon"), F.round("lat", 3).alias("lat"))
 

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from freightgraph.plans import geometry  # noqa: F401
-from freightgraph.plans.tables import ORACLES, QUERIES
+from freightgraph.plans import access, geometry, tables  # noqa: F401
 
-FLAGSHIP = "g1_haversine_km"
-__all__ = ["FLAGSHIP", "ORACLES", "QUERIES"]
+FLAGSHIP = "r12_compute_routes"
+QUERIES = tables.QUERIES
+ORACLES = {name: tables.with_views(sql) for name, sql in tables.ORACLES.items()}

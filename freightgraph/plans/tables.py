@@ -17,16 +17,16 @@ ORACLE_VIEWS: dict[str, str] = {}
 def with_views(sql: str) -> str:
     """``sql`` with a WITH clause of all the views it names, and those they name."""
     known = VIEWS | ORACLE_VIEWS
-    needed, todo = set(), [sql]
-    while todo:
-        text = todo.pop()
-        for name in set(re.findall(r"\b[fxo]_[a-z_0-9]+\b", text)) & known.keys() - needed:
-            needed.add(name)
-            todo.append(known[name])
-    if not needed:
-        return sql
-    recursive = "RECURSIVE " if any("UNION ALL" in known[n] and re.search(rf"\b(FROM|JOIN) {n}\b", known[n]) for n in needed) else ""
-    return f"WITH {recursive}" + ",\n".join(f"{n} AS ({known[n].strip()})" for n in known if n in needed) + "\n" + sql.strip()
+    ordered: list[str] = []
+
+    def need(text: str) -> None:
+        for name in sorted(set(re.findall(r"\b[fxo]_[a-z_0-9]+\b", text)) & known.keys()):
+            if name not in ordered:
+                need(known[name])
+                ordered.append(name)
+
+    need(sql)
+    return "WITH " + ",\n".join(f"{n} AS ({known[n].strip()})" for n in ordered) + "\n" + sql.strip() if ordered else sql
 
 
 class Tables:
@@ -60,7 +60,7 @@ def query(oracle: str | None = None) -> Callable:
     def register(f: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]:
         QUERIES[f.__name__] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
         if oracle is not None:
-            ORACLES[f.__name__] = with_views(oracle)
+            ORACLES[f.__name__] = oracle
         return f
 
     return register
