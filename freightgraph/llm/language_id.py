@@ -132,25 +132,25 @@ def identify_languages(docs: DataFrame, model: LanguageModel, key: str = "doc_id
     share, ``languages`` the chosen set, comma-joined by name. A null text, or one without a letter, is
     ``und`` with score 0; so is one without a trigram of letters, or any under a model that has seen no
     language. Whole texts count, of any length; repeated rows are judged each; an empty table gives an
-    empty result; columns not named in ``keep`` are ignored.
+    empty result; columns not named in ``keep`` are ignored. Texts go to Python only one way: what is
+    kept stays with Spark.
     """
-    kind = dict(docs.dtypes)
     shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.logs))  # at most BUCKETS × MAX_LANGUAGES values
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf("lang_pred string, score double, languages string")
+    def judge(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         known = LanguageModel(*shared.value)
-        names = np.asarray(known.languages, object)
-        for block in blocks(batches, "text"):
-            shares = known.shares(block)
-            letters = has_letters(block) & (shares.sum(axis=1) > 0) if len(names) else np.zeros(block.n, bool)
-            best = shares.argmax(axis=1) if len(names) else np.zeros(block.n, int)
-            top = np.where(letters, shares[np.arange(block.n), best] if len(names) else 0.0, 0.0)
-            yield pa.RecordBatch.from_arrays(
-                [block.batch.column(0), pa.array([names[b] if ok else UNKNOWN for b, ok in zip(best, letters, strict=True)], pa.string()), pa.array(top),
-                 pa.array([",".join(names[s > 0]) if ok else "" for s, ok in zip(shares, letters, strict=True)], pa.string()), *block.batch.columns[2:]],
-                ["key", "lang_pred", "score", "languages", *(f"keep{i}" for i in range(len(keep)))],
-            )
-
-    chosen = docs.select(docs[key].alias("key"), docs[text].cast("string").alias("text"), *(docs[c].alias(f"keep{i}") for i, c in enumerate(keep)))
-    schema = f"key {kind[key]}, lang_pred string, score double, languages string" + "".join(f", keep{i} {kind[c]}" for i, c in enumerate(keep))
-    return chosen.mapInArrow(run, schema).select(F.col("key").alias(key), "lang_pred", "score", "languages", *(F.col(f"keep{i}").alias(c) for i, c in enumerate(keep)))
+        names = np.asarray([*known.languages, UNKNOWN], object)
+        for texts in batches:
+            predicted, scores, sets = [], [], []
+            for block in blocks([pa.RecordBatch.from_arrays([texts], ["text"])], "text"):
+                shares = known.shares(block)
+                found = has_letters(block) & (shares.sum(axis=1) > 0)
+                best = np.where(found, shares.argmax(axis=1) if shares.shape[1] else 0, len(names) - 1)
+                predicted += names[best].tolist()
+                scores.append(np.where(found, shares.max(axis=1, initial=0), 0.0))
+                sets += [",".join(names[:-1][s > 0]) for s in shares]
+            yield pa.StructArray.from_arrays([pa.array(predicted, pa.string()), pa.array(np.concatenate([*scores, np.empty(0)])), pa.array(sets, pa.string())], ["lang_pred", "score", "languages"])
+
+    judged = docs.select(key, *keep, judge(docs[text].cast("string")).alias("_judged"))
+    return judged.select(key, "_judged.lang_pred", "_judged.score", F.when(F.col("_judged.lang_pred") == UNKNOWN, "").otherwise(F.col("_judged.languages")).alias("languages"), *keep)

@@ -18,7 +18,7 @@ from freightgraph.llm.blocks import Block, blocks
 
 MAX_LENGTH = 2048
 END_ID = 1
-CACHE_WORDS = 700_000
+CACHE_WORDS = 400_000
 
 
 class WordIds(dict):

@@ -314,7 +314,7 @@ def test_language(spark, odd, empty):
     assert np.mean(right) > 0.95
     model = LanguageModel.fit(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
     seen = defaultdict(set)
-    for r in identify_languages(odd, model, keep=("text", "score")).collect():
+    for r in identify_languages(odd, model, keep=("text",)).collect():
         seen[r["doc_id"]].add(r["lang_pred"])
     assert seen[1] == seen[2] == seen[3] == seen[9] == {"und"} and "und" not in seen[5]
     assert identify_languages(empty, model).count() == 0
