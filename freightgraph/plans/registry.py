@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from freightgraph.plans import access, geometry, tables  # noqa: F401
+from freightgraph.plans import access, feeds, geometry, tables, upkeep  # noqa: F401
 
 FLAGSHIP = "r12_compute_routes"
 QUERIES = tables.QUERIES
