@@ -119,7 +119,7 @@ _WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRST
 
 def _decontamination_sql() -> str:
     shingles = lambda t, k: f"""SELECT DISTINCT {k}, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
-      ELSE list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i + 4], ' ')) END) AS s
+      ELSE [array_to_string(w[i:i + 4], ' ') FOR i IN range(1, len(w) - 3)] END) AS s
     FROM (SELECT {k}, {_WORDS} AS w FROM {t} WHERE {k} IS NOT NULL)"""
     return f"""
 WITH d AS ({shingles("documents", "doc_id")}), q AS ({shingles("benchmark", "item_id")}),
