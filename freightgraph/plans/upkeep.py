@@ -178,9 +178,9 @@ def n5_exact_land_test(t: Tables) -> DataFrame:
 @query()
 def n6_overland_km(t: Tables) -> DataFrame:
     cells = network.snap_to_land(points_cells(t), land(t), res=RES).select("node_id", (F.col("y").cast("long") * 360 + F.col("x")).alias("cell"))
-    near = network.near_pairs(t.f_node, 2500).where("src < dst").withColumnRenamed("km", "straight_km")
+    near = network.near_pairs(t.f_node, 1200).where("src < dst").withColumnRenamed("km", "straight_km")
     pair = near.join(cells.select(F.col("node_id").alias("src"), F.col("cell").alias("from_cell")), "src").join(cells.select(F.col("node_id").alias("dst"), F.col("cell").alias("to_cell")), "dst")
-    found = network.overland_km(pair, network.land_cell_edges(land(t), RES), max_km=2500)
+    found = network.overland_km(pair, network.land_cell_edges(land(t), RES), max_km=1200)
     return found.select("src", "dst", F.round("km", 3).alias("km"))
 
 
