@@ -23,7 +23,7 @@ def haversine_km(lat1, lon1, lat2, lon2) -> Column:
     """Great-circle distance."""
     lat1, lon1, lat2, lon2 = map(_col, (lat1, lon1, lat2, lon2))
     h = F.pow(F.sin(F.radians(lat2 - lat1) / 2), 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(F.radians(lon2 - lon1) / 2), 2)
-    return 2 * EARTH_KM * F.asin(F.sqrt(F.least(h, F.lit(1.0))))
+    return 2 * EARTH_KM * F.asin(F.sqrt(F.when(h > 1, F.lit(1.0)).otherwise(h)))  # null stays null
 
 
 def wrap_lon(lon) -> Column:
