@@ -276,7 +276,48 @@ def test_simhash_odd(odd, empty):
     assert near_duplicates(empty).count() == 0
 
 
-@pytest.mark.parametrize(("parts", "radius"), [(1, 4), (1, 15), (2, 26)])
+def jaccard_groups(texts, k=5, least=0.8):
+    sets = {}
+    for i, t in texts.items():
+        w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(LOWER))
+        sets[i] = {tuple(w[j : j + k]) for j in range(max(1, len(w) - k + 1))} if w else set()
+    root = {i: i for i in sets}
+    for a in sorted(sets):
+        for b in sorted(sets):
+            if a < b and (sets[a] == sets[b] or len(sets[a] & sets[b]) >= least * len(sets[a] | sets[b]) - 1e-9):
+                old, new = max(root[a], root[b]), min(root[a], root[b])
+                root = {i: new if r == old else r for i, r in root.items()}
+    return root
+
+
+@pytest.mark.parametrize("tile", [16_384, 16])
+def test_verified_links(spark, docs, texts, tile):
+    """Same groups as all pairs of whole shingle sets, with variants of one text on both sides of the limit."""
+    rng = np.random.default_rng(5)
+    texts, base = dict(texts), [f"w{i}" for i in rng.integers(0, 5000, 400)]
+    for i in range(60):  # a changed word changes five shingles: from 0.95 down to 0.6 alike to the base, less to each other
+        words = list(base)
+        for at in rng.choice(400, 2 + i // 4, replace=False):
+            words[at] = f"x{i}y{at}"
+        texts[10_000 + i] = " ".join(words)
+    for i in range(30):  # pairs that are near in a crowd of which all others are too far
+        words = texts[10_059 - i].split()
+        words[7] = "other"
+        texts[20_000 + i] = " ".join(words)
+    table = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = near_duplicates(table, k=5, parts=4, radius=56, tile_rows=tile, similarity=0.8).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == jaccard_groups(texts)
+
+
+def test_verified_links_odd(odd, empty):
+    got = defaultdict(set)
+    for r in near_duplicates(odd, k=5, parts=4, radius=56, similarity=0.8).collect():
+        got[r["doc_id"]].add(r["component_id"])
+    assert got[1] == got[2] == got[3] == {1} and got[5] == got[6] == {5} and got[4] == {4} and got[7] == {7} and got[10] == {10}
+    assert near_duplicates(empty, k=5, parts=4, radius=56, similarity=0.8).count() == 0
+
+
+@pytest.mark.parametrize(("parts", "radius"), [(1, 4), (1, 15), (2, 26), (4, 56)])
 def test_forest_keeps_all_components(parts, radius):
     rng = np.random.default_rng(3)
     base = rng.integers(0, 1 << 63, (40, parts), dtype=np.uint64)
