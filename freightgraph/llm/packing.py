@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import functools
 import zlib
 from array import array
 from collections.abc import Callable, Iterable, Iterator
@@ -18,7 +19,7 @@ from freightgraph.llm.blocks import Block, blocks
 
 MAX_LENGTH = 2048
 END_ID = 1
-CACHE_WORDS = 400_000
+CACHE_WORDS = 150_000
 
 
 class WordIds(dict):
@@ -103,6 +104,12 @@ class Encoder:
         return out
 
 
+@functools.lru_cache(maxsize=1)
+def encoder_of(path: str, ranks: str) -> Encoder:
+    """One encoder, with its words, for all tasks of a Python worker."""
+    return Encoder(path, ranks)
+
+
 def lengths(tokens: int, longest: int) -> list[int]:
     """The power-of-two lengths, longest first, that sum to ``tokens``."""
     whole, rest = divmod(tokens, longest)
@@ -130,7 +137,7 @@ def pack_documents(
     kind = dict(docs.dtypes)[key]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, task = Encoder(tokenizer, ranks), TaskContext.get().partitionId()
+        encoder, task = encoder_of(tokenizer, ranks), TaskContext.get().partitionId()
         used = dict.fromkeys((1 << b for b in range(longest.bit_length())), 0)  # pieces of each length so far in this task
         end = np.asarray([end_id], "<u4").tobytes()
         for block in blocks(batches, "text"):
