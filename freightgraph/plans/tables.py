@@ -30,10 +30,10 @@ def with_views(sql: str) -> str:
 
 
 class Tables:
-    """``t.name``: a table of the folder, or a view over its tables."""
+    """``t.name``: a table of the folder, or a view over its tables. ``whole`` asks for the query without the limits of its SQL."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.sf_dir = spark, sf_dir
+    def __init__(self, spark: SparkSession, sf_dir: str, whole: bool = False):
+        self.spark, self.sf_dir, self.whole = spark, sf_dir, whole
 
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("__"):
@@ -66,6 +66,12 @@ def query(oracle: str | None = None) -> Callable:
     return register
 
 
+def whole(f: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]:
+    """Register a query, whose SQL limits it, a second time without that limit: name_whole, no oracle."""
+    QUERIES[f"{f.__name__}_whole"] = lambda spark, sf_dir: f(Tables(spark, sf_dir, whole=True))
+    return f
+
+
 def km_sql(lat1: str, lon1: str, lat2: str, lon2: str) -> str:
     """Great-circle distance in SQL."""
     h = f"pow(sin(radians(({lat2}) - ({lat1})) / 2), 2) + cos(radians({lat1})) * cos(radians({lat2})) * pow(sin(radians(({lon2}) - ({lon1})) / 2), 2)"

@@ -103,3 +103,34 @@ def test_streams(spark, tmp_path):
     assert sorted((r["event_type"], r["n"]) for r in counts) == [("a", 2), ("b", 2)]
     refresh.write_last_good(stream, f"{tmp_path}/out", f"{tmp_path}/c3").awaitTermination()
     assert spark.read.parquet(f"{tmp_path}/out").count() == 4
+
+
+def test_whole_routes_equal_dijkstra(spark):
+    import heapq
+    from collections import defaultdict
+
+    from freightgraph.plans import access, registry, tables
+
+    data = "/root/testdata/sf0.001"
+    steps, loads = defaultdict(list), {}
+    for r in routes.objectives(access.graph(tables.Tables(spark, data))).collect():
+        if r["edge_id"] is not None:
+            steps[r["objective"], r["from_node"]].append((r["to_node"], r["to_mode"], r["weight"]))
+        elif r["is_load"]:
+            loads[r["objective"], r["from_node"], r["to_mode"]] = r["weight"]
+    want = {}
+    for objective, source in list(steps):
+        done, heap = set(), [(0.0, source, "")]
+        while heap:
+            cost, node, mode = heapq.heappop(heap)
+            if (node, mode) in done:
+                continue
+            done.add((node, mode))
+            if node != source:
+                want.setdefault((objective, source, node), cost)
+            for to, by, weight in steps[objective, node]:
+                if to != source:
+                    heapq.heappush(heap, (cost + weight + (0 if by == mode else loads[objective, node, by]), to, by))
+    found = registry.QUERIES["r2_shortest_paths_whole"](spark, data).collect()
+    assert {(r["objective"], r["source"], r["target"]): r["cost"] for r in found} == pytest.approx(want, abs=2e-3)
+    assert max(r["hops"] for r in found) > access.MAX_LEGS
