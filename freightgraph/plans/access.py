@@ -336,7 +336,7 @@ def r1_state_graph(t: Tables) -> DataFrame:
     return graph(t).select("from_node", "from_mode", "to_node", "to_mode", F.round("usd", 3).alias("usd"), F.round("hours", 3).alias("hours"), "is_load")
 
 
-@whole
+@whole()
 @query("SELECT objective, source, target, round(cost, 3) AS cost, hops, array_to_string(path, '>') AS path FROM o_best")
 def r2_shortest_paths(t: Tables) -> DataFrame:
     found = routes.shortest_paths(routes.objectives(graph(t)), t.f_node, max_legs(t))
@@ -355,31 +355,31 @@ def r4_waypoint_segments(t: Tables) -> DataFrame:
     return routes.waypoint_segments(t.x_stop)
 
 
-@whole
+@whole()
 @query("SELECT request_id, objective, leg_no, edge_id, from_node, to_node, mode, round(usd, 3) AS usd, round(hours, 3) AS hours, round(km, 3) AS km FROM o_leg")
 def r5_reconstruct_legs(t: Tables) -> DataFrame:
     return legs_of(t).select("request_id", "objective", "leg_no", "edge_id", "from_node", "to_node", "mode", *[F.round(c, 3).alias(c) for c in MONEY])
 
 
-@whole
+@whole()
 @query("SELECT request_id, objective, leg_no, eta_hours FROM o_eta")
 def r6_leg_eta(t: Tables) -> DataFrame:
     return routes.leg_eta(legs_of(t)).select("request_id", "objective", "leg_no", "eta_hours")
 
 
-@whole
+@whole()
 @query("""SELECT request_id, objective, round(sum(usd), 3) AS usd, round(sum(hours), 3) AS hours, count(*) AS legs, CAST(sum(change) AS BIGINT) AS transfers FROM (SELECT *, CASE WHEN lag(mode) OVER (PARTITION BY request_id, objective ORDER BY leg_no) <> mode THEN 1 ELSE 0 END AS change FROM o_leg) GROUP BY ALL""")
 def r7_route_totals(t: Tables) -> DataFrame:
     return routes.route_totals(legs_of(t)).select("request_id", "objective", F.round("usd", 3).alias("usd"), F.round("hours", 3).alias("hours"), "legs", "transfers")
 
 
-@whole
+@whole()
 @query("SELECT request_id, objective, score FROM o_score")
 def r8_route_security(t: Tables) -> DataFrame:
     return routes.route_security(legs_of(t), t.x_security, t.x_edge_zone, t.f_zone)
 
 
-@whole
+@whole()
 @query("""SELECT k.request_id, k.objective, coalesce(z.l, '') AS zone_labels, coalesce(g.l, '') AS transshipments FROM (SELECT DISTINCT request_id, objective FROM o_leg) k
 LEFT JOIN (SELECT request_id, objective, string_agg(z.label, '; ' ORDER BY first_leg, c.zone_id) AS l FROM o_crossed c JOIN f_zone z ON z.zone_id = c.zone_id GROUP BY ALL) z USING (request_id, objective)
 LEFT JOIN (SELECT request_id, objective, string_agg(concat(n.name, ' · ', b.label), '; ' ORDER BY leg_no) AS l FROM o_leg l JOIN o_break b ON b.edge_id = l.edge_id JOIN f_node n ON n.node_id = l.to_node GROUP BY ALL) g USING (request_id, objective)""")
@@ -387,19 +387,19 @@ def r9_route_notes(t: Tables) -> DataFrame:
     return routes.route_notes(legs_of(t), t.x_edge_zone, t.f_zone, breaks(t), t.f_node)
 
 
-@whole
+@whole()
 @query("""SELECT DISTINCT l.request_id, l.objective, z.zone_id, d.depart + to_hours(l.eta_hours) BETWEEN z.active_from AND z.active_until AS active FROM o_eta l JOIN x_edge_zone x ON x.edge_id = l.edge_id JOIN f_zone z ON z.zone_id = x.zone_id JOIN x_depart d ON d.request_id = l.request_id WHERE z.access = 'hazard'""")
 def r10_hazard_timing(t: Tables) -> DataFrame:
     return routes.hazard_timing(legs_of(t), t.x_edge_zone, t.f_zone, t.x_depart).select("request_id", "objective", "zone_id", "active").distinct()
 
 
-@whole
+@whole()
 @query("SELECT request_id, objective, signature FROM o_kept")
 def r11_dedupe_options(t: Tables) -> DataFrame:
     return routes.dedupe_options(legs_of(t))
 
 
-@whole
+@whole()
 @query("SELECT l.request_id, l.objective, l.leg_no, l.from_node, l.to_node, l.mode, round(l.usd, 3) AS usd, l.eta_hours FROM o_eta l JOIN o_kept k ON k.request_id = l.request_id AND k.objective = l.objective")
 def r12_compute_routes(t: Tables) -> DataFrame:
     units = t.f_request.select("request_id", pricing.price_units(F.col("weight_tonnes"), F.col("volume_m3")).alias("units"))
@@ -407,7 +407,7 @@ def r12_compute_routes(t: Tables) -> DataFrame:
     return found.select("request_id", "objective", "leg_no", "from_node", "to_node", "mode", F.round("usd", 3).alias("usd"), "eta_hours")
 
 
-@whole
+@whole()
 @query("""SELECT request_id, max(score) AS best, min(CASE WHEN objective = 'most-direct' THEN score END) + 7 AS offer FROM o_score GROUP BY request_id HAVING (max(score) < 30 OR request_id % 4 = 0) AND min(CASE WHEN objective = 'most-direct' THEN score END) + 7 > max(score)""")
 def r13_safer_offer(t: Tables) -> DataFrame:
     scores = routes.route_security(legs_of(t), t.x_security, t.x_edge_zone, t.f_zone)
@@ -416,7 +416,7 @@ def r13_safer_offer(t: Tables) -> DataFrame:
     return routes.safer_offer(t.f_request, scores.unionByName(safest), always)
 
 
-@whole
+@whole()
 @query("""SELECT request_id, CASE WHEN request_id IN (SELECT s.request_id FROM x_stop s JOIN f_node n ON n.node_id = s.node_id WHERE n.kind = 'military') THEN 'restricted military site' WHEN handling <> 'none' THEN 'handling rules' ELSE 'no connection' END AS reason
 FROM f_request WHERE request_id NOT IN (SELECT request_id FROM o_opt)""")
 def r14_no_route_reason(t: Tables) -> DataFrame:
@@ -433,7 +433,7 @@ def info(t: Tables) -> DataFrame:
     return routes.node_info(t.f_node, pricing.available_modes(t.f_edge, t.f_node), t.x_econ.join(t.x_security, "node_id"))
 
 
-@whole
+@whole()
 @query("SELECT request_id, objective, CAST(stop_no AS BIGINT) AS stop_no, node_id, coalesce(m.modes, '') AS modes, security FROM o_visit LEFT JOIN o_modes m USING (node_id) JOIN x_security USING (node_id)")
 def r17_route_stops(t: Tables) -> DataFrame:
     return routes.route_stops(legs_of(t), info(t)).select("request_id", "objective", F.col("stop_no").cast("long").alias("stop_no"), "node_id", "modes", "security")

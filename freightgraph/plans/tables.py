@@ -66,10 +66,16 @@ def query(oracle: str | None = None) -> Callable:
     return register
 
 
-def whole(f: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]:
-    """Register a query, whose SQL limits it, a second time without that limit: name_whole, no oracle."""
-    QUERIES[f"{f.__name__}_whole"] = lambda spark, sf_dir: f(Tables(spark, sf_dir, whole=True))
-    return f
+def whole(oracle: str | None = None) -> Callable:
+    """Register a query, whose SQL limits it, a second time as name_whole: without that limit."""
+
+    def register(f: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]:
+        QUERIES[f"{f.__name__}_whole"] = lambda spark, sf_dir: f(Tables(spark, sf_dir, whole=True))
+        if oracle is not None:
+            ORACLES[f"{f.__name__}_whole"] = oracle
+        return f
+
+    return register
 
 
 def km_sql(lat1: str, lon1: str, lat2: str, lon2: str) -> str:

@@ -10,7 +10,7 @@ from freightgraph.operators import network, quality
 from freightgraph.operators.components import connected_components
 from freightgraph.plans.feeds import NOW, now
 from freightgraph.plans.geometry import RING_HIT, medium_samples
-from freightgraph.plans.tables import ORACLE_VIEWS, ORACLES, Tables, query
+from freightgraph.plans.tables import ORACLE_VIEWS, ORACLES, Tables, query, whole
 from freightgraph.sources import feeds
 from freightgraph.streaming import refresh
 
@@ -42,10 +42,12 @@ def d4_check_generated(t: Tables) -> DataFrame:
     return quality.check_generated(t.f_edge.where("mode = 'truck'"), t.f_node.where("node_id % 5 != 0"))
 
 
+@whole(detail("""SELECT 'seaports without a lane' AS "check", off AS key, n AS detail FROM (SELECT count(*) AS n, count(CASE WHEN node_id NOT IN (SELECT src FROM f_edge WHERE mode = 'sea' UNION SELECT dst FROM f_edge WHERE mode = 'sea') THEN 1 END) AS off FROM f_node WHERE kind = 'seaport') WHERE off * 2 > n
+UNION ALL SELECT 'places without a road', off, n FROM (SELECT count(*) AS n, count(CASE WHEN node_id NOT IN (SELECT src FROM f_edge WHERE mode = 'truck' UNION SELECT dst FROM f_edge WHERE mode = 'truck') THEN 1 END) AS off FROM f_node) WHERE off * 2 > n"""))
 @query(detail("""SELECT 'seaports without a lane' AS "check", off AS key, n AS detail FROM (SELECT count(*) AS n, count(CASE WHEN node_id NOT IN (SELECT src FROM f_edge WHERE mode = 'sea' AND edge_id % 9 = 0 UNION SELECT dst FROM f_edge WHERE mode = 'sea' AND edge_id % 9 = 0) THEN 1 END) AS off FROM f_node WHERE kind = 'seaport') WHERE off * 2 > n
 UNION ALL SELECT 'places without a road', off, n FROM (SELECT count(*) AS n, count(CASE WHEN node_id NOT IN (SELECT src FROM f_edge WHERE mode = 'truck' AND edge_id % 9 = 0 UNION SELECT dst FROM f_edge WHERE mode = 'truck' AND edge_id % 9 = 0) THEN 1 END) AS off FROM f_node) WHERE off * 2 > n"""))
 def d5_check_coverage(t: Tables) -> DataFrame:
-    return quality.check_coverage(t.f_node, t.f_edge.where("edge_id % 9 = 0"))
+    return quality.check_coverage(t.f_node, t.f_edge if t.whole else t.f_edge.where("edge_id % 9 = 0"))
 
 
 @query(detail("""SELECT DISTINCT 'no gauge' AS "check", country AS key, country AS detail FROM f_edge e JOIN f_node n ON n.node_id = e.src OR n.node_id = e.dst WHERE mode = 'rail' AND country NOT IN (SELECT country FROM x_country_gauge)
@@ -64,13 +66,23 @@ def d8_check_tags(t: Tables) -> DataFrame:
     return quality.check_tags(t.x_edge_zone, t.f_zone.where("zone_id % 60 != 0"))
 
 
+@whole(detail("""SELECT 'id collision' AS "check", min(zone_id) AS key, 'CHINA' AS detail FROM f_zone UNION ALL SELECT 'unknown country', -zone_id - 2, 'Atlantis' FROM f_zone WHERE zone_id % 100 = 0 UNION ALL SELECT 'charge by km', -zone_id - 2, '2.5' FROM f_zone WHERE zone_id % 140 = 0
+UNION ALL SELECT 'unknown banned country', -3, 'Lemuria' UNION ALL SELECT 'unknown airspace', -1, '-1' UNION ALL SELECT 'unknown node', -1, '999999999'"""))
 @query(detail("""SELECT 'unknown country' AS "check", zone_id AS key, 'Atlantis' AS detail FROM f_zone WHERE zone_id % 100 = 0 UNION ALL SELECT 'charge by km', zone_id, 2.5 FROM f_zone WHERE zone_id % 140 = 0
 UNION ALL SELECT 'unknown airspace', -1, -1 UNION ALL SELECT DISTINCT 'unknown node', -1, 999999999"""))
 def d9_check_airspace(t: Tables) -> DataFrame:
     air = t.f_zone.select(F.col("zone_id").alias("shape_id"), F.when(F.col("zone_id") % 100 == 0, "Atlantis").otherwise(F.lit("CHINA")).alias("country"), F.when(F.col("zone_id") % 140 == 0, 2.5).otherwise(0.0).alias("surcharge"))
     tags = t.f_node.select(F.lit(-1).cast("long").alias("shape_id"), F.lit(999999999).cast("long").alias("src"), F.col("node_id").alias("dst"))
     nodes = t.f_node.select("node_id", "country").unionByName(t.f_node.limit(1).select("node_id", F.lit("CHINA").alias("country")))
-    return quality.check_airspace(air, t.f_zone.where("zone_id < 0"), air.where("shape_id < 0"), tags, nodes)
+    if not t.whole:
+        return quality.check_airspace(air, t.f_zone.where("zone_id < 0"), air.where("shape_id < 0"), tags, nodes)
+    # airspace has the negative ids; the faults are extra rows: one shape with a zone's id, one ban of an unknown country, a tag of no shape
+    shape = air.withColumn("shape_id", -F.col("shape_id") - 2)
+    ban = shape.select("shape_id", F.lit("CHINA").alias("country"))
+    one = t.spark.range(1)
+    taken = t.f_zone.agg(F.min("zone_id").alias("shape_id")).select("shape_id", F.lit("CHINA").alias("country"), F.lit(0.0).alias("surcharge"))
+    lost = one.select(F.lit(-3).cast("long").alias("shape_id"), F.lit("Lemuria").alias("country"))
+    return quality.check_airspace(shape.unionByName(taken), t.f_zone, ban.unionByName(lost), tags, nodes)
 
 
 @query(detail("""SELECT 'unknown zone' AS "check", zone_id AS key, CAST(zone_id AS VARCHAR) AS detail FROM x_condition WHERE zone_id % 120 = 0 UNION ALL SELECT 'factor out of range', zone_id, CAST(round(delay_factor, 3) AS VARCHAR) FROM x_condition WHERE delay_factor > 3"""))
@@ -197,10 +209,13 @@ def n8_needs_geometry(t: Tables) -> DataFrame:
     return quality.audit_medium(medium_samples(t).join(rail, "edge_id", "left_semi")).select("edge_id")
 
 
+@whole("""SELECT node, min(reach) AS component FROM (WITH RECURSIVE e AS (SELECT src AS a, dst AS b FROM f_edge WHERE mode = 'sea' UNION SELECT dst, src FROM f_edge WHERE mode = 'sea'),
+r AS (SELECT a AS node, a AS reach FROM e UNION SELECT r.node, e.b FROM r JOIN e ON e.a = r.reach) SELECT * FROM r) GROUP BY node""")
 @query("""SELECT node, min(reach) AS component FROM (WITH RECURSIVE e AS (SELECT src AS a, dst AS b FROM f_edge WHERE mode = 'sea' AND edge_id % 4 = 0 UNION SELECT dst, src FROM f_edge WHERE mode = 'sea' AND edge_id % 4 = 0),
 r AS (SELECT a AS node, a AS reach FROM e UNION SELECT r.node, e.b FROM r JOIN e ON e.a = r.reach) SELECT * FROM r) GROUP BY node""")
 def r15_connected_components(t: Tables) -> DataFrame:
-    return connected_components(t.f_edge.where("mode = 'sea' and edge_id % 4 = 0"))
+    sea = t.f_edge.where("mode = 'sea'")
+    return connected_components(sea if t.whole else sea.where("edge_id % 4 = 0"))
 
 
 ORACLE_VIEWS["o_refreshed"] = f"""SELECT f.source, zone_id, coalesce(active_until, {OUTCOME_NOW} + INTERVAL 24 HOUR) AS active_until, FALSE AS retained FROM x_fetched f JOIN x_outcome o ON o.source = f.source WHERE o.ok
@@ -250,9 +265,11 @@ def t7_expire_late(t: Tables) -> DataFrame:
     return refresh.expire_late(t.f_zone, run_time()).select("zone_id")
 
 
+@whole("SELECT zone_id, source FROM x_fetched UNION ALL SELECT zone_id, source FROM x_previous WHERE NOT EXISTS (SELECT 1 FROM x_fetched)")
 @query("SELECT zone_id, source FROM x_previous")
 def t8_keep_last_good(t: Tables) -> DataFrame:
-    return refresh.keep_last_good(t.x_fetched.where("source < 0").select("zone_id", "source"), t.x_previous.select("zone_id", "source"))
+    fetched = t.x_fetched if t.whole else t.x_fetched.where("source < 0")
+    return refresh.keep_last_good(fetched.select("zone_id", "source"), t.x_previous.select("zone_id", "source"))
 
 
 @query("""SELECT hazard_kind, strftime(run, '%Y-%m') AS month, count(*) AS runs, round(count(*) / any_value(n), 6) AS share FROM (SELECT DISTINCT hazard_kind, time_bucket(INTERVAL 6 HOUR, active_from, TIMESTAMP '2024-01-01') AS run FROM f_zone)

@@ -5,6 +5,7 @@ import os
 import duckdb
 import pytest
 from freightgraph.plans import registry
+from freightgraph.plans.tables import Tables
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents".split()
@@ -44,3 +45,15 @@ def test_entry(spark):
     assert __spark_entry__.entry(spark).limit(1).count() == 1
     assert set(registry.ORACLES) <= set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
     assert os.path.isdir(DATA)
+
+
+def test_whole_tables_reach_the_checks(spark):
+    run = lambda name: registry.QUERIES[name](spark, DATA)
+    checks = {r["check"] for r in run("d9_check_airspace_whole").collect()}
+    assert {"id collision", "unknown banned country"} <= checks
+    sea = Tables(spark, DATA).f_edge.where("mode = 'sea'")
+    places = sea.select("src").union(sea.select("dst")).distinct().count()
+    assert run("r15_connected_components_whole").count() == places > run("r15_connected_components").count()
+    fetched = Tables(spark, DATA).x_fetched.count()
+    assert run("t8_keep_last_good_whole").count() == fetched > 0
+    assert run("d5_check_coverage_whole").count() < run("d5_check_coverage").count()
