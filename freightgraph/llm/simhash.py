@@ -59,7 +59,10 @@ def digest(hashes: np.ndarray) -> int:
 
 
 def fingerprints(docs: DataFrame, key: str, text: str, k: int, parts: int, digests: bool = False) -> DataFrame:
-    """(key, f0, … and on request digest, as signed longs) for every row; reads two columns, no shuffle."""
+    """(key, f0, … and on request digest, as signed longs) for every row; reads two columns, no shuffle.
+
+    With the digest, which stands for the set of shingles, the bits are those of the set, too: repeats count once.
+    """
     kind = dict(docs.dtypes)[key]
     names = [*(f"f{i}" for i in range(parts)), *["digest"][: int(digests)]]
 
@@ -68,7 +71,7 @@ def fingerprints(docs: DataFrame, key: str, text: str, k: int, parts: int, diges
             raw, found = block.data.tobytes(), []
             for a, b in zip(block.offsets[:-1], block.offsets[1:], strict=True):
                 hashes = shingle_hashes(raw[a:b], k)
-                found.append(fingerprint(hashes, parts) + ([digest(hashes)] if digests else []))
+                found.append([*fingerprint(np.unique(hashes), parts), digest(hashes)] if digests else fingerprint(hashes, parts))
             words = np.asarray(found, U64).reshape(-1, len(names)).view(np.int64)
             yield pa.RecordBatch.from_arrays([block.batch.column(0), *(pa.array(words[:, i]) for i in range(len(names)))], ["key", *names])
 
@@ -136,7 +139,10 @@ def forest(
     shift = 0 if same else len(left)
     start = np.arange(len(left) + (0 if same else len(right))) if start is None else start
     trees = [start]
-    wide = (left.shape[1] + 1) // 2  # so many words of all pairs are compared, the others where these are close
+    # so many words of all pairs are compared (three at most, a byte holds their count), the others where these are
+    # close: by chance they differ in 32 bits a word with a deviation of 4, three deviations must stay beyond the radius
+    wide = next((w for w in range(1, 3) if 32 * w - 12 * w**0.5 > radius), 3)
+    wide = min(wide, left.shape[1])
     order = np.random.default_rng(SEED)
     a: list[int] = []
     b: list[int] = []
@@ -310,7 +316,7 @@ def near_duplicates(
     ``component_id`` is the smallest key that can be reached over links, where two rows link if their
     64 · ``parts`` fingerprint bits differ in ``radius`` places or fewer. With ``similarity``, a link
     also needs that much of the two sets of shingles in common (intersection over union, of 64-bit
-    hashes), so ``radius`` only has to be wide enough to find such pairs. Equal fingerprints (with
+    hashes), and the bits are those of the set, so ``radius`` only has to be wide enough to find such pairs. Equal fingerprints (with
     ``similarity``: of equal sets of shingles) meet in a partly aggregated group first, so copies never
     form pairs. The comparison of distinct fingerprints is exact and costs their number squared over the
     share of skipped tiles. A null, empty or blank text has fingerprint zero and links like any other
