@@ -25,14 +25,16 @@ _FOLD[[c for c in range(128) if not chr(c).isalpha()]] = 32
 
 
 def trigrams(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(bucket, row, byte position) of every byte trigram with a letter in its middle; letters are folded, all else in ASCII is blank."""
-    b = _FOLD[block.data].astype(U64)
-    if len(b) < 3:
-        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
-    row = np.repeat(np.arange(block.n), np.diff(block.offsets))
-    at = np.flatnonzero((row[:-2] == row[2:]) & (b[1:-1] != 32))
-    value = b[at] | b[at + 1] << U64(8) | b[at + 2] << U64(16)
-    return (mix(value) % U64(BUCKETS)).astype(np.int64), row[at], at
+    """(bucket, row, byte position) of every byte trigram with a letter in its middle; letters are folded, all else in ASCII is blank, and so is what stands before and after a text."""
+    size = np.diff(block.offsets)
+    row = np.repeat(np.arange(block.n), size)
+    b = np.full(len(block.data) + 2 * block.n + 2, 32, U64)
+    middle = np.arange(len(block.data)) + 2 * row + 1
+    b[middle] = _FOLD[block.data]
+    own = np.flatnonzero(b[middle] != 32)
+    row, middle = row[own], middle[own]
+    value = b[middle - 1] | b[middle] << U64(8) | b[middle + 1] << U64(16)
+    return (mix(value) % U64(BUCKETS)).astype(np.int64), row, np.maximum(own - 1, block.offsets[row])
 
 
 def has_letters(block: Block) -> np.ndarray:
@@ -67,10 +69,10 @@ def trigram_counts(docs: DataFrame, text: str, lang: str) -> DataFrame:
 
 
 class LanguageModel:
-    """Languages and the log probability of each trigram bucket in each, BUCKETS × languages."""
+    """Languages, the log probability of each trigram bucket in each (BUCKETS × languages), which buckets were seen at all, and each language's share of rows."""
 
-    def __init__(self, languages: list[str], logs: np.ndarray):
-        self.languages, self.logs = languages, logs
+    def __init__(self, languages: list[str], logs: np.ndarray, seen: np.ndarray, prior: np.ndarray):
+        self.languages, self.logs, self.seen, self.prior = languages, logs, seen, prior
 
     @classmethod
     def fit(cls, docs: DataFrame, text: str = "text", lang: str = "lang") -> LanguageModel:
@@ -78,7 +80,8 @@ class LanguageModel:
 
         At most MAX_LANGUAGES labels are accepted.
         """
-        known = [r["lang"] for r in docs.select(docs[lang].cast("string").alias("lang")).where("lang is not null").distinct().limit(MAX_LANGUAGES + 1).collect()]
+        rows = docs.select(docs[lang].cast("string").alias("lang")).where("lang is not null").groupBy("lang").agg(F.count("*").alias("n"))
+        known = {r["lang"]: r["n"] for r in rows.limit(MAX_LANGUAGES + 1).collect()}
         if len(known) > MAX_LANGUAGES:
             raise ValueError(f"more than {MAX_LANGUAGES} languages")
         languages = sorted(known)
@@ -86,7 +89,9 @@ class LanguageModel:
         table = trigram_counts(docs, text, lang).toPandas()
         number = {name: i for i, name in enumerate(languages)}
         counts[table["bucket"].to_numpy(np.int64), table["lang"].map(number).to_numpy(np.int64)] += table["n"].to_numpy(float)
-        return cls(languages, np.log(counts / counts.sum(axis=0)).astype(np.float32) if languages else counts)
+        prior = np.array([known[name] for name in languages], float)
+        logs = np.log(counts / counts.sum(axis=0)).astype(np.float32) if languages else counts
+        return cls(languages, logs, (counts > 0.5).any(axis=1), prior / max(prior.sum(), 1))
 
     def shares(self, block: Block) -> np.ndarray:
         """Rows × languages: each text's proportions, 0 for languages outside its set.
@@ -94,6 +99,7 @@ class LanguageModel:
         A text is cut into passages of PASSAGE bytes, each written in one language. The maximisation
         step takes PENALTY passages from every language before it divides, so a language whose
         passages do not pay for it leaves the set: a penalised likelihood chooses the set on the way.
+        A text of trigrams that no language has gets the language of the most rows, with its share of them.
         """
         n, m = block.n, len(self.languages)
         out = np.zeros((n, m))
@@ -122,6 +128,9 @@ class LanguageModel:
             left[none] = np.where(held[none] == held[none].max(axis=1, keepdims=True), held[none] + 1e-12, 0)
             mixture = left / left.sum(axis=1, keepdims=True)
         out[which] = mixture
+        strange = which[np.add.reduceat(self.seen[bucket], heads[first]) == 0]
+        likeliest = self.prior.argmax()
+        out[strange] = np.where(np.arange(m) == likeliest, self.prior[likeliest], 0)
         return out
 
 
@@ -130,12 +139,11 @@ def identify_languages(docs: DataFrame, model: LanguageModel, key: str = "doc_id
 
     ``lang_pred`` is the language with the largest share (the first by name on a tie), ``score`` its
     share, ``languages`` the chosen set, comma-joined by name. A null text, or one without a letter, is
-    ``und`` with score 0; so is one without a trigram of letters, or any under a model that has seen no
-    language. Whole texts count, of any length; repeated rows are judged each; an empty table gives an
+    ``und`` with score 0; so is any under a model that has seen no language. Whole texts count, of any length; repeated rows are judged each; an empty table gives an
     empty result; columns not named in ``keep`` are ignored. Texts go to Python only one way: what is
     kept stays with Spark.
     """
-    shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.logs))  # at most BUCKETS × MAX_LANGUAGES values
+    shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.logs, model.seen, model.prior))  # at most BUCKETS × MAX_LANGUAGES values
 
     @F.arrow_udf("lang_pred string, score double, languages string")
     def judge(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:

@@ -363,6 +363,16 @@ def test_language(spark, odd, empty):
     assert {r["lang_pred"] for r in identify_languages(odd, nothing).collect()} == {"und"}
 
 
+def test_language_of_short_texts(spark):
+    model = LanguageModel.fit(spark.createDataFrame([("the cat is here a b", "en"), ("a dog", "en"), ("die Katze ist da", "de")], "text string, lang string"))
+    texts = ["A.", "a", "7 x", "\u00e9", "\u044f", "die", "zq", "...", "", None]
+    got = {r["doc_id"]: r for r in identify_languages(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()}
+    assert [got[i]["lang_pred"] for i in (0, 1, 3, 4, 5, 6)] == ["en", "en", "en", "en", "de", "en"]
+    assert got[2]["lang_pred"] != "und" and all(got[i]["score"] > 0 and got[i]["languages"] for i in range(7))
+    assert got[4]["score"] == pytest.approx(2 / 3)  # no known trigram: two of three rows are English
+    assert {got[i]["lang_pred"] for i in (7, 8, 9)} == {"und"}
+
+
 def test_language_mixture(spark):
     table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     model = LanguageModel.fit(table)
