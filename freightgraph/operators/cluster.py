@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -10,9 +12,6 @@ from pyspark.sql import functions as F
 from freightgraph.functions.geo import EARTH_KM, KM_PER_DEG, haversine_km, js_round
 from freightgraph.operators.components import connected_components
 
-MAX_GREEDY_POINTS = 200_000
-
-
 def _cells(points: DataFrame, link_km: float) -> DataFrame:
     deg = link_km / KM_PER_DEG
     return points.select("*", F.floor(F.col("lon") / deg).cast("long").alias("cx"), F.floor(F.col("lat") / deg).cast("long").alias("cy"))
@@ -36,47 +35,69 @@ def cluster_cells(points: DataFrame, link_km: float) -> DataFrame:
     return grouped.join(named, "group").select("seq", "cluster_id")
 
 
+class _Pass:
+    """The greedy pass over one group of touching cells, fed in the order of seq; it holds its clusters, not its points."""
+
+    def __init__(self, link_km: float):
+        self.link_km = link_km
+        self.born: dict[tuple[int, int], list[int]] = {}
+        self.centre: list[list[float]] = []  # lat, lon, points, first seq
+
+    def feed(self, part: pd.DataFrame) -> np.ndarray:
+        """Each point joins the nearest centroid within reach among clusters begun in the nine cells round it."""
+        born, centre = self.born, self.centre
+        out = np.empty(len(part), np.int64)
+        for i, (lat, lon, cx, cy, seq) in enumerate(zip(part["lat"], part["lon"], part["cx"], part["cy"], part["seq"], strict=True)):
+            near = [c for x in (cx - 1, cx, cx + 1) for y in (cy - 1, cy, cy + 1) for c in born.get((x, y), ())]
+            pick = -1
+            if near:
+                at = np.array([centre[c][:2] for c in near])
+                h = np.sin(np.radians(at[:, 0] - lat) / 2) ** 2 + np.cos(np.radians(lat)) * np.cos(np.radians(at[:, 0])) * np.sin(np.radians(at[:, 1] - lon) / 2) ** 2
+                km = 2 * EARTH_KM * np.arcsin(np.sqrt(np.minimum(h, 1)))
+                best = int(km.argmin())
+                pick = near[best] if km[best] <= self.link_km else -1
+            if pick < 0:
+                pick = len(centre)
+                centre.append([lat, lon, 0, seq])
+                born.setdefault((cx, cy), []).append(pick)
+            c = centre[pick]
+            c[2] += 1
+            if c[2] > 1:
+                c[0] += (lat - c[0]) / c[2]
+                c[1] += (lon - c[1]) / c[2]
+            out[i] = c[3]
+        return out
+
+
 def _greedy(group: pd.DataFrame, link_km: float) -> pd.DataFrame:
-    """One group of touching cells, in the order of seq: a point joins the nearest centroid within reach among clusters begun in the nine cells round it."""
+    """One whole group of touching cells."""
     group = group.sort_values("seq")
-    born: dict[tuple[int, int], list[int]] = {}
-    centre: list[list[float]] = []  # lat, lon, points, first seq
-    out = np.empty(len(group), np.int64)
-    for i, (lat, lon, cx, cy, seq) in enumerate(zip(group["lat"], group["lon"], group["cx"], group["cy"], group["seq"], strict=True)):
-        near = [c for x in (cx - 1, cx, cx + 1) for y in (cy - 1, cy, cy + 1) for c in born.get((x, y), ())]
-        pick = -1
-        if near:
-            at = np.array([centre[c][:2] for c in near])
-            h = np.sin(np.radians(at[:, 0] - lat) / 2) ** 2 + np.cos(np.radians(lat)) * np.cos(np.radians(at[:, 0])) * np.sin(np.radians(at[:, 1] - lon) / 2) ** 2
-            km = 2 * EARTH_KM * np.arcsin(np.sqrt(np.minimum(h, 1)))
-            best = int(km.argmin())
-            pick = near[best] if km[best] <= link_km else -1
-        if pick < 0:
-            pick = len(centre)
-            centre.append([lat, lon, 0, seq])
-            born.setdefault((cx, cy), []).append(pick)
-        c = centre[pick]
-        c[2] += 1
-        if c[2] > 1:
-            c[0] += (lat - c[0]) / c[2]
-            c[1] += (lon - c[1]) / c[2]
-        out[i] = c[3]
-    return pd.DataFrame({"seq": group["seq"].to_numpy(), "cluster_id": out})
-
-
-def cluster_points(points: DataFrame, link_km: float, most: int = MAX_GREEDY_POINTS) -> DataFrame:
+    return pd.DataFrame({"seq": group["seq"].to_numpy(), "cluster_id": _Pass(link_km).feed(group)})
+
+
+def cluster_points(points: DataFrame, link_km: float, most: int | None = None) -> DataFrame:
     """(seq, cluster_id): the greedy single pass in the order of seq; a cluster is named by its first point.
 
     Points of groups of cells that do not touch can never share a cluster, so the pass is exact within
-    each group and groups run apart. A group of over ``most`` points is clustered by cells instead.
+    each group and groups run apart. A group of any size is one stream in the order of seq through a
+    state of its clusters; the pass depends on that order, so one group is one task. ``most`` was once
+    the size from which groups were not clustered greedily; it changes nothing.
     """
     cells = _cells(points, link_km)
-    grouped = cells.join(_cell_groups(cells), ["cx", "cy"])
-    sizes = grouped.groupBy("group").agg(F.count("*").alias("n"), F.min("seq").alias("least"))
-    both = grouped.join(sizes, "group")
-    small = both.where(F.col("n") <= most).select("group", "seq", "lat", "lon", "cx", "cy")
-    exact = small.groupBy("group").applyInPandas(lambda g: _greedy(g, link_km), "seq long, cluster_id long")
-    return exact.unionByName(both.where(F.col("n") > most).select("seq", F.col("least").alias("cluster_id")))
+    grouped = cells.join(_cell_groups(cells), ["cx", "cy"]).select("group", "seq", "lat", "lon", "cx", "cy")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, state = None, _Pass(link_km)
+        for batch in batches:
+            group = batch["group"].to_numpy()
+            heads = np.flatnonzero(np.append(True, group[1:] != group[:-1])) if len(group) else []
+            for a, b in zip(heads, [*heads[1:], len(group)], strict=True):
+                if group[a] != at:
+                    at, state = group[a], _Pass(link_km)
+                part = batch.iloc[a:b]
+                yield pd.DataFrame({"seq": part["seq"].to_numpy(), "cluster_id": state.feed(part)})
+
+    return grouped.repartition("group").sortWithinPartitions("group", "seq").mapInPandas(run, "seq long, cluster_id long")
 
 
 def cluster_spread(clustered: DataFrame) -> DataFrame:

@@ -77,6 +77,24 @@ def test_greedy_clusters_equal_one_pass(spark):
     assert cluster.cluster_cells(df, 30).count() == cluster.cluster_points(df, 30, most=1).count() == 300
 
 
+def test_large_group_is_clustered_greedily(spark):
+    import pandas as pd
+
+    rng = random.Random(2)
+    pts = [(i, 10 + rng.random() * 2, rng.random() * 2) for i in range(600)]  # one group of touching cells
+    whole = pd.DataFrame(pts, columns=["seq", "lat", "lon"])
+    deg = 30 / 111.32
+    whole["cx"], whole["cy"] = (whole["lon"] // deg).astype(int), (whole["lat"] // deg).astype(int)
+    want = dict(cluster._greedy(whole, 30).itertuples(index=False))
+    batch = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 50)
+    try:
+        got = cluster.cluster_points(spark.createDataFrame(pts, "seq long, lat double, lon double"), 30, most=100).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    assert {r["seq"]: r["cluster_id"] for r in got} == want and len(set(want.values())) > 5
+
+
 def test_parse_dtg(spark):
     rows = spark.createDataFrame([("081653Z MAY 2024",), ("99",), (None,), ("321653Z MAY 2024",)], "s string")
     got = [r[0] for r in rows.select(feeds.parse_dtg(F.col("s")).alias("t")).collect()]
