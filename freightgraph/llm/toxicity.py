@@ -15,9 +15,9 @@ from freightgraph.llm.blocks import U64, Block, blocks, byte_table, span_hashes,
 BUCKETS = 1 << 18
 PREFIXES = (4, 5, 6, 7, 8, 9)  # bytes
 WIDTH = 1 + len(PREFIXES)  # a word and its prefixes; as many columns again say that one occurs twice
-SAMPLE = (2500, 5000)  # labelled rows of class 1 and 0 that the classifier is fitted on, at most
+SAMPLE = (2500, 5000)  # labelled rows of class 1 and 0 that the linear classifier is fitted on, at most
 BROADCAST_LABELS = 2_000_000
-LEXICON_SIZE = 400  # entries of a mined lexicon at most
+SPAN = 2 * WIDTH * BUCKETS  # features
 LEXICON_SUPPORT = 5
 LEAST_ROWS = 3  # of the sample must have a feature for the classifier to use it
 
@@ -67,7 +67,7 @@ def distinct_features(row: np.ndarray, buckets: np.ndarray, wanted: np.ndarray |
 
     ``wanted`` (2 · WIDTH · BUCKETS) says which features are asked for.
     """
-    span = 2 * WIDTH * BUCKETS
+    span = SPAN
     pairs = []
     for i in range(WIDTH):
         b = buckets[:, i].astype(np.int64)
@@ -158,16 +158,42 @@ def sample_features(docs: DataFrame, labels: DataFrame, key: str, text: str, tox
     return row, found, got.column(0).to_numpy(), got.column(1).to_numpy()
 
 
-def mine(row: np.ndarray, found: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """A flag for each feature: in each column, those with the largest log odds of class 1, of enough support and at least 20 times likelier there."""
-    count = lambda c: np.bincount(found[y[row] == c], minlength=2 * WIDTH * BUCKETS)
-    one, zero = count(1), count(0)
-    odds = np.log((one + 0.1) / (max(1, (y == 1).sum()) + 1)) - np.log((zero + 0.1) / (max(1, (y == 0).sum()) + 1))
-    odds[(one < LEXICON_SUPPORT) | (odds < np.log(20))] = 0
-    flags = np.zeros(len(odds), bool)
-    for c, part in enumerate(np.split(odds, 2 * WIDTH)):
-        top = np.argsort(-part, kind="stable")[:LEXICON_SIZE]
-        flags[c * BUCKETS + top[part[top] > 0]] = True
+def labelled(docs: DataFrame, labels: DataFrame, key: str, text: str, toxic: str) -> DataFrame:
+    """(text, y) of every row, y null where the row has no label. Up to BROADCAST_LABELS labels are broadcast, so that no text is shuffled."""
+    held = labels.select(labels[key].alias("key"), labels[toxic].cast("int").alias("y")).where("key is not null and y in (0, 1)").groupBy("key").agg(F.max("y").alias("y"))
+    few = held.limit(BROADCAST_LABELS + 1).count() <= BROADCAST_LABELS
+    rows = docs.select(docs[key].alias("key"), docs[text].cast("string").alias("text"))
+    return rows.join(F.broadcast(held) if few else held, "key", "left").select("text", "y")
+
+
+def feature_counts(rows: DataFrame) -> DataFrame:
+    """(feature, one, zero): rows of each class that have a feature, over all labelled rows; feature SPAN counts the rows. Each task adds up its own first."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals = np.zeros((2, SPAN + 1), np.int32)
+        for block in blocks(batches, "text"):
+            row, _, buckets = features(block)
+            doc, found = distinct_features(row, buckets)
+            y = block.batch.column(1).to_numpy(zero_copy_only=False)
+            for c in (0, 1):
+                np.add.at(totals[c], found[y[doc] == c], 1)
+                totals[c, SPAN] += (y == c).sum()
+        at = np.flatnonzero(totals.any(axis=0))
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(totals[1, at].astype(np.int64)), pa.array(totals[0, at].astype(np.int64))], ["feature", "one", "zero"])
+
+    return rows.where("y is not null").mapInArrow(run, "feature int, one long, zero long").groupBy("feature").agg(F.sum("one").alias("one"), F.sum("zero").alias("zero"))
+
+
+def mine(rows: DataFrame) -> np.ndarray:
+    """A flag for each feature of enough support in class 1 that is at least 20 times likelier there. The driver gets one count for each such feature."""
+    found = feature_counts(rows).where(f"one >= {LEXICON_SUPPORT} or feature = {SPAN}").toArrow()
+    feature, one, zero = (c.to_numpy() for c in found.columns)
+    flags = np.zeros(SPAN, bool)
+    total = feature == SPAN
+    if not total.any():
+        return flags
+    odds = np.log((one + 0.1) / (max(1, one[total][0]) + 1)) - np.log((zero + 0.1) / (max(1, zero[total][0]) + 1))
+    flags[feature[~total & (one >= LEXICON_SUPPORT) & (odds >= np.log(20))]] = True
     return flags
 
 
@@ -217,28 +243,30 @@ class LabelModel:
         return 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
 
 
-def vote_patterns(docs: DataFrame, text: str, lexicon: np.ndarray) -> DataFrame:
-    """(votes, n) over every row; each task adds up its own patterns first."""
+def vote_patterns(rows: DataFrame, lexicon: np.ndarray) -> DataFrame:
+    """(votes, y, n) over every row, y −1 without a label; each task adds up its own patterns first."""
     entries, size = np.flatnonzero(lexicon), len(lexicon)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flags = np.zeros(size, bool)
         flags[entries] = True
-        seen: dict[int, int] = {}
+        seen: dict[tuple[int, int], int] = {}
         for block in blocks(batches, "text"):
             row, words, buckets = features(block)
             bits = fixed_votes(block, row, words) | mined_votes(block.n, *distinct_features(row, buckets, flags), flags)
-            for pattern, n in zip(*np.unique(bits, return_counts=True), strict=True):
-                seen[int(pattern)] = seen.get(int(pattern), 0) + int(n)
-        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.int64()), pa.array(list(seen.values()), pa.int64())], ["votes", "n"])
+            pairs, count = np.unique(np.stack([bits, block.batch.column(1).to_numpy(zero_copy_only=False)]), axis=1, return_counts=True)
+            for pattern, y, n in zip(*pairs.tolist(), count.tolist(), strict=True):
+                seen[pattern, y] = seen.get((pattern, y), 0) + n
+        yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in seen], pa.int64()), pa.array([y for _, y in seen], pa.int32()), pa.array(list(seen.values()), pa.int64())], ["votes", "y", "n"])
 
-    return docs.select(docs[text].cast("string").alias("text")).mapInArrow(run, "votes long, n long").groupBy("votes").agg(F.sum("n").alias("n"))
+    known = rows.select("text", F.coalesce("y", F.lit(-1)).alias("y"))
+    return known.mapInArrow(run, "votes long, y int, n long").groupBy("votes", "y").agg(F.sum("n").alias("n"))
 
 
 def fit_linear(row: np.ndarray, found: np.ndarray, target: np.ndarray, weight: np.ndarray, rounds: int = 200, shrink: float = 5e-4) -> tuple[np.ndarray, float]:
     """Logistic regression on binary features by accelerated proximal gradient, with small weights set to zero."""
     n = len(target)
-    keep = (np.bincount(found, minlength=2 * WIDTH * BUCKETS) >= LEAST_ROWS)[found]
+    keep = (np.bincount(found, minlength=SPAN) >= LEAST_ROWS)[found]
     doc, at = row[keep], found[keep]
     used, place = np.unique(at, return_inverse=True)
     place = place.astype(np.int32)
@@ -261,7 +289,7 @@ def fit_linear(row: np.ndarray, found: np.ndarray, target: np.ndarray, weight: n
         w = v - step * backward(error)
         w = np.sign(w) * np.maximum(np.abs(w) - step * shrink * norm, 0)
         bias = vb - bias_step * error.sum()
-    out = np.zeros(2 * WIDTH * BUCKETS)
+    out = np.zeros(SPAN)
     out[used] = w * norm
     return out, float(bias)
 
@@ -269,23 +297,28 @@ def fit_linear(row: np.ndarray, found: np.ndarray, target: np.ndarray, weight: n
 def fit_toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", toxic: str = "toxic", sample: tuple[int, int] = SAMPLE) -> ToxicityModel:
     """Voters over all of ``docs``, a label model over all their votes, a classifier on its posteriors.
 
-    ``docs`` are the rows whose labels may be used. The mined lexicons and the linear classifier are
-    fitted on at most ``sample`` labelled rows of each class; the label model's statistics cover every
-    row. Without labels of both classes the mined lexicons stay empty.
+    ``docs`` are the rows whose labels may be used. The mined lexicons are counted over all labelled
+    rows, the label model's statistics cover every row and all labels; the linear classifier alone is
+    fitted on at most ``sample`` labelled rows of each class. Without labels of both classes the mined
+    lexicons stay empty.
     """
-    row, found, votes, y = sample_features(docs, labels, key, text, toxic, sample)
-    lexicon = mine(row, found, y)
-    table = vote_patterns(docs, text, lexicon).toPandas()
+    rows = labelled(docs, labels, key, text, toxic)
+    lexicon = mine(rows)
+    table = vote_patterns(rows, lexicon).toPandas()
     rate = labels.agg(F.avg(labels[toxic].cast("double"))).first()[0] or 0.05
-    votes = votes | mined_votes(len(y), row, found, lexicon)
-    # the sample holds more of class 1 than the table; rows weigh as much as they stand for
-    weight = np.where(y == 1, rate / max(1, (y == 1).sum()), (1 - rate) / max(1, (y == 0).sum()))
-    counts = table["n"].to_numpy(float)
-    model = LabelModel(table["votes"].to_numpy(np.int64), counts, rate, (votes, y, weight * counts.sum()))
+    # labelled rows weigh as much as they stand for
+    share = lambda y, n: np.where(y == 1, rate / max(1, n[y == 1].sum()), (1 - rate) / max(1, n[y == 0].sum()))
+    every = table.groupby("votes")["n"].sum()
+    known = table[table["y"] >= 0]
+    classes, n = known["y"].to_numpy(), known["n"].to_numpy(float)
+    counts = every.to_numpy(float)
+    model = LabelModel(every.index.to_numpy(np.int64), counts, rate, (known["votes"].to_numpy(np.int64), classes, share(classes, n) * n * counts.sum()))
     accuracies = {v: (float(a), float(b)) for v, a, b in zip(VOTERS, *model.rates, strict=True)}
+    row, found, votes, y = sample_features(docs, labels, key, text, toxic, sample)
     if not len(y):
-        return ToxicityModel(np.zeros(2 * WIDTH * BUCKETS), -3.0, accuracies, model.correlations)
-    weights, bias = fit_linear(row, found, model.posterior(votes), np.sqrt(weight))
+        return ToxicityModel(np.zeros(SPAN), -3.0, accuracies, model.correlations)
+    votes = votes | mined_votes(len(y), row, found, lexicon)
+    weights, bias = fit_linear(row, found, model.posterior(votes), np.sqrt(share(y, np.ones(len(y)))))
     return ToxicityModel(weights, bias, accuracies, model.correlations)
 
 

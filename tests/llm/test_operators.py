@@ -422,6 +422,14 @@ def test_toxicity(spark, odd, empty):
     assert score_toxicity(odd, fit_toxicity(empty, labels.where("false"))).count() == odd.count()
 
 
+def test_lexicons_count_all_labelled_rows(spark):
+    rows = [(i, f"plain words number {i}" + (" grobnak" if i % 40 == 0 else ""), int(i % 10 == 0)) for i in range(400)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = fit_toxicity(table.select("doc_id", "text"), table.select("doc_id", "toxic"), sample=(4, 8))
+    quiet, fired = model.accuracies["mined_words"]  # 10 rows of class 1 have the word; of 4 sampled ones too few could
+    assert fired > 0.2 and quiet < 0.01
+
+
 def test_label_model_shares_weight_of_dependent_voters():
     rng = np.random.default_rng(1)
     y = rng.random(20_000) < 0.1
