@@ -2,30 +2,59 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
+_scopes: list[str] = []  # folders of the open ``discarded`` blocks, the innermost last
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a local one only where that is unset."""
+    """The folder named by ``spark.checkpoint.dir``. Where it is unset, a local one, on a single machine only."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         folder = spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="freightgraph-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back.
+def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """Write ``df`` once to the shared folder; the table as read back, and its path.
 
     This cuts the lineage, fixes values that depend on a task's position (partition ids, running
     numbers), and survives the loss of any executor.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}/{name}"
+    path = f"{_scopes[-1] if _scopes else shared_dir(spark) + '/tables'}/{uuid.uuid4().hex}/{name}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``stored`` without the path."""
+    return stored(df, name)[0]
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder on any file system that Spark can reach."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+@contextlib.contextmanager
+def discarded(spark: SparkSession) -> Iterator[None]:
+    """Tables ``written`` in this block are deleted at its end: write what is to outlive it before that."""
+    folder = f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}"
+    _scopes.append(folder)
+    try:
+        yield
+    finally:
+        _scopes.remove(folder)
+        delete(spark, folder)

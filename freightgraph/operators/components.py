@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from freightgraph.functions.scratch import delete, stored
+
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
     """(node, component): ``component`` is the smallest node that can be reached.
@@ -12,31 +14,28 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     Each round links every node's larger neighbours to its smallest one (large star), then its
     smaller neighbours (small star); the number of rounds grows with the logarithm of the longest
     chain. A node with very many neighbours is met by a minimum that is partly aggregated before
-    the shuffle and a join that the adaptive planner can split. Nulls and self-links are dropped,
-    repeated links count once; nodes without links do not appear.
+    the shuffle and a join that the adaptive planner can split. A round's table is written to the
+    shared folder and the one before it deleted. Nulls and self-links are dropped, repeated links
+    count once; nodes without links do not appear.
     """
-    e = (
+    spark = edges.sparkSession
+    e, path = stored(
         edges.select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v"))
         .where(F.col(src).isNotNull() & F.col(dst).isNotNull() & (F.col(src) != F.col(dst)))
-        .distinct()
-        .checkpoint()
+        .distinct(),
+        "links",
     )
     state = None
     for _ in range(max_rounds):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         lows = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
-        e = (
-            both.join(lows, "u").where("v > u and v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        )
-        lows = e.groupBy("u").agg(F.min("v").alias("m"))
-        e = (
-            e.join(lows, "u")
-            .select(F.explode(F.array(
-                F.struct(F.col("u").alias("u"), F.col("m").alias("v")),
-                F.struct(F.col("v").alias("u"), F.col("m").alias("v")),
-            )).alias("p"))
-            .select("p.*").where("u != v").distinct().checkpoint()
-        )
+        large = both.join(lows, "u").where("v > u and v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        lows = large.groupBy("u").agg(F.min("v").alias("m"))
+        ends = F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))
+        small = large.join(lows, "u").select(F.explode(ends).alias("p")).select("p.*").where("u != v").distinct()
+        before = path
+        e, path = stored(small, "links")
+        delete(spark, before)
         now = e.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long"))).first()
         if tuple(now) == state:
             break
