@@ -17,7 +17,6 @@ from freightgraph.operators.components import connected_components
 
 SEED = 42
 TILE_ROWS = 16_384
-MAX_LEVELS = 256  # forests of one turn; they hold this many numbers for each row of a tile
 _SUB, _COLS = 128, 2048  # rows and columns that are compared at once, small enough for a core's cache
 
 
@@ -53,47 +52,22 @@ def fingerprint(hashes: np.ndarray, parts: int) -> list[int]:
     return out
 
 
-def digest(hashes: np.ndarray) -> int:
-    """One word that stands for the set of shingles; 0 for the empty set."""
-    return int(mix(np.unique(hashes) + U64(SEED)).sum(dtype=U64))
-
-
-def fingerprints(docs: DataFrame, key: str, text: str, k: int, parts: int, digests: bool = False) -> DataFrame:
-    """(key, f0, … and on request digest, as signed longs) for every row; reads two columns, no shuffle.
-
-    With the digest, which stands for the set of shingles, the bits are those of the set, too: repeats count once.
-    """
+def fingerprints(docs: DataFrame, key: str, text: str, k: int, parts: int) -> DataFrame:
+    """(key, f0, … as signed longs) for every row; reads two columns, no shuffle."""
     kind = dict(docs.dtypes)[key]
-    names = [*(f"f{i}" for i in range(parts)), *["digest"][: int(digests)]]
+    names = [f"f{i}" for i in range(parts)]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, "text"):
-            raw, found = block.data.tobytes(), []
-            for a, b in zip(block.offsets[:-1], block.offsets[1:], strict=True):
-                hashes = shingle_hashes(raw[a:b], k)
-                found.append([*fingerprint(np.unique(hashes), parts), digest(hashes)] if digests else fingerprint(hashes, parts))
-            words = np.asarray(found, U64).reshape(-1, len(names)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([block.batch.column(0), *(pa.array(words[:, i]) for i in range(len(names)))], ["key", *names])
+            raw = block.data.tobytes()
+            found = [fingerprint(shingle_hashes(raw[a:b], k), parts) for a, b in zip(block.offsets[:-1], block.offsets[1:], strict=True)]
+            words = np.asarray(found, U64).reshape(-1, parts).view(np.int64)
+            yield pa.RecordBatch.from_arrays([block.batch.column(0), *(pa.array(words[:, i]) for i in range(parts))], ["key", *names])
 
     schema = f"key {kind}, " + ", ".join(f"{n} long" for n in names)
     return docs.select(docs[key].alias("key"), docs[text].cast("string").alias("text")).mapInArrow(run, schema)
 
 
-def shingle_sets(docs: DataFrame, key: str, text: str, k: int) -> DataFrame:
-    """(key, grams): the distinct shingle hashes of every row, in order."""
-    kind = dict(docs.dtypes)[key]
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in blocks(batches, "text"):
-            raw = block.data.tobytes()
-            sets = [np.unique(shingle_hashes(raw[a:b], k)) for a, b in zip(block.offsets[:-1], block.offsets[1:], strict=True)]
-            at = np.cumsum([0, *map(len, sets)]).astype(np.int32)
-            grams = pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(sets).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([block.batch.column(0), grams], ["key", "grams"])
-
-    return docs.select(docs[key].alias("key"), docs[text].cast("string").alias("text")).mapInArrow(run, f"key {kind}, grams array<long>")
-
-
 def joining(tree: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The trees after the links x–y, and which of these links were needed to join them."""
     needed = np.zeros(len(x), bool)
@@ -118,17 +92,13 @@ def joining(tree: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray,
         tree = parent[tree]
 
 
-def forest(
-    left: np.ndarray, right: np.ndarray, radius: int, same: bool, start: np.ndarray | None = None, tried: np.ndarray | None = None, levels: int = 1,
-) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning forests of all links between rows of ``left`` and ``right`` (n × parts words).
+def forest(left: np.ndarray, right: np.ndarray, radius: int, same: bool) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of all links between rows of ``left`` and ``right`` (n × parts words).
 
     Every pair is compared, except where the first words' population counts in each 16-bit quarter
     already differ by more than ``radius`` together, which no pair within it can. Only links that join
     two trees are returned, so a group of m rows yields m − 1 of them, not m²; links of few differing
-    bits come first. ``start`` names the tree (its first row) that each row is in already, ``tried``
-    (left row × rows of right + right row, sorted) lists pairs to leave out. With more ``levels``,
-    links that the first forest does not need are offered to a second one, and so on.
+    bits come first.
     """
     quarter = lambda x: np.bitwise_count(np.ascontiguousarray(x[:, 0]).view(np.uint16).reshape(-1, 4)).astype(np.int8)
     ql, qr = quarter(left), quarter(right)
@@ -137,8 +107,7 @@ def forest(
     members = np.argsort(place, kind="stable")
     bounds = np.searchsorted(place[members], np.arange(len(kinds) + 1))
     shift = 0 if same else len(left)
-    start = np.arange(len(left) + (0 if same else len(right))) if start is None else start
-    trees = [start]
+    tree = np.arange(len(left) + (0 if same else len(right)))
     # so many words of all pairs are compared (three at most, a byte holds their count), the others where these are
     # close: by chance they differ in 32 bits a word with a deviation of 4, three deviations must stay beyond the radius
     wide = next((w for w in range(1, 3) if 32 * w - 12 * w**0.5 > radius), 3)
@@ -171,52 +140,26 @@ def forest(
                 total += np.bitwise_count(left[rows[ii], p] ^ right[cols[jj], p])
             keep = total <= radius
             x, y, total = rows[ii[keep]], cols[jj[keep]], total[keep]
-            keep = start[x] != start[y + shift]
+            keep = tree[x] != tree[y + shift]
             if same:
                 keep &= x < y
-            if tried is not None and len(tried) and len(x):
-                code = x * len(right) + y
-                keep &= tried[np.minimum(np.searchsorted(tried, code), len(tried) - 1)] != code
-            if levels == 1:
-                keep &= trees[0][x] != trees[0][y + shift]
             x, y, total = x[keep], y[keep], total[keep]
             nearest = np.lexsort((order.random(len(x)), total))  # ties at random, so no row gets most of the links
             x, y = x[nearest], y[nearest]
-            for level in range(levels):
-                if not len(x):
-                    break
-                if level == len(trees):
-                    trees.append(start)
-                trees[level], needed = joining(trees[level], x, y + shift)
-                a += x[needed].tolist()
-                b += y[needed].tolist()
-                x, y = x[~needed], y[~needed]
+            tree, needed = joining(tree, x, y + shift)
+            a += x[needed].tolist()
+            b += y[needed].tolist()
     return np.asarray(a, np.int64), np.asarray(b, np.int64)
 
 
-def codes(failed: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """Sorted codes, as in ``forest``, of the pairs of a left row and an id it failed with."""
-    lengths = [0 if f is None else len(f) for f in failed]
-    if not sum(lengths):
-        return np.empty(0, np.int64)
-    partner = np.concatenate([f for f, n in zip(failed, lengths, strict=True) if n])
-    rank = np.argsort(right)
-    at = np.minimum(np.searchsorted(right, partner, sorter=rank), len(right) - 1)
-    here = right[rank[at]] == partner
-    return np.unique(np.repeat(np.arange(len(failed)), lengths)[here] * len(right) + rank[at][here])
-
-
-def link_fingerprints(prints: DataFrame, parts: int, radius: int, tile_rows: int = TILE_ROWS, levels: int = 1) -> DataFrame:
+def link_fingerprints(prints: DataFrame, parts: int, radius: int, tile_rows: int = TILE_ROWS) -> DataFrame:
     """Links (a, b: ids of distinct fingerprints) whose components are those of all pairs within ``radius``.
 
-    ``prints`` has ``id`` and the words f0, …; with ``label``, rows of one label count as linked, and
-    with ``failed``, no row is linked to the ids listed there. Rows are dealt into tiles of one
-    population count (of f0) each; tiles whose counts differ by more than ``radius`` never meet. Each
-    remaining pair of tiles is one group of at most about 2 · ``tile_rows`` rows.
+    ``prints`` has ``id`` and the words f0, …. Rows are dealt into tiles of one population count (of
+    f0) each; tiles whose counts differ by more than ``radius`` never meet. Each remaining pair of
+    tiles is one group of at most about 2 · ``tile_rows`` rows.
     """
     words = [f"f{i}" for i in range(parts)]
-    labelled = {"label", "failed"} <= set(prints.columns)
-    carried = [*words, "label", "failed"] if labelled else words
     ones = F.bit_count("f0").cast("int")
     sizes = {r["p"]: r["n"] for r in prints.groupBy(ones.alias("p")).agg(F.count("*").alias("n")).collect()}  # 65 rows at most
     split = {p: -(-n // tile_rows) for p, n in sizes.items()}
@@ -235,10 +178,10 @@ def link_fingerprints(prints: DataFrame, parts: int, radius: int, tile_rows: int
         prints.withColumn("p", ones).join(F.broadcast(plan), "p")
         .withColumn("tile", (F.col("base") + F.pmod(F.xxhash64("id"), F.col("split"))).cast("int"))
     )
-    left = tiled.select(F.explode("above").alias("with"), "tile", "id", *carried).where("with >= tile").select(
-        F.col("tile").alias("i"), F.col("with").alias("j"), F.lit(True).alias("is_left"), "id", *carried)
-    right = tiled.select(F.explode("below").alias("with"), "tile", "id", *carried).where("with < tile").select(
-        F.col("with").alias("i"), F.col("tile").alias("j"), F.lit(False).alias("is_left"), "id", *carried)
+    left = tiled.select(F.explode("above").alias("with"), "tile", "id", *words).where("with >= tile").select(
+        F.col("tile").alias("i"), F.col("with").alias("j"), F.lit(True).alias("is_left"), "id", *words)
+    right = tiled.select(F.explode("below").alias("with"), "tile", "id", *words).where("with < tile").select(
+        F.col("with").alias("i"), F.col("tile").alias("j"), F.lit(False).alias("is_left"), "id", *words)
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
         side = group["is_left"].to_numpy()
@@ -247,95 +190,32 @@ def link_fingerprints(prints: DataFrame, parts: int, radius: int, tile_rows: int
         other = slice(None) if same else ~side
         if group["i"].iloc[0] != group["j"].iloc[0] and (same or not side.any()):
             return pd.DataFrame({"a": np.empty(0, np.int64), "b": np.empty(0, np.int64)})
-        start = tried = None
-        if labelled:
-            label = group["label"].to_numpy()
-            _, first, place = np.unique(np.concatenate([label[side], label[other][: None if not same else 0]]), return_index=True, return_inverse=True)
-            start, tried = first[place], codes(group["failed"].to_numpy()[side], ids[other])
-        a, b = forest(bits[side], bits[other], radius, same, start, tried, levels)
+        a, b = forest(bits[side], bits[other], radius, same)
         return pd.DataFrame({"a": ids[side][a], "b": ids[other][b]})
 
     return left.unionByName(right).groupBy("i", "j").applyInPandas(compare, "a long, b long")
 
 
-def verified_links(
-    known: DataFrame, docs: DataFrame, key: str, text: str, k: int, parts: int, radius: int, similarity: float, tile_rows: int = TILE_ROWS,
-) -> DataFrame:
-    """Links (a, b) whose components are those of all pairs within ``radius`` that share enough shingles.
-
-    The links of one spanning forest are checked on the whole sets of shingles. Where one fails, the
-    rows on both its sides are compared again without the pairs that failed, with fourfold the forests
-    each time (up to ``MAX_LEVELS``); rows that are joined already count as one. It ends when no link fails. So a group of similar texts is checked over
-    about as many links as it has rows, and only
-    pairs that are near by fingerprint and fail add to them.
-    """
-    tested = sets = None
-    rest, levels = known, 1
-    while True:
-        links = written(link_fingerprints(rest, parts, radius, tile_rows, levels).distinct(), "links")
-        if sets is None:  # whatever has a near row at all has a link in the first forest
-            ids = written(links.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "linked")
-            sets = written(shingle_sets(docs.join(ids, docs[key] == ids["id"], "left_semi"), key, text, k), "sets")
-        shared = F.size(F.array_intersect("x", "y"))
-        alike = F.try_divide(shared, F.size("x") + F.size("y") - shared)  # null if both are empty
-        checked = written(
-            links.join(sets.select(F.col("key").alias("a"), F.col("grams").alias("x")), "a")
-            .join(sets.select(F.col("key").alias("b"), F.col("grams").alias("y")), "b")
-            .select("a", "b", (F.coalesce(alike, F.lit(1.0)) >= similarity).alias("ok"))
-            .groupBy("a", "b").agg(F.max("ok").alias("ok")),
-            "checked",
-        )
-        tested = checked if tested is None else tested.unionByName(checked)
-        good = tested.where("ok").select("a", "b")
-        if checked.where("not ok").isEmpty():
-            return good
-        label = written(connected_components(good, "a", "b"), "labels")
-        of = lambda side: label.select(F.col("node").alias(side), F.col("component").alias(f"in_{side}"))
-        failed = written(
-            tested.where("not ok").join(of("a"), "a", "left").join(of("b"), "b", "left")
-            .select("a", "b", F.coalesce("in_a", "a").alias("in_a"), F.coalesce("in_b", "b").alias("in_b")).where("in_a != in_b"),
-            "failed",
-        )
-        if failed.isEmpty():
-            return good
-        apart = failed.select(F.explode(F.array("in_a", "in_b")).alias("label")).distinct()
-        pairs = failed.select(F.col("a").alias("id"), F.col("b").alias("other")).unionByName(failed.select(F.col("b").alias("id"), F.col("a").alias("other")))
-        rest = written(
-            known.join(label.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("component", "id")).drop("component")
-            .join(apart, "label", "left_semi").join(pairs.groupBy("id").agg(F.collect_list("other").alias("failed")), "id", "left"),
-            "open",
-        )
-        levels = min(4 * levels, MAX_LEVELS)
-
-
 def near_duplicates(
-    docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 4, parts: int = 1, radius: int = 4, tile_rows: int = TILE_ROWS, similarity: float | None = None,
+    docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 4, parts: int = 1, radius: int = 4, tile_rows: int = TILE_ROWS,
 ) -> DataFrame:
     """(key, f0, …, component_id) for every row of ``docs``; the key is a long.
 
     ``component_id`` is the smallest key that can be reached over links, where two rows link if their
-    64 · ``parts`` fingerprint bits differ in ``radius`` places or fewer. With ``similarity``, a link
-    also needs that much of the two sets of shingles in common (intersection over union, of 64-bit
-    hashes), and the bits are those of the set, so ``radius`` only has to be wide enough to find such pairs. Equal fingerprints (with
-    ``similarity``: of equal sets of shingles) meet in a partly aggregated group first, so copies never
-    form pairs. The comparison of distinct fingerprints is exact and costs their number squared over the
-    share of skipped tiles. A null, empty or blank text has fingerprint zero and links like any other
-    (with ``similarity``: to its like only); repeated rows share their component, and of rows that share
-    a key but not a text each may link; an empty table gives an empty result; other columns are ignored.
-    A null key never stands for a component.
+    64 · ``parts`` fingerprint bits differ in ``radius`` places or fewer. Equal fingerprints meet in a
+    partly aggregated group first, so copies never form pairs. The comparison of distinct fingerprints
+    is exact and costs their number squared over the share of skipped tiles. A null, empty or blank text
+    has fingerprint zero and links like any other; repeated rows share their component; rows that share
+    a key but not a text each link, and the key's component then joins what either reaches; an empty
+    table gives an empty result; other columns are ignored. A null key never stands for a component.
     """
     words = [f"f{i}" for i in range(parts)]
-    same = words if similarity is None else [*words, "digest"]
-    prints = written(fingerprints(docs, key, text, k, parts, similarity is not None), "fingerprints")
-    distinct = written(prints.groupBy(*same).agg(F.min("key").alias("id")), "distinct")
-    known = distinct.where("id is not null")
-    if similarity is None:
-        links = link_fingerprints(known, parts, radius, tile_rows)
-    else:
-        links = verified_links(known, docs, key, text, k, parts, radius, similarity, tile_rows)
+    prints = written(fingerprints(docs, key, text, k, parts), "fingerprints")
+    distinct = written(prints.groupBy(*words).agg(F.min("key").alias("id")), "distinct")
+    links = link_fingerprints(distinct.where("id is not null"), parts, radius, tile_rows)
     found = connected_components(links, "a", "b")
     # the smallest key in a component of representatives is the smallest key of all its rows
     return (
-        prints.join(distinct.join(found, F.col("id") == F.col("node"), "left").select(*same, F.coalesce("component", "id").alias("component_id")), same)
+        prints.join(distinct.join(found, F.col("id") == F.col("node"), "left").select(*words, F.coalesce("component", "id").alias("component_id")), words)
         .withColumnRenamed("key", key).select(key, *words, "component_id")
     )

@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 import xxhash
-from freightgraph.llm import registry
+from freightgraph.llm import near_dedup, registry
 from freightgraph.llm.blocks import blocks, gram_hashes
 from freightgraph.llm.chunk_dedup import dedup_substrings, repeated_spans
 from freightgraph.llm.decontaminate import contaminated
@@ -18,7 +18,8 @@ from freightgraph.llm.language_id import LanguageModel, identify_languages
 from freightgraph.llm.license_scan import BASE, scan_licenses
 from freightgraph.llm.packing import Encoder, lengths, pack_documents
 from freightgraph.llm.sharding import feistel, shard_rows
-from freightgraph.llm.simhash import forest, near_duplicates
+from freightgraph.llm.near_dedup import Sets, drop_near_duplicates, exact_forest, near_duplicate_groups, shingle_sets
+from freightgraph.llm.simhash import fingerprint, forest, near_duplicates
 from freightgraph.llm.toxicity import VOTERS, LabelModel, fit_toxicity, score_toxicity
 from freightgraph.llm.url_filter import Rule, filter_urls, split_url
 
@@ -290,9 +291,8 @@ def jaccard_groups(texts, k=5, least=0.8):
     return root
 
 
-@pytest.mark.parametrize("tile", [16_384, 16])
-def test_verified_links(spark, docs, texts, tile):
-    """Same groups as all pairs of whole shingle sets, with variants of one text on both sides of the limit."""
+def crowd(texts):
+    """Variants of one text on both sides of the limit, and pairs that are near in a crowd of which all others are too far."""
     rng = np.random.default_rng(5)
     texts, base = dict(texts), [f"w{i}" for i in rng.integers(0, 5000, 400)]
     for i in range(60):  # a changed word changes five shingles: from 0.95 down to 0.6 alike to the base, less to each other
@@ -300,21 +300,57 @@ def test_verified_links(spark, docs, texts, tile):
         for at in rng.choice(400, 2 + i // 4, replace=False):
             words[at] = f"x{i}y{at}"
         texts[10_000 + i] = " ".join(words)
-    for i in range(30):  # pairs that are near in a crowd of which all others are too far
+    for i in range(30):
         words = texts[10_059 - i].split()
         words[7] = "other"
         texts[20_000 + i] = " ".join(words)
+    return texts
+
+
+def test_near_duplicate_groups(spark, texts):
+    """Same groups as all pairs of whole shingle sets."""
+    texts = crowd(texts)
     table = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
-    got = near_duplicates(table, k=5, parts=4, radius=56, tile_rows=tile, similarity=0.8).collect()
+    got = near_duplicate_groups(table).collect()
     assert {r["doc_id"]: r["component_id"] for r in got} == jaccard_groups(texts)
 
 
-def test_verified_links_odd(odd, empty):
+def test_exact_forest_in_tiles(texts):
+    """Tiles of one group: their links join the same groups as all pairs, and none is false."""
+    texts = crowd({i: t for i, t in texts.items() if i < 40})
+    batch = pa.RecordBatch.from_arrays([pa.array(list(texts.values()), pa.string())], ["text"])
+    block = next(blocks([batch], "text", 1 << 30))
+    grams, at = shingle_sets(block, 5)
+    prints = np.asarray([fingerprint(grams[a:b], 8) for a, b in zip(at[:-1], at[1:], strict=True)], np.uint64)
+    sets, rows = Sets(prints, grams, at), np.random.default_rng(1).permutation(len(texts))
+    tiles = np.array_split(rows, 3)
+    links = [exact_forest(sets, a, b, 0.8, 128) for i, a in enumerate(tiles) for b in tiles[i:]]
+    root = np.arange(len(rows))
+    for x, y in (pair for a, b in links for pair in zip(a, b, strict=True)):
+        root[root == root[x]] = root[y]
+    want = list(jaccard_groups(texts).values())
+    assert len(set(zip(want, root.tolist(), strict=True))) == len(set(want)) == len(set(root.tolist()))
+
+
+@pytest.mark.parametrize("tile", [None, 2000])
+def test_drop_near_duplicates(spark, texts, tile, monkeypatch):
+    """One row of each group, by counts; groups larger than a tile give the same."""
+    if tile:
+        monkeypatch.setattr(near_dedup, "TILE_GRAMS", tile)
+    texts = crowd(texts)
+    rows = [*texts.items(), *((i, texts[i]) for i in (1, 2, 2, 10_000)), (1, "a text of its own under a key that has another"), (None, texts[3]), (None, "no key here"), (None, "no key here")]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    want = Counter((i, texts[i]) for i in set(jaccard_groups(texts).values())) + Counter([rows[-4], rows[-1]])
+    assert Counter((r["doc_id"], r["text"]) for r in drop_near_duplicates(table).collect()) == want
+
+
+def test_near_duplicates_odd(odd, empty):
     got = defaultdict(set)
-    for r in near_duplicates(odd, k=5, parts=4, radius=56, similarity=0.8).collect():
+    for r in near_duplicate_groups(odd).collect():
         got[r["doc_id"]].add(r["component_id"])
     assert got[1] == got[2] == got[3] == {1} and got[5] == got[6] == {5} and got[4] == {4} and got[7] == {7} and got[10] == {10}
-    assert near_duplicates(empty, k=5, parts=4, radius=56, similarity=0.8).count() == 0
+    kept = drop_near_duplicates(odd)
+    assert kept.columns == odd.columns and kept.count() == 9 and drop_near_duplicates(empty).count() == near_duplicate_groups(empty).count() == 0
 
 
 @pytest.mark.parametrize(("parts", "radius"), [(1, 4), (1, 15), (2, 26), (4, 56)])
