@@ -12,9 +12,11 @@ from pyspark.sql import functions as F
 
 from freightgraph.llm.blocks import BLOCK_BYTES, U64, mix, span_hashes
 
-BINS = 64
-LEVELS = (2, 3)  # phrases of about 9 and 30 characters
-SHORT = 64  # texts with fewer first-level phrases are also described by these
+#: Bins of each level and what an agreeing bin counts: phrases of about 3, 9 and 30 characters. Longer ones say more, short
+#: texts have few of them; every text is described by all levels, and each level is compared with itself.
+LEVELS = ((32, 1.0), (64, 3.0), (64, 9.0))
+BINS = sum(b for b, _ in LEVELS)
+_WEIGHTS = np.repeat([w for _, w in LEVELS], [b for b, _ in LEVELS])
 _TOSSES = 3  # rounds after the first: labels below 128, 14, 8, 6
 
 
@@ -62,32 +64,27 @@ def parse(symbols: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def sketches(texts: list[str]) -> np.ndarray:
-    """A row of BINS 16-bit values for each text, 0 for an empty bin: the least phrase name in each bin."""
+    """A row of BINS 16-bit values for each text, level by level, 0 for an empty bin: the least phrase name in each bin."""
     lengths = np.fromiter(map(len, texts), np.int64, len(texts))
     offsets = np.zeros(len(texts) + 1, np.int64)
     np.cumsum(lengths, out=offsets[1:])
     symbols = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(U64)
-    least = np.full(len(texts) * BINS, np.iinfo(U64).max, U64)
-    for level in range(1, max(LEVELS) + 1):
+    rows = []
+    for level, (bins, _) in enumerate(LEVELS, 1):
         symbols, offsets = parse(symbols, offsets)
-        count = np.diff(offsets)
-        if level == 1:
-            short = count < SHORT
-        elif level not in LEVELS:
-            continue
         names = mix(symbols + U64(level))
-        doc = np.repeat(np.arange(len(texts)), count)
-        if level == 1:
-            names, doc = names[short[doc]], doc[short[doc]]
-        np.minimum.at(least, doc * BINS + (names % U64(BINS)).astype(np.int64), names // U64(BINS))
-    value = np.where(least == np.iinfo(U64).max, U64(0), mix(least) % U64(65535) + U64(1))
-    return value.astype(">u2").reshape(len(texts), BINS)
+        doc = np.repeat(np.arange(len(texts)), np.diff(offsets))
+        least = np.full(len(texts) * bins, np.iinfo(U64).max, U64)
+        np.minimum.at(least, doc * bins + (names % U64(bins)).astype(np.int64), names // U64(bins))
+        value = np.where(least == np.iinfo(U64).max, U64(0), mix(least) % U64(65535) + U64(1))
+        rows.append(value.astype(">u2").reshape(len(texts), bins))
+    return np.concatenate(rows, axis=1)
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Share of bins that agree, of those that either text fills; 1 for two empty texts."""
-    filled = ((a != 0) | (b != 0)).sum(axis=1)
-    return np.where(filled == 0, 1.0, ((a == b) & (a != 0)).sum(axis=1) / np.maximum(filled, 1))
+    """Weighted share of bins that agree, of those that either text fills; 1 for two empty texts."""
+    filled = ((a != 0) | (b != 0)) @ _WEIGHTS
+    return np.where(filled == 0, 1.0, ((a == b) & (a != 0)) @ _WEIGHTS / np.maximum(filled, 1))
 
 
 def _cuts(docs: DataFrame, parts: int) -> list[int]:

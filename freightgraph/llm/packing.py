@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import functools
+import re
 import zlib
 from array import array
 from collections.abc import Callable, Iterable, Iterator
@@ -53,17 +54,19 @@ class Encoder:
     begins a new piece of the tokenizer's pattern, a line end is a piece of its own, and so is a full
     stop or comma between a letter and a blank; so the text's ids are those of its words one after
     another, and each distinct word's are kept. Their ids come from the same vocabulary's ranks. Any
-    other text is encoded as a whole by the tokenizer itself.
+    other text is encoded as a whole by the tokenizer itself, and so is one that holds the string of a
+    special token, unless those are to be ordinary text.
     """
 
-    def __init__(self, path: str, ranks: str):
+    def __init__(self, path: str, ranks: str, special: bool = True):
         import tiktoken
         from tokenizers import Tokenizer
 
         import public_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not special
+        self.special = [str(t).encode() for t in self.tokenizer.get_added_tokens_decoder().values()] if special else []
         with open(ranks, "rb") as lines:
             merges = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
         words = tiktoken.Encoding("words", pat_str=public_tokenizers.PATTERN, mergeable_ranks=merges, special_tokens={})
@@ -88,8 +91,15 @@ class Encoder:
         sums = lambda x: np.diff(np.concatenate([[0], np.cumsum(x)])[block.offsets])
         return sums(odd) == 0, sums(loose) == 0
 
+    def holding_special(self, block: Block) -> np.ndarray:
+        """The rows that hold the string of a special token."""
+        raw = block.data.tobytes()
+        found = [m.start() for s in self.special for m in re.finditer(re.escape(s), raw)]
+        return block.doc_of(np.asarray(found, np.int64))
+
     def encode(self, block: Block, texts: list[str]) -> list[bytes]:
         plain, stops = self.plain(block)
+        plain[self.holding_special(block)] = False
         whole = self.tokenizer.encode_batch_fast([t for t, ok in zip(texts, plain, strict=True) if not ok], add_special_tokens=False)
         rest = iter(np.asarray(e.ids, "<u4").tobytes() for e in whole)
         look = self.words.__getitem__
@@ -105,9 +115,9 @@ class Encoder:
 
 
 @functools.lru_cache(maxsize=1)
-def encoder_of(path: str, ranks: str) -> Encoder:
+def encoder_of(path: str, ranks: str, special: bool) -> Encoder:
     """One encoder, with its words, for all tasks of a Python worker."""
-    return Encoder(path, ranks)
+    return Encoder(path, ranks, special)
 
 
 def lengths(tokens: int, longest: int) -> list[int]:
@@ -118,6 +128,7 @@ def lengths(tokens: int, longest: int) -> list[int]:
 
 def pack_documents(
     docs: DataFrame, tokenizer: str, ranks: str, key: str = "doc_id", text: str = "text", longest: int = MAX_LENGTH, end_id: int = END_ID,
+    special: bool = True,
 ) -> DataFrame:
     """Cut every document's tokens into power-of-two pieces; each piece is one sequence of its bucket.
 
@@ -128,7 +139,8 @@ def pack_documents(
     in which the table is read; it is fixed by one write.
 
     ``tokenizer`` is the path of a tokenizer file, ``ranks`` that of the same vocabulary as ranks;
-    ``longest`` is a power of two. The texts are read once and never shuffled. A null or empty text
+    ``longest`` is a power of two. With ``special``, the string of a special token in a text becomes that
+    token, as the tokenizer does by default; without, it is ordinary text. The texts are read once and never shuffled. A null or empty text
     has the one token ``end_id``; a very long text yields as many longest pieces as it fills; repeated
     rows are packed each; an empty table gives an empty result; other columns are ignored.
     """
@@ -137,7 +149,7 @@ def pack_documents(
     kind = dict(docs.dtypes)[key]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, task = encoder_of(tokenizer, ranks), TaskContext.get().partitionId()
+        encoder, task = encoder_of(tokenizer, ranks, special), TaskContext.get().partitionId()
         used = dict.fromkeys((1 << b for b in range(longest.bit_length())), 0)  # pieces of each length so far in this task
         end = np.asarray([end_id], "<u4").tobytes()
         for block in blocks(batches, "text"):

@@ -60,17 +60,22 @@ def test_url_verdicts(spark):
 def tokenizer():
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(registry.tokenizer_paths()[0])
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(registry.tokenizer_paths()[0])
 
 
-def test_encoder_equals_tokenizer(tokenizer, texts, odd):
-    e = Encoder(*registry.tokenizer_paths())
-    tricky = ["", " ", "  a", "a  b", "a b ", "a \n b", "a\u00a0b c", " lead", "x's y'll  z", "tab\t x", "é ü 🙂 🙂", "a b\r\nc d", "<|endoftext|> x", "1 22 333 a1", "\u2003a b", "a \u2003b", "a. b, c.", "a., b", "3.5 x", "don't. no,", "é. ñ, ×. ÷,", "a .b", "a.\nb\n\nc", "a\n", "\na", ".", "a,b"]
+@pytest.mark.parametrize("special", [True, False])
+def test_encoder_equals_tokenizer(texts, odd, special):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(registry.tokenizer_paths()[0])
+    tokenizer.encode_special_tokens = not special
+    e = Encoder(*registry.tokenizer_paths(), special)
+    tricky = ["", " ", "  a", "a  b", "a b ", "a \n b", "a\u00a0b c", " lead", "x's y'll  z", "tab\t x", "é ü 🙂 🙂", "a b\r\nc d", "<|endoftext|> x", "1 22 333 a1", "\u2003a b", "a \u2003b", "a. b, c.", "a., b", "3.5 x", "don't. no,", "é. ñ, ×. ÷,", "a .b", "a.\nb\n\nc", "a\n", "\na", ".", "a,b", "two <|endoftext|> words", "a<|endoftext|>", "<|endoftext|><|endoftext|>"]
     for group in (tricky, [t for t in texts.values() if t], [r["text"] or "" for r in odd.collect()]):
         block = next(blocks([pa.RecordBatch.from_arrays([pa.array(group)], ["text"])], "text", 1 << 30))
         assert [np.frombuffer(x, "<u4").tolist() for x in e.encode(block, group)] == [tokenizer.encode(t, add_special_tokens=False).ids for t in group]
+    probe = next(blocks([pa.RecordBatch.from_arrays([pa.array(["<|endoftext|> two"])], ["text"])], "text"))
+    assert (np.frombuffer(e.encode(probe, ["<|endoftext|> two"])[0], "<u4").tolist() == [50256, 734]) == special
 
 
 def test_lengths():
@@ -106,6 +111,59 @@ def test_packing(docs, odd, empty, tokenizer):
 
 # 3 — fingerprints
 
+WORD_MASK = (1 << 64) - 1
+
+
+def plain_mix(x):
+    x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & WORD_MASK
+    x = (x ^ x >> 27) * 0x94D049BB133111EB & WORD_MASK
+    return x ^ x >> 31
+
+
+def plain_parse(symbols):
+    """One level by the letter: runs become one symbol, four coin tosses, phrases begin at local maxima."""
+    runs = []
+    for x in symbols:
+        if runs and runs[-1][0] == x:
+            runs[-1][1] += 1
+        else:
+            runs.append([x, 1])
+    value = [x if n == 1 else plain_mix((x + n * 0xD6E8FEB86659FD93) & WORD_MASK) for x, n in runs]
+    labels = value
+    for _ in range(4):
+        tossed = []
+        for i, x in enumerate(labels):
+            unlike = x ^ labels[i - 1] if i else WORD_MASK
+            place = (unlike & -unlike).bit_length() - 1
+            tossed.append(place << 1 | x >> place & 1)
+        labels = tossed
+    starts = [i for i in range(len(value)) if not i or i < len(value) - 1 and labels[i - 1] < labels[i] > labels[i + 1]]
+    return [plain_mix(sum((x + 1) * pow(0x9E3779B97F4A7C15, j, 1 << 64) for j, x in enumerate(value[a:b])) & WORD_MASK) for a, b in zip(starts, [*starts[1:], len(value)])]
+
+
+def plain_sketch(text):
+    symbols, out = [ord(c) for c in text], []
+    for level, bins in enumerate((32, 64, 64), 1):
+        symbols, least = plain_parse(symbols), {}
+        for x in symbols:
+            name = plain_mix((x + level) & WORD_MASK)
+            least[name % bins] = min(least.get(name % bins, WORD_MASK), name // bins)
+        out += [plain_mix(least[b]) % 65535 + 1 if b in least else 0 for b in range(bins)]
+    return out
+
+
+def test_sketches_equal_plain_parsing(texts, odd):
+    group = [*sorted((t for t in texts.values() if t), key=len)[:120], *(r["text"] or "" for r in odd.where("length(text) < 5000 or text is null").collect()), "a", "aa", "ab", "aab" * 9]
+    assert sketches(group).tolist() == [plain_sketch(t) for t in group]
+
+
+def test_likeness_is_smooth_in_length(texts):
+    """One more character never changes a short text's description abruptly: no switch by length."""
+    body = max(texts.values(), key=lambda t: len(t or ""))
+    steps = [likeness(*(x[None] for x in sketches([body[:n], body[: n + 1]])))[0] for n in range(100, 260)]
+    assert min(steps) > 0.6 and np.mean(steps) > 0.9
+
+
 def check_fingerprints(df, table):
     rows = sorted(((r["doc_id"], r["text"] or "") for r in table.select("doc_id", "text").collect()), key=lambda x: (x[0] is not None, x[0]))
     got = defaultdict(list)
