@@ -15,7 +15,6 @@ from freightgraph.llm.blocks import U64, blocks, byte_table, gram_hashes, span_h
 K = 5
 CONTAINMENT = 0.6
 FILTER_BITS = 1 << 24  # 2 MB, whatever the number of items
-BROADCAST_ROWS = 200_000
 #: Items of up to this many shingles → how many of their least hashes are searched for. A class's sketch
 #: finds an item at the containment c with probability 1 − (1 − c)^size; the last class has no upper bound.
 SKETCHES = ((16, 16), (64, 24), (256, 32), (None, 48))
@@ -72,14 +71,15 @@ def contaminated(
     """Pairs of a document and a test item that it contains: (key, item_key, hits, n_shingles, containment).
 
     Containment is the share of the item's distinct k-word shingles that stand anywhere in the document.
-    Items are partitioned by their number of shingles; each class has its MinHash size, and a pair is a
-    candidate if the document holds any of the item's least hashes. A document of any length is one set,
-    so a short item inside it is not diluted by the rest. Candidates are verified by exact containment
-    over all shingles.
+    First the search: items are partitioned by their number of shingles; each class has its MinHash
+    size, and only these least hashes are looked for. A pair is a candidate if the document holds one of
+    them, wherever: a document of any length is one set, so a short item inside it is not diluted by
+    the rest. Then the check: candidate documents are read again, and all shingles of a candidate pair
+    are counted.
 
-    Each text is read once and never shuffled: a bit table of fixed size, of all items' shingles, lets
-    only hits (and few chance ones) leave the task. The items join as a broadcast up to
-    BROADCAST_ROWS shingles, by a shuffle that the planner can split beyond.
+    No text is shuffled: a bit table of fixed size, of the hashes looked for, lets only hits (and few
+    chance ones) leave the task; the joins are over those. Documents without a candidate are not read
+    a second time past the join on their key.
 
     Null or empty texts and items have no shingles and no pairs; a text of fewer than k words has one
     shingle, of all its words. Rows with a null key are left out. Repeated rows of one key are counted
@@ -90,22 +90,18 @@ def contaminated(
         shingle_hashes(items, item_key, item_text, k).where("key is not null").select(F.col("key").alias("item"), F.explode("shingles").alias("hash")).distinct(),
         "item_shingles",
     )
-    wanted = bit_table(own)
     sizes = own.groupBy("item").agg(F.count("*").alias("n_shingles"))
     sketch_size = F.coalesce(*[F.when(F.col("n_shingles") <= F.lit(top), F.lit(s)) if top else F.lit(s) for top, s in SKETCHES])
     by_hash = Window.partitionBy("item").orderBy("hash")
-    indexed = (
-        own.join(sizes, "item").withColumn("rank", F.row_number().over(by_hash))
-        .select("item", "hash", "n_shingles", (F.col("rank") <= sketch_size).alias("in_sketch"))
-    )
-    if own.count() <= BROADCAST_ROWS:
-        indexed = F.broadcast(indexed)
-    held = shingle_hashes(docs, key, text, k, wanted).where("key is not null").select("key", F.explode("shingles").alias("hash"))
+    sketches = written(own.join(sizes, "item").withColumn("rank", F.row_number().over(by_hash)).where(F.col("rank") <= sketch_size).select("item", "hash"), "item_sketches")
+    rows = docs.select(docs[key].alias("key"), docs[text].alias("text")).where("key is not null")
+    seen = shingle_hashes(rows, "key", "text", k, bit_table(sketches)).select("key", F.explode("shingles").alias("hash"))
+    pairs = written(seen.join(sketches, "hash").select("key", "item").distinct(), "candidates")
+    again = rows.join(pairs.select("key").distinct(), "key", "left_semi")
+    held = shingle_hashes(again, "key", "text", k, bit_table(own)).select("key", F.explode("shingles").alias("hash"))
     return (
-        held.join(indexed, "hash")
-        .groupBy("key", "item")
-        .agg(F.count_distinct("hash").alias("hits"), F.first("n_shingles").alias("n_shingles"), F.max("in_sketch").alias("candidate"))
-        .where("candidate")
+        held.join(own, "hash").join(pairs, ["key", "item"], "left_semi")
+        .groupBy("key", "item").agg(F.count_distinct("hash").alias("hits")).join(sizes, "item")
         .withColumn("containment", F.round(F.col("hits") / F.col("n_shingles"), 6))
         .where(F.col("hits") >= F.col("n_shingles") * containment)
         .select(F.col("key").alias(key), F.col("item").alias(item_key), "hits", "n_shingles", "containment")
