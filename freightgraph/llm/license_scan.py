@@ -15,7 +15,7 @@ from freightgraph.llm.blocks import blocks, byte_table, gram_hashes, span_hashes
 K = 2
 COVERAGE = 0.85
 DRIFT = 3
-PREFILTER_GRAMS = 1_000_000
+MARK = 0  # stands for a row itself among its grams
 
 #: Words that mark a license wherever they stand together.
 BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
@@ -62,20 +62,55 @@ def template_grams(templates: list[tuple[str, str, bool]], k: int) -> list[tuple
     return out
 
 
+def aligned(words: list[bytes], template: list[bytes]) -> int:
+    """How many words of ``template`` stand in ``words`` in its order (the longest common subsequence)."""
+    best = [0] * (len(template) + 1)
+    for w in words:
+        before = 0
+        for j, t in enumerate(template, 1):
+            before, best[j] = best[j], before + 1 if w == t else max(best[j], best[j - 1])
+    return best[-1]
+
+
+def verified_shares(texts: DataFrame, spans: DataFrame, templates: list[list[bytes]], drift: int) -> DataFrame:
+    """(row, template, share): ``spans`` (row, template, diagonal) of ``texts`` (row, text) aligned word by word with their templates; the best of each."""
+    wanted = spans.groupBy("row").agg(F.collect_list(F.struct("template", "diagonal")).alias("spans"))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in blocks(batches, "text"):
+            starts, ends, first = word_spans(block, _PART)
+            raw = _FOLD[block.data].tobytes()
+            out: list[tuple[int, int, float]] = []
+            for i, (row, asked) in enumerate(zip(block.batch.column(0).to_pylist(), block.batch.column(1).to_pylist(), strict=True)):
+                for span in asked:
+                    want = templates[span["template"]]
+                    lo, hi = first[i] + max(0, span["diagonal"]), min(first[i + 1], first[i] + span["diagonal"] + len(want) + drift)
+                    words = [raw[starts[w] : ends[w]] for w in range(lo, hi)]
+                    out.append((row, span["template"], aligned(words, want) / len(want)))
+            yield pa.RecordBatch.from_pylist([{"row": r, "template": t, "share": s} for r, t, s in out], pa.schema([("row", pa.int64()), ("template", pa.int32()), ("share", pa.float64())]))
+
+    rows = texts.join(wanted, "row").select("row", "spans", "text")
+    return rows.mapInArrow(run, "row long, template int, share double").groupBy("row", "template").agg(F.max("share").alias("share"))
+
+
 def scan_licenses(
     docs: DataFrame, key: str = "doc_id", text: str = "text", base: dict[str, str] = BASE, templates: dict[str, str] = TEMPLATES,
     k: int = K, coverage: float = COVERAGE, drift: int = DRIFT,
 ) -> DataFrame:
     """(key, n_words, n_base, first_word, last_word, base_labels, labels, score) for every row.
 
-    Rolling hashes of all word k-grams are joined to the templates' positions; a match votes for the
+    The rolling hashes of all word k-grams are joined to the templates' positions; a match votes for the
     diagonal document position − template position. A base phrase stands where one diagonal holds all
-    its grams (``n_base``, ``first_word``, ``last_word``). For the longer templates, diagonals at most
-    ``drift`` apart (a word put in or left out) are merged, and a span counts if it holds at least the
-    share ``coverage`` of the template's grams. ``score`` is the largest share found, 1 with a base phrase.
-
-    Each text is read once, in the task that hashes it; only grams that some template has leave it
-    (unless the templates have over a million), and the join, the votes and the merging are over those.
+    its grams (``n_base``, ``first_word``, ``last_word``). For the longer templates, the votes of a
+    diagonal and of those up to ``drift`` after it (words put in) are merged; where they are the share
+    ``coverage`` of the template's grams, the span of words that the diagonal points at, and no other,
+    is aligned with the template word by word, and counts if that share of the template's words stands
+    there in order. So words that are scattered or out of order are no license, however many there are.
+    ``score`` is 1 with a base phrase, else the largest share: of words where a span was aligned, of
+    grams elsewhere.
+
+    Each text is read once, and those with spans to align a second time; no text is shuffled, as the
+    templates, which the caller holds, are broadcast to the grams, and only matches go on.
     A null or empty text has no words, nulls for the places, empty labels and score 0; repeated rows
     are scanned each; an empty table gives an empty result; other columns are ignored. Base phrases have
     at least k words.
@@ -84,59 +119,51 @@ def scan_licenses(
     kind = dict(docs.dtypes)[key]
     all_of = [*((t, label, True) for t, label in base.items()), *((t, label, False) for t, label in templates.items())]
     grams = template_grams(all_of, k)
-    wanted = np.unique(np.asarray([h for _, _, h in grams], np.int64)) if len(grams) <= PREFILTER_GRAMS else None
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, "text"):
             hashes, at, place, first = _grams(block.data, block, k)
-            hashes = hashes.view(np.int64)
             doc = np.repeat(np.arange(block.n), np.diff(place))
-            if wanted is not None:
-                near = np.minimum(np.searchsorted(wanted, hashes), len(wanted) - 1)
-                keep = wanted[near] == hashes if len(wanted) else np.zeros(len(hashes), bool)
-                hashes, at, doc = hashes[keep], at[keep], doc[keep]
-            bounds = np.searchsorted(doc, np.arange(block.n + 1)).astype(np.int32)
-            found = pa.StructArray.from_arrays([pa.array((at - first[doc]).astype(np.int64)), pa.array(hashes)], ["pos", "gram"])
+            # a row's own mark goes before its grams, so that it leaves the join even without a match
+            found = pa.StructArray.from_arrays(
+                [pa.array(np.insert(at - first[doc], place[:-1], -1)), pa.array(np.insert(hashes.view(np.int64), place[:-1], MARK))], ["pos", "gram"])
+            bounds = (place + np.arange(block.n + 1)).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [block.batch.column(0), pa.array(np.diff(first).astype(np.int64)), pa.ListArray.from_arrays(pa.array(bounds), found)], ["key", "n_words", "grams"])
-
-    rows = written(
-        docs.select(docs[key].alias("key"), docs[text].cast("string").alias("text"))
-        .mapInArrow(run, f"key {kind}, n_words long, grams array<struct<pos:long,gram:long>>")
-        .withColumn("row", F.monotonically_increasing_id()),
-        "license_grams",
+                [*(block.batch.column(i) for i in (0, 1)), pa.array(np.diff(first).astype(np.int64)), pa.ListArray.from_arrays(pa.array(bounds), found)], ["row", "key", "n_words", "grams"])
+
+    texts = docs.select(F.xxhash64(docs[key], docs[text]).alias("row"), docs[key].alias("key"), docs[text].cast("string").alias("text"))
+    positions = spark.createDataFrame([*grams, (-1, 0, MARK)], "template int, t_pos int, gram long")
+    matches = written(
+        texts.mapInArrow(run, f"row long, key {kind}, n_words long, grams array<struct<pos:long,gram:long>>")
+        .select("row", "key", "n_words", F.inline("grams")).join(F.broadcast(positions), "gram")
+        .where("(pos < 0) = (template < 0)").drop("gram"),
+        "license_matches",
     )
-    positions = spark.createDataFrame(grams, "template int, t_pos int, gram long")
+    rows = matches.where("template < 0").select("row", "key", "n_words")
     size = {t: sum(1 for x, _, _ in grams if x == t) for t in range(len(all_of))}
-    facts = spark.createDataFrame([(t, label, is_base, size[t]) for t, (_, label, is_base) in enumerate(all_of)], "template int, label string, is_base boolean, size int")
-    if len(grams) <= PREFILTER_GRAMS:
-        positions, facts = F.broadcast(positions), F.broadcast(facts)
-    votes = (
-        rows.select("row", F.inline("grams")).join(positions, "gram")
-        .withColumn("diagonal", F.col("pos") - F.col("t_pos"))
-        .groupBy("row", "template", "diagonal").agg(F.collect_set("t_pos").alias("held"))  # at most the template's size
-        .join(facts, "template")
+    facts = F.broadcast(spark.createDataFrame([(t, label, is_base, size[t]) for t, (_, label, is_base) in enumerate(all_of)], "template int, label string, is_base boolean, size int"))
+    votes = written(
+        matches.where("template >= 0").groupBy("row", "template", (F.col("pos") - F.col("t_pos")).alias("diagonal"))
+        .agg(F.count_distinct("t_pos").alias("held")).join(facts, "template"),  # rows that repeat key and text vote once
+        "license_votes",
     )
-    ordered = Window.partitionBy("row", "template").orderBy("diagonal")
-    merged = (
-        votes.where("not is_base")
-        .withColumn("cut", (F.col("diagonal") - F.lag("diagonal").over(ordered) > drift).cast("int"))
-        .withColumn("band", F.sum(F.coalesce("cut", F.lit(0))).over(ordered))
-        .groupBy("row", "template", "label", "size", "band")
-        .agg((F.size(F.array_distinct(F.flatten(F.collect_list("held")))) / F.first("size")).alias("share"))
-        .groupBy("row")
-        .agg(F.max("share").alias("share"), F.collect_set(F.when(F.col("share") >= coverage, F.col("label"))).alias("more"))
-    )
     placed = (
-        votes.where("is_base and size(held) = size")
+        votes.where("is_base and held = size")
         .groupBy("row")
         .agg(F.count("*").alias("n_base"), F.min("diagonal").alias("first_word"), F.max("diagonal").alias("last_word"), F.collect_set("label").alias("base"))
     )
+    near = Window.partitionBy("row", "template").orderBy("diagonal").rangeBetween(0, drift)
+    merged = votes.where("not is_base").withColumn("share", F.least(F.lit(1.0), F.sum("held").over(near) / F.col("size")))
+    spans = written(merged.where(F.col("share") >= coverage).select("row", "template", "diagonal"), "license_spans")
+    words = [t.encode().split() for t, _, _ in all_of]
+    exact = verified_shares(texts, spans, words, drift).join(facts, "template")
+    found = exact.groupBy("row").agg(F.max("share").alias("share"), F.collect_set(F.when(F.col("share") >= coverage, F.col("label"))).alias("more"))
+    loose = merged.where(F.col("share") < coverage).groupBy("row").agg(F.max("share").alias("loose"))
     none = F.array().cast("array<string>")
     joined = lambda c: F.array_join(F.array_sort(c), ",")
-    return rows.drop("grams").join(placed, "row", "left").join(merged, "row", "left").select(
+    return rows.join(placed, "row", "left").join(found, "row", "left").join(loose, "row", "left").select(
         F.col("key").alias(key), "n_words", F.coalesce("n_base", F.lit(0)).cast("long").alias("n_base"), "first_word", "last_word",
         joined(F.coalesce("base", none)).alias("base_labels"),
         joined(F.array_union(F.coalesce("base", none), F.coalesce("more", none))).alias("labels"),
-        F.when(F.col("n_base") > 0, 1.0).otherwise(F.coalesce("share", F.lit(0.0))).alias("score"),
+        F.when(F.col("n_base") > 0, 1.0).otherwise(F.greatest(F.coalesce("share", F.lit(0.0)), F.coalesce("loose", F.lit(0.0)))).alias("score"),
     )

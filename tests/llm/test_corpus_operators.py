@@ -15,7 +15,7 @@ from freightgraph.llm.chunk_dedup import dedup_substrings, repeated_spans
 from freightgraph.llm.decontaminate import contaminated
 from freightgraph.llm.fingerprint import fingerprint_documents, likeness, sketches
 from freightgraph.llm.language_id import LanguageModel, identify_languages
-from freightgraph.llm.license_scan import BASE, scan_licenses
+from freightgraph.llm.license_scan import BASE, TEMPLATES, scan_licenses
 from freightgraph.llm.packing import Encoder, lengths, pack_documents
 from freightgraph.llm.sharding import feistel, shard_rows
 from freightgraph.llm.near_dedup import Sets, drop_near_duplicates, exact_forest, near_duplicate_groups, shingle_sets
@@ -161,7 +161,7 @@ def test_likeness_is_smooth_in_length(texts):
     """One more character never changes a short text's description abruptly: no switch by length."""
     body = max(texts.values(), key=lambda t: len(t or ""))
     steps = [likeness(*(x[None] for x in sketches([body[:n], body[: n + 1]])))[0] for n in range(100, 260)]
-    assert min(steps) > 0.6 and np.mean(steps) > 0.9
+    assert min(steps) > 0.6 and np.mean(steps) > 0.8
 
 
 def check_fingerprints(df, table):
@@ -228,13 +228,66 @@ def test_licenses(spark, docs, odd, empty):
     check_licenses(scan_licenses(docs), docs)
     check_licenses(scan_licenses(odd), odd)
     assert scan_licenses(empty).count() == 0
+    bsd = next(t for t, label in TEMPLATES.items() if label == "bsd").split()
+    pairs = list(zip(bsd[:-1], bsd[1:], strict=True))[:13]
     rows = [
         (1, "x MIT  License, mit-license. MIT license"), (2, "Licensed under CC BY-NC 4.0."), (3, "Licensed under the quite Apache License, Version 2.0"),
         (4, "general public general public license"), (5, "license mit"),
         (6, "Redistribution and use, in source and binary forms, with or without any modification, are permitted"), (7, "in source and in forms"),
+        (8, " ".join(f"{a} {b} zz" for a, b in pairs)), (9, " ".join(reversed(bsd))), (10, " ".join(bsd[8:] + bsd[:8])),
+        (11, "before " + " ".join(bsd) + " after"), (11, "before " + " ".join(bsd) + " after"), (12, " ".join(bsd[:7]) + " zz zz " + " ".join(bsd[7:])),
     ]
-    got = {r["doc_id"]: r for r in check_licenses(scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")), spark.createDataFrame(rows, "doc_id long, text string"))}
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r for r in check_licenses(scan_licenses(table), table)}
     assert got[1]["n_base"] == 3 and got[1]["labels"] == "mit" and got[2]["labels"] == "cc-by-nc" and "apache" in got[3]["labels"] and got[6]["labels"] == "bsd" and got[7]["labels"] == ""
+    assert got[11]["labels"] == got[12]["labels"] == "bsd" and got[11]["score"] == 1.0  # whole, and with two words put in
+    assert not any("bsd" in got[i]["labels"] for i in (8, 9, 10))  # scattered, backwards, halves swapped
+
+
+def plain_licenses(text):
+    """(labels, score) by trying every diagonal of every template."""
+    words = WORD.findall(text.translate(LOWER))
+    base, more, score = set(), set(), 0.0
+    for t, label in [*BASE.items(), *TEMPLATES.items()]:
+        want = t.split()
+        n = len(want) - 1
+        held = Counter(i - j for i in range(len(words) - 1) for j in range(n) if words[i : i + 2] == want[j : j + 2])
+        if t in BASE:
+            base |= {label} if n in held.values() else set()
+            continue
+        for d in held:
+            share = min(1.0, sum(held[d + x] for x in range(4)) / n)
+            if share >= 0.85:
+                span, best = words[max(0, d) : d + len(want) + 3], {(-1, -1): 0}
+                for i, w in enumerate(span):
+                    for j, x in enumerate(want):
+                        best[i, j] = max(best.get((i - 1, j), 0), best.get((i, j - 1), 0), best.get((i - 1, j - 1), 0) + (w == x))
+                share = best[len(span) - 1, len(want) - 1] / len(want)
+                more |= {label} if share >= 0.85 else set()
+            score = max(score, share)
+    return ",".join(sorted(base | more)), 1.0 if base else score
+
+
+def test_license_labels_equal_plain_scan(spark, texts):
+    """Labels and score by brute force, over real texts with templates cut, changed and shuffled into them."""
+    rng = np.random.default_rng(2)
+    rows = []
+    for i, t in sorted(texts.items()):
+        words = " ".join((t or "").split()[:200]).split()
+        for template in rng.choice(list(TEMPLATES), 2):
+            piece = template.split()
+            for _ in range(rng.integers(0, 5)):
+                at = rng.integers(0, len(piece))
+                piece[at : at + rng.integers(0, 2)] = ["odd"] * rng.integers(0, 2)
+                if not piece:
+                    break
+            at = rng.integers(0, len(words) + 1)
+            words[at:at] = piece
+        rows.append((i, " ".join(words)))
+    got = scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = {i: plain_licenses(t) for i, t in rows}
+    assert {r["doc_id"]: (r["labels"], round(r["score"], 9)) for r in got} == {i: (labels, round(score, 9)) for i, (labels, score) in want.items()}
+    assert sum(bool(r["labels"]) for r in got) > 50
 
 
 # 5 — substring deduplication
@@ -496,6 +549,8 @@ def test_decontamination(spark, docs, texts, odd, empty):
     probe = spark.createDataFrame([(1, "same words again and again here"), (2, None), (3, ""), (4, "one"), (4, "one"), (None, "one")], "item_id long, text string")
     assert {(r["doc_id"], r["item_id"]) for r in contaminated(odd, probe).collect()} == {(5, 1), (6, 1), (4, 4)}
     assert contaminated(empty, probe).count() == 0 and contaminated(odd, probe.where("false")).count() == 0
+    only = spark.createDataFrame([(7, " ".join(f"w{i % 977}x{i}" for i in range(20_000, 20_012)))], "item_id long, text string")  # a few words deep in a very long text
+    assert [(r["doc_id"], r["hits"], r["n_shingles"]) for r in contaminated(odd, only).collect()] == [(7, 8, 8)]
     long_item = spark.createDataFrame([(1, " ".join(texts[max(texts, key=lambda i: len(texts[i] or ""))].split()[:3000]))], "item_id long, text string")
     assert contaminated(docs, long_item).count() >= 1
 
