@@ -11,10 +11,12 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from freightgraph.functions.scratch import written
 from freightgraph.llm.blocks import U64, Block, blocks, mix
 
 LEAST, MOST = 16, 112  # bytes
 MIN_WORDS = 16
+HOT_PARTS = 1000
 _MASK = U64(31)  # a cut at one byte in 32, before the least size
 _WINDOW = 16  # the bits that the mask looks at depend on this many bytes
 #: The gear table: one 64-bit value for each byte, from the mixing function.
@@ -108,18 +110,25 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", min
     bytes, ``first_<key>`` is the first holder of most of it (the smallest on a tie by chunk count),
     ``holders`` all first holders in it.
 
-    The first holders come from a group partly aggregated before the shuffle; only digests with two
-    holders join back, and the planner can split a digest that very many documents share. Null and
+    The first holders come from a group partly aggregated before the shuffle, and only digests with two
+    holders join back. A digest of more than one in HOT_PARTS chunks, of which there can be no more than
+    HOT_PARTS, joins as a broadcast, so no task gets more than that share of one digest. Null and
     empty texts have no chunks; rows with a null key are left out; repeated rows of one key count as one
     holder, so they are not repeats of each other; repeats within one document are none either. An
     empty table gives an empty result; other columns are ignored.
     """
     cut = chunks(docs, key, text).where("key is not null")
-    shared = (
-        cut.groupBy("d1", "d2").agg(F.min("key").alias("first"), F.max("key").alias("last"))
-        .where("first < last").select("d1", "d2", "first")
+    held = written(cut.groupBy("d1", "d2").agg(F.min("key").alias("first"), F.max("key").alias("last"), F.count("*").alias("n")).where("first < last").drop("last"), "holders")
+    share = (held.agg(F.sum("n")).first()[0] or 0) / HOT_PARTS
+    hot = held.where(F.col("n") > share).select("d1", "d2", F.col("first").alias("hot_first"))
+    shared = held.where(F.col("n") <= share).select(F.col("d1").alias("j1"), F.col("d2").alias("j2"), F.col("first").alias("cold_first"))
+    # chunks of hot digests go on under keys of their own, spread over all tasks
+    away = F.xxhash64("key", "seq")
+    met = cut.join(F.broadcast(hot), ["d1", "d2"], "left").withColumn("j1", F.when(F.col("hot_first").isNull(), F.col("d1")).otherwise(away)).withColumn("j2", F.col("d2"))
+    late = (
+        met.join(shared, ["j1", "j2"], "left").withColumn("first", F.coalesce("hot_first", "cold_first"))
+        .where("key > first").select("key", "seq", "start", "length", "words", "first").distinct()
     )
-    late = cut.join(shared, ["d1", "d2"]).where("key > first").select("key", "seq", "start", "length", "words", "first").distinct()
     by_seq = Window.partitionBy("key").orderBy("seq")
     spans = (
         late.withColumn("run", F.col("seq") - F.row_number().over(by_seq))
@@ -146,7 +155,8 @@ def dedup_substrings(docs: DataFrame, key: str = "doc_id", text: str = "text", m
     """``docs`` with every repeated span cut out of ``text``; same columns, same rows.
 
     The first holder keeps its passage. A text that is one whole repeat becomes empty; rows without
-    repeats keep their text to the byte, null included.
+    repeats keep their text to the byte, null included, and so do rows with a null key. Repeated rows
+    are cut alike. Columns of any name are kept; an empty table gives an empty result.
     """
     spans = repeated_spans(docs, key, text, min_words).groupBy(F.col(key).alias("_key")).agg(F.collect_list(F.struct("start", "length")).alias("_spans"))
 
@@ -155,8 +165,5 @@ def dedup_substrings(docs: DataFrame, key: str = "doc_id", text: str = "text", m
         pairs = zip(texts, found, strict=True)
         return pd.Series([t if f is None else drop_spans(t.encode(), [(s["start"], s["length"]) for s in f]) for t, f in pairs], dtype=object)
 
-    return (
-        docs.join(spans, docs[key] == spans["_key"], "left")
-        .withColumn(text, cut(F.col(text), F.col("_spans")))
-        .select(*docs.columns)
-    )
+    found = docs.join(spans, docs[key] == spans["_key"], "left")
+    return found.select(*[cut(docs[text], spans["_spans"]).alias(text) if c == text else docs[c] for c in docs.columns])

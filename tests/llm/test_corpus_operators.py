@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 import xxhash
-from freightgraph.llm import near_dedup, registry
+from freightgraph.llm import chunk_dedup, near_dedup, registry
 from freightgraph.llm.blocks import blocks, gram_hashes
 from freightgraph.llm.chunk_dedup import dedup_substrings, repeated_spans
 from freightgraph.llm.decontaminate import contaminated
@@ -313,6 +313,62 @@ def test_repeats(spark, texts, odd, empty):
     assert again.columns == odd.columns and (1, None) in kept and (6, "") in kept and (5, "same words again and again here") in kept and again.count() == odd.count()
 
 
+def plain_chunks(text):
+    """(start, bytes) of each chunk, byte by byte."""
+    raw, gear = text.encode(), [plain_mix((i + 1) * 0x9E3779B97F4A7C15 & WORD_MASK) for i in range(256)]
+    blank = lambda b: b == 32 or 9 <= b <= 13
+    hits = [i for i in range(15, len(raw)) if sum(gear[raw[i - j]] << j for j in range(16)) >> 20 & 31 == 0]
+    begins = [i for i in range(1, len(raw)) if blank(raw[i - 1]) and not blank(raw[i])]
+    marks = sorted({next(b for b in begins if b > h) for h in hits if begins and begins[-1] > h})
+    cuts, last = [], 0
+    for c in [*marks, len(raw)]:
+        while c - last > 112:
+            at = last + 112
+            while raw[at] & 0xC0 == 0x80 and at > last + 1:
+                at -= 1
+            cuts.append(at)
+            last = at
+        if c - last >= 16 or c == len(raw) > last:
+            cuts.append(c)
+            last = c
+    return [(a, raw[a:b]) for a, b in zip([0, *cuts], cuts)]
+
+
+def plain_spans(rows, min_words):
+    """(key, start, length, chunks, words, first holder, all first holders) of every span, by the letter."""
+    pieces = {(k, t): plain_chunks(t) for k, t in rows if k is not None and t}
+    first = {}
+    for (k, _), found in pieces.items():
+        for _, piece in found:
+            first[piece] = min(first.get(piece, k), k)
+    out = set()
+    for (k, _), found in pieces.items():
+        run = []
+        for seq, (start, piece) in enumerate([*found, (None, None)]):
+            if piece is not None and first[piece] < k:
+                run.append((start, piece))
+            elif run:
+                words = len(b"".join(p for _, p in run).split())
+                holders = Counter(first[p] for _, p in run)
+                if words >= min_words:
+                    most = min(h for h, n in holders.items() if n == max(holders.values()))
+                    out.add((k, run[0][0], sum(len(p) for _, p in run), len(run), words, most, tuple(sorted(holders))))
+                run = []
+    return out
+
+
+@pytest.mark.parametrize("parts", [1000, 3])
+def test_spans_equal_plain_version(spark, docs, texts, parts, monkeypatch):
+    """All spans and their columns by brute force; with few parts, common digests join as a broadcast."""
+    monkeypatch.setattr(chunk_dedup, "HOT_PARTS", parts)
+    got = {(r["doc_id"], r["start"], r["length"], r["n_chunks"], r["n_words"], r["first_doc_id"], tuple(r["holders"])) for r in repeated_spans(docs).collect()}
+    assert got == plain_spans(texts.items(), 16) and got
+    line = "one common line of text that every document has somewhere in its middle part"
+    rows = [(i, f"start {i} of it {i * 7919} {line} and end {i * 104729} here") for i in range(40)] + [(50, line), (50, line), (None, line), (51, "x" * 500), (52, "x" * 500)]
+    got = {(r["doc_id"], r["start"], r["length"], r["n_chunks"], r["n_words"], r["first_doc_id"], tuple(r["holders"])) for r in repeated_spans(spark.createDataFrame(rows, "doc_id long, text string"), min_words=1).collect()}
+    assert got == plain_spans(rows, 1)
+
+
 # 6 — sharding
 
 def test_feistel_is_a_permutation():
