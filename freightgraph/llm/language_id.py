@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from freightgraph.llm.blocks import U64, Block, blocks, mix
 
 BUCKETS = 1 << 16
-MAX_LANGUAGES = 256
 PASSAGE = 64  # bytes
 ROUNDS = 12
 PENALTY = 0.5  # of one passage, for each language in the set
@@ -76,14 +75,9 @@ class LanguageModel:
 
     @classmethod
     def fit(cls, docs: DataFrame, text: str = "text", lang: str = "lang") -> LanguageModel:
-        """From all labelled rows of ``docs``. The driver gets one count for each language and bucket.
-
-        At most MAX_LANGUAGES labels are accepted.
-        """
+        """From all labelled rows of ``docs``. The driver gets one count for each language and bucket, 256 kB of model a language."""
         rows = docs.select(docs[lang].cast("string").alias("lang")).where("lang is not null").groupBy("lang").agg(F.count("*").alias("n"))
-        known = {r["lang"]: r["n"] for r in rows.limit(MAX_LANGUAGES + 1).collect()}
-        if len(known) > MAX_LANGUAGES:
-            raise ValueError(f"more than {MAX_LANGUAGES} languages")
+        known = {r["lang"]: r["n"] for r in rows.collect()}
         languages = sorted(known)
         counts = np.full((BUCKETS, len(languages)), 0.5)
         table = trigram_counts(docs, text, lang).toPandas()
@@ -143,7 +137,7 @@ def identify_languages(docs: DataFrame, model: LanguageModel, key: str = "doc_id
     empty result; columns not named in ``keep`` are ignored. Texts go to Python only one way: what is
     kept stays with Spark.
     """
-    shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.logs, model.seen, model.prior))  # at most BUCKETS × MAX_LANGUAGES values
+    shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.logs, model.seen, model.prior))  # BUCKETS values a language, however many rows there are
 
     @F.arrow_udf("lang_pred string, score double, languages string")
     def judge(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:

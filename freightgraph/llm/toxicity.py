@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -10,16 +11,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from freightgraph.functions.scratch import written
 from freightgraph.llm.blocks import U64, Block, blocks, byte_table, span_hashes, word_spans
 
 BUCKETS = 1 << 18
 PREFIXES = (4, 5, 6, 7, 8, 9)  # bytes
 WIDTH = 1 + len(PREFIXES)  # a word and its prefixes; as many columns again say that one occurs twice
-SAMPLE = (2500, 5000)  # labelled rows of class 1 and 0 that the linear classifier is fitted on, at most
-BROADCAST_LABELS = 2_000_000
 SPAN = 2 * WIDTH * BUCKETS  # features
 LEXICON_SUPPORT = 5
-LEAST_ROWS = 3  # of the sample must have a feature for the classifier to use it
+#: The classifier uses features whose share of the labelled rows differs between the classes by so many deviations.
+DEVIATIONS = 4.0
+ROUNDS, SHRINK = 40, 1e-3  # of the classifier's fit, and its ridge penalty
 
 #: Lexicon voters by language.
 SEEDS = {
@@ -42,6 +44,7 @@ _COLUMNS = ("words", *(f"prefix_{p}" for p in PREFIXES))
 VOTERS = (*(f"lexicon_{x}" for x in SEEDS), *PATTERNS, *(f"mined_{c}" for c in _COLUMNS), *(f"mined_{c}_twice" for c in _COLUMNS))
 
 
+@functools.cache
 def _word_hashes(words: str) -> np.ndarray:
     batch = pa.RecordBatch.from_arrays([pa.array([words])], ["text"])
     block = next(blocks([batch], "text"))
@@ -128,42 +131,11 @@ class ToxicityModel:
         return 1 / (1 + np.exp(-np.clip(total, -30, 30)))
 
 
-def sample_features(docs: DataFrame, labels: DataFrame, key: str, text: str, toxic: str, sample: tuple[int, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(row and feature of every distinct feature, fixed votes, labels) of at most ``sample`` labelled rows of each class.
-
-    The rows with the least hashes of their keys are taken; their keys, at most sum(sample), are joined
-    as a broadcast, so no text is shuffled.
-    """
-    held = labels.select(labels[key].alias("key"), labels[toxic].cast("int").alias("y")).where("key is not null and y in (0, 1)").groupBy("key").agg(F.max("y").alias("y"))
-    known = docs.select(docs[key].alias("key")).where("key is not null").distinct().join(held, "key")
-    picked = None
-    for y, most in ((1, sample[0]), (0, sample[1])):
-        part = known.where(F.col("y") == y).orderBy(F.xxhash64("key"), "key").limit(most)
-        picked = part if picked is None else picked.unionByName(part)
-    wanted = docs.sparkSession.createDataFrame([(r["key"], r["y"]) for r in picked.collect()], "key long, y int")
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in blocks(batches, "text"):
-            row, words, buckets = features(block)
-            doc, found = distinct_features(row, buckets)
-            bounds = np.searchsorted(doc, np.arange(block.n + 1)).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(bounds), pa.array(found.astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([pa.array(fixed_votes(block, row, words)), block.batch.column(1), lists], ["votes", "y", "features"])
-
-    rows = docs.select(docs[key].alias("key"), docs[text].cast("string").alias("text")).join(F.broadcast(wanted), "key").select("text", "y")
-    got = rows.mapInArrow(run, "votes long, y int, features array<int>").toArrow()
-    lists = [c for c in got.column(2).chunks if len(c)]
-    row = np.repeat(np.arange(len(got), dtype=np.int32), np.concatenate([np.diff(c.offsets.to_numpy()) for c in lists]) if lists else 0)
-    found = np.concatenate([c.flatten().to_numpy() for c in lists]) if lists else np.empty(0, np.int32)
-    return row, found, got.column(0).to_numpy(), got.column(1).to_numpy()
-
-
 def labelled(docs: DataFrame, labels: DataFrame, key: str, text: str, toxic: str) -> DataFrame:
-    """(text, y) of every row, y null where the row has no label. Up to BROADCAST_LABELS labels are broadcast, so that no text is shuffled."""
+    """(text, y) of every row, y null where the row has no label."""
     held = labels.select(labels[key].alias("key"), labels[toxic].cast("int").alias("y")).where("key is not null and y in (0, 1)").groupBy("key").agg(F.max("y").alias("y"))
-    few = held.limit(BROADCAST_LABELS + 1).count() <= BROADCAST_LABELS
     rows = docs.select(docs[key].alias("key"), docs[text].cast("string").alias("text"))
-    return rows.join(F.broadcast(held) if few else held, "key", "left").select("text", "y")
+    return rows.join(held, "key", "left").select("text", "y")
 
 
 def feature_counts(rows: DataFrame) -> DataFrame:
@@ -184,17 +156,27 @@ def feature_counts(rows: DataFrame) -> DataFrame:
     return rows.where("y is not null").mapInArrow(run, "feature int, one long, zero long").groupBy("feature").agg(F.sum("one").alias("one"), F.sum("zero").alias("zero"))
 
 
-def mine(rows: DataFrame) -> np.ndarray:
-    """A flag for each feature of enough support in class 1 that is at least 20 times likelier there. The driver gets one count for each such feature."""
-    found = feature_counts(rows).where(f"one >= {LEXICON_SUPPORT} or feature = {SPAN}").toArrow()
-    feature, one, zero = (c.to_numpy() for c in found.columns)
+def mine(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """From ``feature_counts``: (a flag for each feature of the mined lexicons, the features that the classifier uses).
+
+    A lexicon has what enough rows of class 1 have and is at least 20 times likelier there; the
+    classifier uses what is significantly likelier in either class. The driver gets these features'
+    counts alone, of SPAN at most.
+    """
+    total = counts.where(F.col("feature") == SPAN).first()
     flags = np.zeros(SPAN, bool)
-    total = feature == SPAN
-    if not total.any():
-        return flags
-    odds = np.log((one + 0.1) / (max(1, one[total][0]) + 1)) - np.log((zero + 0.1) / (max(1, zero[total][0]) + 1))
-    flags[feature[~total & (one >= LEXICON_SUPPORT) & (odds >= np.log(20))]] = True
-    return flags
+    if total is None or not total["one"] or not total["zero"]:
+        return flags, np.empty(0, np.int64)
+    n1, n0 = total["one"], total["zero"]
+    one, zero = F.col("one"), F.col("zero")
+    mean = (one + zero + 1.0) / (n1 + n0 + 2.0)
+    deviation = F.sqrt(mean * (1 - mean) * (1 / n1 + 1 / n0))
+    telling = F.abs(one / n1 - zero / n0) >= DEVIATIONS * deviation
+    found = counts.where(F.col("feature") < SPAN).where((one >= LEXICON_SUPPORT) | telling).select("feature", "one", "zero", telling.alias("telling")).toArrow()
+    feature, one, zero, telling = (c.to_numpy() for c in found.columns)
+    odds = np.log((one + 0.1) / (n1 + 1)) - np.log((zero + 0.1) / (n0 + 1))
+    flags[feature[(one >= LEXICON_SUPPORT) & (odds >= np.log(20))]] = True
+    return flags, np.sort(feature[telling].astype(np.int64))
 
 
 class LabelModel:
@@ -263,47 +245,60 @@ def vote_patterns(rows: DataFrame, lexicon: np.ndarray) -> DataFrame:
     return known.mapInArrow(run, "votes long, y int, n long").groupBy("votes", "y").agg(F.sum("n").alias("n"))
 
 
-def fit_linear(row: np.ndarray, found: np.ndarray, target: np.ndarray, weight: np.ndarray, rounds: int = 200, shrink: float = 5e-4) -> tuple[np.ndarray, float]:
-    """Logistic regression on binary features by accelerated proximal gradient, with small weights set to zero."""
-    n = len(target)
-    keep = (np.bincount(found, minlength=SPAN) >= LEAST_ROWS)[found]
-    doc, at = row[keep], found[keep]
-    used, place = np.unique(at, return_inverse=True)
-    place = place.astype(np.int32)
-    norm = 1 / np.sqrt(np.maximum(np.bincount(place, minlength=len(used)), 1))
-    w, last, bias, last_bias = np.zeros(len(used)), np.zeros(len(used)), 0.0, 0.0
-    share = weight / max(weight.sum(), 1e-9)
-    forward = lambda v: np.bincount(doc, v[place] * norm[place], minlength=n)
-    backward = lambda e: np.bincount(place, e[doc], minlength=len(used)) * norm
-    top, curve = np.ones(len(used)), 1.0
-    for _ in range(12):  # the largest curvature of the loss, by power iteration
-        top = backward(share * (forward(top)))
-        curve = max(np.linalg.norm(top), 1e-12)
-        top /= curve
-    step, bias_step = 2.0 / curve, 2.0
-    for r in range(rounds):
-        ahead = r / (r + 3)
-        v, vb = w + ahead * (w - last), bias + ahead * (bias - last_bias)
-        last, last_bias = w, bias
-        error = share * (1 / (1 + np.exp(-np.clip(forward(v) + vb, -30, 30))) - target)
-        w = v - step * backward(error)
-        w = np.sign(w) * np.maximum(np.abs(w) - step * shrink * norm, 0)
-        bias = vb - bias_step * error.sum()
+def instances(rows: DataFrame, lexicon: np.ndarray, used: np.ndarray, model: LabelModel) -> DataFrame:
+    """(target, features) of every row: its label where it has one, else the label model's posterior of its votes; places in ``used``."""
+    entries, size = np.flatnonzero(lexicon), len(lexicon)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flags, wanted, place = np.zeros(size, bool), np.zeros(size, bool), np.zeros(size, np.int32)
+        flags[entries] = True
+        wanted[used] = True
+        place[used] = np.arange(len(used))
+        both = flags | wanted
+        for block in blocks(batches, "text"):
+            row, words, buckets = features(block)
+            doc, found = distinct_features(row, buckets, both)
+            y = block.batch.column(1).to_numpy(zero_copy_only=False)
+            votes = fixed_votes(block, row, words) | mined_votes(block.n, doc, found, flags)
+            target = np.where(y >= 0, y, model.posterior(votes))
+            doc, found = doc[wanted[found]], found[wanted[found]]
+            bounds = np.searchsorted(doc, np.arange(block.n + 1)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(target), pa.ListArray.from_arrays(pa.array(bounds), pa.array(place[found]))], ["target", "features"])
+
+    known = rows.select("text", F.coalesce("y", F.lit(-1)).alias("y"))
+    return known.mapInArrow(run, "target double, features array<int>")
+
+
+def fit_linear(table: DataFrame, used: np.ndarray) -> tuple[np.ndarray, float]:
+    """Ridge logistic regression on (target, features), by Spark's distributed optimiser; each row counts as class 1 by its target and as class 0 by the rest.
+
+    Rows without any feature only move the intercept.
+    """
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import CountVectorizerModel
+
+    tokens = table.select("target", F.col("features").cast("array<string>").alias("tokens"))
+    vectors = CountVectorizerModel.from_vocabulary([str(i) for i in range(len(used))], inputCol="tokens", outputCol="features").setBinary(True).transform(tokens)
+    sides = F.explode(F.array(*[F.struct(F.lit(y).alias("label"), w.alias("weight")) for y, w in ((1.0, F.col("target")), (0.0, 1 - F.col("target")))]))
+    each = vectors.select("features", sides.alias("side")).select("features", "side.*").where("weight > 0.001")
+    fitted = LogisticRegression(maxIter=ROUNDS, regParam=SHRINK, weightCol="weight", standardization=False).fit(each)
     out = np.zeros(SPAN)
-    out[used] = w * norm
-    return out, float(bias)
+    out[used] = fitted.coefficients.toArray()
+    return out, float(fitted.intercept)
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", toxic: str = "toxic", sample: tuple[int, int] = SAMPLE) -> ToxicityModel:
-    """Voters over all of ``docs``, a label model over all their votes, a classifier on its posteriors.
+def fit_toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", toxic: str = "toxic") -> ToxicityModel:
+    """Voters over all of ``docs``, a label model over all their votes, a linear classifier on its posteriors.
 
-    ``docs`` are the rows whose labels may be used. The mined lexicons are counted over all labelled
-    rows, the label model's statistics cover every row and all labels; the linear classifier alone is
-    fitted on at most ``sample`` labelled rows of each class. Without labels of both classes the mined
-    lexicons stay empty.
+    ``docs`` are the rows whose labels may be used. Every step covers every row: the mined lexicons and
+    the classifier's features are counted over all labelled rows, the label model has all votes and all
+    labels, and the classifier is fitted on all rows, labelled or not. The driver holds counts by feature
+    (SPAN at most), vote patterns and weights, no rows. Null and empty texts are rows without features;
+    repeated rows count each; a key with two labels counts as toxic; labels of unknown keys are left
+    out. Without labels of both classes no feature is told apart and every text gets the same low score.
     """
     rows = labelled(docs, labels, key, text, toxic)
-    lexicon = mine(rows)
+    lexicon, used = mine(written(feature_counts(rows), "feature_counts"))
     table = vote_patterns(rows, lexicon).toPandas()
     rate = labels.agg(F.avg(labels[toxic].cast("double"))).first()[0] or 0.05
     # labelled rows weigh as much as they stand for
@@ -314,11 +309,9 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text:
     counts = every.to_numpy(float)
     model = LabelModel(every.index.to_numpy(np.int64), counts, rate, (known["votes"].to_numpy(np.int64), classes, share(classes, n) * n * counts.sum()))
     accuracies = {v: (float(a), float(b)) for v, a, b in zip(VOTERS, *model.rates, strict=True)}
-    row, found, votes, y = sample_features(docs, labels, key, text, toxic, sample)
-    if not len(y):
+    if not len(used):
         return ToxicityModel(np.zeros(SPAN), -3.0, accuracies, model.correlations)
-    votes = votes | mined_votes(len(y), row, found, lexicon)
-    weights, bias = fit_linear(row, found, model.posterior(votes), np.sqrt(share(y, np.ones(len(y)))))
+    weights, bias = fit_linear(written(instances(rows, lexicon, used, model), "instances"), used)
     return ToxicityModel(weights, bias, accuracies, model.correlations)
 
 

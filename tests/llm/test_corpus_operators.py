@@ -20,7 +20,7 @@ from freightgraph.llm.packing import Encoder, lengths, pack_documents
 from freightgraph.llm.sharding import feistel, shard_rows
 from freightgraph.llm.near_dedup import Sets, drop_near_duplicates, exact_forest, near_duplicate_groups, shingle_sets
 from freightgraph.llm.simhash import fingerprint, forest, near_duplicates
-from freightgraph.llm.toxicity import VOTERS, LabelModel, fit_toxicity, score_toxicity
+from freightgraph.llm.toxicity import VOTERS, LabelModel, feature_counts, fit_toxicity, labelled, score_toxicity
 from freightgraph.llm.url_filter import Rule, filter_urls, split_url
 
 DATA = "/root/testdata/sf0.001"
@@ -630,11 +630,46 @@ def test_toxicity(spark, odd, empty):
 def test_lexicons_count_all_labelled_rows(spark):
     rows = [(i, f"plain words number {i}" + (" grobnak" if i % 40 == 0 else ""), int(i % 10 == 0)) for i in range(400)]
     table = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
-    model = fit_toxicity(table.select("doc_id", "text"), table.select("doc_id", "toxic"), sample=(4, 8))
-    quiet, fired = model.accuracies["mined_words"]  # 10 rows of class 1 have the word; of 4 sampled ones too few could
+    model = fit_toxicity(table.select("doc_id", "text"), table.select("doc_id", "toxic"))
+    quiet, fired = model.accuracies["mined_words"]  # 10 rows of class 1 have the word
     assert fired > 0.2 and quiet < 0.01
 
 
+def test_classifier_learns_from_unlabelled_rows(spark):
+    """Rows without a label count by their posterior: leaving them out changes the weights, and a word that only they have can not be told apart."""
+    rows = [(i, f"text {i % 11} of a kind" + (" you idiot grobnak" if i % 10 == 0 else ""), int(i % 10 == 0)) for i in range(300)]
+    more = [(1000 + i, f"other {i % 7} text" + (" grobnak moron" if i % 5 == 0 else "")) for i in range(300)]
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    docs = lambda r: spark.createDataFrame([x[:2] for x in r], "doc_id long, text string")
+    with_them, without = fit_toxicity(docs([*rows, *more]), labels), fit_toxicity(docs(rows), labels)
+    assert not np.allclose(with_them.weights, without.weights)
+    probe = docs([(1, "grobnak"), (2, "text of a kind"), (3, ""), (4, None)])
+    got = {r["doc_id"]: r["score"] for r in score_toxicity(probe, with_them).collect()}
+    assert got[1] > 0.5 > max(got[2], got[3], got[4])
+
+
+def test_feature_counts_equal_plain_count(spark, docs, texts):
+    """Rows of each class that have a word or prefix once, and twice or more, by brute force."""
+    labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{DATA}/labels.parquet").collect() if r["toxic"] is not None}
+    got = {r["feature"]: (r["one"], r["zero"]) for r in feature_counts(labelled(docs, spark.read.parquet(f"{DATA}/labels.parquet"), "doc_id", "text", "toxic")).collect()}
+    want = defaultdict(lambda: [0, 0])
+    word = re.compile(rb"[A-Za-z\x80-\xff]+")
+    for i, y in labels.items():
+        if i not in texts:
+            continue
+        seen = Counter()
+        for w in word.findall((texts[i] or "").translate(LOWER).encode()):
+            for column, n in enumerate((None, 4, 5, 6, 7, 8, 9)):
+                if n is None or len(w) >= n:
+                    piece = w if n is None else w[:n]
+                    seen[column, plain_mix(sum((b + 1) * pow(0x9E3779B97F4A7C15, j, 1 << 64) for j, b in enumerate(piece)) & WORD_MASK) >> 46] += 1
+        for (column, bucket), n in seen.items():
+            for c in (column, column + 7)[: 1 + (n > 1)]:
+                want[c << 18 | bucket][1 - y] += 1
+        want[14 << 18][1 - y] += 1
+    assert got == {f: tuple(n) for f, n in want.items()}
+
+
 def test_label_model_shares_weight_of_dependent_voters():
     rng = np.random.default_rng(1)
     y = rng.random(20_000) < 0.1
