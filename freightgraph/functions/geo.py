@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 EARTH_KM = 6371.0
 KM_PER_DEG = 111.32
 CELL_DEG = 10
+RING_CELL_DEG = 2
 
 
 def _col(x: Column | str | float) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from freightgraph.functions.geo import CELL_DEG, circle_box, crosses, great_circle_point, haversine_km, js_round, mercator_point
+from freightgraph.functions.geo import CELL_DEG, RING_CELL_DEG, circle_box, crosses, great_circle_point, haversine_km, js_round, mercator_point
 
 
 def point_in_circle(points: DataFrame, circles: DataFrame, cell_deg: int = CELL_DEG) -> DataFrame:
@@ -32,18 +32,24 @@ def ring_edges(vertices: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
-def _in_rings(points: DataFrame, vertices: DataFrame, by: list[str], cell_deg: int = CELL_DEG) -> DataFrame:
-    """(point_id, *by) of the rings that hold the point by the even-odd rule; sides meet points on their latitude band."""
-    band = F.explode(F.sequence(F.floor(F.least("lat1", "lat2") / cell_deg), F.floor(F.greatest("lat1", "lat2") / cell_deg))).alias("band")
-    sides = ring_edges(vertices, by).where("lat1 != lat2").select("*", band)
-    p = points.select("point_id", "lat", "lon", F.floor(F.col("lat") / cell_deg).alias("band"))
+def _in_rings(points: DataFrame, vertices: DataFrame, by: list[str], keep: tuple[str, ...] = (), cell_deg: int = RING_CELL_DEG) -> DataFrame:
+    """(point_id, *keep, *by) of the rings that hold the point by the even-odd rule.
+
+    A ray to the east crosses sides of its own latitude only, and a point outside a ring's box is not in it:
+    so a side meets the points of the cells in its latitude band, over the width of its ring's box.
+    """
+    band = F.explode(F.sequence(F.floor(F.least("lat1", "lat2") / cell_deg), F.floor(F.greatest("lat1", "lat2") / cell_deg))).alias("cy")
+    width = vertices.groupBy(*by).agg(F.floor(F.min("lon") / cell_deg).alias("first"), F.floor(F.max("lon") / cell_deg).alias("last"))
+    sides = ring_edges(vertices, by).where("lat1 != lat2").select("*", band).join(width, by)
+    sides = sides.select("*", F.explode(F.sequence("first", "last")).alias("cx")).drop("first", "last")
+    p = points.select("point_id", *keep, "lat", "lon", F.floor(F.col("lon") / cell_deg).alias("cx"), F.floor(F.col("lat") / cell_deg).alias("cy"))
     hit = crosses("lat", "lon1", "lat1", "lon2", "lat2", "lon")
-    return p.join(sides, "band").where(hit).groupBy("point_id", *by).count().where("count % 2 = 1").drop("count")
+    return p.join(sides, ["cx", "cy"]).where(hit).groupBy("point_id", *keep, *by).count().where("count % 2 = 1").drop("count")
 
 
-def point_in_ring(points: DataFrame, vertices: DataFrame) -> DataFrame:
-    """(point_id, zone_id) by even-odd ray cast."""
-    return _in_rings(points, vertices, ["zone_id"])
+def point_in_ring(points: DataFrame, vertices: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(point_id, *keep, zone_id) by even-odd ray cast."""
+    return _in_rings(points, vertices, ["zone_id"], keep)
 
 
 def point_in_polygon_with_holes(points: DataFrame, ring_vertex: DataFrame) -> DataFrame:
@@ -72,13 +78,13 @@ def zone_grid_cells(bbox: DataFrame, cell_deg: int = CELL_DEG, wrap: bool = Fals
     return out
 
 
-def zones_at_points(points: DataFrame, zone: DataFrame, vertices: DataFrame) -> DataFrame:
-    """(point_id, zone_id): zones of either shape that hold the point; circles do not reach across the dateline unless wider than 180°."""
+def zones_at_points(points: DataFrame, zone: DataFrame, vertices: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(point_id, *keep, zone_id): zones of either shape that hold the point, with the point's columns ``keep``; circles do not reach across the dateline unless wider than 180°."""
     cells = zone_grid_cells(zone.select("zone_id", *circle_box("lat", "lon", "radius_km"))).join(
         zone.select("zone_id", F.col("lat").alias("z_lat"), F.col("lon").alias("z_lon"), "radius_km"), "zone_id")
-    p = points.select("point_id", "lat", "lon", F.floor(F.col("lon") / CELL_DEG).alias("cx"), F.floor(F.col("lat") / CELL_DEG).alias("cy"))
-    circles = p.join(cells, ["cx", "cy"]).where(haversine_km("lat", "lon", "z_lat", "z_lon") <= F.col("radius_km")).select("point_id", "zone_id")
-    return circles.unionByName(point_in_ring(points, vertices)).distinct()
+    p = points.select("point_id", *keep, "lat", "lon", F.floor(F.col("lon") / CELL_DEG).alias("cx"), F.floor(F.col("lat") / CELL_DEG).alias("cy"))
+    circles = p.join(cells, ["cx", "cy"]).where(haversine_km("lat", "lon", "z_lat", "z_lon") <= F.col("radius_km")).select("point_id", *keep, "zone_id")
+    return circles.unionByName(point_in_ring(points, vertices, keep)).distinct()
 
 
 def _segments(edge_point: DataFrame) -> DataFrame:
@@ -99,16 +105,15 @@ def sample_polyline(edge_point: DataFrame, step_km: float = 20, midpoint: bool =
     seg = seg.withColumn("n", F.greatest(F.lit(1), F.ceil(F.col("km") / step_km)).cast("int"))
     s = seg.select("*", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("s"))
     f = (F.col("s") + (0.5 if midpoint else 1.0)) / F.col("n")
-    return s.withColumn("p", mercator_point("lat", "lon", "lat2", "lon2", f)).select(
-        "edge_id", *[c for c in ("mode",) if c in edge_point.columns], "seg", "s", F.col("p.lon").alias("lon"), F.col("p.lat").alias("lat"), (F.col("km") / F.col("n")).alias("step_km"),
-    )
+    # as a generator, so that the planner does not repeat the formula in each expression over its result
+    point = F.inline(F.array(mercator_point("lat", "lon", "lat2", "lon2", f)))
+    return s.select("edge_id", *[c for c in ("mode",) if c in edge_point.columns], "seg", "s", point, (F.col("km") / F.col("n")).alias("step_km"))
 
 
 def tag_edges(edge_point: DataFrame, zone: DataFrame, vertices: DataFrame, zone_mode: DataFrame, step_km: float = 20) -> DataFrame:
     """(edge_id, zone_id, km): length of each leg inside each zone that applies to its mode; a zone without modes applies to all."""
     samples = sample_polyline(edge_point, step_km).withColumn("point_id", F.struct("edge_id", "seg", "s"))
-    hits = zones_at_points(samples, zone, vertices)
-    tagged = hits.join(samples.select("point_id", "edge_id", "mode", "step_km"), "point_id")
+    tagged = zones_at_points(samples, zone, vertices, ("mode", "step_km")).withColumn("edge_id", F.col("point_id.edge_id"))
     limited = zone_mode.select("zone_id").distinct().withColumn("limited", F.lit(True))
     fits = zone_mode.select("zone_id", "mode").withColumn("fits", F.lit(True))
     return (
@@ -162,8 +167,8 @@ def tag_airspace(pairs: DataFrame, ring_vertex: DataFrame, step_km: float = 50)
     """(src, dst, shape_id): great circles between hubs, sampled at the middle of equal steps, that enter a shape. pairs: src, dst, lat1, lon1, lat2, lon2."""
     km = haversine_km("lat1", "lon1", "lat2", "lon2")
     s = pairs.withColumn("n", F.greatest(F.lit(1), F.ceil(km / step_km)).cast("int")).select("*", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("s"))
-    s = s.withColumn("p", great_circle_point("lat1", "lon1", "lat2", "lon2", (F.col("s") + 0.5) / F.col("n")))
-    points = s.select(F.struct("src", "dst", "s").alias("point_id"), F.col("p.lat").alias("lat"), F.col("p.lon").alias("lon"))
+    point = F.inline(F.array(great_circle_point("lat1", "lon1", "lat2", "lon2", (F.col("s") + 0.5) / F.col("n"))))
+    points = s.select(F.struct("src", "dst", "s").alias("point_id"), point)
     return point_in_polygon_with_holes(points, ring_vertex).select("point_id.src", "point_id.dst", "shape_id").distinct()
 
 

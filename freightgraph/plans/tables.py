@@ -3,20 +3,24 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from freightgraph.functions.scratch import written
 from freightgraph.plans.fixtures import VIEWS
 
 BASE = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents")
+#: Views that are dear and named often: a run writes them once and reads them back.
+WRITTEN = ("f_edge", "x_edge_zone", "x_hazard_edge_zone")
 #: Views of the oracles alone, in DuckDB's SQL.
 ORACLE_VIEWS: dict[str, str] = {}
 
 
-def with_views(sql: str) -> str:
-    """``sql`` with a WITH clause of all the views it names, and those they name."""
-    known = VIEWS | ORACLE_VIEWS
+def with_views(sql: str, ready: dict[str, str] | None = None) -> str:
+    """``sql`` with a WITH clause of all the views it names, and those they name; ``ready`` has other texts for some."""
+    known = VIEWS | ORACLE_VIEWS | (ready or {})
     ordered: list[str] = []
 
     def need(text: str) -> None:
@@ -34,6 +38,7 @@ class Tables:
 
     def __init__(self, spark: SparkSession, sf_dir: str, whole: bool = False):
         self.spark, self.sf_dir, self.whole = spark, sf_dir, whole
+        self.ready: dict[str, str] = {}
 
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("__"):
@@ -43,7 +48,13 @@ class Tables:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
     def sql(self, text: str) -> DataFrame:
-        text = with_views(text)
+        for name in WRITTEN:
+            if name not in self.ready and re.search(rf"\b{name} AS \(", with_views(text, self.ready)):
+                table = f"w_{uuid.uuid4().hex}"
+                self.ready[name] = VIEWS[name]  # while it is made
+                written(self.sql(f"SELECT * FROM {name}"), name).createOrReplaceTempView(table)
+                self.ready[name] = f"SELECT * FROM {table}"
+        text = with_views(text, self.ready)
         for name in BASE:
             if re.search(rf"\b{name}\b", text):
                 self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet").createOrReplaceTempView(name)
