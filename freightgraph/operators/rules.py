@@ -50,10 +50,20 @@ def active_between(start: Column, end: Column, a: Column, b: Column) -> Column:
 
 
 def zones_in_effect(request: DataFrame, zone: DataFrame, horizon_days: int = PLANNING_HORIZON_DAYS) -> DataFrame:
-    """(request_day, zone_id): zones that run in the planning window from each departure. One row a distinct departure, not a request."""
-    days = request.select("depart").distinct()
+    """(depart, zone_id): zones that run in the planning window from each departure. One row a distinct departure, not a request.
+
+    Departures meet zones on the days from which a zone is in their window; a zone with an open end
+    covers the days that there are departures on. Times without a zone.
+    """
+    days = request.select("depart").where("depart is not null").distinct()
+    day = lambda c: F.datediff(c, F.lit("1970-01-01").cast("date"))
+    span = days.agg(F.min(day(F.col("depart"))).alias("first"), F.max(day(F.col("depart"))).alias("last"))
+    zones = zone.select("zone_id", "active_from", "active_until").join(F.broadcast(span))  # one row
+    low = F.greatest("first", F.coalesce(day(F.col("active_from")) - horizon_days, "first"))
+    high = F.least("last", F.coalesce(day(F.col("active_until")), "last"))
+    spread = zones.select("zone_id", "active_from", "active_until", low.alias("low"), high.alias("high")).where("low <= high").select("zone_id", "active_from", "active_until", F.explode(F.sequence("low", "high")).alias("day"))
     on = active_between(F.col("active_from"), F.col("active_until"), F.col("depart"), F.col("depart") + F.make_dt_interval(F.lit(horizon_days)))
-    return days.join(zone.select("zone_id", "active_from", "active_until"), on).select("depart", "zone_id")
+    return days.withColumn("day", day(F.col("depart"))).join(spread, "day").where(on).select("depart", "zone_id")
 
 
 def zone_active_at(zone: DataFrame, at: Column) -> DataFrame:
@@ -127,8 +137,8 @@ def border_delay(edge: DataFrame, node: DataFrame, border_status: DataFrame) ->
     return _pair_join(edge, node, border_status).groupBy("edge_id").agg(F.min_by("label", "rule_id").alias("label"), F.min_by("delay_hours", "rule_id").alias("delay_hours"))
 
 
-def overflight_detour(edge: DataFrame, node: DataFrame, edge_zone: DataFrame, zone: DataFrame, ban: DataFrame) -> DataFrame:
-    """(edge_id, detour): product of the factors of crossed zones; a zone with a ban list counts only if both ends are on it.
+def overflight_detour(edge: DataFrame, node: DataFrame, edge_zone: DataFrame, zone: DataFrame, ban: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """(*by, edge_id, detour): product of the factors of crossed zones; a zone with a ban list counts only if both ends are on it.
 
     zone: zone_id, detour_factor; ban: zone_id, country.
     """
@@ -136,7 +146,7 @@ def overflight_detour(edge: DataFrame, node: DataFrame, edge_zone: DataFrame, zo
     crossed = edge_zone.join(zone.where("detour_factor is not null").select("zone_id", "detour_factor"), "zone_id").join(ends, "edge_id")
     lists = ban.groupBy("zone_id").agg(F.collect_set("country").alias("closed_to"))
     hit = F.col("closed_to").isNull() | (F.array_contains("closed_to", F.col("a_country")) & F.array_contains("closed_to", F.col("b_country")))
-    return crossed.join(lists, "zone_id", "left").where(hit).groupBy("edge_id").agg(F.product("detour_factor").alias("detour"))
+    return crossed.join(lists, "zone_id", "left").where(hit).groupBy(*by, "edge_id").agg(F.product("detour_factor").alias("detour"))
 
 
 def gauge_of(node: DataFrame, node_gauge: DataFrame, country_gauge: DataFrame, default: int = 1435) -> DataFrame:

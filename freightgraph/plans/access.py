@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from freightgraph.operators import indices, network, pricing, routes, rules, spatial
+from freightgraph.operators import indices, network, planning, pricing, routes, rules, spatial
 from freightgraph.plans.tables import ORACLE_VIEWS, Tables, km_sql, query, whole
 
 TIER_SQL = "(least(d, 500) * 1.9 + greatest(least(d, 1500) - 500, 0) * 1.35 + greatest(least(d, 5000) - 1500, 0) * 1.05 + greatest(d - 5000, 0) * 1.0)"
@@ -40,11 +40,14 @@ def requests(t: Tables) -> DataFrame:
     return t.f_request.select("*", F.array("handling").alias("flags"), F.array(*[F.lit(m) for m in ("sea", "air", "rail", "truck")]).alias("allowed_modes")).drop("handling").withColumnRenamed("flags", "handling")
 
 
-def cargo_rules(t: Tables) -> DataFrame:
+def cargo_tables(t: Tables) -> tuple[DataFrame, DataFrame]:
     names = "name string, exclude_modes array<string>, allow_military boolean, always_safest boolean"
     classes = t.spark.createDataFrame([("civilian", [], False, False), ("military", [], True, False)], names)
-    handling = t.spark.createDataFrame([("hazmat", ["air"], False, False), ("perishable", ["sea"], False, False), ("hvt", [], False, True)], names)
-    return rules.resolve_cargo(requests(t), classes, handling)
+    return classes, t.spark.createDataFrame([("hazmat", ["air"], False, False), ("perishable", ["sea"], False, False), ("hvt", [], False, True)], names)
+
+
+def cargo_rules(t: Tables) -> DataFrame:
+    return rules.resolve_cargo(requests(t), *cargo_tables(t))
 
 
 @query("""SELECT request_id, CASE handling WHEN 'hazmat' THEN 'air' WHEN 'perishable' THEN 'sea' ELSE '' END AS exclude_modes, cargo_class = 'military' AS allow_military, FALSE AS always_safest FROM f_request""")
@@ -380,11 +383,13 @@ def r8_route_security(t: Tables) -> DataFrame:
 
 
 @whole()
-@query("""SELECT k.request_id, k.objective, coalesce(z.l, '') AS zone_labels, coalesce(g.l, '') AS transshipments FROM (SELECT DISTINCT request_id, objective FROM o_leg) k
+@query("""SELECT k.request_id, k.objective, coalesce(z.l, '') AS zone_labels, coalesce(g.l, '') AS transshipments, coalesce(b.l, '') AS border_delays, coalesce(q.l, '') AS conditions FROM (SELECT DISTINCT request_id, objective FROM o_leg) k
 LEFT JOIN (SELECT request_id, objective, string_agg(z.label, '; ' ORDER BY first_leg, c.zone_id) AS l FROM o_crossed c JOIN f_zone z ON z.zone_id = c.zone_id GROUP BY ALL) z USING (request_id, objective)
-LEFT JOIN (SELECT request_id, objective, string_agg(concat(n.name, ' · ', b.label), '; ' ORDER BY leg_no) AS l FROM o_leg l JOIN o_break b ON b.edge_id = l.edge_id JOIN f_node n ON n.node_id = l.to_node GROUP BY ALL) g USING (request_id, objective)""")
+LEFT JOIN (SELECT request_id, objective, string_agg(concat(n.name, ' · ', b.label), '; ' ORDER BY leg_no) AS l FROM o_leg l JOIN o_break b ON b.edge_id = l.edge_id JOIN f_node n ON n.node_id = l.to_node GROUP BY ALL) g USING (request_id, objective)
+LEFT JOIN (SELECT request_id, objective, string_agg(label, '; ' ORDER BY leg, label) AS l FROM (SELECT l.request_id, l.objective, o.label, min(l.leg_no) AS leg FROM o_leg l JOIN o_queue o ON o.edge_id = l.edge_id GROUP BY ALL) GROUP BY ALL) b USING (request_id, objective)
+LEFT JOIN (SELECT request_id, objective, string_agg(label, '; ' ORDER BY leg, zone, label) AS l FROM (SELECT c.request_id, c.objective, x.label, min({'a': c.first_leg, 'z': c.zone_id}).a AS leg, min({'a': c.first_leg, 'z': c.zone_id}).z AS zone FROM o_crossed c JOIN x_condition x ON x.zone_id = c.zone_id GROUP BY ALL) GROUP BY ALL) q USING (request_id, objective)""")
 def r9_route_notes(t: Tables) -> DataFrame:
-    return routes.route_notes(legs_of(t), t.x_edge_zone, t.f_zone, breaks(t), t.f_node)
+    return routes.route_notes(legs_of(t), t.x_edge_zone, t.f_zone, breaks(t), t.f_node, rules.border_delay(t.f_edge, t.f_node, t.x_border_status), t.x_condition)
 
 
 @whole()
@@ -399,29 +404,118 @@ def r11_dedupe_options(t: Tables) -> DataFrame:
     return routes.dedupe_options(legs_of(t))
 
 
+# Requests under their own rules: sets of constraints, priced by class, searched together
+
+HORIZON_DAYS = 2
+KEYS = "civilian, month, day"
+ON = lambda a, b: " AND ".join(f"{a}.{k} = {b}.{k}" for k in ("civilian", "month", "day"))
+_WALK = """SELECT w.set_id, w.objective, source, s.to_node AS node, s.mode, cost + CASE WHEN s.mode = w.mode THEN 0 ELSE s.load END + s.weight AS cost, {n} AS hops, list_append(path, s.edge_id) AS path
+FROM {before} w JOIN o_sstep s ON s.set_id = w.set_id AND s.node = w.node AND s.objective = w.objective AND s.to_node <> w.source"""
+ORACLE_VIEWS |= {
+    "o_variant": "SELECT request_id, 'asked' AS variant FROM x_plan UNION ALL SELECT request_id, 'none' FROM x_plan UNION ALL SELECT DISTINCT request_id, flag FROM x_plan_flag",
+    "o_vflag": "SELECT v.request_id, v.variant, f.flag FROM o_variant v JOIN x_plan_flag f ON f.request_id = v.request_id AND (v.variant = 'asked' OR v.variant = f.flag)",
+    "o_vset": f"""SELECT *, concat(modes, '|', civilian, '|', month, '|', day) AS set_id FROM (SELECT v.request_id, v.variant, string_agg(m.mode, ',' ORDER BY m.mode) AS modes, r.cargo_class <> 'military' AS civilian, r.month, date_trunc('day', r.depart) AS day
+  FROM o_variant v JOIN x_plan r ON r.request_id = v.request_id JOIN f_mode m ON r.weight_tonnes <= m.max_tonnes
+  WHERE NOT EXISTS (SELECT 1 FROM o_vflag f WHERE f.request_id = v.request_id AND f.variant = v.variant AND ((f.flag = 'hazmat' AND m.mode = 'air') OR (f.flag = 'perishable' AND m.mode = 'sea'))) GROUP BY v.request_id, v.variant, {KEYS.replace('civilian', 'r.cargo_class').replace('month', 'r.month').replace('day', 'r.depart')})""",
+    "o_class": f"SELECT DISTINCT {KEYS} FROM o_vset",
+    "o_czone": f"""SELECT c.*, z.zone_id, c.civilian AND z.zone_id IN (SELECT zone_id FROM o_blocked) AS barred, EXISTS (SELECT 1 FROM x_closed_month m WHERE m.zone_id = z.zone_id AND m.month = c.month) AS frozen
+  FROM o_class c JOIN f_zone z ON z.active_from <= c.day + INTERVAL {HORIZON_DAYS} DAY AND z.active_until >= c.day""",
+    "o_place": f"""SELECT c.*, n.node_id FROM o_class c CROSS JOIN f_node n WHERE NOT c.civilian OR (n.kind <> 'military' AND NOT EXISTS
+  (SELECT 1 FROM o_czone z JOIN f_zone f ON f.zone_id = z.zone_id WHERE z.barred AND {ON('z', 'c')} AND {km_sql('n.lat', 'n.lon', 'f.lat', 'f.lon')} <= f.radius_km))""",
+    "o_cross": f"SELECT x.edge_id, x.km, z.* FROM x_edge_zone x JOIN o_czone z ON z.zone_id = x.zone_id",
+    "o_cleg": f"""SELECT a.civilian, a.month, a.day, e.* FROM f_edge e JOIN o_place a ON a.node_id = e.src JOIN o_place b ON b.node_id = e.dst AND {ON('a', 'b')}
+  WHERE NOT EXISTS (SELECT 1 FROM o_cross x WHERE x.edge_id = e.edge_id AND {ON('x', 'a')} AND (x.barred OR x.frozen)) AND NOT (a.civilian AND e.edge_id IN (SELECT edge_id FROM o_closed))""",
+    "o_ceffect": f"""SELECT x.edge_id, {', '.join('x.' + k for k in KEYS.split(', '))}, sum(x.km * z.surcharge_usd_per_km + z.toll_usd) AS zone_usd, product(CASE WHEN z.delay_month = x.month THEN z.delay_factor ELSE 1 END) AS season, product(coalesce(q.delay_factor, 1)) AS live,
+    product(CASE WHEN x.civilian AND d.detour_factor IS NOT NULL AND (x.zone_id NOT IN (SELECT zone_id FROM x_ban) OR (EXISTS (SELECT 1 FROM x_ban k WHERE k.zone_id = x.zone_id AND k.country = a.country) AND EXISTS (SELECT 1 FROM x_ban k WHERE k.zone_id = x.zone_id AND k.country = b.country))) THEN d.detour_factor ELSE 1 END) AS detour
+  FROM o_cross x JOIN f_zone z ON z.zone_id = x.zone_id JOIN f_edge e ON e.edge_id = x.edge_id JOIN f_node a ON a.node_id = e.src JOIN f_node b ON b.node_id = e.dst LEFT JOIN x_condition q ON q.zone_id = x.zone_id LEFT JOIN x_detour d ON d.zone_id = x.zone_id GROUP BY ALL""",
+    "o_queue": "SELECT o.edge_id, r.delay_hours, r.label FROM o_closed o JOIN (SELECT DISTINCT rule_id, label, delay_hours FROM x_border_status) r ON r.rule_id = o.rule_id",
+    "o_ccost": f"""SELECT {KEYS}, edge_id, src, dst, mode, {TIER_SQL} * usd_per_km + zone_usd + CASE WHEN broken THEN 220 ELSE 0 END AS usd, d / km_per_hour * slow + CASE WHEN broken THEN 18 ELSE 0 END + queue AS hours, d AS km FROM
+  (SELECT l.*, m.usd_per_km, m.km_per_hour, k.km * m.detour_factor * coalesce(f.detour, 1) AS d, coalesce(f.zone_usd, 0) AS zone_usd, coalesce(f.season, 1) * coalesce(f.live, 1) AS slow, b.edge_id IS NOT NULL AS broken, CASE WHEN l.civilian THEN coalesce(q.delay_hours, 0) ELSE 0 END AS queue
+   FROM o_cleg l JOIN o_km k ON k.edge_id = l.edge_id JOIN f_mode m ON m.mode = l.mode LEFT JOIN o_ceffect f ON f.edge_id = l.edge_id AND {ON('f', 'l')} LEFT JOIN o_break b ON b.edge_id = l.edge_id LEFT JOIN o_queue q ON q.edge_id = l.edge_id)""",
+    "o_chub": f"""SELECT DISTINCT {', '.join('l.' + k for k in KEYS.split(', '))}, h.* FROM (SELECT {KEYS}, src AS n, mode FROM o_cleg UNION SELECT {KEYS}, dst, mode FROM o_cleg) l JOIN o_hub h ON h.node_id = l.n AND h.mode = l.mode""",
+    "o_crisk": f"""SELECT {', '.join('l.' + k for k in KEYS.split(', '))}, l.edge_id, l.to_node, (1 + 8 * pow((100 - s.security) / 100.0e0, 2)) * coalesce(z.f, 1) AS factor FROM (SELECT {KEYS}, edge_id, dst AS to_node FROM o_cleg UNION ALL SELECT {KEYS}, edge_id, src FROM o_cleg) l
+  JOIN x_security s ON s.node_id = l.to_node LEFT JOIN (SELECT x.edge_id, {', '.join('x.' + k for k in KEYS.split(', '))}, product(1 + 8 * pow((100 - z.security) / 100.0e0, 2)) AS f FROM o_cross x JOIN f_zone z ON z.zone_id = x.zone_id GROUP BY ALL) z ON z.edge_id = l.edge_id AND {ON('z', 'l')}""",
+    "o_smode": f"SELECT DISTINCT set_id, {KEYS}, unnest(string_split(modes, ',')) AS mode FROM o_vset",
+    "o_sstep": f"""SELECT s.set_id, w.objective, c.a AS node, c.b AS to_node, c.mode, c.edge_id, CASE w.objective WHEN 'fastest' THEN c.hours WHEN 'most-direct' THEN c.km WHEN 'safest' THEN c.usd * r.factor ELSE c.usd END AS weight,
+    CASE w.objective WHEN 'fastest' THEN h.hours WHEN 'most-direct' THEN 0.0e0 ELSE h.usd END AS load FROM
+  (SELECT {KEYS}, edge_id, src AS a, dst AS b, mode, usd, hours, km FROM o_ccost UNION ALL SELECT {KEYS}, edge_id, dst, src, mode, usd, hours, km FROM o_ccost) c JOIN o_smode s ON s.mode = c.mode AND {ON('s', 'c')}
+  JOIN o_chub h ON h.node_id = c.a AND h.mode = c.mode AND {ON('h', 'c')} JOIN o_crisk r ON r.edge_id = c.edge_id AND r.to_node = c.b AND {ON('r', 'c')} CROSS JOIN (VALUES ('cheapest'), ('fastest'), ('most-direct'), ('safest')) AS w(objective)""",
+    "o_vseg": f"""SELECT v.request_id, v.variant, v.set_id, {', '.join('v.' + k for k in KEYS.split(', '))}, s.seg_no, s.src, s.dst FROM o_vset v JOIN o_seg s ON s.request_id = v.request_id WHERE v.request_id IN
+  (SELECT request_id FROM x_stop GROUP BY request_id HAVING count(*) >= 2 AND count(*) = count(DISTINCT node_id)) AND NOT EXISTS (SELECT 1 FROM x_stop t WHERE t.request_id = v.request_id AND NOT EXISTS (SELECT 1 FROM o_place p WHERE p.node_id = t.node_id AND {ON('p', 'v')}))""",
+    "o_swalk1": "SELECT set_id, objective, node AS source, to_node AS node, mode, 0.0e0 + load + weight AS cost, 1 AS hops, [edge_id] AS path FROM o_sstep WHERE (set_id, node) IN (SELECT (set_id, src) FROM o_vseg)",
+    "o_swalk2": _WALK.format(n=2, before="o_swalk1"),
+    "o_swalk3": _WALK.format(n=3, before="o_swalk2"),
+    "o_sbest": """SELECT set_id, objective, source, node AS target, min({'c': round(cost, 6), 'hops': hops, 'path': path, 'cost': cost}) AS b
+  FROM (SELECT * FROM o_swalk1 UNION ALL SELECT * FROM o_swalk2 UNION ALL SELECT * FROM o_swalk3) GROUP BY set_id, objective, source, node""",
+    "o_vopt": """SELECT *, count(*) OVER (PARTITION BY request_id, variant, objective) AS have FROM (SELECT s.*, b.objective, b.b.path AS path, n.need FROM o_vseg s JOIN o_sbest b ON b.set_id = s.set_id AND b.source = s.src AND b.target = s.dst
+  JOIN (SELECT request_id, count(*) AS need FROM o_seg GROUP BY request_id) n ON n.request_id = s.request_id) QUALIFY have = need""",
+    "o_phop": f"""SELECT o.request_id, o.objective, {', '.join('o.' + k for k in KEYS.split(', '))}, o.seg_no, o.pos, o.edge_id, c.mode, c.usd, c.hours, c.km, c.src, c.dst, o.start, lag(c.mode) OVER w AS before, lag(c.src) OVER w AS psrc, lag(c.dst) OVER w AS pdst
+  FROM (SELECT request_id, objective, {KEYS}, seg_no, src AS start, unnest(path) AS edge_id, generate_subscripts(path, 1) AS pos FROM o_vopt WHERE variant = 'asked') o JOIN o_ccost c ON c.edge_id = o.edge_id AND {ON('c', 'o')} WINDOW w AS (PARTITION BY o.request_id, o.objective, o.seg_no ORDER BY o.pos)""",
+    "o_pleg": f"""SELECT request_id, objective, {KEYS}, leg_no, edge_id, from_node, to_node, mode, usd, CAST(floor(round(sum(hours) OVER (PARTITION BY request_id, objective ORDER BY leg_no), 6) + 0.5) AS BIGINT) AS eta_hours FROM
+  (SELECT h.request_id, h.objective, {', '.join('h.' + k for k in KEYS.split(', '))}, row_number() OVER (PARTITION BY h.request_id, h.objective ORDER BY seg_no, pos) - 1 AS leg_no, h.edge_id, h.from_node, h.src + h.dst - h.from_node AS to_node, h.mode,
+    (h.usd + CASE WHEN before IS DISTINCT FROM h.mode THEN b.usd ELSE 0 END) * greatest(1, r.weight_tonnes / 20, r.volume_m3 / 33) AS usd, h.hours + CASE WHEN before IS DISTINCT FROM h.mode THEN b.hours ELSE 0 END AS hours FROM
+   (SELECT *, CASE WHEN pos = 1 THEN start WHEN src = psrc OR src = pdst THEN CASE WHEN dst = psrc OR dst = pdst THEN NULL ELSE src END ELSE dst END AS from_node FROM o_phop) h
+   JOIN o_chub b ON b.node_id = h.from_node AND b.mode = h.mode AND {ON('b', 'h')} JOIN x_plan r ON r.request_id = h.request_id)""",
+    "o_psign": "SELECT request_id, objective, string_agg(concat(from_node, '>', to_node, '>', mode), '|' ORDER BY leg_no) AS signature FROM o_pleg GROUP BY request_id, objective",
+    "o_pkept": "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY request_id, signature ORDER BY CASE objective WHEN 'cheapest' THEN 0 WHEN 'fastest' THEN 1 WHEN 'most-direct' THEN 2 ELSE 3 END) AS r FROM o_psign) WHERE r = 1",
+    "o_pscore": f"""SELECT request_id, objective, CAST(floor(round(0.6 * min(s) + 0.4 * avg(s), 6) + 0.5) AS BIGINT) AS score FROM (SELECT request_id, objective, CAST(security AS DOUBLE) AS s FROM
+    (SELECT request_id, objective, from_node AS node_id FROM o_pleg WHERE leg_no = 0 UNION ALL SELECT request_id, objective, to_node FROM o_pleg) v JOIN x_security x ON x.node_id = v.node_id
+  UNION ALL SELECT request_id, objective, CAST(z.security AS DOUBLE) FROM (SELECT DISTINCT l.request_id, l.objective, x.zone_id FROM o_pleg l JOIN o_cross x ON x.edge_id = l.edge_id AND {ON('x', 'l')}) c JOIN f_zone z ON z.zone_id = c.zone_id) GROUP BY ALL""",
+}
+
+
+def planned(t: Tables) -> DataFrame:
+    """Requests with their flags in an array."""
+    flags = t.x_plan_flag.groupBy("request_id").agg(F.sort_array(F.collect_set("flag")).alias("handling"))
+    return t.x_plan.join(flags, "request_id", "left").select(
+        "*", F.array(*[F.lit(m) for m in ("sea", "air", "rail", "truck")]).alias("allowed_modes")).withColumn("handling", F.coalesce("handling", F.array().cast("array<string>")))
+
+
+def network_of(t: Tables) -> planning.Network:
+    at = spatial.point_in_circle(t.f_node.select(F.col("node_id").alias("point_id"), "lat", "lon"), t.f_zone)
+    classes, handling = cargo_tables(t)
+    return planning.Network(
+        node=t.f_node, edge=t.f_edge, length=spatial.polyline_km(t.f_edge_point), mode=t.f_mode, zone=t.f_zone, edge_zone=t.x_edge_zone,
+        node_zone=at.withColumnRenamed("point_id", "node_id"), closed=t.x_closed_month.withColumn("month", F.col("month").cast("long")), condition=t.x_condition, detour=t.x_detour, ban=t.x_ban,
+        border_rule=t.f_border_rule, border_status=t.x_border_status, gauge_break=breaks(t), econ=t.x_econ, security=t.x_security,
+        cargo_class=classes, cargo_handling=handling, horizon_days=HORIZON_DAYS,
+    )
+
+
+@query(f"SELECT strftime(day, '%Y-%m-%d') AS day, civilian, edge_id, round(usd, 3) AS usd, round(hours, 3) AS hours, round(km, 3) AS km FROM o_ccost")
+def c6_leg_cost_by_class(t: Tables) -> DataFrame:
+    """Legs under each class of constraints: what is open and in effect, season, live delay, detours, queues and gauge changes."""
+    net = network_of(t)
+    sets = planning.constraint_sets(net, planned(t))
+    classes = sets.select("class_id", "civilian", "month", "day").distinct()
+    legs = planning.price(net, classes).legs.join(classes, "class_id")
+    return legs.select(F.date_format("day", "yyyy-MM-dd").alias("day"), "civilian", "edge_id", *[F.round(c, 3).alias(c) for c in MONEY])
+
+
 @whole()
-@query("SELECT l.request_id, l.objective, l.leg_no, l.from_node, l.to_node, l.mode, round(l.usd, 3) AS usd, l.eta_hours FROM o_eta l JOIN o_kept k ON k.request_id = l.request_id AND k.objective = l.objective")
+@query("SELECT l.request_id, l.objective, l.leg_no, l.from_node, l.to_node, l.mode, round(l.usd, 3) AS usd, l.eta_hours FROM o_pleg l JOIN o_pkept k ON k.request_id = l.request_id AND k.objective = l.objective WHERE l.objective <> 'safest'")
 def r12_compute_routes(t: Tables) -> DataFrame:
-    units = t.f_request.select("request_id", pricing.price_units(F.col("weight_tonnes"), F.col("volume_m3")).alias("units"))
-    found = routes.compute_routes(t.f_request, t.x_stop, routes.objectives(graph(t)), costs(t), hubs(t), units, max_legs(t))
-    return found.select("request_id", "objective", "leg_no", "from_node", "to_node", "mode", F.round("usd", 3).alias("usd"), "eta_hours")
+    plan = planning.compute_routes(network_of(t), planned(t), t.x_stop, max_legs=max_legs(t))
+    return plan.legs.select("request_id", "objective", "leg_no", "from_node", "to_node", "mode", F.round("usd", 3).alias("usd"), "eta_hours")
 
 
 @whole()
-@query("""SELECT request_id, max(score) AS best, min(CASE WHEN objective = 'most-direct' THEN score END) + 7 AS offer FROM o_score GROUP BY request_id HAVING (max(score) < 30 OR request_id % 4 = 0) AND min(CASE WHEN objective = 'most-direct' THEN score END) + 7 > max(score)""")
+@query("""SELECT b.request_id, b.best, s.score AS offer FROM (SELECT request_id, greatest(0, max(score)) AS best FROM o_pscore WHERE objective <> 'safest' GROUP BY request_id) b
+JOIN o_pscore s ON s.request_id = b.request_id AND s.objective = 'safest' JOIN o_pkept k ON k.request_id = b.request_id AND k.objective = 'safest'
+WHERE (b.best < 30 OR b.request_id IN (SELECT request_id FROM x_plan_flag WHERE flag = 'hvt')) AND s.score > b.best""")
 def r13_safer_offer(t: Tables) -> DataFrame:
-    scores = routes.route_security(legs_of(t), t.x_security, t.x_edge_zone, t.f_zone)
-    safest = scores.where("objective = 'most-direct'").select("request_id", F.lit("safest").alias("objective"), (F.col("score") + 7).alias("score"))
-    always = t.f_request.select("request_id", (F.col("request_id") % 4 == 0).alias("always_safest"))
-    return routes.safer_offer(t.f_request, scores.unionByName(safest), always)
+    return planning.safer_offer(network_of(t), planned(t), t.x_stop, max_legs(t))
 
 
 @whole()
-@query("""SELECT request_id, CASE WHEN request_id IN (SELECT s.request_id FROM x_stop s JOIN f_node n ON n.node_id = s.node_id WHERE n.kind = 'military') THEN 'restricted military site' WHEN handling <> 'none' THEN 'handling rules' ELSE 'no connection' END AS reason
-FROM f_request WHERE request_id NOT IN (SELECT request_id FROM o_opt)""")
+@query("""SELECT l.request_id, CASE WHEN m.request_id IS NOT NULL THEN 'restricted military site' WHEN b.blocking IS NOT NULL THEN 'handling rules' ELSE 'no connection' END AS reason,
+  CASE WHEN m.request_id IS NULL THEN coalesce(b.blocking, '') ELSE '' END AS blocking, CASE WHEN m.request_id IS NULL THEN coalesce(b.barred, '') ELSE '' END AS barred
+FROM (SELECT request_id FROM x_plan EXCEPT SELECT request_id FROM o_vopt WHERE variant = 'asked') l
+LEFT JOIN (SELECT DISTINCT s.request_id FROM x_stop s JOIN f_node n ON n.node_id = s.node_id JOIN x_plan r ON r.request_id = s.request_id WHERE n.kind = 'military' AND r.cargo_class <> 'military') m ON m.request_id = l.request_id
+LEFT JOIN (SELECT request_id, string_agg(variant, ',' ORDER BY variant) AS blocking, string_agg(CASE variant WHEN 'hazmat' THEN 'air' WHEN 'perishable' THEN 'sea' END, ',' ORDER BY variant) AS barred FROM o_variant v
+  WHERE variant NOT IN ('asked', 'none') AND request_id IN (SELECT request_id FROM o_vopt WHERE variant = 'none') AND NOT EXISTS (SELECT 1 FROM o_vopt o WHERE o.request_id = v.request_id AND o.variant = v.variant) GROUP BY request_id) b ON b.request_id = l.request_id""")
 def r14_no_route_reason(t: Tables) -> DataFrame:
-    stop = t.x_stop.join(t.f_node.where("kind = 'military'"), "node_id", "left_semi")
-    return routes.no_route_reason(t.f_request, legs_of(t), stop, t.f_request.where("handling != 'none'"))
+    return planning.no_route_reason(network_of(t), planned(t), t.x_stop, max_legs(t))
 
 
 @query("SELECT node_id, coalesce(m.modes, '') AS modes, e.econ, s.security, greatest(0, 100 - 15 * (4 - coalesce(m.n, 0))) AS transit FROM f_node LEFT JOIN o_modes m USING (node_id) JOIN x_econ e USING (node_id) JOIN x_security s USING (node_id)")

@@ -160,13 +160,26 @@ SELECT request_id, origin, destination, weight_tonnes, volume_m3, month, cargo_c
   TIMESTAMP '2024-01-01 00:00:00' + INTERVAL '1' HOUR * CAST(request_id % 400 AS INT) AS depart
 FROM f_request
 """,
+    # requests to plan: three departures, each with its month; flags in long form, some requests with two
+    "x_plan": """
+SELECT request_id, origin, destination, weight_tonnes, volume_m3, cargo_class,
+  CASE request_id % 3 WHEN 0 THEN 1 WHEN 1 THEN 7 ELSE 11 END AS month,
+  CASE request_id % 3 WHEN 0 THEN TIMESTAMP '2024-01-03 06:00:00' WHEN 1 THEN TIMESTAMP '2024-01-06 18:00:00' ELSE TIMESTAMP '2024-01-10 12:00:00' END AS depart
+FROM f_request
+""",
+    "x_plan_flag": """
+SELECT request_id, handling AS flag FROM f_request WHERE handling <> 'none'
+UNION ALL SELECT request_id, 'hvt' FROM f_request WHERE request_id % 7 = 0
+UNION ALL SELECT request_id, 'hazmat' FROM f_request WHERE handling = 'perishable' AND request_id % 5 < 2
+""",
+    "x_closed_month": "SELECT zone_id, 7 AS month FROM f_zone WHERE zone_id % 100 = 20 UNION ALL SELECT zone_id, 1 FROM f_zone WHERE zone_id % 180 = 0",
     # stops: a third of the requests go by a waypoint
     "x_stop": """
 SELECT request_id, 0 AS seq, origin AS node_id FROM f_request
 UNION ALL SELECT request_id, 1, (origin * 3 + destination) % n.c FROM f_request CROSS JOIN (SELECT COUNT(*) AS c FROM f_node) n WHERE request_id % 3 = 0
 UNION ALL SELECT request_id, 2, destination FROM f_request
 """,
-    "x_condition": "SELECT zone_id, 1.0E0 + CAST(zone_id % 90 AS DOUBLE) / 40.0 AS delay_factor FROM f_zone WHERE zone_id % 60 = 0",
+    "x_condition": "SELECT zone_id, CONCAT('slow at ', CAST(zone_id % 7 AS VARCHAR(20))) AS label, 1.0E0 + CAST(zone_id % 90 AS DOUBLE) / 40.0 AS delay_factor FROM f_zone WHERE zone_id % 60 = 0",
     "x_detour": "SELECT zone_id, CASE WHEN zone_id % 40 = 0 THEN 1.0E0 + CAST(zone_id % 7 AS DOUBLE) / 10.0 END AS detour_factor FROM f_zone",
     "x_ban": "SELECT z.zone_id, c.country FROM f_zone z JOIN f_country c ON (z.zone_id / 20 + c.country_key) % 3 <> 0 WHERE z.zone_id % 80 = 0",
     "x_border_status": """
