@@ -19,6 +19,7 @@ PREFIXES = (4, 5, 6, 7, 8, 9)  # bytes
 WIDTH = 1 + len(PREFIXES)  # a word and its prefixes; as many columns again say that one occurs twice
 SPAN = 2 * WIDTH * BUCKETS  # features
 LEXICON_SUPPORT = 5
+BROADCAST_LABELS = 2_000_000  # two numbers each
 #: The classifier uses features whose share of the labelled rows differs between the classes by so many deviations.
 DEVIATIONS = 4.0
 ROUNDS, SHRINK = 40, 1e-3  # of the classifier's fit, and its ridge penalty
@@ -131,15 +132,20 @@ class ToxicityModel:
         return 1 / (1 + np.exp(-np.clip(total, -30, 30)))
 
 
-def labelled(docs: DataFrame, labels: DataFrame, key: str, text: str, toxic: str) -> DataFrame:
-    """(text, y) of every row, y null where the row has no label."""
-    held = labels.select(labels[key].alias("key"), labels[toxic].cast("int").alias("y")).where("key is not null and y in (0, 1)").groupBy("key").agg(F.max("y").alias("y"))
+def classes_of(labels: DataFrame, key: str, toxic: str) -> DataFrame:
+    """(key, y): one label for each key, 1 if it has both."""
+    return labels.select(labels[key].alias("key"), labels[toxic].cast("int").alias("y")).where("key is not null and y in (0, 1)").groupBy("key").agg(F.max("y").alias("y"))
+
+
+def labelled(docs: DataFrame, held: DataFrame, key: str, text: str) -> DataFrame:
+    """(text, y) of every row with a label. Up to BROADCAST_LABELS labels go to the texts; more meet the texts of their own keys in a shuffle."""
+    few = held.limit(BROADCAST_LABELS + 1).count() <= BROADCAST_LABELS
     rows = docs.select(docs[key].alias("key"), docs[text].cast("string").alias("text"))
-    return rows.join(held, "key", "left").select("text", "y")
+    return rows.join(F.broadcast(held) if few else held, "key").select("text", "y")
 
 
 def feature_counts(rows: DataFrame) -> DataFrame:
-    """(feature, one, zero): rows of each class that have a feature, over all labelled rows; feature SPAN counts the rows. Each task adds up its own first."""
+    """(feature, one, zero): rows (text, y) of each class that have a feature; feature SPAN counts the rows. Each task adds up its own first."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals = np.zeros((2, SPAN + 1), np.int32)
@@ -153,7 +159,7 @@ def feature_counts(rows: DataFrame) -> DataFrame:
         at = np.flatnonzero(totals.any(axis=0))
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(totals[1, at].astype(np.int64)), pa.array(totals[0, at].astype(np.int64))], ["feature", "one", "zero"])
 
-    return rows.where("y is not null").mapInArrow(run, "feature int, one long, zero long").groupBy("feature").agg(F.sum("one").alias("one"), F.sum("zero").alias("zero"))
+    return rows.mapInArrow(run, "feature int, one long, zero long").groupBy("feature").agg(F.sum("one").alias("one"), F.sum("zero").alias("zero"))
 
 
 def mine(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -225,28 +231,9 @@ class LabelModel:
         return 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
 
 
-def vote_patterns(rows: DataFrame, lexicon: np.ndarray) -> DataFrame:
-    """(votes, y, n) over every row, y −1 without a label; each task adds up its own patterns first."""
-    entries, size = np.flatnonzero(lexicon), len(lexicon)
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flags = np.zeros(size, bool)
-        flags[entries] = True
-        seen: dict[tuple[int, int], int] = {}
-        for block in blocks(batches, "text"):
-            row, words, buckets = features(block)
-            bits = fixed_votes(block, row, words) | mined_votes(block.n, *distinct_features(row, buckets, flags), flags)
-            pairs, count = np.unique(np.stack([bits, block.batch.column(1).to_numpy(zero_copy_only=False)]), axis=1, return_counts=True)
-            for pattern, y, n in zip(*pairs.tolist(), count.tolist(), strict=True):
-                seen[pattern, y] = seen.get((pattern, y), 0) + n
-        yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in seen], pa.int64()), pa.array([y for _, y in seen], pa.int32()), pa.array(list(seen.values()), pa.int64())], ["votes", "y", "n"])
-
-    known = rows.select("text", F.coalesce("y", F.lit(-1)).alias("y"))
-    return known.mapInArrow(run, "votes long, y int, n long").groupBy("votes", "y").agg(F.sum("n").alias("n"))
-
-
-def instances(rows: DataFrame, lexicon: np.ndarray, used: np.ndarray, model: LabelModel) -> DataFrame:
-    """(target, features) of every row: its label where it has one, else the label model's posterior of its votes; places in ``used``."""
+def described(docs: DataFrame, key: str, text: str, lexicon: np.ndarray, used: np.ndarray) -> DataFrame:
+    """(key, votes, features) of every row: all voters' votes, and the row's features as places in ``used``."""
+    kind = dict(docs.dtypes)[key]
     entries, size = np.flatnonzero(lexicon), len(lexicon)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -258,15 +245,13 @@ def instances(rows: DataFrame, lexicon: np.ndarray, used: np.ndarray, model: Lab
         for block in blocks(batches, "text"):
             row, words, buckets = features(block)
             doc, found = distinct_features(row, buckets, both)
-            y = block.batch.column(1).to_numpy(zero_copy_only=False)
             votes = fixed_votes(block, row, words) | mined_votes(block.n, doc, found, flags)
-            target = np.where(y >= 0, y, model.posterior(votes))
             doc, found = doc[wanted[found]], found[wanted[found]]
             bounds = np.searchsorted(doc, np.arange(block.n + 1)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(target), pa.ListArray.from_arrays(pa.array(bounds), pa.array(place[found]))], ["target", "features"])
+            yield pa.RecordBatch.from_arrays([block.batch.column(0), pa.array(votes), pa.ListArray.from_arrays(pa.array(bounds), pa.array(place[found]))], ["key", "votes", "features"])
 
-    known = rows.select("text", F.coalesce("y", F.lit(-1)).alias("y"))
-    return known.mapInArrow(run, "target double, features array<int>")
+    rows = docs.select(docs[key].alias("key"), docs[text].cast("string").alias("text"))
+    return rows.mapInArrow(run, f"key {kind}, votes long, features array<int>")
 
 
 def fit_linear(table: DataFrame, used: np.ndarray) -> tuple[np.ndarray, float]:
@@ -292,14 +277,17 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text:
 
     ``docs`` are the rows whose labels may be used. Every step covers every row: the mined lexicons and
     the classifier's features are counted over all labelled rows, the label model has all votes and all
-    labels, and the classifier is fitted on all rows, labelled or not. The driver holds counts by feature
-    (SPAN at most), vote patterns and weights, no rows. Null and empty texts are rows without features;
+    labels, and the classifier is fitted on all rows, a labelled one with its label as the posterior. Texts
+    are read twice; labels join the rows' votes and few features by key, so the text of a row without
+    a label is never shuffled. The driver holds counts by feature (SPAN at most), vote patterns and
+    weights, no rows. Null and empty texts are rows without features;
     repeated rows count each; a key with two labels counts as toxic; labels of unknown keys are left
     out. Without labels of both classes no feature is told apart and every text gets the same low score.
     """
-    rows = labelled(docs, labels, key, text, toxic)
-    lexicon, used = mine(written(feature_counts(rows), "feature_counts"))
-    table = vote_patterns(rows, lexicon).toPandas()
+    held = written(classes_of(labels, key, toxic), "classes")
+    lexicon, used = mine(written(feature_counts(labelled(docs, held, key, text)), "feature_counts"))
+    rows = written(described(docs, key, text, lexicon, used), "votes").join(held, "key", "left").withColumn("y", F.coalesce("y", F.lit(-1)))
+    table = rows.groupBy("votes", "y").agg(F.count("*").alias("n")).toPandas()
     rate = labels.agg(F.avg(labels[toxic].cast("double"))).first()[0] or 0.05
     # labelled rows weigh as much as they stand for
     share = lambda y, n: np.where(y == 1, rate / max(1, n[y == 1].sum()), (1 - rate) / max(1, n[y == 0].sum()))
@@ -311,7 +299,10 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text:
     accuracies = {v: (float(a), float(b)) for v, a, b in zip(VOTERS, *model.rates, strict=True)}
     if not len(used):
         return ToxicityModel(np.zeros(SPAN), -3.0, accuracies, model.correlations)
-    weights, bias = fit_linear(written(instances(rows, lexicon, used, model), "instances"), used)
+    patterns = every.index.to_numpy(np.int64)
+    judged = docs.sparkSession.createDataFrame(list(zip(patterns.tolist(), model.posterior(patterns).tolist(), strict=True)), "votes long, posterior double")
+    target = F.when(F.col("y") >= 0, F.col("y").cast("double")).otherwise(F.col("posterior"))
+    weights, bias = fit_linear(written(rows.join(F.broadcast(judged), "votes").select(target.alias("target"), "features"), "instances"), used)
     return ToxicityModel(weights, bias, accuracies, model.correlations)
 
 

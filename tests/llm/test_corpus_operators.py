@@ -20,7 +20,7 @@ from freightgraph.llm.packing import Encoder, lengths, pack_documents
 from freightgraph.llm.sharding import feistel, shard_rows
 from freightgraph.llm.near_dedup import Sets, drop_near_duplicates, exact_forest, near_duplicate_groups, shingle_sets
 from freightgraph.llm.simhash import fingerprint, forest, near_duplicates
-from freightgraph.llm.toxicity import VOTERS, LabelModel, feature_counts, fit_toxicity, labelled, score_toxicity
+from freightgraph.llm.toxicity import VOTERS, LabelModel, classes_of, feature_counts, fit_toxicity, labelled, score_toxicity
 from freightgraph.llm.url_filter import Rule, filter_urls, split_url
 
 DATA = "/root/testdata/sf0.001"
@@ -651,7 +651,7 @@ def test_classifier_learns_from_unlabelled_rows(spark):
 def test_feature_counts_equal_plain_count(spark, docs, texts):
     """Rows of each class that have a word or prefix once, and twice or more, by brute force."""
     labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{DATA}/labels.parquet").collect() if r["toxic"] is not None}
-    got = {r["feature"]: (r["one"], r["zero"]) for r in feature_counts(labelled(docs, spark.read.parquet(f"{DATA}/labels.parquet"), "doc_id", "text", "toxic")).collect()}
+    got = {r["feature"]: (r["one"], r["zero"]) for r in feature_counts(labelled(docs, classes_of(spark.read.parquet(f"{DATA}/labels.parquet"), "doc_id", "toxic"), "doc_id", "text")).collect()}
     want = defaultdict(lambda: [0, 0])
     word = re.compile(rb"[A-Za-z\x80-\xff]+")
     for i, y in labels.items():
