@@ -6,19 +6,46 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from freightgraph.functions.geo import cell_center, haversine_km
+from freightgraph.functions.scratch import written
 from freightgraph.operators.components import connected_components
 from freightgraph.operators.spatial import point_in_ring, ring_edges
 
 RES = 0.1
 
 
-def knn_hubs(spokes: DataFrame, hubs: DataFrame, k: int = 3) -> DataFrame:
-    """(src, dst, km): the k nearest hubs of each spoke. The hubs are a small side by nature (airports); each spoke's list is cut as it is made."""
-    pairs = spokes.select(F.col("node_id").alias("src"), F.col("lat").alias("lat1"), F.col("lon").alias("lon1")).crossJoin(
-        hubs.select(F.col("node_id").alias("dst"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2")))
-    near = pairs.select("src", "dst", haversine_km("lat1", "lon1", "lat2", "lon2").alias("km"))
+HALF_EARTH_KM = 20_100.0
+
+
+def nearest(points: DataFrame, targets: DataFrame, k: int) -> DataFrame:
+    """(src, dst, km): the k nearest targets of each point, itself aside; ties by id. Both: node_id, lat, lon.
+
+    Rings of growing width are searched through grid cells. A point is done with the first ring that
+    holds k targets, so only what lies in thinly settled parts goes on to wider rings; the first is as
+    wide as holds some k of the targets if they were spread evenly.
+    """
+    n = targets.count()
+    if not n:
+        return points.sparkSession.createDataFrame([], "src long, dst long, km double")
+    radius, left, found = max(25.0, 2 * 6371.0 * (2.0 * k / n) ** 0.5), points, None
     w = Window.partitionBy("src").orderBy(F.round("km", 6), "dst")
-    return near.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k).drop("r")
+    while True:
+        last = radius >= HALF_EARTH_KM
+        pairs = pairs_within(left, targets, HALF_EARTH_KM if last else radius).where("src != dst")
+        ranked = written(pairs.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k), "nearest")
+        done = ranked if last else ranked.join(ranked.where(F.col("r") == k).select("src"), "src", "left_semi")
+        found = done if found is None else found.unionByName(done)
+        if last:
+            break
+        left = left.join(ranked.where(F.col("r") == k).select(F.col("src").alias("node_id")), "node_id", "left_anti")
+        if left.isEmpty():
+            break
+        radius *= 3
+    return found.drop("r")
+
+
+def knn_hubs(spokes: DataFrame, hubs: DataFrame, k: int = 3) -> DataFrame:
+    """(src, dst, km): the k nearest hubs of each spoke."""
+    return nearest(spokes, hubs, k)
 
 
 def air_mesh(hubs: DataFrame) -> DataFrame:
@@ -26,8 +53,8 @@ def air_mesh(hubs: DataFrame) -> DataFrame:
     return hubs.select(F.col("node_id").alias("src")).join(hubs.select(F.col("node_id").alias("dst")), F.col("src") < F.col("dst"))
 
 
-def near_pairs(points: DataFrame, max_km: float, same: str | None = None) -> DataFrame:
-    """(src, dst, km): ordered pairs within max_km, through grid cells of that size. points: node_id, lat, lon, and ``same`` to agree on."""
+def pairs_within(points: DataFrame, targets: DataFrame, max_km: float, same: str | None = None) -> DataFrame:
+    """(src, dst, km) within max_km, through grid cells of that size. Both: node_id, lat, lon, and ``same`` to agree on."""
     deg = max_km / 111.0
     span = max(1, round(360 / deg))
     reach = F.least(F.lit(span), F.ceil(1 / F.greatest(F.cos(F.radians(F.least(F.abs(F.col("lat")) + deg, F.lit(89.0)))), F.lit(0.02))).cast("int"))
@@ -35,9 +62,14 @@ def near_pairs(points: DataFrame, max_km: float, same: str | None = None) -> Dat
     on = [same] if same else []
     a = points.select(F.col("node_id").alias("src"), "lat", "lon", *on, F.explode(F.sequence(-reach, reach)).alias("dx")).select("*", F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1))).alias("dy"))
     a = a.select("src", F.col("lat").alias("lat1"), F.col("lon").alias("lon1"), *on, F.pmod(cell("lon") + F.col("dx"), F.lit(span)).alias("cx"), (cell("lat") + F.col("dy")).alias("cy")).distinct()
-    b = points.select(F.col("node_id").alias("dst"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"), *on, F.pmod(cell("lon"), F.lit(span)).alias("cx"), cell("lat").alias("cy"))
+    b = targets.select(F.col("node_id").alias("dst"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"), *on, F.pmod(cell("lon"), F.lit(span)).alias("cx"), cell("lat").alias("cy"))
     km = haversine_km("lat1", "lon1", "lat2", "lon2")
-    return a.join(b, ["cx", "cy", *on]).where("src != dst").select("src", "dst", km.alias("km")).where(F.col("km") <= max_km)
+    return a.join(b, ["cx", "cy", *on]).select("src", "dst", km.alias("km")).where(F.col("km") <= max_km)
+
+
+def near_pairs(points: DataFrame, max_km: float, same: str | None = None) -> DataFrame:
+    """(src, dst, km): ordered pairs of different places within max_km."""
+    return pairs_within(points, points, max_km, same).where("src != dst")
 
 
 def truck_candidates(node: DataFrame, max_km: float = 700, k: int = 12) -> DataFrame:
@@ -47,30 +79,13 @@ def truck_candidates(node: DataFrame, max_km: float = 700, k: int = 12) -> DataF
     return near.groupBy(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).agg(F.min("km").alias("straight_km")).select(F.col("a").alias("src"), F.col("b").alias("dst"), "straight_km")
 
 
-def sea_candidates(ports: DataFrame, curated: DataFrame, k: int = 12, max_km: float = 20100.0) -> DataFrame:
-    """(src, dst): each port's k nearest ports, without the pairs already curated. Nearest at any distance, so widening rings are searched until every port has its k."""
-    w = Window.partitionBy("src").orderBy(F.round("km", 6), "dst")
-    radius, left, found = 700.0, ports, None
-    total = ports.count()
-    need = min(k, total - 1)
-    while True:
-        b = ports if radius < max_km else None
-        pairs = near_pairs(ports, min(radius, max_km)) if b is not None else _all_pairs(ports)
-        found = pairs.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k)
-        done = found.groupBy("src").count().where(F.col("count") >= need).count()
-        if done >= total or radius >= max_km:
-            break
-        radius *= 3
-    pairs = found.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
+def sea_candidates(ports: DataFrame, curated: DataFrame, k: int = 12) -> DataFrame:
+    """(src, dst): each port's k nearest ports at any distance, without the pairs already curated."""
+    pairs = nearest(ports, ports, k).select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
     have = curated.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"))
     return pairs.join(have, ["src", "dst"], "left_anti")
 
 
-def _all_pairs(ports: DataFrame) -> DataFrame:
-    other = ports.select(F.col("node_id").alias("dst"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"))
-    return ports.select(F.col("node_id").alias("src"), "lat", "lon").join(other, F.col("src") != F.col("dst")).select("src", "dst", haversine_km("lat", "lon", "lat2", "lon2").alias("km"))
-
-
 def sea_candidate_filter(candidate: DataFrame, node: DataFrame, snap_km: float = 75.0, ratio: float = 3.0) -> DataFrame:
     """(src, dst, km): routed lanes that end near their ports and are at most ``ratio`` times the straight way. candidate: src, dst, pos, lon, lat; a lane without points was not routable."""
     w = Window.partitionBy("src", "dst").orderBy("pos")

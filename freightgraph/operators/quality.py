@@ -136,17 +136,32 @@ def check_scores(node: DataFrame, scores: DataFrame, override: DataFrame, bonus:
         _rows(override.where("not (fixed between 0 and 100)"), "override off the scale", "node_id", "fixed"), _unknown(bonus, "node_id", node, "node_id", "bonus of unknown node"))
 
 
+def off_medium(samples: DataFrame, land: DataFrame) -> DataFrame:
+    """Samples of sea, rail and truck legs with ``is_bad``: off their medium, on land at sea, off land on rails and roads. Flights have none and are left out.
+
+    samples: edge_id, mode, seg, s, …; land: (edge_id, seg, s) of the samples on land.
+    """
+    on = land.select("edge_id", "seg", "s").distinct().withColumn("_land", F.lit(True))
+    met = samples.where("mode != 'air'").join(on, ["edge_id", "seg", "s"], "left")
+    return met.withColumn("is_bad", (F.col("mode") == "sea") == F.col("_land").isNotNull()).drop("_land")
+
+
 def audit_medium(samples: DataFrame, tolerance_km: float = 25.0) -> DataFrame:
     """Legs with a stretch of over 25 km off their medium, the worst first. samples: edge_id, seg, s, lon, lat, step_km, is_bad."""
     run = longest_bad_run(samples).where(F.col("km") > tolerance_km)
     return run.orderBy(F.desc("km"))
 
 
-def audit_endpoints(samples: DataFrame, edge: DataFrame, tolerance_km: float = 25.0) -> DataFrame:
-    """(node_id, km): places from which a leg runs off its medium for over 25 km, with the longest such stretch."""
+def audit_endpoints(samples: DataFrame, edge: DataFrame, port_on_land: DataFrame, tolerance_km: float = 25.0) -> DataFrame:
+    """(check, node_id, km): places from which a sea lane runs over land for over 25 km, with the longest such stretch, and seaports off the water.
+
+    samples: of sea legs, as in ``audit_medium``; port_on_land: node_id.
+    """
     head = leading_run(samples).join(edge.select("edge_id", F.col("src").alias("node_id")), "edge_id")
     tail = leading_run(samples, from_tail=True).join(edge.select("edge_id", F.col("dst").alias("node_id")), "edge_id")
-    return head.unionByName(tail).groupBy("node_id").agg(F.max("km").alias("km")).where(F.col("km") > tolerance_km)
+    dry = head.unionByName(tail).groupBy("node_id").agg(F.max("km").alias("km")).where(F.col("km") > tolerance_km)
+    off = port_on_land.select(F.lit("port off water").alias("check"), "node_id", F.lit(None).cast("double").alias("km"))
+    return dry.select(F.lit("lane begins on land").alias("check"), "node_id", "km").unionByName(off)
 
 
 def audit_gaps(edge_point: DataFrame, max_km: float = 300.0) -> DataFrame:

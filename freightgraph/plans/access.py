@@ -149,6 +149,12 @@ def j8_break_of_gauge(t: Tables) -> DataFrame:
     return breaks(t)
 
 
+@query("""SELECT p.edge_id, CAST(2 - p.pos AS INTEGER) AS pos, p.lon, p.lat, CASE WHEN b.edge_id IS NULL THEN '' ELSE concat(b.to_mm, ' → ', b.from_mm) END AS gauge FROM f_edge_point p LEFT JOIN o_break b ON b.edge_id = p.edge_id""")
+def p7_reverse_leg(t: Tables) -> DataFrame:
+    points, gauge = pricing.reverse_leg(t.f_edge_point, breaks(t))
+    return points.join(gauge.select("edge_id", F.col("label").alias("gauge")), "edge_id", "left").select("edge_id", "pos", "lon", "lat", F.coalesce("gauge", F.lit("")).alias("gauge"))
+
+
 @query(f"""SELECT src, dst, round(km, 3) AS km FROM (SELECT a.node_id AS src, b.node_id AS dst, {km_sql('a.lat', 'a.lon', 'b.lat', 'b.lon')} AS km,
   row_number() OVER (PARTITION BY a.node_id ORDER BY round({km_sql('a.lat', 'a.lon', 'b.lat', 'b.lon')}, 6), b.node_id) AS r FROM f_node a JOIN f_node b ON b.kind = 'airport' WHERE a.kind <> 'airport') WHERE r <= 3""")
 def j9_knn_hubs(t: Tables) -> DataFrame:
@@ -170,7 +176,7 @@ def j11_truck_candidates(t: Tables) -> DataFrame:
 @query(f"""SELECT DISTINCT least(a, b) AS src, greatest(a, b) AS dst FROM (SELECT a.node_id AS a, b.node_id AS b, row_number() OVER (PARTITION BY a.node_id ORDER BY round({km_sql('a.lat', 'a.lon', 'b.lat', 'b.lon')}, 6), b.node_id) AS r
   FROM f_node a JOIN f_node b ON a.node_id <> b.node_id WHERE a.kind = 'seaport' AND b.kind = 'seaport') WHERE r <= 5 EXCEPT SELECT least(src, dst), greatest(src, dst) FROM f_edge""")
 def j12_sea_candidates(t: Tables) -> DataFrame:
-    return network.sea_candidates(t.f_node.where("kind = 'seaport'").select("node_id", "lat", "lon"), t.f_edge, 5)
+    return network.sea_candidates(t.f_node.where("kind = 'seaport'"), t.f_edge, 5)
 
 
 @query(f"""SELECT e.src, e.dst, round(k.km, 3) AS km FROM f_edge e JOIN o_km k ON k.edge_id = e.edge_id JOIN f_node a ON a.node_id = e.src JOIN f_node b ON b.node_id = e.dst
@@ -393,9 +399,11 @@ def r9_route_notes(t: Tables) -> DataFrame:
 
 
 @whole()
-@query("""SELECT DISTINCT l.request_id, l.objective, z.zone_id, d.depart + to_hours(l.eta_hours) BETWEEN z.active_from AND z.active_until AS active FROM o_eta l JOIN x_edge_zone x ON x.edge_id = l.edge_id JOIN f_zone z ON z.zone_id = x.zone_id JOIN x_depart d ON d.request_id = l.request_id WHERE z.access = 'hazard'""")
+@query("""SELECT *, CASE WHEN active THEN concat(label, ' — ', CASE hazard_kind WHEN 'earthquake' THEN 'active hazard, military transit only' WHEN 'volcano' THEN 'erupting — site closed to civilian cargo' WHEN 'wildfire' THEN 'active wildfire on this leg, expect disruption'
+  WHEN 'cyclone' THEN 'tropical cyclone on this leg, expect port closures and delay' WHEN 'flood' THEN 'flooding on this leg, expect road and rail disruption' WHEN 'navwarning' THEN 'navigational warning in force on this leg' WHEN 'conflict' THEN 'armed conflict on this leg, expect closures and war-risk premiums' END) ELSE label END AS note
+FROM (SELECT DISTINCT l.request_id, l.objective, z.zone_id, z.label, z.hazard_kind, d.depart + to_hours(l.eta_hours) BETWEEN z.active_from AND z.active_until AS active FROM o_eta l JOIN x_edge_zone x ON x.edge_id = l.edge_id JOIN f_zone z ON z.zone_id = x.zone_id JOIN x_depart d ON d.request_id = l.request_id WHERE z.access = 'hazard')""".replace("SELECT *, CASE", "SELECT request_id, objective, zone_id, active, CASE", 1))
 def r10_hazard_timing(t: Tables) -> DataFrame:
-    return routes.hazard_timing(legs_of(t), t.x_edge_zone, t.f_zone, t.x_depart).select("request_id", "objective", "zone_id", "active").distinct()
+    return routes.hazard_timing(legs_of(t), t.x_edge_zone, t.f_zone, t.x_depart)
 
 
 @whole()

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from freightgraph.functions import geo
-from freightgraph.operators import spatial
+from freightgraph.operators import quality, spatial
 from freightgraph.plans.tables import ORACLE_VIEWS, Tables, km_sql, query
 
 ORACLE_VIEWS |= {
@@ -146,11 +146,20 @@ def medium_samples(t: Tables) -> DataFrame:
     return s.join(land, "point_id", "left").select("edge_id", "seg", "s", "lon", "lat", "step_km", F.col("land").isNull().alias("is_bad"))
 
 
+def audited_samples(t: Tables) -> DataFrame:
+    """Samples of legs by their medium: bad on land at sea, bad off land on rails and roads."""
+    s = spatial.sample_polyline(t.f_edge_point, 20).withColumn("point_id", F.struct("edge_id", "seg", "s"))
+    return quality.off_medium(s, spatial.point_in_ring(s, t.f_zone_vertex).select("point_id.edge_id", "point_id.seg", "point_id.s"))
+
+
 ORACLE_VIEWS |= {
     "o_land_hit": f"SELECT p.edge_id, p.seg, p.s FROM o_sample p JOIN o_side ON {RING_HIT} GROUP BY p.edge_id, p.seg, p.s, zone_id HAVING count(*) % 2 = 1",
     "o_medium": "SELECT p.*, NOT EXISTS (SELECT 1 FROM o_land_hit h WHERE h.edge_id = p.edge_id AND h.seg = p.seg AND h.s = p.s) AS is_bad FROM o_sample p",
     "o_island": "SELECT *, sum(CAST(NOT is_bad AS INTEGER)) OVER w AS island, row_number() OVER w AS n FROM o_medium WINDOW w AS (PARTITION BY edge_id ORDER BY seg, s)",
     "o_run": "SELECT edge_id, island, sum(step_km) AS km, arg_min(lon, n) AS from_lon, arg_max(lon, n) AS to_lon, arg_min(lat, n) AS from_lat, arg_max(lat, n) AS to_lat, min(n) AS n FROM o_island WHERE is_bad GROUP BY edge_id, island",
+    "o_audit": "SELECT edge_id, mode, seg, s, lon, lat, step_km, (mode = 'sea') = (NOT is_bad) AS is_bad FROM o_medium WHERE mode <> 'air'",
+    "o_audit_island": "SELECT *, sum(CAST(NOT is_bad AS INTEGER)) OVER (PARTITION BY edge_id ORDER BY seg, s) AS island, sum(CAST(NOT is_bad AS INTEGER)) OVER (PARTITION BY edge_id ORDER BY seg DESC, s DESC) AS back FROM o_audit",
+    "o_audit_longest": "SELECT edge_id, mode, max(km) AS km FROM (SELECT edge_id, mode, island, sum(step_km) AS km FROM o_audit_island WHERE is_bad GROUP BY edge_id, mode, island) GROUP BY edge_id, mode",
     "o_longest": "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY edge_id ORDER BY round(km, 6) DESC, n) AS r FROM o_run) WHERE r = 1",
     "o_head": "SELECT edge_id, sum(step_km) AS km FROM o_island WHERE island = 0 GROUP BY edge_id",
     "o_tail": "SELECT edge_id, sum(step_km) AS km FROM (SELECT *, sum(CAST(NOT is_bad AS INTEGER)) OVER (PARTITION BY edge_id ORDER BY seg DESC, s DESC) AS back FROM o_medium) WHERE back = 0 GROUP BY edge_id",

@@ -9,8 +9,8 @@ from freightgraph.functions.geo import raster_cell
 from freightgraph.operators import network, quality
 from freightgraph.operators.components import connected_components
 from freightgraph.plans.feeds import NOW, now
-from freightgraph.plans.geometry import RING_HIT, medium_samples
-from freightgraph.plans.tables import ORACLE_VIEWS, ORACLES, Tables, query, whole
+from freightgraph.plans.geometry import RING_HIT, audited_samples
+from freightgraph.plans.tables import ORACLE_VIEWS, ORACLES, Tables, km_sql, query, whole
 from freightgraph.sources import feeds
 from freightgraph.streaming import refresh
 
@@ -98,12 +98,13 @@ def d11_check_borders(t: Tables) -> DataFrame:
     return quality.check_borders(b, t.f_node)
 
 
-@query(detail("""SELECT 'not a hazard' AS "check", zone_id AS key, access AS detail FROM f_zone WHERE access <> 'hazard' UNION ALL SELECT DISTINCT 'unknown leg', edge_id, edge_id FROM x_hazard_edge_zone WHERE edge_id % 13 = 0 UNION ALL SELECT DISTINCT 'unknown hazard', zone_id, zone_id FROM x_hazard_edge_zone WHERE zone_id % 100 = 0 AND zone_id <> 0"""))
+@query(detail("""SELECT 'not a hazard' AS "check", zone_id AS key, access AS detail FROM f_zone WHERE access <> 'hazard' AND zone_id % 100 <> 0 UNION ALL SELECT DISTINCT 'unknown leg', edge_id, edge_id FROM x_hazard_edge_zone WHERE edge_id % 13 = 0 UNION ALL SELECT DISTINCT 'unknown hazard', zone_id, zone_id FROM x_hazard_edge_zone WHERE zone_id % 100 = 0
+UNION ALL SELECT 'no circle', zone_id, hazard_kind FROM f_zone WHERE zone_id % 300 = 20 UNION ALL SELECT 'unknown kind', zone_id, 'flood2' FROM f_zone WHERE hazard_kind = 'flood' AND zone_id % 140 = 0 AND zone_id % 100 <> 0 UNION ALL SELECT 'duplicate hazard', zone_id, '2' FROM f_zone WHERE zone_id % 460 = 60 AND zone_id % 100 <> 0 UNION ALL SELECT 'not a hazard', zone_id, access FROM f_zone WHERE access <> 'hazard' AND zone_id % 460 = 60 AND zone_id % 100 <> 0"""))
 def d12_check_hazards(t: Tables) -> DataFrame:
-    hazards = t.f_zone.where("zone_id % 100 != 0").unionByName(t.f_zone.where("zone_id % 100 = 0").withColumn("zone_id", -F.col("zone_id")).withColumn("access", F.lit("hazard")))
-    found = quality.check_hazards(hazards, t.f_zone_mode, t.x_hazard_edge_zone, t.f_edge.where("edge_id % 13 != 0"))
-    lost = quality._rows(t.f_zone.where("zone_id % 100 = 0 and access != 'hazard'"), "not a hazard", "zone_id", "access")
-    return found.unionByName(lost)
+    z = t.f_zone.where("zone_id % 100 != 0")
+    hazards = z.unionByName(z.where("zone_id % 460 = 60")).withColumn("lat", F.when(F.col("zone_id") % 300 != 20, F.col("lat"))).withColumn(
+        "hazard_kind", F.when((F.col("hazard_kind") == "flood") & (F.col("zone_id") % 140 == 0), "flood2").otherwise(F.col("hazard_kind")))
+    return quality.check_hazards(hazards, t.f_zone_mode, t.x_hazard_edge_zone, t.f_edge.where("edge_id % 13 != 0"))
 
 
 @query(detail("""SELECT DISTINCT 'unknown country' AS "check", rule_id AS key, c AS detail FROM (SELECT rule_id, left_country AS c FROM f_border_rule UNION ALL SELECT rule_id, right_country FROM f_border_rule) WHERE c NOT IN (SELECT country FROM f_node WHERE node_id % 2 = 0) UNION ALL SELECT 'unknown mode', rule_id, 'barge' FROM f_border_rule WHERE mode = 'rail'"""))
@@ -112,15 +113,11 @@ def d13_check_restrictions(t: Tables) -> DataFrame:
     return quality.check_restrictions(rules, t.f_node.where("node_id % 2 = 0"))
 
 
-@query(detail("""SELECT DISTINCT 'no score' AS "check", country AS key, country AS detail FROM f_node WHERE country NOT IN (SELECT country FROM x_score) UNION ALL SELECT 'override of unknown node', node_id, node_id FROM x_override WHERE node_id % 5 = 0
+@query(detail("""SELECT DISTINCT 'no score' AS "check", country AS key, country AS detail FROM f_node WHERE node_id % 5 <> 0 AND country NOT IN (SELECT country FROM x_score) UNION ALL SELECT 'override of unknown node', node_id, node_id FROM x_override WHERE node_id % 5 = 0
 UNION ALL SELECT 'override off the scale', node_id, fixed + 40 FROM x_override WHERE fixed + 40 > 100 UNION ALL SELECT 'bonus of unknown node', node_id, node_id FROM x_bonus WHERE node_id % 5 = 0"""))
 def d14_check_scores(t: Tables) -> DataFrame:
-    countries = t.f_node.select(F.col("node_id"), "country")
     far = t.x_override.withColumn("fixed", F.col("fixed") + 40)
-    known = t.f_node.where("node_id % 5 != 0").select("node_id", "country")
-    found = quality.check_scores(known, t.x_score, far, t.x_bonus)
-    more = quality._unknown(countries.select("country").distinct(), "country", t.x_score, "country", "no score")
-    return found.unionByName(more).distinct()
+    return quality.check_scores(t.f_node.where("node_id % 5 != 0").select("node_id", "country"), t.x_score, far, t.x_bonus)
 
 
 @query(detail("""SELECT 'unknown source' AS "check", CAST(source AS VARCHAR) AS key, CASE WHEN source IN (1, 3) THEN 'stale' ELSE 'ok' END AS detail FROM x_outcome UNION ALL SELECT 'stale without rows', CAST(source AS VARCHAR), 'stale' FROM x_outcome WHERE source = 3 UNION ALL SELECT 'missing source', f, f FROM (VALUES ('usgs'), ('gdacs')) AS v(f)"""))
@@ -129,14 +126,19 @@ def d1_check_feed_status(t: Tables) -> DataFrame:
     return quality.check_feed_status(s, ("usgs", "gdacs"))
 
 
-@query("SELECT edge_id, round(km, 3) AS km FROM o_longest WHERE km > 25")
+@query("SELECT edge_id, round(km, 3) AS km FROM o_audit_longest WHERE km > 25")
 def d15_audit_medium(t: Tables) -> DataFrame:
-    return quality.audit_medium(medium_samples(t)).select("edge_id", F.round("km", 3).alias("km"))
+    return quality.audit_medium(audited_samples(t)).select("edge_id", F.round("km", 3).alias("km"))
 
 
-@query("SELECT node_id, round(max(km), 3) AS km FROM (SELECT e.src AS node_id, h.km FROM o_head h JOIN f_edge e ON e.edge_id = h.edge_id UNION ALL SELECT e.dst, h.km FROM o_tail h JOIN f_edge e ON e.edge_id = h.edge_id) GROUP BY node_id HAVING max(km) > 25")
+@query(f"""SELECT 'lane begins on land' AS "check", node_id, round(max(km), 3) AS km FROM (SELECT e.src AS node_id, h.km FROM (SELECT edge_id, sum(step_km) AS km FROM o_audit_island WHERE island = 0 AND mode = 'sea' GROUP BY edge_id) h JOIN f_edge e ON e.edge_id = h.edge_id
+  UNION ALL SELECT e.dst, h.km FROM (SELECT edge_id, sum(step_km) AS km FROM o_audit_island WHERE back = 0 AND mode = 'sea' GROUP BY edge_id) h JOIN f_edge e ON e.edge_id = h.edge_id) GROUP BY node_id HAVING max(km) > 25
+UNION ALL SELECT DISTINCT 'port off water', node_id, CAST(NULL AS DOUBLE) FROM (SELECT node_id, zone_id FROM f_node p JOIN o_side ON {RING_HIT} WHERE p.kind = 'seaport' GROUP BY node_id, zone_id HAVING count(*) % 2 = 1)""")
 def d16_audit_endpoints(t: Tables) -> DataFrame:
-    return quality.audit_endpoints(medium_samples(t), t.f_edge).select("node_id", F.round("km", 3).alias("km"))
+    ports = t.f_node.where("kind = 'seaport'").select(F.col("node_id").alias("point_id"), "lat", "lon")
+    dry = network.exact_land_test(ports, t.f_zone_vertex).where("is_land").select(F.col("point_id").alias("node_id"))
+    found = quality.audit_endpoints(audited_samples(t).where("mode = 'sea'"), t.f_edge, dry)
+    return found.select("check", "node_id", F.round("km", 3).alias("km"))
 
 
 @query(detail("SELECT 'gap' AS \"check\", edge_id AS key, concat(seg, ':', CAST(floor(round(seg_km, 6)) AS BIGINT)) AS detail FROM o_cut WHERE seg_km > 300 UNION ALL SELECT 'dateline', edge_id, CAST(seg AS VARCHAR) FROM o_cut WHERE abs(lon2 - lon) > 180"))
@@ -177,9 +179,10 @@ def n3_landmass_labels(t: Tables) -> DataFrame:
     return network.landmass_labels(land(t), RES)
 
 
-@query("""SELECT node_id, CAST(arg_min(ring, ring) AS INTEGER) AS ring FROM (SELECT n.node_id, greatest(abs(l.x - n.x), abs(l.y - n.y)) AS ring FROM (SELECT node_id, CAST(floor(lon + 180) AS INTEGER) AS x, CAST(floor(lat + 90) AS INTEGER) AS y FROM f_node) n JOIN o_land l ON abs(l.x - n.x) <= 4 AND abs(l.y - n.y) <= 4) GROUP BY node_id""")
+@query(f"""SELECT node_id, b.x AS x, b.y AS y, CAST(b.ring AS INTEGER) AS ring FROM (SELECT n.node_id, min({{'ring': greatest(abs(l.x - n.x), abs(l.y - n.y)), 'km': round({km_sql('n.lat', 'n.lon', 'l.y + 0.5e0 - 90', 'l.x + 0.5e0 - 180')}, 6), 'x': l.x, 'y': l.y}}) AS b
+FROM (SELECT node_id, lat, lon, CAST(floor(lon + 180) AS INTEGER) AS x, CAST(floor(lat + 90) AS INTEGER) AS y FROM f_node) n JOIN o_land l ON abs(l.x - n.x) <= 4 AND abs(l.y - n.y) <= 4 GROUP BY node_id)""")
 def n4_snap_to_land(t: Tables) -> DataFrame:
-    return network.snap_to_land(points_cells(t), land(t), res=RES).select("node_id", "ring")
+    return network.snap_to_land(points_cells(t), land(t), res=RES).select("node_id", F.col("x").cast("int").alias("x"), F.col("y").cast("int").alias("y"), "ring")
 
 
 @query(f"SELECT point_id, point_id IN (SELECT point_id FROM (SELECT point_id, zone_id FROM x_point p JOIN o_side ON {RING_HIT} GROUP BY ALL HAVING count(*) % 2 = 1)) AS is_land FROM x_point")
@@ -203,10 +206,9 @@ def n7_rank_keep(t: Tables) -> DataFrame:
     return network.rank_keep(t.f_edge.join(polyline_km(t.f_edge_point), "edge_id").select("src", "dst", "km"), 3).select("src", "dst")
 
 
-@query("SELECT l.edge_id FROM o_longest l JOIN f_edge e ON e.edge_id = l.edge_id WHERE e.mode = 'rail' AND km > 25")
+@query("SELECT edge_id FROM o_audit_longest WHERE mode = 'rail' AND km > 25")
 def n8_needs_geometry(t: Tables) -> DataFrame:
-    rail = t.f_edge.where("mode = 'rail'")
-    return quality.audit_medium(medium_samples(t).join(rail, "edge_id", "left_semi")).select("edge_id")
+    return quality.audit_medium(audited_samples(t).where("mode = 'rail'")).select("edge_id")
 
 
 @whole("""SELECT node, min(reach) AS component FROM (WITH RECURSIVE e AS (SELECT src AS a, dst AS b FROM f_edge WHERE mode = 'sea' UNION SELECT dst, src FROM f_edge WHERE mode = 'sea'),
@@ -231,13 +233,13 @@ def t1_refresh_source(t: Tables) -> DataFrame:
     return refreshed(t)
 
 
-ORACLE_VIEWS["o_status"] = f"""SELECT o.source, CASE WHEN ok THEN 'ok' WHEN coalesce(n, 0) > 0 THEN 'stale' ELSE 'unavailable' END AS status, CASE WHEN ok THEN {OUTCOME_NOW} + INTERVAL 24 HOUR ELSE until END AS expires, CASE WHEN ok THEN 0 ELSE coalesce(n, 0) END AS retained
+ORACLE_VIEWS["o_status"] = f"""SELECT o.source, CASE WHEN ok THEN 'ok' WHEN coalesce(n, 0) > 0 THEN 'stale' ELSE 'unavailable' END AS status, CASE WHEN ok THEN {OUTCOME_NOW} + INTERVAL 24 HOUR ELSE until END AS expires, CASE WHEN ok THEN 0 ELSE coalesce(n, 0) END AS retained, CASE WHEN ok THEN {OUTCOME_NOW} ELSE last_success END AS last_success
 FROM x_outcome o LEFT JOIN (SELECT source, count(*) AS n, min(active_until) AS until FROM o_refreshed WHERE retained GROUP BY source) h ON h.source = o.source"""
 
 
-@query("SELECT source, status, expires, retained FROM o_status")
+@query("SELECT source, status, last_success, expires, retained FROM o_status")
 def t2_source_status(t: Tables) -> DataFrame:
-    return refresh.source_status(t.x_outcome, refreshed(t), run_time()).drop("last_success")
+    return refresh.source_status(t.x_outcome, refreshed(t), run_time())
 
 
 @query("SELECT source, CASE WHEN expires <= TIMESTAMP '2024-01-06 12:30:00' THEN 'unavailable' ELSE status END AS freshness FROM o_status")
