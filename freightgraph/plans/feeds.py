@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from freightgraph.functions.scratch import shared_dir
 from freightgraph.operators import cluster, indices
 from freightgraph.plans.tables import ORACLE_VIEWS, Tables, km_sql, query
 from freightgraph.sources import feeds, sinks
 
 
+def now() -> F.Column:
+    return F.expr("TIMESTAMP_NTZ '2024-01-20 00:00:00'")
+
+
 @query("SELECT node_id, name, kind FROM f_node")
 def src1_read_nodes(t: Tables) -> DataFrame:
     n = t.f_node.select("node_id", "name", "kind")
@@ -29,17 +36,19 @@ def src3_quake_zones(t: Tables) -> DataFrame:
 
 
 @query("""SELECT concat('gdacs_', lower(event_type), '_', event_id) AS zone_id, CASE event_type WHEN 'TC' THEN 'cyclone' WHEN 'FL' THEN 'flood' ELSE 'volcano' END AS hazard_kind,
-CASE event_type WHEN 'TC' THEN CASE alert_level WHEN 'Red' THEN 500.0e0 ELSE 300.0e0 END WHEN 'FL' THEN CASE alert_level WHEN 'Red' THEN 150.0e0 ELSE 80.0e0 END ELSE CASE alert_level WHEN 'Red' THEN 100.0e0 ELSE 50.0e0 END END AS radius_km
+CASE event_type WHEN 'TC' THEN CASE alert_level WHEN 'Red' THEN 500.0e0 ELSE 300.0e0 END WHEN 'FL' THEN CASE alert_level WHEN 'Red' THEN 150.0e0 ELSE 80.0e0 END ELSE CASE alert_level WHEN 'Red' THEN 100.0e0 ELSE 50.0e0 END END AS radius_km,
+CASE event_type WHEN 'TC' THEN 'sea' WHEN 'FL' THEN 'truck,rail' END AS modes, CASE event_type WHEN 'TC' THEN 4.0e0 WHEN 'FL' THEN 3.0e0 ELSE 5.0e0 END AS surcharge, CASE event_type WHEN 'TC' THEN 25 WHEN 'FL' THEN 30 ELSE 20 END AS security, round(lat, 3) AS lat, round(lon, 3) AS lon
 FROM x_gdacs WHERE event_type <> 'XX' AND is_current = 'true'""")
 def src4_gdacs_zones(t: Tables) -> DataFrame:
-    return feeds.gdacs_zones(t.x_gdacs).select("zone_id", "hazard_kind", "radius_km")
+    return feeds.gdacs_zones(t.x_gdacs)
 
 
 @query("""SELECT concat('storm_', event_id, '_', h, 'h') AS zone_id, h > 0 AS forecast, CAST(floor(b + h * 1.6e0 + 0.5) AS BIGINT) AS radius_km, ts + to_hours(h) AS active_from, ts + to_hours(h + 24) AS active_until,
-  round(CASE WHEN h = 0 THEN lat ELSE degrees(asin(sin(radians(lat)) * cos(d) + cos(radians(lat)) * sin(d) * cos(hd))) END, 3) AS lat
-FROM (SELECT *, speed_kt * 1.852e0 * h / 6371.0e0 AS d, radians(heading) AS hd, CASE WHEN coalesce(intensity_kt, 0) >= 96 THEN 300 WHEN coalesce(intensity_kt, 0) >= 64 THEN 220 ELSE 150 END AS b FROM x_storm CROSS JOIN (SELECT unnest([0, 24, 48, 72]) AS h))""")
+  round(CASE WHEN h = 0 THEN lat ELSE degrees(p2) END, 3) AS lat,
+  round(CASE WHEN h = 0 THEN lon ELSE lon2 + 180 - 360 * floor((lon2 + 180) / 360) - 180 END, 3) AS lon, CAST(h AS INTEGER) AS lead_h
+FROM (SELECT *, degrees(radians(lon) + atan2(sin(hd) * sin(d) * cos(radians(lat)), cos(d) - sin(radians(lat)) * sin(p2))) AS lon2 FROM (SELECT *, asin(sin(radians(lat)) * cos(d) + cos(radians(lat)) * sin(d) * cos(hd)) AS p2 FROM (SELECT *, speed_kt * 1.852e0 * h / 6371.0e0 AS d, radians(heading) AS hd, CASE WHEN coalesce(intensity_kt, 0) >= 96 THEN 300 WHEN coalesce(intensity_kt, 0) >= 64 THEN 220 ELSE 150 END AS b FROM x_storm CROSS JOIN (SELECT unnest([0, 24, 48, 72]) AS h))))""")
 def src5_storm_zones(t: Tables) -> DataFrame:
-    return feeds.storm_zones(t.x_storm).select("zone_id", "forecast", "radius_km", "active_from", "active_until", "lat")
+    return feeds.storm_zones(t.x_storm)
 
 
 ORACLE_VIEWS |= {
@@ -50,10 +59,21 @@ ORACLE_VIEWS |= {
 }
 
 
-@query(f"""SELECT p.doc_id, c.n, round(clat, 3) AS lat, round(clon, 3) AS lon, CAST(floor(least(300, greatest(25, round(max({km_sql('lat', 'lon', 'clat', 'clon')}) + 25, 6))) + 0.5) AS BIGINT) AS radius_km
-FROM o_position p JOIN (SELECT doc_id, avg(lat) AS clat, avg(lon) AS clon, count(*) AS n FROM o_position GROUP BY doc_id) c ON c.doc_id = p.doc_id GROUP BY p.doc_id, c.n, clat, clon HAVING max({km_sql('lat', 'lon', 'clat', 'clon')}) <= 600""")
+_DTG = r"'^\s*(\d{6})Z\s+([A-Za-z]{3}\s+\d{4})\s*$'"
+DTG_SQL = f"try_strptime(regexp_extract(issued, {_DTG}, 1) || ' ' || regexp_extract(issued, {_DTG}, 2), '%d%H%M %b %Y')"
+
+
+@query(f"""SELECT lower(concat('navwarn_', w.nav_area, '_', w.msg_year, '_', w.msg_number)) AS zone_id, w.doc_id, concat('NAVAREA ', w.nav_area, ' warning — ', substr(trim(regexp_replace(w.text, '\\s+', ' ', 'g')), 1, 90)) AS label,
+  35 AS security, 'hazard' AS access, 2.0e0 AS surcharge_usd_per_km, 0.0e0 AS toll_usd, 'navwarning' AS hazard_kind, 'sea' AS modes, coalesce({DTG_SQL}, TIMESTAMP '2024-01-20 00:00:00') AS detected_at, z.n, z.lat, z.lon, z.radius_km FROM f_warning w JOIN
+(SELECT p.doc_id, c.n, round(clat, 3) AS lat, round(clon, 3) AS lon, CAST(floor(least(300, greatest(25, round(max({km_sql('lat', 'lon', 'clat', 'clon')}) + 25, 6))) + 0.5) AS BIGINT) AS radius_km
+FROM o_position p JOIN (SELECT doc_id, avg(lat) AS clat, avg(lon) AS clon, count(*) AS n FROM o_position GROUP BY doc_id) c ON c.doc_id = p.doc_id GROUP BY p.doc_id, c.n, clat, clon HAVING max({km_sql('lat', 'lon', 'clat', 'clon')}) <= 600) z ON z.doc_id = w.doc_id""")
 def src6_navwarning_zones(t: Tables) -> DataFrame:
-    return feeds.navwarning_zones(t.f_warning)
+    return feeds.navwarning_zones(t.f_warning, now())
+
+
+@query(f"SELECT doc_id, {DTG_SQL} AS at FROM f_warning")
+def src7_parse_dtg(t: Tables) -> DataFrame:
+    return t.f_warning.select("doc_id", feeds.parse_dtg(F.col("issued")).alias("at"))
 
 
 @query("SELECT event_id, round(lat, 6) AS lat, round(lon, 6) AS lon, frp FROM f_detection WHERE CASE confidence WHEN 'l' THEN 30 WHEN 'n' THEN 60 WHEN 'h' THEN 90 ELSE coalesce(try_cast(confidence AS DOUBLE), 0) END >= 50")
@@ -67,13 +87,9 @@ FROM (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY release_order
 ORACLE_VIEWS["o_conflict"] = CONFLICT_SQL
 
 
-def now() -> F.Column:
-    return F.expr("TIMESTAMP_NTZ '2024-01-20 00:00:00'")
-
-
-@query("SELECT event_id, deaths, country FROM o_conflict")
+@query("SELECT event_id, lat, lon, deaths, country FROM o_conflict")
 def src9_conflict_points(t: Tables) -> DataFrame:
-    return feeds.conflict_points(t.x_conflict, now()).select("event_id", "deaths", "country")
+    return feeds.conflict_points(t.x_conflict, now())
 
 
 ORACLE_VIEWS["o_base"] = """SELECT item, list_sort(list_distinct(list(cls))) AS classes, bool_or(coalesce(runway, FALSE)) AS has_runway, arg_min(name, k) AS name, arg_min(ctry, k) AS country, arg_min(point, k) AS point
@@ -113,21 +129,37 @@ def src14_read_tags(t: Tables) -> DataFrame:
     return feeds.read_edge_tags(t.f_edge.join(packed, "edge_id").select(F.concat_ws("|", F.col("src").cast("string"), F.col("dst").cast("string"), "mode").alias("leg_key"), "zones"))
 
 
-@query()
+ORACLE_VIEWS["o_hazard_ring"] = """SELECT zone_id, 'circle' AS shape, k AS pos, lon + radius_km / 111.32e0 / greatest(cos(radians(lat)), 0.05e0) * cos(2 * 3.141592653589793e0 * (k % 18) / 18) AS lon, lat + radius_km / 111.32e0 * sin(2 * 3.141592653589793e0 * (k % 18) / 18) AS lat
+FROM f_zone CROSS JOIN (SELECT unnest(range(0, 19)) AS k) UNION ALL SELECT zone_id, 'ring', pos, lon, lat FROM f_zone_vertex UNION ALL SELECT zone_id, 'ring', 1048576, lon, lat FROM f_zone_vertex WHERE pos = 0"""
+POINT_SQL = "'[' || CAST(round(lon, 4) AS VARCHAR) || ',' || CAST(round(lat, 4) AS VARCHAR) || ']'"
+
+
+@query("SELECT node_id, concat('{\"type\":\"Feature\",\"geometry\":{\"type\":\"Point\",\"coordinates\":', " + POINT_SQL + ", '},\"properties\":{\"id\":', node_id, ',\"name\":\"', name, '\",\"kind\":\"', kind, '\"}}') AS feature FROM f_node")
 def snk2_node_geojson(t: Tables) -> DataFrame:
     return sinks.to_geojson_points(t.f_node)
 
 
-@query("SELECT zone_id, 'circle' AS shape, 19 AS n_points FROM f_zone UNION ALL SELECT DISTINCT zone_id, 'ring', 5 FROM f_zone_vertex")
+@query("SELECT zone_id, shape, CAST(count(*) AS INTEGER) AS n_points, round(avg(round(lon, 4)) FILTER (WHERE pos <> last), 3) + 0.0e0 AS lon, round(avg(round(lat, 4)) FILTER (WHERE pos <> last), 3) + 0.0e0 AS lat, concat('{\"type\":\"Feature\",\"geometry\":{\"type\":\"Polygon\",\"coordinates\":[[', string_agg(" + POINT_SQL
+    + ", ',' ORDER BY pos), ']]},\"properties\":{\"id\":', zone_id, ',\"shape\":\"', shape, '\"}}') AS feature FROM (SELECT *, max(pos) OVER (PARTITION BY zone_id, shape) AS last FROM o_hazard_ring) GROUP BY zone_id, shape")
 def snk3_hazard_geojson(t: Tables) -> DataFrame:
-    return sinks.to_geojson_hazards(t.f_zone, t.f_zone_vertex).select("zone_id", "shape", "n_points")
+    return sinks.to_geojson_hazards(t.f_zone, t.f_zone_vertex)
 
 
-@query()
+@query("SELECT edge_id, CAST(count(*) AS INTEGER) AS parts, concat('{\"type\":\"Feature\",\"geometry\":{\"type\":\"MultiLineString\",\"coordinates\":[', string_agg(line, ',' ORDER BY part), ']},\"properties\":{\"id\":', edge_id, '}}') AS feature FROM (SELECT edge_id, part, '[' || string_agg(" + POINT_SQL
+    + ", ',' ORDER BY pos) || ']' AS line FROM o_parts GROUP BY edge_id, part) GROUP BY edge_id")
 def snk4_route_geojson(t: Tables) -> DataFrame:
     return sinks.to_geojson_routes(t.f_edge_point)
 
 
+@query("SELECT zone_id, source_no, radius_km FROM f_zone")
+def snk1_write_zones(t: Tables) -> DataFrame:
+    """Written to the shared folder in the order of ids, and read again."""
+    z = t.f_zone.select("zone_id", "source_no", "radius_km")
+    path = f"{shared_dir(t.spark)}/zones/{uuid.uuid4().hex}"
+    sinks.write_zones(z, path)
+    return t.spark.read.schema(z.schema).json(path)
+
+
 ORACLE_VIEWS["o_sanctions"] = "SELECT country, CAST(sum(designations) AS BIGINT) AS designations, count(*) AS programs FROM f_program p JOIN o_program_country c ON c.program_id = p.program_id GROUP BY country"
 
 
@@ -158,12 +190,12 @@ def a7_border_waits(t: Tables) -> DataFrame:
     return indices.border_waits(t.f_border_wait)
 
 
-@query("""SELECT border_id, least(count(*), 10) AS reports, 12.0e0 AS delay_hours FROM (SELECT event_id, event_type, border_id FROM f_detection JOIN (VALUES ('b1', 'click', '3'), ('b2', 'view', '5')) AS w(border_id, a, b) ON event_type = a AND CAST(event_id % 7 AS VARCHAR) = b
+@query("""SELECT border_id, least(count(*), 10) AS reports, 12.0e0 AS delay_hours, arg_max(concat('Report ', event_type, ' ', event_id % 7), {'t': ts, 'i': event_id}) AS headline FROM (SELECT event_id, event_type, ts, border_id FROM f_detection JOIN (VALUES ('b1', 'click', '3'), ('b2', 'view', '5')) AS w(border_id, a, b) ON event_type = a AND CAST(event_id % 7 AS VARCHAR) = b
 WHERE ts >= TIMESTAMP '2024-01-20 00:00:00' - INTERVAL 21 DAY AND ts <= TIMESTAMP '2024-01-20 00:00:00') GROUP BY border_id HAVING count(*) >= 2""")
 def a8_reported_closures(t: Tables) -> DataFrame:
     reports = t.f_detection.select(F.col("event_id").alias("report_id"), "ts", F.concat_ws(" ", F.lit("Report"), "event_type", (F.col("event_id") % 7).cast("string")).alias("title"))
     watch = t.spark.createDataFrame([("b1", "click"), ("b1", "3"), ("b2", "view"), ("b2", "5")], "border_id string, term string")
-    return indices.reported_closures(reports, watch, now()).drop("headline")
+    return indices.reported_closures(reports, watch, now())
 
 
 @query("""WITH s AS (SELECT choke_no, n_total, row_number() OVER (PARTITION BY choke_no ORDER BY period DESC) AS r FROM f_transit),
@@ -188,9 +220,9 @@ def a11_zone_counts(t: Tables) -> DataFrame:
     return indices.zone_counts(t.f_zone, "hazard_kind", 5)
 
 
-@query("""SELECT release, prec, n, round(n / sum(n) OVER w, 6) AS share, CAST(sum(n) OVER w AS BIGINT) AS total, CAST(datediff('day', min(lo) OVER w, max(hi) OVER w) AS BIGINT) AS span_days FROM (SELECT release_order AS release, where_prec AS prec, count(*) AS n, min(ts) AS lo, max(ts) AS hi FROM x_conflict GROUP BY ALL) WINDOW w AS (PARTITION BY release)""")
+@query("""SELECT release, prec, n, round(n / sum(n) OVER w, 6) AS share, CAST(sum(n) OVER w AS BIGINT) AS total, CAST(datediff('day', min(lo) OVER w, max(hi) OVER w) AS BIGINT) AS span_days, strftime(min(lo) OVER w, '%Y-%m-%d') AS oldest, strftime(max(hi) OVER w, '%Y-%m-%d') AS newest FROM (SELECT release_order AS release, where_prec AS prec, count(*) AS n, min(ts) AS lo, max(ts) AS hi FROM x_conflict GROUP BY ALL) WINDOW w AS (PARTITION BY release)""")
 def a12_release_profile(t: Tables) -> DataFrame:
-    return indices.release_profile(t.x_conflict.withColumnsRenamed({"release_order": "release", "where_prec": "prec"})).drop("oldest", "newest")
+    return indices.release_profile(t.x_conflict.withColumnsRenamed({"release_order": "release", "where_prec": "prec"})).withColumns({c: F.col(c).cast("string") for c in ("oldest", "newest")})
 
 
 @query("SELECT 'rows' AS metric, count(*) AS value FROM f_warning UNION ALL SELECT 'with_position', count(*) FROM f_warning UNION ALL SELECT 'areas', count(DISTINCT nav_area) FROM f_warning UNION ALL SELECT * FROM (SELECT concat('area:', nav_area), count(*) AS n FROM f_warning WHERE nav_area IS NOT NULL GROUP BY nav_area ORDER BY n DESC, nav_area LIMIT 8)")

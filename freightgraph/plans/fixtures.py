@@ -109,7 +109,10 @@ SELECT doc_id, lang AS nav_area, CONCAT(CASE WHEN doc_id % 3 = 0 THEN 'ROUTINE B
   LPAD(CAST(doc_id % 80 AS VARCHAR(20)), 2, '0'), '-', LPAD(CAST((doc_id * 7) % 60 AS VARCHAR(20)), 2, '0'), '.5',
   CASE WHEN doc_id % 2 = 0 THEN 'N ' ELSE 'S ' END,
   LPAD(CAST((doc_id * 13) % 180 AS VARCHAR(20)), 3, '0'), '-', LPAD(CAST((doc_id * 11) % 60 AS VARCHAR(20)), 2, '0'), '.0',
-  CASE WHEN doc_id % 5 < 2 THEN 'W' ELSE 'E' END, ' ', SUBSTRING(text, 1, 40)) AS text
+  CASE WHEN doc_id % 5 < 2 THEN 'W' ELSE 'E' END, ' ', text) AS text,
+  2024 - doc_id % 3 AS msg_year, doc_id % 900 AS msg_number,
+  CASE WHEN doc_id % 11 <> 0 THEN CONCAT(LPAD(CAST(doc_id % 28 + 1 AS VARCHAR(20)), 2, '0'), LPAD(CAST(doc_id % 24 AS VARCHAR(20)), 2, '0'), LPAD(CAST(doc_id % 60 AS VARCHAR(20)), 2, '0'), 'Z ',
+    CASE doc_id % 3 WHEN 0 THEN 'MAY' WHEN 1 THEN 'Jun' ELSE 'DEC' END, ' 2024') END AS issued
 FROM documents
 """,
     # shipment requests (origin, destination, sizing, month)

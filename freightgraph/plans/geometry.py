@@ -128,13 +128,16 @@ def p3_tag_edges(t: Tables) -> DataFrame:
     return spatial.tag_edges(t.f_edge_point, t.f_zone, t.f_zone_vertex, t.f_zone_mode)
 
 
-@query("""SELECT * FROM (WITH p AS (SELECT edge_id, CAST(pos AS DOUBLE) AS pos, (lon + 540) - 360 * floor((lon + 540) / 360) - 180 AS lon, lat FROM f_edge_point),
+ORACLE_VIEWS["o_parts"] = """SELECT * FROM (WITH p AS (SELECT edge_id, CAST(pos AS DOUBLE) AS pos, (lon + 540) - 360 * floor((lon + 540) / 360) - 180 AS lon, lat FROM f_edge_point),
 q AS (SELECT *, lag(lon) OVER w AS lon0, lag(lat) OVER w AS lat0, lag(pos) OVER w AS pos0 FROM p WINDOW w AS (PARTITION BY edge_id ORDER BY pos)),
 c AS (SELECT *, coalesce(CAST(abs(lon - lon0) > 180 AS INTEGER), 0) AS cut, CASE WHEN lon0 > 0 THEN 180.0e0 ELSE -180.0e0 END AS side FROM q),
 n AS (SELECT *, sum(cut) OVER (PARTITION BY edge_id ORDER BY pos) AS part FROM c),
 x AS (SELECT edge_id, part, (pos0 + pos) / 2 AS pos, side, lat0 + (lat - lat0) * (side - lon0) / (lon + 2 * side - lon0) AS lat_at FROM n WHERE cut = 1)
-SELECT edge_id, CAST(part AS BIGINT) AS part, pos, round(lon, 3) AS lon, round(lat, 3) AS lat FROM n UNION ALL SELECT edge_id, CAST(part - 1 AS BIGINT), pos, side, round(lat_at, 3) FROM x
-UNION ALL SELECT edge_id, CAST(part AS BIGINT), pos, -side, round(lat_at, 3) FROM x)""")
+SELECT edge_id, CAST(part AS BIGINT) AS part, pos, lon, lat FROM n UNION ALL SELECT edge_id, CAST(part - 1 AS BIGINT), pos, side, lat_at FROM x
+UNION ALL SELECT edge_id, CAST(part AS BIGINT), pos, -side, lat_at FROM x)"""
+
+
+@query("SELECT edge_id, part, pos, round(lon, 3) AS lon, round(lat, 3) AS lat FROM o_parts")
 def p4_split_antimeridian(t: Tables) -> DataFrame:
     return spatial.split_antimeridian(t.f_edge_point).select("edge_id", "part", "pos", F.round("lon", 3).alias("lon"), F.round("lat", 3).alias("lat"))
 

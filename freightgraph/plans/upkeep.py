@@ -252,9 +252,16 @@ def t4_merge_sources(t: Tables) -> DataFrame:
     return refresh.merge_sources(t.x_fetched.select("zone_id", "source"), t.x_previous.select("zone_id", "source"))
 
 
-@query("""SELECT run, CAST(sum(n) AS BIGINT) AS total, string_agg(concat(hazard_kind, ':', n), ',' ORDER BY concat(hazard_kind, ':', n)) AS kinds FROM (SELECT time_bucket(INTERVAL 6 HOUR, active_from, TIMESTAMP '2024-01-01') AS run, hazard_kind, count(*) AS n FROM f_zone GROUP BY ALL) GROUP BY run""")
+ORACLE_VIEWS["o_runs"] = """SELECT r.run, CAST(sum(n) AS BIGINT) AS total, string_agg(concat(hazard_kind, ':', n), ',' ORDER BY concat(hazard_kind, ':', n)) AS kinds, any_value(coalesce(m.notable, '')) AS notable
+FROM (SELECT run, hazard_kind, count(*) AS n FROM o_runzone GROUP BY ALL) r LEFT JOIN (SELECT run, string_agg(zone_id, ',' ORDER BY zone_id) AS notable FROM (SELECT run, zone_id, row_number() OVER (PARTITION BY run ORDER BY zone_id) AS k FROM o_runzone WHERE hazard_kind <> 'wildfire') WHERE k <= 40 GROUP BY run) m ON m.run = r.run GROUP BY r.run"""
+ORACLE_VIEWS["o_runzone"] = f"SELECT time_bucket(INTERVAL 6 HOUR, active_from, TIMESTAMP '2024-01-01') AS run, zone_id, hazard_kind FROM f_zone UNION ALL SELECT TIMESTAMP '2024-02-01 00:00:00', zone_id, hazard_kind FROM f_zone WHERE active_until > {OUTCOME_NOW}"
+
+
+@query("SELECT run, total, kinds, notable FROM o_runs ORDER BY run DESC LIMIT 1460")
 def t5_run_history(t: Tables) -> DataFrame:
-    return refresh.run_history(t.f_zone).select("run", "total", "kinds")
+    """The runs so far, and one more of the zones still running."""
+    stored = refresh.run_rows(t.f_zone, F.window("active_from", "6 hours")["start"])
+    return refresh.run_history(stored, refresh.expire_late(t.f_zone, run_time()), F.expr("TIMESTAMP '2024-02-01 00:00:00'"))
 
 
 @query("SELECT event_id, max(release_order) AS release_order FROM x_conflict GROUP BY event_id")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import unicodedata
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -86,13 +89,22 @@ def warning_positions(df: DataFrame) -> DataFrame:
     return at.select("doc_id", "place", degrees(1, 2, 3, "S").alias("lat"), degrees(4, 5, 6, "W").alias("lon")).where("abs(lat) <= 90 and abs(lon) <= 180")
 
 
-def navwarning_zones(df: DataFrame) -> DataFrame:
-    """(doc_id, n, lat, lon, radius_km): one circle round a hazard warning's positions; none if they lie over 600 km from their middle."""
+def navwarning_zones(df: DataFrame, now: Column) -> DataFrame:
+    """(zone_id, doc_id, label, security, access, surcharge_usd_per_km, toll_usd, hazard_kind, modes, detected_at, n, lat, lon, radius_km): one circle round a hazard warning's positions; none if they lie over 600 km from their middle.
+
+    df: doc_id, nav_area, msg_year, msg_number, issued, text. A label quotes the first 90 characters of the
+    text with its blanks run together; a warning without a readable time counts as seen ``now``.
+    """
     p = warning_positions(df.where(F.col("text").rlike(HAZARD_TERMS)))
     middle = p.groupBy("doc_id").agg(F.avg("lat").alias("c_lat"), F.avg("lon").alias("c_lon"), F.count("*").alias("n"))
     spread = p.join(middle, "doc_id").groupBy("doc_id", "c_lat", "c_lon", "n").agg(F.max(haversine_km("lat", "lon", "c_lat", "c_lon")).alias("spread"))
     radius = js_round(F.least(F.lit(300.0), F.greatest(F.lit(25.0), F.round(F.col("spread") + 25, 6))))
-    return spread.where("spread <= 600").select("doc_id", "n", F.round("c_lat", 3).alias("lat"), F.round("c_lon", 3).alias("lon"), radius.cast("long").alias("radius_km"))
+    quote = F.substring(F.trim(F.regexp_replace("text", r"\s+", " ")), 1, 90)
+    return spread.where("spread <= 600").join(df, "doc_id").select(
+        F.lower(F.concat_ws("_", F.lit("navwarn"), "nav_area", F.col("msg_year").cast("string"), F.col("msg_number").cast("string"))).alias("zone_id"), "doc_id",
+        F.concat(F.lit("NAVAREA "), "nav_area", F.lit(" warning — "), quote).alias("label"), F.lit(35).alias("security"), F.lit("hazard").alias("access"), F.lit(2.0).alias("surcharge_usd_per_km"),
+        F.lit(0.0).alias("toll_usd"), F.lit("navwarning").alias("hazard_kind"), F.lit("sea").alias("modes"), F.coalesce(parse_dtg(F.col("issued")), now).alias("detected_at"), "n",
+        F.round("c_lat", 3).alias("lat"), F.round("c_lon", 3).alias("lon"), radius.cast("long").alias("radius_km"))
 
 
 def parse_dtg(text: Column) -> Column:
@@ -105,7 +117,10 @@ def parse_dtg(text: Column) -> Column:
 
 
 def hotspot_points(df: DataFrame) -> DataFrame:
-    """(event_id, lat, lon, frp) of detections that are sure enough: letters or numbers, half at least."""
+    """(event_id, lat, lon, frp) of detections that are sure enough: letters or numbers, half at least. A feed without its columns is an error, not an empty one."""
+    missing = [c for c in ("event_id", "lat", "lon", "confidence", "frp") if c not in df.columns]
+    if missing:
+        raise ValueError(f"detections lack {', '.join(missing)}")
     c = F.trim("confidence")
     score = F.when(c == "l", 30.0).when(c == "n", 60.0).when(c == "h", 90.0).otherwise(F.coalesce(c.try_cast("double"), F.lit(0.0)))
     return df.where(F.col("lat").isNotNull() & F.col("lon").isNotNull() & (score >= 50)).select("event_id", "lat", "lon", F.coalesce("frp", F.lit(0.0)).alias("frp"))
@@ -161,19 +176,43 @@ def dedupe_near(df: DataFrame, ref: DataFrame, km: float = 3.0, key: str = "item
     return df.join(close, key, "left_anti")
 
 
+@functools.cache
+def _fold() -> tuple[str, str]:
+    """Characters that decompose into an ASCII one and marks, with that one; then the marks, which go."""
+    accented = {}
+    for c in map(chr, range(0xC0, 0x2000)):
+        parts = unicodedata.normalize("NFD", c)
+        if len(parts) > 1 and parts[0].isascii() and all("\u0300" <= m <= "\u036f" for m in parts[1:]):
+            accented[c] = parts[0]
+    marks = "".join(map(chr, range(0x300, 0x370)))
+    return "".join(accented) + marks, "".join(accented.values())
+
+
 def slug(name: Column) -> Column:
-    """ASCII letters and digits with underscores between, 48 characters at most; accents are folded."""
-    plain = F.translate(F.lower(name), "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy")
+    """ASCII letters and digits with underscores between, 48 characters at most; accents are folded by canonical decomposition."""
+    plain = F.lower(F.translate(name, *_fold()))
     return F.substring(F.regexp_replace(F.regexp_replace(plain, "[^a-z0-9]+", "_"), "^_+|_+$", ""), 1, 48)
 
 
 def assign_slugs(df: DataFrame, taken: DataFrame, order: str = "item") -> DataFrame:
-    """Add ``slug``: unique names; the second of a kind gets _2 and so on, also against those taken (slug)."""
-    used = taken.select(F.col("slug").alias("_s"), F.lit(1).alias("_taken")).distinct()
+    """Add ``slug``: unique names, also against those taken (slug).
+
+    The first row of a name keeps it, the others get _2, _3 and so on, past every number that makes a
+    taken slug or another row's own name: so no two final names are equal, whatever the order.
+    """
+    used = taken.select(F.col("slug").alias("_s")).distinct()
+    named = df.withColumn("_s", slug(F.col("name"))).where("_s != ''")
+    own = named.select("_s").distinct()
+    # numbers that are not free: (_s, numbers in order), of slugs that are another name, an underscore and a number
+    numbered = own.unionByName(used).distinct().select(F.regexp_extract("_s", r"^(.*)_(\d{1,9})$", 1).alias("_base"), F.regexp_extract("_s", r"^(.*)_(\d{1,9})$", 2).alias("_n"), "_s").where("_base != ''")
+    barred = numbered.where("_n = cast(cast(_n as int) as string) and cast(_n as int) >= 2").groupBy(F.col("_base").alias("_s")).agg(F.sort_array(F.collect_set(F.col("_n").cast("int"))).alias("_barred"))
     w = Window.partitionBy("_s").orderBy(order)
-    named = df.withColumn("_s", slug(F.col("name"))).where("_s != ''").join(used, "_s", "left")
-    n = F.row_number().over(w) + F.coalesce("_taken", F.lit(0))
-    return named.withColumn("slug", F.when(n == 1, F.col("_s")).otherwise(F.concat("_s", F.lit("_"), n.cast("string")))).drop("_s", "_taken")
+    rows = named.join(used.withColumn("_taken", F.lit(1)), "_s", "left").join(barred, "_s", "left")
+    rank = F.row_number().over(w) + F.coalesce("_taken", F.lit(0))
+    rows = rows.withColumn("_rank", rank)
+    free = F.aggregate(F.coalesce("_barred", F.array().cast("array<int>")), F.col("_rank"), lambda n, b: F.when(b <= n, n + 1).otherwise(n))
+    out = rows.withColumn("slug", F.when(F.col("_rank") == 1, F.col("_s")).otherwise(F.concat("_s", F.lit("_"), free.cast("string"))))
+    return out.select(*df.columns, "slug")
 
 
 def read_edge_tags(df: DataFrame) -> DataFrame:

@@ -43,7 +43,7 @@ def to_geojson_hazards(zone: DataFrame, vertices: DataFrame) -> DataFrame:
     line = F.transform("p", lambda x: F.array(x["lon"], x["lat"]))
     polygon = F.struct(F.lit("Polygon").alias("type"), F.array(line).alias("coordinates"))
     body = F.slice("p", 1, F.size("p") - 1)
-    mean = lambda f: F.round(F.aggregate(body, F.lit(0.0), lambda a, x: a + x[f]) / F.size(body), 3)
+    mean = lambda f: F.round(F.aggregate(body, F.lit(0.0), lambda a, x: a + x[f]) / F.size(body), 3) + 0.0
     return closed.select("zone_id", "shape", F.size("p").alias("n_points"), mean("lon").alias("lon"), mean("lat").alias("lat"), _feature(polygon, F.struct(F.col("zone_id").alias("id"), "shape")).alias("feature"))
 
 

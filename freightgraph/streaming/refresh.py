@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
 
+from freightgraph.functions.scratch import delete
 
 MAX_AGE_HOURS = 24
 HISTORY_CAP = 1460
@@ -63,16 +64,26 @@ def merge_sources(*zones: DataFrame) -> DataFrame:
     return out.orderBy("zone_id")
 
 
-def run_history(zone: DataFrame, hours: int = 6, notable: int = 40, cap: int = HISTORY_CAP) -> DataFrame:
-    """(run, total, kinds, notable): one row a six-hour run: zones in all and by kind, and its first events that are not wildfires; the last 1,460 runs."""
-    z = zone.withColumn("run", F.window("active_from", f"{hours} hours")["start"])
+def run_rows(zone: DataFrame, at: Column, notable: int = 40) -> DataFrame:
+    """(run, total, kinds, notable): one row for each value of ``at``: its zones in all and by kind, and its first by id that are not wildfires."""
+    z = zone.withColumn("run", at)
     w = Window.partitionBy("run").orderBy("zone_id")
     shown = z.where("hazard_kind != 'wildfire'").withColumn("r", F.row_number().over(w)).where(F.col("r") <= notable)
     names = shown.groupBy("run").agg(F.array_join(F.transform(F.array_sort(F.collect_list("zone_id")), lambda x: x.cast("string")), ",").alias("notable"))
     by_kind = z.groupBy("run", "hazard_kind").agg(F.count("*").alias("n"))
     kinds = by_kind.groupBy("run").agg(F.sum("n").alias("total"), F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "hazard_kind", F.col("n").cast("string")))), ",").alias("kinds"))
-    out = kinds.join(names, "run", "left").withColumn("notable", F.coalesce("notable", F.lit("")))
-    return out.orderBy(F.desc("run")).limit(cap)
+    return kinds.join(names, "run", "left").withColumn("notable", F.coalesce("notable", F.lit("")))
+
+
+def run_history(history: DataFrame, zone: DataFrame, now: Column, notable: int = 40, cap: int = HISTORY_CAP) -> DataFrame:
+    """The stored runs (run, total, kinds, notable) and the present one, of ``zone``; the last 1,460 of them.
+
+    A run without zones is a row, too. The cap is what the table is for: a year of four runs a day.
+    """
+    empty = zone.sparkSession.range(1).select(now.alias("run"), F.lit(0).cast("long").alias("total"), F.lit("").alias("kinds"), F.lit("").alias("notable"))
+    present = run_rows(zone, now, notable)
+    present = present.unionByName(empty.join(present.select(F.lit(1).alias("_some")).limit(1), F.lit(True), "left_anti"))
+    return history.select("run", "total", "kinds", "notable").unionByName(present).orderBy(F.desc("run")).limit(cap)
 
 
 def expire_late(zone: DataFrame, now: Column) -> DataFrame:
@@ -107,15 +118,35 @@ def stream_run_counts(events: DataFrame, delay: str = "1 day", hours: int = 6) -
 
 
 def write_last_good(zones: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Overwrite the table at each batch that has rows; an empty batch leaves it as it was."""
+    """Each batch that has rows becomes a version of its own under ``path``; an empty one leaves the table as it was.
+
+    A version counts once it is written whole (``read_last_good``), so a write that fails loses nothing;
+    a batch that runs again after a failure replaces its own version only. Older ones are deleted then.
+    """
 
-    def store(batch: DataFrame, _: int) -> None:
-        if not batch.isEmpty():
-            batch.write.mode("overwrite").parquet(path)
+    def store(batch: DataFrame, number: int) -> None:
+        if batch.isEmpty():
+            return
+        batch.write.mode("overwrite").parquet(f"{path}/version={number:012d}")
+        for old in last_good_versions(batch.sparkSession, path)[:-1]:
+            delete(batch.sparkSession, old)
 
     return zones.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def last_good_versions(spark: SparkSession, path: str) -> list[str]:
+    """Folders of the whole versions, oldest first."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = files.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/version=*/_SUCCESS")) or []
+    return sorted(str(f.getPath().getParent()) for f in found)
+
+
+def read_last_good(spark: SparkSession, path: str) -> DataFrame:
+    """The newest whole version."""
+    return spark.read.parquet(last_good_versions(spark, path)[-1])
+
+
 class SourceStatus(StatefulProcessor):
     """Status of each source from its run outcomes, with the last success kept for a day."""
 
