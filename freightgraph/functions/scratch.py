@@ -33,7 +33,7 @@ def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """
     spark = df.sparkSession
     path = f"{_scopes[-1] if _scopes else shared_dir(spark) + '/tables'}/{uuid.uuid4().hex}/{name}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
