@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -9,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-BLOCK_BYTES = 1 << 19
+BLOCK_BYTES = 1 << 18
 U64 = np.uint64
 _BASE = U64(0x9E3779B97F4A7C15)
 _BASE_INVERSE = U64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -33,7 +36,10 @@ class Block:
 
 
 def blocks(batches: Iterable[pa.RecordBatch], column: str, limit: int = BLOCK_BYTES) -> Iterator[Block]:
-    """Blocks of at most ``limit`` bytes of text (a longer text is a block of its own); null counts as empty."""
+    """Blocks of at most ``limit`` bytes of text (a longer text is a block of its own); null counts as empty.
+
+    When a task's rows are through, its Python worker, which Spark keeps for the next task, gives free memory back.
+    """
     for batch in batches:
         texts = pc.fill_null(batch.column(batch.schema.get_field_index(column)), "")
         if isinstance(texts, pa.ChunkedArray):
@@ -47,6 +53,16 @@ def blocks(batches: Iterable[pa.RecordBatch], column: str, limit: int = BLOCK_BY
             j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + limit, "right")) - 1)
             yield Block(batch.slice(i, j - i), data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
             i = j
+        batch = texts = at = raw = offsets = data = None
+    trim()
+
+
+def trim() -> None:
+    """Give memory that is free back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -20,7 +20,7 @@ from freightgraph.llm.blocks import Block, blocks
 
 MAX_LENGTH = 2048
 END_ID = 1
-CACHE_WORDS = 150_000
+CACHE_WORDS = 80_000
 
 
 class WordIds(dict):
