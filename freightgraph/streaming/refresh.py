@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.streaming.query import StreamingQuery
 
 from freightgraph.functions.scratch import delete
@@ -147,31 +147,26 @@ def read_last_good(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(last_good_versions(spark, path)[-1])
 
 
-class SourceStatus(StatefulProcessor):
-    """Status of each source from its run outcomes, with the last success kept for a day."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.success = handle.getValueState("last_success", "at timestamp", ttlDurationMs=MAX_AGE_HOURS * 3_600_000)
-
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:  # noqa: N802
-        last = None
-        for pdf in rows:
-            for row in pdf.sort_values("ts").itertuples():
-                last = row
-                if row.ok:
-                    self.success.update((row.ts.to_pydatetime(),))
-        if last is not None:
-            at = self.success.get()[0] if self.success.exists() else None
-            status = "ok" if last.ok else "stale" if at is not None else "unavailable"
-            yield pd.DataFrame({"source": [key[0]], "status": [status], "last_success": [pd.Timestamp(at) if at is not None else pd.NaT]})
-
-    def close(self) -> None:
-        pass
+def stream_source_status(outcomes: DataFrame) -> DataFrame:
+    """(source, status, last_success) after each batch of outcomes (source, ts, ok): ok, stale within a day of the last success, else unavailable.
 
+    The state of a source is the time of its last success.
+    """
 
-def stream_source_status(outcomes: DataFrame) -> DataFrame:
-    """(source, status, last_success) after each batch of outcomes: source, ts, ok."""
-    return outcomes.groupBy("source").transformWithStateInPandas(SourceStatus(), "source string, status string, last_success timestamp", "Update", "ProcessingTime")
+    def judge(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        at, last, ok = (pd.Timestamp(state.get[0]) if state.exists else None), None, False
+        for batch in batches:
+            good = batch.loc[batch["ok"], "ts"].max()
+            at = good if pd.notna(good) and (at is None or good > at) else at
+            newest = batch.loc[batch["ts"].idxmax()]
+            if last is None or newest["ts"] >= last:
+                last, ok = newest["ts"], bool(newest["ok"])
+        if at is not None:
+            state.update((at.to_pydatetime(),))
+        fresh = at is not None and last - at <= pd.Timedelta(hours=MAX_AGE_HOURS)
+        yield pd.DataFrame({"source": [key[0]], "status": ["ok" if ok else "stale" if fresh else "unavailable"], "last_success": [at if at is not None else pd.NaT]})
+
+    return outcomes.groupBy("source").applyInPandasWithState(judge, "source string, status string, last_success timestamp", "last_success timestamp", "update", GroupStateTimeout.NoTimeout)
 
 
 def run_available(df: DataFrame, checkpoint: str, sink: Callable[[DataFrame, int], None], mode: str = "append") -> None:

@@ -1,10 +1,14 @@
 """Invariants on small graphs and feeds."""
 
 import datetime as dt
+import heapq
+import math
+import os
 import random
+from collections import Counter, defaultdict
 
 import pytest
-from freightgraph.operators import cluster, pricing, routes
+from freightgraph.operators import cluster, network, planning, pricing, routes
 from freightgraph.operators.components import connected_components
 from freightgraph.sources import feeds, sinks
 from freightgraph.streaming import refresh
@@ -32,7 +36,10 @@ def test_doubled_units_double_price_not_time(spark, micro):
     graph = routes.objectives(pricing.state_graph(*micro))
     stops = spark.createDataFrame([(r, s, n) for r in (1, 2) for s, n in ((0, 1), (1, 3))], "request_id long, seq int, node_id long")
     units = spark.createDataFrame([(1, 1.0), (2, 2.0)], "request_id long, units double")
-    legs = routes.compute_routes(stops, stops, graph, *micro, units)
+    segments = routes.waypoint_segments(stops)
+    paths = routes.shortest_paths(graph, segments.select(F.col("src").alias("node_id")))
+    legs = routes.leg_eta(routes.reconstruct_legs(routes.complete_options(segments, paths), *micro, units))
+    legs = legs.join(routes.dedupe_options(legs).select("request_id", "objective"), ["request_id", "objective"], "left_semi")
     total = {(r["request_id"], r["objective"]): (r["usd"], r["hours"], r["transfers"]) for r in routes.route_totals(legs).collect()}
     assert total[(2, "cheapest")][0] == 2 * total[(1, "cheapest")][0] and total[(2, "cheapest")][1] == total[(1, "cheapest")][1]
     assert ("most-direct" not in {k[1] for k in total}) and total[(1, "cheapest")][2] == 0
@@ -120,13 +127,28 @@ def test_streams(spark, tmp_path):
     refresh.run_available(refresh.stream_run_counts(stream), f"{tmp_path}/c2", lambda b, _: counts.extend(b.collect()), "complete")
     assert sorted((r["event_type"], r["n"]) for r in counts) == [("a", 2), ("b", 2)]
     refresh.write_last_good(stream, f"{tmp_path}/out", f"{tmp_path}/c3").awaitTermination()
-    assert spark.read.parquet(f"{tmp_path}/out").count() == 4
+    assert refresh.read_last_good(spark, f"{tmp_path}/out").count() == 4
+    events.limit(1).write.parquet(f"{tmp_path}/out/version=000000000009")  # whole: it counts
+    events.limit(2).write.parquet(f"{tmp_path}/out/version=000000000010")
+    os.remove(f"{tmp_path}/out/version=000000000010/_SUCCESS")  # a write that failed: it does not
+    assert refresh.read_last_good(spark, f"{tmp_path}/out").count() == 1
 
 
-def test_whole_routes_equal_dijkstra(spark):
-    import heapq
-    from collections import defaultdict
+def test_source_status_stream(spark, tmp_path):
+    now = dt.datetime.now().replace(microsecond=0)
+    rows = [("a", now, True), ("a", now + dt.timedelta(seconds=1), False), ("b", now, False), ("c", now, True)]
+    outcomes = spark.createDataFrame(rows, "source string, ts timestamp, ok boolean")
+    outcomes.write.parquet(f"{tmp_path}/in")
+    seen = []
+    status = refresh.stream_source_status(spark.readStream.schema(outcomes.schema).parquet(f"{tmp_path}/in"))
+    refresh.run_available(status, f"{tmp_path}/c", lambda b, _: seen.extend(b.collect()), "update")
+    assert {r["source"]: r["status"] for r in seen} == {"a": "stale", "b": "unavailable", "c": "ok"}
+    spark.createDataFrame([("a", now + dt.timedelta(days=2), False)], "source string, ts timestamp, ok boolean").write.mode("append").parquet(f"{tmp_path}/in")
+    refresh.run_available(status, f"{tmp_path}/c", lambda b, _: seen.extend(b.collect()), "update")
+    assert (seen[-1]["source"], seen[-1]["status"]) == ("a", "unavailable")  # its success is older than a day
+
 
+def test_whole_routes_equal_dijkstra(spark):
     from freightgraph.plans import access, registry, tables
 
     data = "/root/testdata/sf0.001"
@@ -152,3 +174,249 @@ def test_whole_routes_equal_dijkstra(spark):
     found = registry.QUERIES["r2_shortest_paths_whole"](spark, data).collect()
     assert {(r["objective"], r["source"], r["target"]): r["cost"] for r in found} == pytest.approx(want, abs=2e-3)
     assert max(r["hops"] for r in found) > access.MAX_LEGS
+
+
+def km(a, b):
+    h = math.sin(math.radians(b[0] - a[0]) / 2) ** 2 + math.cos(math.radians(a[0])) * math.cos(math.radians(b[0])) * math.sin(math.radians(b[1] - a[1]) / 2) ** 2
+    return 2 * 6371 * math.asin(min(1, math.sqrt(h)))
+
+
+def test_nearest_equals_all_pairs(spark):
+    rng = random.Random(3)
+    at = {i: (rng.uniform(-85, 85) if i % 3 else rng.uniform(40, 42), rng.uniform(-180, 180) if i % 3 else rng.uniform(-1, 1)) for i in range(150)}
+    places = spark.createDataFrame([(i, *p) for i, p in at.items()], "node_id long, lat double, lon double")
+    hubs = places.where("node_id % 4 = 0")
+    want = set()
+    for i in at:
+        order = sorted((round(km(at[i], at[j]), 6), j) for j in at if j % 4 == 0 and j != i)
+        want |= {(i, j) for _, j in order[:5]}
+    assert {(r["src"], r["dst"]) for r in network.nearest(places, hubs, 5).collect()} == want
+    assert network.nearest(places, hubs.limit(2), 5).count() == 150 * 2 - 2  # fewer targets than asked for
+    assert network.nearest(places, hubs.where("false"), 5).count() == 0
+
+
+def plain_greedy(points, link_km):
+    """One pass in the order of seq: the nearest centroid within reach, of clusters begun in the nine cells round the point."""
+    deg, clusters, out = link_km / 111.32, [], {}
+    for seq, lat, lon in sorted(points):
+        cell = (math.floor(lon / deg), math.floor(lat / deg))
+        near = [(km((c["lat"], c["lon"]), (lat, lon)), i) for i, c in enumerate(clusters) if abs(c["cell"][0] - cell[0]) <= 1 and abs(c["cell"][1] - cell[1]) <= 1]
+        best = min(near, default=(math.inf, None))
+        if best[0] <= link_km:
+            c = clusters[best[1]]
+            c["lat"], c["lon"], c["n"] = c["lat"] + (lat - c["lat"]) / (c["n"] + 1), c["lon"] + (lon - c["lon"]) / (c["n"] + 1), c["n"] + 1
+        else:
+            c = {"cell": cell, "lat": lat, "lon": lon, "n": 1, "seq": seq}
+            clusters.append(c)
+        out[seq] = c["seq"]
+    return out
+
+
+def test_clusters_equal_plain_pass(spark):
+    rng = random.Random(8)
+    pts = [(i, rng.choice([10, 12, 40]) + rng.random() * 3, rng.choice([0, 3, 50]) + rng.random() * 3) for i in range(500)]
+    df = spark.createDataFrame(pts, "seq long, lat double, lon double")
+    assert {r["seq"]: r["cluster_id"] for r in cluster.cluster_points(df, 30).collect()} == plain_greedy(pts, 30)
+    deg = 30 / 111.32
+    cell = {s: (math.floor(x / deg), math.floor(y / deg)) for s, y, x in pts}
+    root = {c: c for c in cell.values()}
+    find = lambda c: c if root[c] == c else find(root[c])
+    for a in root:
+        for b in root:
+            if a < b and abs(a[0] - b[0]) <= 1 and abs(a[1] - b[1]) <= 1:
+                root[find(a)] = find(b)
+    least = {}
+    for s, c in cell.items():
+        least[find(c)] = min(s, least.get(find(c), s))
+    assert {r["seq"]: r["cluster_id"] for r in cluster.cluster_cells(df, 30).collect()} == {s: least[find(c)] for s, c in cell.items()}
+
+
+def test_zones_of_clusters(spark):
+    """Each zone's middle, number and weight from its own points."""
+    rng = random.Random(4)
+    pts = [(i, 10 + rng.random() * 3, 20 + rng.random() * 3, rng.random() * 80) for i in range(300)]
+    df = spark.createDataFrame(pts, "seq long, lat double, lon double, frp double")
+    groups = defaultdict(list)
+    for seq, c in plain_greedy([p[:3] for p in pts], 30).items():
+        groups[c].append(pts[seq])
+    middle = {c: (sum(p[1] for p in g) / len(g), sum(p[2] for p in g) / len(g)) for c, g in groups.items()}
+    spread = {r["cluster_id"]: r for r in cluster.cluster_spread(cluster.cluster_points(df, 30).join(df, "seq")).collect()}
+    assert {c: len(g) for c, g in groups.items()} == {c: r["n"] for c, r in spread.items()}
+    for c, r in spread.items():
+        assert (r["lat"], r["lon"]) == pytest.approx(middle[c]) and r["spread_km"] == pytest.approx(max(km(middle[c], p[1:3]) for p in groups[c]), abs=1e-6)
+    zones = cluster.wildfire_zones(df, cluster.cluster_points(df, 30)).collect()
+    assert 0 < len(zones) <= len(groups)
+
+
+def test_landmasses_equal_flood_fill(spark):
+    rng = random.Random(6)
+    cells = {(x % 36, y) for _ in range(14) for x0, y0 in [(rng.randrange(36), rng.randrange(18))] for x in range(x0, x0 + rng.randrange(1, 6)) for y in range(y0, min(18, y0 + 2))}
+    label = {}
+    for start in sorted(cells, key=lambda c: c[1] * 36 + c[0]):
+        if start in label:
+            continue
+        todo = [start]
+        while todo:
+            x, y = todo.pop()
+            if (x, y) in cells and (x, y) not in label:
+                label[x, y] = start
+                todo += [((x + a) % 36, y + b) for a in (-1, 0, 1) for b in (-1, 0, 1)]
+    got = {(r["x"], r["y"]): r["label"] for r in network.landmass_labels(spark.createDataFrame(sorted(cells), "x int, y int"), 10.0).collect()}
+    pairs = {(label[c], got[c]) for c in cells}
+    assert set(got) == cells and len(pairs) == len({a for a, _ in pairs}) == len({b for _, b in pairs})
+
+
+def test_overland_equals_dijkstra(spark):
+    """Land with a bay: ways round it, within each pair's budget."""
+    res = 1.0
+    land = {(180 + x, 90 + y) for x in range(12) for y in range(8)} - {(180 + x, 90 + y) for x in range(4, 7) for y in range(2, 8)}
+    edges = network.land_cell_edges(spark.createDataFrame(sorted(land), "x int, y int"), res)
+    steps = defaultdict(list)
+    for r in edges.collect():
+        steps[r["a"]].append((r["b"], r["km"]))
+    code = lambda x, y: (90 + y) * 360 + 180 + x
+    pairs = [(1, 2, code(0, 7), code(11, 7), 1200.0), (3, 4, code(0, 0), code(11, 0), 1200.0), (5, 6, code(3, 7), code(7, 7), 100.0), (7, 8, code(1, 1), code(1, 2), 120.0)]
+    want = {}
+    for src, dst, a, b, straight in pairs:
+        done, heap = {}, [(0.0, a)]
+        while heap:
+            cost, cell = heapq.heappop(heap)
+            if cell in done:
+                continue
+            done[cell] = cost
+            for to, w in steps[cell]:
+                heapq.heappush(heap, (cost + w, to))
+        if b in done and done[b] <= min(2500.0, max(1.0, 2.5 * straight)):
+            want[src, dst] = done[b]
+    table = spark.createDataFrame(pairs, "src long, dst long, from_cell long, to_cell long, straight_km double")
+    got = {(r["src"], r["dst"]): r["km"] for r in network.overland_km(table, edges, max_km=2500.0).collect()}
+    assert got == pytest.approx(want) and len(want) == 3
+
+
+def test_slugs_are_unique_and_folded(spark):
+    names = ["Alpha", "Alpha", "Alpha 2", "Łódź", "Besançon", "Besancon", "Alpha", "Ångström–Ünïversity", "ﬁ", "Alpha 2", "Ｘ", "taken", "taken"]
+    rows = spark.createDataFrame(list(enumerate(names)), "item long, name string")
+    got = {r["item"]: r["slug"] for r in feeds.assign_slugs(rows, spark.createDataFrame([("taken",), ("taken_2",), ("alpha_4",)], "slug string")).collect()}
+    assert len(set(got.values())) == len(got)
+    assert [got[i] for i in (0, 1, 2, 6, 9)] == ["alpha", "alpha_3", "alpha_2", "alpha_5", "alpha_2_2"]
+    assert got[3] == "odz" and got[4] == "besancon" and got[5] == "besancon_2" and got[7] == "angstrom_university" and {got[11], got[12]} == {"taken_3", "taken_4"}
+
+
+def test_feed_without_its_columns_is_an_error(spark):
+    with pytest.raises(ValueError, match="frp"):
+        feeds.hotspot_points(spark.createDataFrame([(1, 1.0, 1.0, "h")], "event_id long, lat double, lon double, confidence string"))
+
+
+def test_run_history_appends_and_forgets(spark):
+    zone = spark.createDataFrame([(1, "flood"), (2, "wildfire"), (3, "flood")], "zone_id long, hazard_kind string")
+    old = spark.createDataFrame([(dt.datetime(2024, 1, d), 9, "flood:9", "") for d in range(1, 6)], "run timestamp, total long, kinds string, notable string")
+    got = refresh.run_history(old, zone, F.lit(dt.datetime(2024, 2, 1)), cap=3).collect()
+    assert [(r["run"].day, r["total"], r["kinds"], r["notable"]) for r in got] == [(1, 3, "flood:2,wildfire:1", "1,3"), (5, 9, "flood:9", ""), (4, 9, "flood:9", "")]
+    none = refresh.run_history(old, zone.where("false"), F.lit(dt.datetime(2024, 2, 1))).collect()
+    assert len(none) == 6 and none[0]["total"] == 0
+
+
+def test_planned_routes_equal_dijkstra_under_each_request_s_rules(spark):
+    """Routes of any length by a plain search: cargo rules, modes, zones in effect, months, borders, seasons, queues, detours, gauges."""
+    from freightgraph.plans import access, tables
+
+    data = "/root/testdata/sf0.001"
+    t = tables.Tables(spark, data)
+    net = access.network_of(t)
+    request = access.planned(t).where("request_id % 10 = 1")
+    rows = lambda df: [r.asDict() for r in df.collect()]
+    node, mode, zone = ({r[k]: r for r in rows(df)} for df, k in ((net.node, "node_id"), (net.mode, "mode"), (net.zone, "zone_id")))
+    length, condition, detour = {r["edge_id"]: r["km"] for r in rows(net.length)}, {r["zone_id"]: r["delay_factor"] for r in rows(net.condition)}, {r["zone_id"]: r["detour_factor"] for r in rows(net.detour)}
+    inside, ban, crossing = defaultdict(set), defaultdict(set), defaultdict(dict)
+    for r in rows(net.node_zone):
+        inside[r["node_id"]].add(r["zone_id"])
+    for r in rows(net.ban):
+        ban[r["zone_id"]].add(r["country"])
+    for r in rows(net.edge_zone):
+        crossing[r["edge_id"]][r["zone_id"]] = r["km"]
+    frozen = {(r["month"], r["zone_id"]) for r in rows(net.closed)}
+    shut = {(frozenset((r["left_country"], r["right_country"])), r["mode"]) for r in rows(net.border_rule)}
+    broken, econ = {r["edge_id"] for r in rows(net.gauge_break)}, {r["node_id"]: r["econ"] for r in rows(net.econ)}
+    edges, stops = rows(net.edge), defaultdict(list)
+    for r in sorted(rows(t.x_stop), key=lambda r: (r["request_id"], r["seq"])):
+        stops[r["request_id"]].append(r["node_id"])
+
+    def legs_for(r):
+        civilian = r["cargo_class"] != "military"
+        modes = {m for m, c in mode.items() if r["weight_tonnes"] <= c["max_tonnes"]} - ({"air"} if "hazmat" in r["handling"] else set()) - ({"sea"} if "perishable" in r["handling"] else set())
+        day = r["depart"].replace(hour=0)
+        on = {z for z, x in zone.items() if x["active_from"] <= day + dt.timedelta(days=net.horizon_days) and x["active_until"] >= day}
+        barred = {z for z in on if civilian and (zone[z]["access"] == "military-only" or (zone[z]["access"] == "hazard" and zone[z]["hazard_kind"] in ("earthquake", "volcano")))}
+        ok = {n for n, x in node.items() if not civilian or (x["kind"] != "military" and not inside[n] & barred)}
+        out, hubs = [], set()
+        for e in edges:
+            zones = {z: d for z, d in crossing[e["edge_id"]].items() if z in on}
+            pair = frozenset((node[e["src"]]["country"], node[e["dst"]]["country"])) if {e["src"], e["dst"]} <= set(node) else None
+            if not {e["src"], e["dst"]} <= ok or any(z in barred or (r["month"], z) in frozen for z in zones) or (civilian and len(pair) == 2 and (pair, e["mode"]) in shut):
+                continue
+            hubs |= {(e["src"], e["mode"]), (e["dst"], e["mode"])}
+            if e["mode"] not in modes:
+                continue
+            c, far, slow = mode[e["mode"]], 1.0, 1.0
+            for z in zones:
+                if civilian and detour.get(z) and (z not in ban or pair <= ban[z]):
+                    far *= detour[z]
+                slow *= (zone[z]["delay_factor"] if zone[z]["delay_month"] == r["month"] else 1) * condition.get(z, 1)
+            d = length[e["edge_id"]] * c["detour_factor"] * far
+            usd, low = 0.0, 0.0
+            for high, share in ((500, 1.9), (1500, 1.35), (5000, 1.05), (math.inf, 1.0)):
+                usd += max(0.0, min(d, high) - low) * share * c["usd_per_km"]
+                low = high
+            usd += sum(km_in * zone[z]["surcharge_usd_per_km"] + zone[z]["toll_usd"] for z, km_in in zones.items()) + (220 if e["edge_id"] in broken else 0)
+            out.append((e["edge_id"], e["src"], e["dst"], e["mode"], usd, d / c["km_per_hour"] * slow + (18 if e["edge_id"] in broken else 0), d))
+        return out, ok
+
+    def load(n, m):
+        share = econ[n] / 100
+        return mode[m]["hub_usd"] * (1.6 - 0.7 * share), mode[m]["hub_hours"] * (2.2 - 1.6 * share), 0.0
+
+    want = {}
+    for r in rows(request):
+        way, (legs, ok) = stops[r["request_id"]], legs_for(r)
+        if len(set(way)) < len(way) or not set(way) <= ok:
+            continue
+        steps = defaultdict(list)
+        for edge_id, a, b, m, *w in legs:
+            steps[a].append((b, m, w))
+            steps[b].append((a, m, w))
+        for i, objective in enumerate(("cheapest", "fastest", "most-direct")):
+            total = 0.0
+            for a, b in zip(way, way[1:]):
+                done, heap = set(), [(0.0, a, "")]
+                while heap:
+                    cost, n, m = heapq.heappop(heap)
+                    if n == b or not heap and n != b and (n, m) in done:
+                        break
+                    if (n, m) in done:
+                        continue
+                    done.add((n, m))
+                    for to, by, w in steps[n]:
+                        if to != a:
+                            heapq.heappush(heap, (cost + w[i] + (0 if by == m else load(n, by)[i]), to, by))
+                total += cost if n == b else math.inf
+            if total < math.inf:
+                want[r["request_id"], objective] = total
+    plan = planning.compute_routes(net, request, t.x_stop)
+    units = {r["request_id"]: max(1, r["weight_tonnes"] / 20, r["volume_m3"] / 33) for r in rows(request)}
+    got, lengths = defaultdict(float), Counter()
+    for leg in rows(plan.legs):
+        k = leg["request_id"], leg["objective"]
+        got[k] += {"cheapest": leg["usd"] / units[leg["request_id"]], "fastest": leg["hours"], "most-direct": leg["km"]}[leg["objective"]]
+        lengths[k] += 1
+    assert {k[0] for k in got} == {k[0] for k in want} and want
+    for k, total in got.items():  # an option equal to an earlier one is left out
+        assert total == pytest.approx(want[k], rel=1e-9)
+    assert max(lengths.values()) > 3
+    found = {r["request_id"] for r in rows(planning.routable(net, request, t.x_stop))}
+    assert found == {k[0] for k in want}
+    reasons = {r["request_id"]: r for r in rows(planning.no_route_reason(net, request, t.x_stop))}
+    assert set(reasons) == {r["request_id"] for r in rows(request)} - found
+    for r in rows(request):
+        if r["request_id"] in reasons:
+            site = r["cargo_class"] != "military" and any(node[n]["kind"] == "military" for n in stops[r["request_id"]])
+            assert (reasons[r["request_id"]]["reason"] == "restricted military site") == site
