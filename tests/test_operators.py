@@ -323,7 +323,7 @@ def test_planned_routes_equal_dijkstra_under_each_request_s_rules(spark):
     data = "/root/testdata/sf0.001"
     t = tables.Tables(spark, data)
     net = access.network_of(t)
-    request = access.planned(t).where("request_id % 10 = 1")
+    request = access.planned(t).where("request_id % 40 = 1")
     rows = lambda df: [r.asDict() for r in df.collect()]
     node, mode, zone = ({r[k]: r for r in rows(df)} for df, k in ((net.node, "node_id"), (net.mode, "mode"), (net.zone, "zone_id")))
     length, condition, detour = {r["edge_id"]: r["km"] for r in rows(net.length)}, {r["zone_id"]: r["delay_factor"] for r in rows(net.condition)}, {r["zone_id"]: r["detour_factor"] for r in rows(net.detour)}
