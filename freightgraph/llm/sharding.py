@@ -11,6 +11,7 @@ from freightgraph.functions.numbering import number_rows
 from freightgraph.llm.blocks import U64, mix
 
 ROUNDS = 6
+ADDED = ("row_no", "shuffled", "shard", "slot")
 
 
 def feistel(numbers: np.ndarray, n: int, seed: int) -> np.ndarray:
@@ -40,10 +41,13 @@ def shard_rows(docs: DataFrame, order: list[str], shards: int, seed: int = 42) -
     and shard count give the same result however it is stored; anyone can compute a row's shard and
     slot from its number alone. Shard sizes differ by one row at most and slots have no gaps, since
     row r goes to shard ``shuffled % shards`` at ``shuffled // shards``. Rows that agree on all of
-    ``order`` are interchangeable. Pass narrow rows: they are range-partitioned and written once.
-    An empty table gives an empty result; the names of the added columns must be free in ``docs``.
+    ``order`` are interchangeable; a null comes before any value. Pass narrow rows: they are
+    range-partitioned and written once. An empty table gives an empty result; repeated rows get a place
+    each; columns of ``docs`` with an added name are left out.
     """
-    numbered = number_rows(docs, order)
+    keys = [f"_order_{i}" for i in range(len(order))]
+    free = [c for c in docs.columns if c not in ADDED and c not in keys]
+    numbered = number_rows(docs.select(*[docs[c] for c in free], *[docs[c].alias(k) for c, k in zip(order, keys, strict=True)]), keys).drop(*keys)
     n = numbered.count()
 
     @F.pandas_udf("long")

@@ -393,7 +393,11 @@ def test_sharding(spark, docs, odd, empty):
     assert {r["doc_id"]: (r["size"], r["text_crc32"]) for r in df.collect()} == want
     key = lambda d: sorted((r["doc_id"], r["shard"], r["slot"]) for r in d.collect())
     assert key(df) == key(registry.op6_sharding(spark, DATA))
-    check_sharding(shard_rows(odd.select("doc_id", "text"), ["doc_id", "text"], 4), odd.count(), 4)
+    check_sharding(shard_rows(odd, ["doc_id", "text"], 4), odd.count(), 4)  # its own row_no and slot make way
+    check_sharding(shard_rows(odd.withColumn("slot", odd["doc_id"]), ["slot", "text"], 4), odd.count(), 4)
+    order = sorted(((r["doc_id"] or 0, r["text_crc32"], r["size"]), (r["shard"], r["slot"])) for r in df.collect())
+    places = feistel(np.arange(len(order)), len(order), 42)  # the law by itself: the row's number in order decides its place
+    assert [at for _, at in order] == [(int(p) % 40, int(p) // 40) for p in places]
     assert shard_rows(empty.select("doc_id"), ["doc_id"], 4).count() == 0
 
 
