@@ -37,7 +37,7 @@ def fold() -> F.Column:
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = filter_urls(table(spark, sf_dir, "pages"))
-    return found.select("page_id", "host", "path", "rule", "verdict", "strict_terms", "soft_terms", "rejected")
+    return found.select("page_id", "host", "path", "rule", "verdict", "strict_terms", "soft_terms", "weight", "rejected")
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,6 +97,8 @@ QUERIES = {f.__name__: f for f in (
 def _url_filter_sql() -> str:
     hits = lambda words: " + ".join(
         f"CAST(regexp_matches(u, '(^|[^\\p{{L}}\\p{{N}}]){w}($|[^\\p{{L}}\\p{{N}}])') AS INTEGER)" for w in words)
+    weigh = lambda words: " + ".join(
+        f"{x} * CAST(regexp_matches(u, '(^|[^\\p{{L}}\\p{{N}}]){w}($|[^\\p{{L}}\\p{{N}}])') AS INTEGER)" for w, x in words.items())
     fits = lambda r: f"((host = '{r.host}' OR ends_with(host, '.{r.host}')) AND starts_with(path, '{r.path}'))"
     by_length = sorted(RULES, key=lambda r: (-r.host.count("."), -len(r.host), -len(r.path)))
     rule = " ".join(f"WHEN {fits(r)} THEN '{r.text}'" for r in by_length)
@@ -106,11 +108,11 @@ WITH a AS (SELECT page_id, url, translate(coalesce(url, ''), 'ABCDEFGHIJKLMNOPQR
     CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS r FROM pages),
 b AS (SELECT page_id, u, translate(regexp_extract(r, '^([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
     regexp_extract(r, '^([^/?#]*)([^?#]*)', 2) AS path FROM a),
-c AS (SELECT page_id, host, path, CASE {rule} END AS rule, {hits(STRICT)} AS strict_terms, {hits(SOFT)} AS soft_terms FROM b)
+c AS (SELECT page_id, host, path, CASE {rule} END AS rule, {hits(STRICT)} AS strict_terms, {hits(SOFT)} AS soft_terms, CAST({weigh(STRICT | SOFT)} AS DOUBLE) AS weight FROM b)
 SELECT page_id, host, path, rule,
   CASE WHEN rule IN ({allow}) THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
     WHEN strict_terms > 0 OR soft_terms >= {SOFT_HITS} THEN 'block' ELSE 'allow' END AS verdict,
-  strict_terms, soft_terms, (strict_terms > 0 OR soft_terms >= {SOFT_HITS}) AS rejected
+  strict_terms, soft_terms, weight, (strict_terms > 0 OR soft_terms >= {SOFT_HITS}) AS rejected
 FROM c"""
 
 
