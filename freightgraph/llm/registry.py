@@ -6,11 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from freightgraph.llm.chunk_dedup import repeated_spans
+from freightgraph.llm.conversation_repair import damaged, repair_conversations
 from freightgraph.llm.decontaminate import CONTAINMENT, contaminated
 from freightgraph.llm.fingerprint import fingerprint_documents
+from freightgraph.llm.html_extract import extract_text
 from freightgraph.llm.language_id import LanguageModel, identify_languages
 from freightgraph.llm.license_scan import scan_licenses
 from freightgraph.llm.packing import pack_documents
+from freightgraph.llm.prefix_trie import conversation_trie
 from freightgraph.llm.sharding import shard_rows
 from freightgraph.llm.simhash import near_duplicates
 from freightgraph.llm.toxicity import fit_toxicity, score_toxicity
@@ -88,9 +91,22 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (fold() == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_conversations(damaged(table(spark, sf_dir, "conversations")))
+
+
+def op12_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(table(spark, sf_dir, "pages"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_url_filter, op2_packing, op3_fingerprint, op4_license_scan, op5_substring_dedup,
     op6_sharding, op7_simhash, op8_language_id, op9_decontamination, op10_toxicity,
+    op11_conversation_repair, op12_html_extraction, op13_prefix_trie,
 )}
 
 
