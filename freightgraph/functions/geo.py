@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -91,3 +93,15 @@ def crosses(lat, lon1, lat1, lon2, lat2, lon) -> Column:
     lat, lon, lon1, lat1, lon2, lat2 = map(_col, (lat, lon, lon1, lat1, lon2, lat2))
     at = lon1 + F.try_divide((lon2 - lon1) * (lat - lat1), lat2 - lat1)
     return ((lat1 > lat) != (lat2 > lat)) & F.coalesce(lon < at, F.lit(False))
+
+
+def cell_grid(max_km: float) -> tuple[float, int]:
+    """(width in degrees, columns) of the finest grid whose cells are at least max_km high and go round the globe without a rest."""
+    columns = max(1, math.floor(360 * 111.0 / max_km))
+    return 360 / columns, columns
+
+
+def cell_reach(lat: Column, deg: float, columns: int) -> Column:
+    """How many cells to either side may hold what is within a cell's height; near a pole, all of them."""
+    top = F.abs(lat) + deg
+    return F.when(top >= 89, columns // 2 + 1).otherwise(F.least(F.lit(columns // 2 + 1), F.ceil(1 / F.cos(F.radians(top))))).cast("int")

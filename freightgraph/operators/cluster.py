@@ -69,19 +69,12 @@ class _Pass:
         return out
 
 
-def _greedy(group: pd.DataFrame, link_km: float) -> pd.DataFrame:
-    """One whole group of touching cells."""
-    group = group.sort_values("seq")
-    return pd.DataFrame({"seq": group["seq"].to_numpy(), "cluster_id": _Pass(link_km).feed(group)})
-
-
-def cluster_points(points: DataFrame, link_km: float, most: int | None = None) -> DataFrame:
+def cluster_points(points: DataFrame, link_km: float) -> DataFrame:
     """(seq, cluster_id): the greedy single pass in the order of seq; a cluster is named by its first point.
 
     Points of groups of cells that do not touch can never share a cluster, so the pass is exact within
     each group and groups run apart. A group of any size is one stream in the order of seq through a
-    state of its clusters; the pass depends on that order, so one group is one task. ``most`` was once
-    the size from which groups were not clustered greedily; it changes nothing.
+    state of its clusters; the pass depends on that order, so one group is one task.
     """
     cells = _cells(points, link_km)
     grouped = cells.join(_cell_groups(cells), ["cx", "cy"]).select("group", "seq", "lat", "lon", "cx", "cy")

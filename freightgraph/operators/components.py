@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from freightgraph.functions.scratch import delete, stored
@@ -25,7 +25,6 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         .distinct(),
         "links",
     )
-    state = None
     for _ in range(max_rounds):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         lows = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
@@ -33,15 +32,33 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         lows = large.groupBy("u").agg(F.min("v").alias("m"))
         ends = F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))
         small = large.join(lows, "u").select(F.explode(ends).alias("p")).select("p.*").where("u != v").distinct()
-        before = path
-        e, path = stored(small, "links")
-        delete(spark, before)
-        now = e.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long"))).first()
-        if tuple(now) == state:
+        now, at = stored(small, "links")
+        # settled when a round gives the links it got: as many, and none that is new
+        same = now.count() == e.count() and now.join(e, ["u", "v"], "left_anti").isEmpty()
+        delete(spark, path)
+        e, path = now, at
+        if same:
             break
-        state = tuple(now)
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
         e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     )
+
+
+def cut_off(components: DataFrame) -> DataFrame:
+    """(node, component, size, rank, cut_off): components by size, the largest first (of equals the smallest name); all nodes but those of the first are cut off.
+
+    Sizes are partly aggregated before the shuffle. Only the largest component can be larger than half of all
+    nodes; its nodes do not join.
+    """
+    sizes = components.groupBy("component").agg(F.count("*").alias("size"))
+    first = sizes.agg(F.max_by(F.struct("component", "size"), F.struct("size", (-F.col("component")).alias("c"))).alias("top"))
+    met = components.crossJoin(F.broadcast(first))  # one row
+    main = met.where("component = top.component").select("node", "component", F.col("top.size").alias("size"), F.lit(1).alias("rank"), F.lit(False).alias("cut_off"))
+    rest = sizes.crossJoin(F.broadcast(first)).where("component != top.component").drop("top")
+    # equal sizes rank alike, so ranks come from the distinct sizes, which are few: n components have at most about the root of 2n
+    tiers = rest.groupBy("size").agg(F.count("*").alias("n"))
+    tiers = tiers.select("size", (F.coalesce(F.sum("n").over(Window.orderBy(F.desc("size")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + 2).cast("int").alias("rank"))
+    others = met.where("component != top.component").drop("top").join(rest.join(tiers, "size"), "component")
+    return main.unionByName(others.select("node", "component", "size", "rank", F.lit(True).alias("cut_off")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from freightgraph.functions.geo import cell_center, haversine_km
+from freightgraph.functions.geo import cell_center, cell_grid, cell_reach, haversine_km, raster_cell
 from freightgraph.functions.scratch import written
 from freightgraph.operators.components import connected_components
 from freightgraph.operators.spatial import point_in_ring, ring_edges
@@ -53,11 +53,19 @@ def air_mesh(hubs: DataFrame) -> DataFrame:
     return hubs.select(F.col("node_id").alias("src")).join(hubs.select(F.col("node_id").alias("dst")), F.col("src") < F.col("dst"))
 
 
+def air_network(node: DataFrame, hubs: DataFrame, k: int = 3) -> DataFrame:
+    """(src, dst): all pairs of hubs, and the k nearest hubs of each other place; with fewer than two hubs all pairs of places. hubs: node_id."""
+    if hubs.select("node_id").distinct().limit(2).count() < 2:
+        return air_mesh(node)
+    at = node.join(hubs.select("node_id").distinct(), "node_id", "left_semi")
+    spokes = node.join(hubs.select("node_id").distinct(), "node_id", "left_anti")
+    return air_mesh(at).unionByName(knn_hubs(spokes, at, k).select("src", "dst"))
+
+
 def pairs_within(points: DataFrame, targets: DataFrame, max_km: float, same: str | None = None) -> DataFrame:
     """(src, dst, km) within max_km, through grid cells of that size. Both: node_id, lat, lon, and ``same`` to agree on."""
-    deg = max_km / 111.0
-    span = max(1, round(360 / deg))
-    reach = F.least(F.lit(span), F.ceil(1 / F.greatest(F.cos(F.radians(F.least(F.abs(F.col("lat")) + deg, F.lit(89.0)))), F.lit(0.02))).cast("int"))
+    deg, span = cell_grid(max_km)
+    reach = cell_reach(F.col("lat"), deg, span)
     cell = lambda c: F.floor(F.col(c) / deg)
     on = [same] if same else []
     a = points.select(F.col("node_id").alias("src"), "lat", "lon", *on, F.explode(F.sequence(-reach, reach)).alias("dx")).select("*", F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1))).alias("dy"))
@@ -118,14 +126,50 @@ def rasterize(ring_vertex: DataFrame, res: float = RES) -> DataFrame:
     return cells.select(F.pmod("x", F.lit(round(360 / res))).cast("int").alias("x"), F.col("y").cast("int").alias("y")).distinct()
 
 
-def water_cells(area: DataFrame, land: DataFrame, inland: DataFrame, res: float = RES) -> DataFrame:
-    """(x, y): cells of ``area`` that are not land, and those within one cell of an inland water trace."""
-    open_water = area.select("x", "y").join(land, ["x", "y"], "left_anti")
+def trace_cells(segments: DataFrame, res: float = RES) -> DataFrame:
+    """(x, y) of the cells that lines pass, looked at twice a cell. segments: lon1, lat1, lon2, lat2."""
+    far = F.greatest(F.abs(F.col("lon2") - F.col("lon1")), F.abs(F.col("lat2") - F.col("lat1")))
+    s = segments.withColumn("n", F.greatest(F.lit(1), F.ceil(far / (res / 2))).cast("int"))
+    s = s.select("*", F.explode(F.sequence(F.lit(0), F.col("n"))).alias("s"))
+    along = lambda a, b: F.col(a) + (F.col(b) - F.col(a)) * F.col("s") / F.col("n")
+    return s.select(raster_cell(along("lon1", "lon2"), along("lat1", "lat2"), res).alias("c")).select("c.x", "c.y").distinct()
+
+
+def line_segments(lines: DataFrame, by: str) -> DataFrame:
+    """(lon1, lat1, lon2, lat2) of open lines (by, pos, lon, lat)."""
+    w = Window.partitionBy(by).orderBy("pos")
+    ahead = lines.select(F.col("lon").alias("lon1"), F.col("lat").alias("lat1"), F.lead("lon").over(w).alias("lon2"), F.lead("lat").over(w).alias("lat2"))
+    return ahead.where("lon2 is not null")
+
+
+def water_cells(land: DataFrame, lines: DataFrame, lakes: DataFrame, res: float = RES) -> DataFrame:
+    """(x, y): navigable cells: all that are not land, and those within one cell of an inland water.
+
+    land: x, y; lines: line_id, pos, lon, lat of rivers and canals; lakes: zone_id, pos, lon, lat, filled and with
+    their rims. The grid has as many cells as its resolution says, however large the tables.
+    """
+    nx, ny = round(360 / res), round(180 / res)
+    area = land.sparkSession.range(nx * ny).select((F.col("id") % nx).cast("int").alias("x"), F.floor(F.col("id") / nx).cast("int").alias("y"))
+    rims = ring_edges(lakes, ["zone_id"]).select("lon1", "lat1", "lon2", "lat2")
+    inland = trace_cells(line_segments(lines, "line_id").unionByName(rims), res).unionByName(rasterize(lakes, res)).distinct()
+    open_water = area.join(land.select("x", "y").distinct(), ["x", "y"], "left_anti")
     near = inland.select("x", "y", F.explode(F.array(*[F.struct(F.lit(a).alias("dx"), F.lit(b).alias("dy")) for a in (-1, 0, 1) for b in (-1, 0, 1)])).alias("d"))
-    wide = near.select(F.pmod(F.col("x") + F.col("d.dx"), F.lit(round(360 / res))).alias("x"), (F.col("y") + F.col("d.dy")).alias("y")).where(F.col("y").between(0, round(180 / res) - 1))
+    wide = near.select(F.pmod(F.col("x") + F.col("d.dx"), F.lit(nx)).cast("int").alias("x"), (F.col("y") + F.col("d.dy")).alias("y")).where(F.col("y").between(0, ny - 1))
     return open_water.unionByName(wide).distinct()
 
 
+def cell_bitmaps(cells: DataFrame) -> DataFrame:
+    """(y, word, bits): a grid's cells as a bit each, 64 columns to a word. At 0.1° there are no more than 102,600 rows."""
+    return cells.groupBy(F.col("y").cast("int").alias("y"), F.floor(F.col("x") / 64).cast("int").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(x % 64 as int)))").alias("bits"))
+
+
+def in_cells(points: DataFrame, cells: DataFrame, res: float = RES, name: str = "hit") -> DataFrame:
+    """``points`` (lon, lat, …) with ``name``: whether their cell is one of ``cells`` (x, y). The grid's size bounds the bitmaps, so they are broadcast."""
+    at = points.withColumn("_c", raster_cell("lon", "lat", res)).withColumn("y", F.col("_c.y")).withColumn("word", F.floor(F.col("_c.x") / 64).cast("int"))
+    met = at.join(F.broadcast(cell_bitmaps(cells)), ["y", "word"], "left")
+    return met.withColumn(name, F.coalesce(F.expr("(bits & shiftleft(1L, cast(_c.x % 64 as int))) != 0"), F.lit(False))).drop("_c", "y", "word", "bits")
+
+
 def landmass_labels(land: DataFrame, res: float = RES) -> DataFrame:
     """(x, y, label): 8-connected land, also over the dateline; a landmass is named by its least cell. Runs of cells in a row are the nodes, not cells."""
     nx = round(360 / res)

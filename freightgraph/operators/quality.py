@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from freightgraph.functions.geo import haversine_km
+from freightgraph.operators.network import RES, in_cells
 from freightgraph.operators.spatial import _segments, leading_run, longest_bad_run
 
 MODES = ("sea", "air", "rail", "truck")
@@ -65,14 +66,18 @@ def check_generated(edge: DataFrame, node: DataFrame) -> DataFrame:
     return _all(_unknown(edge, "src", node, "node_id", "vanished node", "edge_id"), _unknown(edge, "dst", node, "node_id", "vanished node", "edge_id"))
 
 
-def check_coverage(node: DataFrame, edge: DataFrame) -> DataFrame:
-    """More than half of the seaports without a lane, or of all places without a road."""
-    def share(nodes: DataFrame, mode: str, name: str) -> DataFrame:
-        on = edge.where(F.col("mode") == mode).select(F.explode(F.array("src", "dst")).alias("node_id")).distinct().withColumn("on", F.lit(1))
-        n = nodes.join(on, "node_id", "left").agg(F.count("*").alias("all"), F.count(F.when(F.col("on").isNull(), 1)).alias("off"))
+def check_coverage(node: DataFrame, lanes: DataFrame, roads: DataFrame) -> DataFrame:
+    """Generated legs are stale: more than half of the seaports without a lane, or places that are not military and have no road more than half of all places."""
+    def off(nodes: DataFrame, legs: DataFrame) -> DataFrame:
+        on = legs.select(F.explode(F.array("src", "dst")).alias("node_id")).distinct().withColumn("on", F.lit(1))
+        return nodes.join(on, "node_id", "left").where("on is null")
+
+    def share(bare: DataFrame, of: DataFrame, name: str) -> DataFrame:
+        n = bare.agg(F.count("*").alias("off")).crossJoin(of.agg(F.count("*").alias("all")))  # one row each
         return _rows(n.where("off * 2 > all"), name, "off", "all")
 
-    return _all(share(node.where("kind = 'seaport'"), "sea", "seaports without a lane"), share(node, "truck", "places without a road"))
+    ports = node.where("kind = 'seaport'")
+    return _all(share(off(ports, lanes), ports, "seaports without a lane"), share(off(node.where("kind != 'military'"), roads), node, "places without a road"))
 
 
 def check_gauges(edge: DataFrame, node: DataFrame, country_gauge: DataFrame, node_gauge: DataFrame) -> DataFrame:
@@ -81,11 +86,12 @@ def check_gauges(edge: DataFrame, node: DataFrame, country_gauge: DataFrame, nod
     return _all(_unknown(ends, "country", country_gauge, "country", "no gauge"), _unknown(country_gauge, "country", node, "country", "gauge of unknown country"), _unknown(node_gauge, "node_id", node, "node_id", "gauge of unknown node"))
 
 
-def check_zones(zone: DataFrame, vertices: DataFrame, zone_mode: DataFrame) -> DataFrame:
-    """Duplicate ids, short rings, months off the year, slow months without a factor, unknown modes."""
+def check_zones(zone: DataFrame, vertices: DataFrame, zone_mode: DataFrame, closed: DataFrame) -> DataFrame:
+    """Duplicate ids, short rings, slow and closed months off the year, slow months without a factor, unknown modes. closed: zone_id, month."""
     short = vertices.groupBy("zone_id").agg(F.count("*").alias("n")).where("n < 3")
     return _all(
         _twice(zone, "duplicate zone", "zone_id"), _rows(short, "ring too short", "zone_id", "n"), _rows(zone.where("delay_month not between 1 and 12"), "bad month", "zone_id", "delay_month"),
+        _rows(closed.where("month not between 1 and 12"), "bad closed month", "zone_id", "month"),
         _rows(zone.where("delay_month is not null and delay_factor is null"), "month without factor", "zone_id", "delay_month"), _rows(zone_mode.where(~F.col("mode").isin(*MODES)), "unknown mode", "zone_id", "mode"))
 
 
@@ -95,10 +101,12 @@ def check_tags(edge_zone: DataFrame, zone: DataFrame) -> DataFrame:
 
 
 def check_airspace(airspace: DataFrame, zone: DataFrame, ban: DataFrame, tags: DataFrame, node: DataFrame) -> DataFrame:
-    """Airspace: shape_id, country, surcharge; ban: shape_id, country; tags: shape_id, src, dst."""
+    """Airspace: shape_id, country, surcharge, modes array; ban: shape_id, country; tags: shape_id, src, dst."""
+    modes = airspace.select("shape_id", F.explode("modes").alias("mode"))
     same = airspace.join(zone.select(F.col("zone_id").alias("shape_id")), "shape_id", "left_semi")
     return _all(
         _rows(same, "id collision", "shape_id", "country"), _unknown(airspace, "country", node, "country", "unknown country", "shape_id"), _rows(airspace.where("surcharge != 0"), "charge by km", "shape_id", F.round("surcharge", 3)),
+        _rows(modes.where(~F.col("mode").isin(*MODES)), "unknown mode", "shape_id", "mode"),
         _unknown(ban, "country", node, "country", "unknown banned country", "shape_id"), _unknown(tags, "shape_id", airspace, "shape_id", "unknown airspace"), _unknown(tags, "src", node, "node_id", "unknown node", "shape_id"), _unknown(tags, "dst", node, "node_id", "unknown node", "shape_id"))
 
 
@@ -136,31 +144,43 @@ def check_scores(node: DataFrame, scores: DataFrame, override: DataFrame, bonus:
         _rows(override.where("not (fixed between 0 and 100)"), "override off the scale", "node_id", "fixed"), _unknown(bonus, "node_id", node, "node_id", "bonus of unknown node"))
 
 
-def off_medium(samples: DataFrame, land: DataFrame) -> DataFrame:
-    """Samples of sea, rail and truck legs with ``is_bad``: off their medium, on land at sea, off land on rails and roads. Flights have none and are left out.
+def off_medium(samples: DataFrame, land: DataFrame, water: DataFrame, res: float = RES) -> DataFrame:
+    """Samples of sea, rail and truck legs with ``is_bad``: off navigable water at sea, off land on rails and roads. Flights have none and are left out.
 
-    samples: edge_id, mode, seg, s, …; land: (edge_id, seg, s) of the samples on land.
+    samples: edge_id, mode, seg, s, lon, lat, …; land: (edge_id, seg, s) of samples on land; water: (x, y) of navigable cells.
     """
+    sea = in_cells(samples.where("mode = 'sea'"), water, res, "_on").withColumn("is_bad", ~F.col("_on")).drop("_on")
     on = land.select("edge_id", "seg", "s").distinct().withColumn("_land", F.lit(True))
-    met = samples.where("mode != 'air'").join(on, ["edge_id", "seg", "s"], "left")
-    return met.withColumn("is_bad", (F.col("mode") == "sea") == F.col("_land").isNotNull()).drop("_land")
+    dry = samples.where("mode in ('rail', 'truck')").join(on, ["edge_id", "seg", "s"], "left").withColumn("is_bad", F.col("_land").isNull()).drop("_land")
+    return sea.unionByName(dry)
 
 
 def audit_medium(samples: DataFrame, tolerance_km: float = 25.0) -> DataFrame:
-    """Legs with a stretch of over 25 km off their medium, the worst first. samples: edge_id, seg, s, lon, lat, step_km, is_bad."""
-    run = longest_bad_run(samples).where(F.col("km") > tolerance_km)
+    """Legs with a stretch of over 25 km off their medium, the worst first. samples: edge_id, seg, s, lon, lat, step_km, is_bad; lines' first points do not count."""
+    run = longest_bad_run(samples.where("s >= 0")).where(F.col("km") > tolerance_km)
     return run.orderBy(F.desc("km"))
 
 
-def audit_endpoints(samples: DataFrame, edge: DataFrame, port_on_land: DataFrame, tolerance_km: float = 25.0) -> DataFrame:
-    """(check, node_id, km): places from which a sea lane runs over land for over 25 km, with the longest such stretch, and seaports off the water.
+def needs_geometry(samples: DataFrame, inland: DataFrame, tolerance_km: float = 25.0) -> DataFrame:
+    """(edge_id) of the legs to route anew: rail legs over water, and curated inland legs (edge_id) off navigable water, for over 25 km. samples: as in ``audit_medium``, with mode."""
+    asked = samples.where("mode = 'rail'").unionByName(samples.where("mode = 'sea'").join(inland.select("edge_id").distinct(), "edge_id", "left_semi").select(samples.columns))
+    return audit_medium(asked, tolerance_km).select("edge_id")
+
+
+def ports_off_water(node: DataFrame, water: DataFrame, res: float = RES) -> DataFrame:
+    """(node_id) of seaports whose cell is not navigable."""
+    return in_cells(node.where("kind = 'seaport'").select("node_id", "lon", "lat"), water, res).where("not hit").select("node_id")
+
+
+def audit_endpoints(samples: DataFrame, edge: DataFrame, off_water: DataFrame, tolerance_km: float = 25.0) -> DataFrame:
+    """(check, node_id, km): places from which a sea lane runs off the water for over 25 km, with the longest such stretch, and seaports off the water.
 
-    samples: of sea legs, as in ``audit_medium``; port_on_land: node_id.
+    samples: of sea legs with their first points, as in ``leading_run``; off_water: node_id.
     """
     head = leading_run(samples).join(edge.select("edge_id", F.col("src").alias("node_id")), "edge_id")
     tail = leading_run(samples, from_tail=True).join(edge.select("edge_id", F.col("dst").alias("node_id")), "edge_id")
     dry = head.unionByName(tail).groupBy("node_id").agg(F.max("km").alias("km")).where(F.col("km") > tolerance_km)
-    off = port_on_land.select(F.lit("port off water").alias("check"), "node_id", F.lit(None).cast("double").alias("km"))
+    off = off_water.select(F.lit("port off water").alias("check"), "node_id", F.lit(None).cast("double").alias("km"))
     return dry.select(F.lit("lane begins on land").alias("check"), "node_id", "km").unionByName(off)
 
 

@@ -99,15 +99,22 @@ def polyline_km(edge_point: DataFrame) -> DataFrame:
     return _segments(edge_point).groupBy("edge_id").agg(F.sum(haversine_km("lat", "lon", "lat2", "lon2")).alias("km"))
 
 
-def sample_polyline(edge_point: DataFrame, step_km: float = 20, midpoint: bool = True) -> DataFrame:
-    """(edge_id, seg, s, lon, lat, step_km): points at equal steps of at most step_km along each segment on the map."""
+def sample_polyline(edge_point: DataFrame, step_km: float = 20, midpoint: bool = True, start: bool = False) -> DataFrame:
+    """(edge_id, seg, s, lon, lat, step_km): points at equal steps of at most step_km along each segment on the map.
+
+    They stand in the middle of their steps, or at the ends; with ``start`` a line's first point is one more, as s = −1 of no length.
+    """
     seg = _segments(edge_point).withColumn("km", haversine_km("lat", "lon", "lat2", "lon2"))
     seg = seg.withColumn("n", F.greatest(F.lit(1), F.ceil(F.col("km") / step_km)).cast("int"))
     s = seg.select("*", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("s"))
     f = (F.col("s") + (0.5 if midpoint else 1.0)) / F.col("n")
     # as a generator, so that the planner does not repeat the formula in each expression over its result
     point = F.inline(F.array(mercator_point("lat", "lon", "lat2", "lon2", f)))
-    return s.select("edge_id", *[c for c in ("mode",) if c in edge_point.columns], "seg", "s", point, (F.col("km") / F.col("n")).alias("step_km"))
+    mode = [c for c in ("mode",) if c in edge_point.columns]
+    out = s.select("edge_id", *mode, "seg", "s", point, (F.col("km") / F.col("n")).alias("step_km"))
+    if start:
+        out = out.unionByName(seg.where("seg = 0").select("edge_id", *mode, "seg", F.lit(-1).alias("s"), "lon", "lat", F.lit(0.0).alias("step_km")))
+    return out
 
 
 def tag_edges(edge_point: DataFrame, zone: DataFrame, vertices: DataFrame, zone_mode: DataFrame, step_km: float = 20) -> DataFrame:
@@ -156,11 +163,16 @@ def longest_bad_run(samples: DataFrame) -> DataFrame:
 
 
 def leading_run(samples: DataFrame, from_tail: bool = False) -> DataFrame:
-    """(edge_id, km): length of the bad stretch that a line begins (or ends) with; lines with a good end are absent."""
+    """(edge_id, km): length of the bad stretch that a line begins (or ends) with; none where its first point is good.
+
+    samples: at the ends of steps, with the line's first point (``sample_polyline(…, midpoint=False, start=True)``). From the tail, a
+    step's length counts with its far end, the sample before it.
+    """
     order = [F.desc("seg"), F.desc("s")] if from_tail else ["seg", "s"]
     w = Window.partitionBy("edge_id").orderBy(*order)
-    s = samples.withColumn("good", F.sum((~F.col("is_bad")).cast("int")).over(w))
-    return s.where("good = 0").groupBy("edge_id").agg(F.sum("step_km").alias("km"))
+    km = F.coalesce(F.lag("step_km").over(w), F.lit(0.0)) if from_tail else F.col("step_km")
+    s = samples.withColumn("good", F.sum((~F.col("is_bad")).cast("int")).over(w)).withColumn("km", km)
+    return s.where("good = 0").groupBy("edge_id").agg(F.sum("km").alias("km"))
 
 
 def tag_airspace(pairs: DataFrame, ring_vertex: DataFrame, step_km: float = 50) -> DataFrame:
@@ -172,14 +184,19 @@ def tag_airspace(pairs: DataFrame, ring_vertex: DataFrame, step_km: float = 50)
     return point_in_polygon_with_holes(points, ring_vertex).select("point_id.src", "point_id.dst", "shape_id").distinct()
 
 
+WORD = 64  # bits of a mask's word
+
+
 def airspace_mask(tags: DataFrame, zone_list: DataFrame) -> DataFrame:
-    """(src, dst, mask): a bit for each crossed shape, by its place in zone_list(shape_id, bit)."""
-    return tags.join(zone_list, "shape_id").groupBy("src", "dst").agg(F.expr("bit_or(shiftleft(1L, bit))").alias("mask"))
+    """(src, dst, word, mask): a bit for each crossed shape, by its place in zone_list(shape_id, bit), 64 to a word; words without a bit are left out."""
+    at = tags.join(zone_list, "shape_id").select("src", "dst", F.floor(F.col("bit") / WORD).cast("int").alias("word"), (F.col("bit") % WORD).cast("int").alias("b"))
+    return at.groupBy("src", "dst", "word").agg(F.expr("bit_or(shiftleft(1L, b))").alias("mask"))
 
 
 def airspace_on_leg(edge: DataFrame, mask: DataFrame, zone_list: DataFrame) -> DataFrame:
-    """(edge_id, shape_id): air legs looked up in either direction and their mask decoded."""
-    both = mask.select("src", "dst", "mask").unionByName(mask.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "mask")).groupBy("src", "dst").agg(F.expr("bit_or(mask)").alias("mask"))
+    """(edge_id, shape_id): air legs looked up in either direction and their masks (src, dst, word, mask) decoded."""
+    swapped = mask.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "word", "mask")
+    both = mask.select("src", "dst", "word", "mask").unionByName(swapped).groupBy("src", "dst", "word").agg(F.expr("bit_or(mask)").alias("mask"))
     held = edge.where("mode = 'air'").join(both, ["src", "dst"])
-    bits = held.select("edge_id", F.explode(F.expr("filter(sequence(0, 62), b -> (mask & shiftleft(1L, b)) != 0)")).alias("bit"))
-    return bits.join(zone_list, "bit").select("edge_id", "shape_id")
+    bits = held.select("edge_id", "word", F.explode(F.expr(f"filter(sequence(0, {WORD - 1}), b -> (mask & shiftleft(1L, b)) != 0)")).alias("b"))
+    return bits.select("edge_id", (F.col("word") * WORD + F.col("b")).alias("bit")).join(zone_list, "bit").select("edge_id", "shape_id")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from freightgraph.operators import indices, network, planning, pricing, routes, rules, spatial
-from freightgraph.plans.tables import ORACLE_VIEWS, Tables, km_sql, query, whole
+from freightgraph.plans.tables import ORACLE_VIEWS, Tables, km_sql, query
 
 TIER_SQL = "(least(d, 500) * 1.9 + greatest(least(d, 1500) - 500, 0) * 1.35 + greatest(least(d, 5000) - 1500, 0) * 1.05 + greatest(d - 5000, 0) * 1.0)"
 ORACLE_VIEWS |= {
@@ -166,6 +166,13 @@ def j10_air_mesh(t: Tables) -> DataFrame:
     return network.air_mesh(t.f_node.where("kind = 'airport'"))
 
 
+@query(f"""SELECT a.node_id AS src, b.node_id AS dst FROM f_node a JOIN f_node b ON a.node_id < b.node_id WHERE a.kind = 'airport' AND b.kind = 'airport' UNION ALL SELECT src, dst FROM (SELECT a.node_id AS src, b.node_id AS dst,
+  row_number() OVER (PARTITION BY a.node_id ORDER BY round({km_sql('a.lat', 'a.lon', 'b.lat', 'b.lon')}, 6), b.node_id) AS r FROM f_node a JOIN f_node b ON b.kind = 'airport' WHERE a.kind <> 'airport') WHERE r <= 3 AND (SELECT count(*) FROM f_node WHERE kind = 'airport') > 1
+UNION SELECT a.node_id, b.node_id FROM f_node a JOIN f_node b ON a.node_id < b.node_id WHERE (SELECT count(*) FROM f_node WHERE kind = 'airport') < 2""")
+def j10_air_network(t: Tables) -> DataFrame:
+    return network.air_network(t.f_node, t.f_node.where("kind = 'airport'"))
+
+
 @query(f"""SELECT src, dst, round(min(km), 3) AS straight_km FROM (SELECT least(a, b) AS src, greatest(a, b) AS dst, km FROM (SELECT a.node_id AS a, b.node_id AS b, {km_sql('a.lat', 'a.lon', 'b.lat', 'b.lon')} AS km,
   row_number() OVER (PARTITION BY a.node_id ORDER BY round({km_sql('a.lat', 'a.lon', 'b.lat', 'b.lon')}, 6), b.node_id) AS r FROM f_node a JOIN f_node b ON a.node_id <> b.node_id AND a.country_key % 2 = b.country_key % 2
   WHERE {km_sql('a.lat', 'a.lon', 'b.lat', 'b.lon')} <= 2500) WHERE r <= 4) GROUP BY src, dst""")
@@ -286,19 +293,39 @@ def a3_transit_index(t: Tables) -> DataFrame:
     return pricing.available_modes(t.f_edge, t.f_node).select("node_id", indices.transit_index(F.col("modes")).alias("transit"))
 
 
-# Routes: of any number of legs under the names that end in _whole, of at most three where the oracle lists every walk
+# Routes: the oracles relax legs until nothing gets better, keeping one row a state, and follow the last legs back
+
+
+def settle_sql(steps: str, starts: str, by: tuple[str, ...]) -> str:
+    """Cheapest arrival of each state (*by, source, node, mode) with its last leg; ``starts`` gives *by and source."""
+    k = lambda a: ", ".join(f"{a}.{c}" for c in by)
+    same = lambda a, b: " AND ".join(f"{a}.{c} = {b}.{c}" for c in by)
+    return f"""SELECT * FROM (WITH RECURSIVE w({', '.join(by)}, source, node, mode, c, hops, edge_id, prev_mode, prev, cost) USING KEY ({', '.join(by)}, source, node, mode) AS (
+  SELECT {', '.join(by)}, source, source, 'hub', 0.0e0, 0, CAST(NULL AS BIGINT), CAST(NULL AS VARCHAR), CAST(NULL AS BIGINT), 0.0e0 FROM ({starts})
+  UNION (SELECT {k('n')}, n.source, n.node, n.mode, n.b.c, n.b.hops, n.b.edge_id, n.b.prev_mode, n.b.prev, n.b.cost FROM
+    (SELECT {k('w')}, w.source, s.to_node AS node, s.mode, min({{'c': round(w.cost + CASE WHEN s.mode = w.mode THEN 0 ELSE s.load END + s.weight, 6), 'hops': w.hops + 1, 'edge_id': s.edge_id, 'prev_mode': w.mode, 'prev': w.node, 'cost': w.cost + CASE WHEN s.mode = w.mode THEN 0 ELSE s.load END + s.weight}}) AS b
+     FROM w JOIN {steps} s ON {same('s', 'w')} AND s.node = w.node AND s.to_node <> w.source GROUP BY {k('w')}, w.source, s.to_node, s.mode) n
+    LEFT JOIN recurring.w r ON {same('r', 'n')} AND r.source = n.source AND r.node = n.node AND r.mode = n.mode WHERE r.c IS NULL OR n.b.c < r.c)) SELECT * FROM w)"""
+
+
+def trace_sql(settled: str, wanted: str, by: tuple[str, ...]) -> str:
+    """(*by, source, target, cost, hops, path) of the best arrivals at the places that the condition ``wanted`` names."""
+    keys = ", ".join(by)
+    same = " AND ".join(f"r.{c} = p.{c}" for c in by)
+    return f"""SELECT {keys}, source, target, cost, hops, path FROM (WITH RECURSIVE p AS (
+  SELECT {keys}, source, node AS target, b.cost AS cost, b.hops AS hops, node, b.mode AS mode, CAST([] AS BIGINT[]) AS path
+  FROM (SELECT {keys}, source, node, min({{'c': c, 'hops': hops, 'edge_id': edge_id, 'cost': cost, 'mode': mode}}) AS b FROM {settled} WHERE edge_id IS NOT NULL AND {wanted} GROUP BY {keys}, source, node)
+  UNION ALL SELECT {', '.join('p.' + c for c in by)}, p.source, p.target, p.cost, p.hops, r.prev, r.prev_mode, list_prepend(r.edge_id, p.path)
+  FROM p JOIN {settled} r ON {same} AND r.source = p.source AND r.node = p.node AND r.mode = p.mode WHERE r.edge_id IS NOT NULL) SELECT * FROM p WHERE mode = 'hub')"""
+
 
-MAX_LEGS = 3
 ORACLE_VIEWS |= {
     "o_step": """SELECT w.objective, c.a AS node, c.b AS to_node, c.mode, c.edge_id, CASE w.objective WHEN 'cheapest' THEN c.usd WHEN 'fastest' THEN c.hours ELSE c.km END AS weight,
   CASE w.objective WHEN 'cheapest' THEN h.usd WHEN 'fastest' THEN h.hours ELSE 0.0e0 END AS load FROM
   (SELECT edge_id, src AS a, dst AS b, mode, usd, hours, km FROM o_cost UNION ALL SELECT edge_id, dst, src, mode, usd, hours, km FROM o_cost) c
   JOIN o_hub h ON h.node_id = c.a AND h.mode = c.mode CROSS JOIN (VALUES ('cheapest'), ('fastest'), ('most-direct')) AS w(objective)""",
-    "o_walk1": "SELECT objective, node AS source, to_node AS node, mode, 0.0e0 + load + weight AS cost, 1 AS hops, [edge_id] AS path FROM o_step",
-    "o_walk2": "SELECT w.objective, source, s.to_node AS node, s.mode, cost + CASE WHEN s.mode = w.mode THEN 0 ELSE s.load END + s.weight AS cost, 2 AS hops, list_append(path, s.edge_id) AS path FROM o_walk1 w JOIN o_step s ON s.node = w.node AND s.objective = w.objective AND s.to_node <> w.source",
-    "o_walk3": "SELECT w.objective, source, s.to_node AS node, s.mode, cost + CASE WHEN s.mode = w.mode THEN 0 ELSE s.load END + s.weight AS cost, 3 AS hops, list_append(path, s.edge_id) AS path FROM o_walk2 w JOIN o_step s ON s.node = w.node AND s.objective = w.objective AND s.to_node <> w.source",
-    "o_best": """SELECT objective, source, node AS target, b.cost AS cost, b.hops AS hops, b.path AS path FROM (SELECT objective, source, node, min({'c': round(cost, 6), 'hops': hops, 'path': path, 'cost': cost}) AS b
-  FROM (SELECT * FROM o_walk1 UNION ALL SELECT * FROM o_walk2 UNION ALL SELECT * FROM o_walk3) GROUP BY objective, source, node)""",
+    "o_settled": settle_sql("o_step", "SELECT DISTINCT w.objective, n.node_id AS source FROM f_node n CROSS JOIN (SELECT DISTINCT objective FROM o_step) w", ("objective",)),
+    "o_best": trace_sql("o_settled", "TRUE", ("objective",)),
     "o_seg": "SELECT * FROM (SELECT request_id, row_number() OVER w - 1 AS seg_no, node_id AS src, lead(node_id) OVER w AS dst FROM x_stop WINDOW w AS (PARTITION BY request_id ORDER BY seq)) WHERE dst IS NOT NULL",
     "o_opt": """SELECT f.* FROM (SELECT s.request_id, s.seg_no, s.src, s.dst, b.objective, b.path FROM o_seg s JOIN o_best b ON b.source = s.src AND b.target = s.dst) f
   JOIN (SELECT request_id, objective FROM (SELECT s.request_id, b.objective, count(*) AS have FROM o_seg s JOIN o_best b ON b.source = s.src AND b.target = s.dst GROUP BY ALL) JOIN (SELECT request_id, count(*) AS need FROM o_seg GROUP BY request_id) USING (request_id) WHERE have = need) k
@@ -325,13 +352,10 @@ def graph(t: Tables) -> DataFrame:
     return pricing.state_graph(costs(t), hubs(t))
 
 
-def max_legs(t: Tables) -> int | None:
-    return None if t.whole else MAX_LEGS
-
-
 def legs_of(t: Tables) -> DataFrame:
     segments = routes.waypoint_segments(t.x_stop)
-    paths = routes.shortest_paths(routes.objectives(graph(t)), segments.select(F.col("src").alias("node_id")), max_legs(t))
+    ends = segments.select(F.col("src").alias("source"), F.col("dst").alias("target"))
+    paths = routes.shortest_paths(routes.objectives(graph(t)), segments.select(F.col("src").alias("node_id")), targets=ends)
     units = t.f_request.select("request_id", pricing.price_units(F.col("weight_tonnes"), F.col("volume_m3")).alias("units"))
     return routes.reconstruct_legs(routes.complete_options(segments, paths), costs(t), hubs(t), units)
 
@@ -345,10 +369,9 @@ def r1_state_graph(t: Tables) -> DataFrame:
     return graph(t).select("from_node", "from_mode", "to_node", "to_mode", F.round("usd", 3).alias("usd"), F.round("hours", 3).alias("hours"), "is_load")
 
 
-@whole()
 @query("SELECT objective, source, target, round(cost, 3) AS cost, hops, array_to_string(path, '>') AS path FROM o_best")
 def r2_shortest_paths(t: Tables) -> DataFrame:
-    found = routes.shortest_paths(routes.objectives(graph(t)), t.f_node, max_legs(t))
+    found = routes.shortest_paths(routes.objectives(graph(t)), t.f_node)
     return found.select("objective", "source", "target", F.round("cost", 3).alias("cost"), "hops", F.array_join(F.col("path").cast("array<string>"), ">").alias("path"))
 
 
@@ -364,31 +387,26 @@ def r4_waypoint_segments(t: Tables) -> DataFrame:
     return routes.waypoint_segments(t.x_stop)
 
 
-@whole()
 @query("SELECT request_id, objective, leg_no, edge_id, from_node, to_node, mode, round(usd, 3) AS usd, round(hours, 3) AS hours, round(km, 3) AS km FROM o_leg")
 def r5_reconstruct_legs(t: Tables) -> DataFrame:
     return legs_of(t).select("request_id", "objective", "leg_no", "edge_id", "from_node", "to_node", "mode", *[F.round(c, 3).alias(c) for c in MONEY])
 
 
-@whole()
 @query("SELECT request_id, objective, leg_no, eta_hours FROM o_eta")
 def r6_leg_eta(t: Tables) -> DataFrame:
     return routes.leg_eta(legs_of(t)).select("request_id", "objective", "leg_no", "eta_hours")
 
 
-@whole()
 @query("""SELECT request_id, objective, round(sum(usd), 3) AS usd, round(sum(hours), 3) AS hours, count(*) AS legs, CAST(sum(change) AS BIGINT) AS transfers FROM (SELECT *, CASE WHEN lag(mode) OVER (PARTITION BY request_id, objective ORDER BY leg_no) <> mode THEN 1 ELSE 0 END AS change FROM o_leg) GROUP BY ALL""")
 def r7_route_totals(t: Tables) -> DataFrame:
     return routes.route_totals(legs_of(t)).select("request_id", "objective", F.round("usd", 3).alias("usd"), F.round("hours", 3).alias("hours"), "legs", "transfers")
 
 
-@whole()
 @query("SELECT request_id, objective, score FROM o_score")
 def r8_route_security(t: Tables) -> DataFrame:
     return routes.route_security(legs_of(t), t.x_security, t.x_edge_zone, t.f_zone)
 
 
-@whole()
 @query("""SELECT k.request_id, k.objective, coalesce(z.l, '') AS zone_labels, coalesce(g.l, '') AS transshipments, coalesce(b.l, '') AS border_delays, coalesce(q.l, '') AS conditions FROM (SELECT DISTINCT request_id, objective FROM o_leg) k
 LEFT JOIN (SELECT request_id, objective, string_agg(z.label, '; ' ORDER BY first_leg, c.zone_id) AS l FROM o_crossed c JOIN f_zone z ON z.zone_id = c.zone_id GROUP BY ALL) z USING (request_id, objective)
 LEFT JOIN (SELECT request_id, objective, string_agg(concat(n.name, ' · ', b.label), '; ' ORDER BY leg_no) AS l FROM o_leg l JOIN o_break b ON b.edge_id = l.edge_id JOIN f_node n ON n.node_id = l.to_node GROUP BY ALL) g USING (request_id, objective)
@@ -398,7 +416,6 @@ def r9_route_notes(t: Tables) -> DataFrame:
     return routes.route_notes(legs_of(t), t.x_edge_zone, t.f_zone, breaks(t), t.f_node, rules.border_delay(t.f_edge, t.f_node, t.x_border_status), t.x_condition)
 
 
-@whole()
 @query("""SELECT *, CASE WHEN active THEN concat(label, ' — ', CASE hazard_kind WHEN 'earthquake' THEN 'active hazard, military transit only' WHEN 'volcano' THEN 'erupting — site closed to civilian cargo' WHEN 'wildfire' THEN 'active wildfire on this leg, expect disruption'
   WHEN 'cyclone' THEN 'tropical cyclone on this leg, expect port closures and delay' WHEN 'flood' THEN 'flooding on this leg, expect road and rail disruption' WHEN 'navwarning' THEN 'navigational warning in force on this leg' WHEN 'conflict' THEN 'armed conflict on this leg, expect closures and war-risk premiums' END) ELSE label END AS note
 FROM (SELECT DISTINCT l.request_id, l.objective, z.zone_id, z.label, z.hazard_kind, d.depart + to_hours(l.eta_hours) BETWEEN z.active_from AND z.active_until AS active FROM o_eta l JOIN x_edge_zone x ON x.edge_id = l.edge_id JOIN f_zone z ON z.zone_id = x.zone_id JOIN x_depart d ON d.request_id = l.request_id WHERE z.access = 'hazard')""".replace("SELECT *, CASE", "SELECT request_id, objective, zone_id, active, CASE", 1))
@@ -406,7 +423,6 @@ def r10_hazard_timing(t: Tables) -> DataFrame:
     return routes.hazard_timing(legs_of(t), t.x_edge_zone, t.f_zone, t.x_depart)
 
 
-@whole()
 @query("SELECT request_id, objective, signature FROM o_kept")
 def r11_dedupe_options(t: Tables) -> DataFrame:
     return routes.dedupe_options(legs_of(t))
@@ -417,8 +433,6 @@ def r11_dedupe_options(t: Tables) -> DataFrame:
 HORIZON_DAYS = 2
 KEYS = "civilian, month, day"
 ON = lambda a, b: " AND ".join(f"{a}.{k} = {b}.{k}" for k in ("civilian", "month", "day"))
-_WALK = """SELECT w.set_id, w.objective, source, s.to_node AS node, s.mode, cost + CASE WHEN s.mode = w.mode THEN 0 ELSE s.load END + s.weight AS cost, {n} AS hops, list_append(path, s.edge_id) AS path
-FROM {before} w JOIN o_sstep s ON s.set_id = w.set_id AND s.node = w.node AND s.objective = w.objective AND s.to_node <> w.source"""
 ORACLE_VIEWS |= {
     "o_variant": "SELECT request_id, 'asked' AS variant FROM x_plan UNION ALL SELECT request_id, 'none' FROM x_plan UNION ALL SELECT DISTINCT request_id, flag FROM x_plan_flag",
     "o_vflag": "SELECT v.request_id, v.variant, f.flag FROM o_variant v JOIN x_plan_flag f ON f.request_id = v.request_id AND (v.variant = 'asked' OR v.variant = f.flag)",
@@ -450,12 +464,9 @@ ORACLE_VIEWS |= {
   JOIN o_chub h ON h.node_id = c.a AND h.mode = c.mode AND {ON('h', 'c')} JOIN o_crisk r ON r.edge_id = c.edge_id AND r.to_node = c.b AND {ON('r', 'c')} CROSS JOIN (VALUES ('cheapest'), ('fastest'), ('most-direct'), ('safest')) AS w(objective)""",
     "o_vseg": f"""SELECT v.request_id, v.variant, v.set_id, {', '.join('v.' + k for k in KEYS.split(', '))}, s.seg_no, s.src, s.dst FROM o_vset v JOIN o_seg s ON s.request_id = v.request_id WHERE v.request_id IN
   (SELECT request_id FROM x_stop GROUP BY request_id HAVING count(*) >= 2 AND count(*) = count(DISTINCT node_id)) AND NOT EXISTS (SELECT 1 FROM x_stop t WHERE t.request_id = v.request_id AND NOT EXISTS (SELECT 1 FROM o_place p WHERE p.node_id = t.node_id AND {ON('p', 'v')}))""",
-    "o_swalk1": "SELECT set_id, objective, node AS source, to_node AS node, mode, 0.0e0 + load + weight AS cost, 1 AS hops, [edge_id] AS path FROM o_sstep WHERE (set_id, node) IN (SELECT (set_id, src) FROM o_vseg)",
-    "o_swalk2": _WALK.format(n=2, before="o_swalk1"),
-    "o_swalk3": _WALK.format(n=3, before="o_swalk2"),
-    "o_sbest": """SELECT set_id, objective, source, node AS target, min({'c': round(cost, 6), 'hops': hops, 'path': path, 'cost': cost}) AS b
-  FROM (SELECT * FROM o_swalk1 UNION ALL SELECT * FROM o_swalk2 UNION ALL SELECT * FROM o_swalk3) GROUP BY set_id, objective, source, node""",
-    "o_vopt": """SELECT *, count(*) OVER (PARTITION BY request_id, variant, objective) AS have FROM (SELECT s.*, b.objective, b.b.path AS path, n.need FROM o_vseg s JOIN o_sbest b ON b.set_id = s.set_id AND b.source = s.src AND b.target = s.dst
+    "o_ssettled": settle_sql("o_sstep", "SELECT DISTINCT v.set_id, w.objective, v.src AS source FROM o_vseg v CROSS JOIN (VALUES ('cheapest'), ('fastest'), ('most-direct'), ('safest')) AS w(objective)", ("set_id", "objective")),
+    "o_sbest": trace_sql("o_ssettled", "(set_id, source, node) IN (SELECT (set_id, src, dst) FROM o_vseg)", ("set_id", "objective")),
+    "o_vopt": """SELECT *, count(*) OVER (PARTITION BY request_id, variant, objective) AS have FROM (SELECT s.*, b.objective, b.path AS path, n.need FROM o_vseg s JOIN o_sbest b ON b.set_id = s.set_id AND b.source = s.src AND b.target = s.dst
   JOIN (SELECT request_id, count(*) AS need FROM o_seg GROUP BY request_id) n ON n.request_id = s.request_id) QUALIFY have = need""",
     "o_phop": f"""SELECT o.request_id, o.objective, {', '.join('o.' + k for k in KEYS.split(', '))}, o.seg_no, o.pos, o.edge_id, c.mode, c.usd, c.hours, c.km, c.src, c.dst, o.start, lag(c.mode) OVER w AS before, lag(c.src) OVER w AS psrc, lag(c.dst) OVER w AS pdst
   FROM (SELECT request_id, objective, {KEYS}, seg_no, src AS start, unnest(path) AS edge_id, generate_subscripts(path, 1) AS pos FROM o_vopt WHERE variant = 'asked') o JOIN o_ccost c ON c.edge_id = o.edge_id AND {ON('c', 'o')} WINDOW w AS (PARTITION BY o.request_id, o.objective, o.seg_no ORDER BY o.pos)""",
@@ -500,22 +511,19 @@ def c6_leg_cost_by_class(t: Tables) -> DataFrame:
     return legs.select(F.date_format("day", "yyyy-MM-dd").alias("day"), "civilian", "edge_id", *[F.round(c, 3).alias(c) for c in MONEY])
 
 
-@whole()
 @query("SELECT l.request_id, l.objective, l.leg_no, l.from_node, l.to_node, l.mode, round(l.usd, 3) AS usd, l.eta_hours FROM o_pleg l JOIN o_pkept k ON k.request_id = l.request_id AND k.objective = l.objective WHERE l.objective <> 'safest'")
 def r12_compute_routes(t: Tables) -> DataFrame:
-    plan = planning.compute_routes(network_of(t), planned(t), t.x_stop, max_legs=max_legs(t))
+    plan = planning.compute_routes(network_of(t), planned(t), t.x_stop)
     return plan.legs.select("request_id", "objective", "leg_no", "from_node", "to_node", "mode", F.round("usd", 3).alias("usd"), "eta_hours")
 
 
-@whole()
 @query("""SELECT b.request_id, b.best, s.score AS offer FROM (SELECT request_id, greatest(0, max(score)) AS best FROM o_pscore WHERE objective <> 'safest' GROUP BY request_id) b
 JOIN o_pscore s ON s.request_id = b.request_id AND s.objective = 'safest' JOIN o_pkept k ON k.request_id = b.request_id AND k.objective = 'safest'
 WHERE (b.best < 30 OR b.request_id IN (SELECT request_id FROM x_plan_flag WHERE flag = 'hvt')) AND s.score > b.best""")
 def r13_safer_offer(t: Tables) -> DataFrame:
-    return planning.safer_offer(network_of(t), planned(t), t.x_stop, max_legs(t))
+    return planning.safer_offer(network_of(t), planned(t), t.x_stop)
 
 
-@whole()
 @query("""SELECT l.request_id, CASE WHEN m.request_id IS NOT NULL THEN 'restricted military site' WHEN b.blocking IS NOT NULL THEN 'handling rules' ELSE 'no connection' END AS reason,
   CASE WHEN m.request_id IS NULL THEN coalesce(b.blocking, '') ELSE '' END AS blocking, CASE WHEN m.request_id IS NULL THEN coalesce(b.barred, '') ELSE '' END AS barred
 FROM (SELECT request_id FROM x_plan EXCEPT SELECT request_id FROM o_vopt WHERE variant = 'asked') l
@@ -523,7 +531,7 @@ LEFT JOIN (SELECT DISTINCT s.request_id FROM x_stop s JOIN f_node n ON n.node_id
 LEFT JOIN (SELECT request_id, string_agg(variant, ',' ORDER BY variant) AS blocking, string_agg(CASE variant WHEN 'hazmat' THEN 'air' WHEN 'perishable' THEN 'sea' END, ',' ORDER BY variant) AS barred FROM o_variant v
   WHERE variant NOT IN ('asked', 'none') AND request_id IN (SELECT request_id FROM o_vopt WHERE variant = 'none') AND NOT EXISTS (SELECT 1 FROM o_vopt o WHERE o.request_id = v.request_id AND o.variant = v.variant) GROUP BY request_id) b ON b.request_id = l.request_id""")
 def r14_no_route_reason(t: Tables) -> DataFrame:
-    return planning.no_route_reason(network_of(t), planned(t), t.x_stop, max_legs(t))
+    return planning.no_route_reason(network_of(t), planned(t), t.x_stop)
 
 
 @query("SELECT node_id, coalesce(m.modes, '') AS modes, e.econ, s.security, greatest(0, 100 - 15 * (4 - coalesce(m.n, 0))) AS transit FROM f_node LEFT JOIN o_modes m USING (node_id) JOIN x_econ e USING (node_id) JOIN x_security s USING (node_id)")
@@ -535,7 +543,6 @@ def info(t: Tables) -> DataFrame:
     return routes.node_info(t.f_node, pricing.available_modes(t.f_edge, t.f_node), t.x_econ.join(t.x_security, "node_id"))
 
 
-@whole()
 @query("SELECT request_id, objective, CAST(stop_no AS BIGINT) AS stop_no, node_id, coalesce(m.modes, '') AS modes, security FROM o_visit LEFT JOIN o_modes m USING (node_id) JOIN x_security USING (node_id)")
 def r17_route_stops(t: Tables) -> DataFrame:
     return routes.route_stops(legs_of(t), info(t)).select("request_id", "objective", F.col("stop_no").cast("long").alias("stop_no"), "node_id", "modes", "security")

@@ -240,4 +240,18 @@ SELECT zone_id AS shape_id, 0 AS ring_no, pos, lon, lat FROM f_zone_vertex
 UNION ALL SELECT zone_id, 1, pos, lon * 0.5 + (-150.0E0 + zone_id * 60.0E0 + 17.5E0) * 0.5, lat * 0.5 + (-40.0E0 + zone_id * 12.0E0 + 15.0E0) * 0.5 FROM f_zone_vertex
 """,
     "x_point": "SELECT event_id AS point_id, lat, lon FROM f_detection",
+    # inland waters: rivers from railheads, lakes round capitals, and the sea legs that are curated inland
+    "x_river": """
+SELECT node_id AS line_id, 0 AS pos, lon, lat FROM f_node WHERE kind = 'railhub'
+UNION ALL SELECT node_id, 1, lon + 3.3E0, lat + 1.7E0 FROM f_node WHERE kind = 'railhub' UNION ALL SELECT node_id, 2, lon + 5.1E0, lat - 2.2E0 FROM f_node WHERE kind = 'railhub'
+""",
+    "x_lake": """
+SELECT node_id AS zone_id, v.i AS pos, lon * 0.97E0 + CASE v.i WHEN 0 THEN 1.6E0 WHEN 2 THEN -1.6E0 ELSE 0.0E0 END AS lon, lat + CASE v.i WHEN 1 THEN 1.2E0 WHEN 3 THEN -1.2E0 ELSE 0.0E0 END AS lat
+FROM f_node CROSS JOIN (VALUES (0), (1), (2), (3)) AS v(i) WHERE kind = 'capital'
+""",
+    "x_inland": "SELECT e.edge_id FROM f_edge e JOIN f_node n ON n.node_id = e.src WHERE e.mode = 'sea' AND n.kind <> 'seaport'",
+    # places as they are now, most of them newer than the generated legs
+    "x_grown_node": "SELECT n.node_id + v.i * 1000000000 AS node_id, n.kind FROM f_node n CROSS JOIN (VALUES (0), (1), (2)) AS v(i)",
+    # shapes' places in a mask of several words
+    "x_shape_bit": "SELECT r_regionkey AS shape_id, CAST(r_regionkey * 50 AS INT) AS bit FROM region",
 }

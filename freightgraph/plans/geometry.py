@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from freightgraph.functions import geo
-from freightgraph.operators import quality, spatial
+from freightgraph.operators import network, quality, spatial
 from freightgraph.plans.tables import ORACLE_VIEWS, Tables, km_sql, query
 
 ORACLE_VIEWS |= {
@@ -149,10 +149,51 @@ def medium_samples(t: Tables) -> DataFrame:
     return s.join(land, "point_id", "left").select("edge_id", "seg", "s", "lon", "lat", "step_km", F.col("land").isNull().alias("is_bad"))
 
 
+RES = 1.0  # of the test rasters
+
+
+def land(t: Tables) -> DataFrame:
+    return network.rasterize(t.f_zone_vertex, RES)
+
+
+def water(t: Tables) -> DataFrame:
+    return network.water_cells(land(t), t.x_river, t.x_lake, RES)
+
+
 def audited_samples(t: Tables) -> DataFrame:
-    """Samples of legs by their medium: bad on land at sea, bad off land on rails and roads."""
-    s = spatial.sample_polyline(t.f_edge_point, 20).withColumn("point_id", F.struct("edge_id", "seg", "s"))
-    return quality.off_medium(s, spatial.point_in_ring(s, t.f_zone_vertex).select("point_id.edge_id", "point_id.seg", "point_id.s"))
+    """Ends of 5 km steps along legs, and their first points, by their medium: bad off navigable water at sea, off land on rails and roads."""
+    s = spatial.sample_polyline(t.f_edge_point, 5, midpoint=False, start=True)
+    dry = s.where("mode in ('rail', 'truck')").withColumn("point_id", F.struct("edge_id", "seg", "s"))
+    return quality.off_medium(s, spatial.point_in_ring(dry, t.f_zone_vertex).select("point_id.edge_id", "point_id.seg", "point_id.s"), water(t), RES)
+
+
+def cell_sql(lon: str, lat: str) -> str:
+    """x and y of the grid's cell of a point."""
+    return f"CAST(floor((({lon}) + 180 - 360 * floor((({lon}) + 180) / 360)) / 1.0e0) % 360 AS INTEGER) AS x, CAST(least(179, greatest(0, floor((({lat}) + 90) / 1.0e0))) AS INTEGER) AS y"
+
+
+TRACE = "unnest(range(0, CAST(greatest(1, ceil(greatest(abs(lon2 - lon1), abs(lat2 - lat1)) / 0.5e0)) AS BIGINT) + 1)) AS s, greatest(1, ceil(greatest(abs(lon2 - lon1), abs(lat2 - lat1)) / 0.5e0)) AS n"
+ORACLE_VIEWS |= {
+    "o_cell": "SELECT x, y, x + 0.5e0 - 180 AS lon, y + 0.5e0 - 90 AS lat FROM (SELECT unnest(range(0, 360)) AS x) CROSS JOIN (SELECT unnest(range(0, 180)) AS y)",
+    "o_land": f"SELECT DISTINCT CAST(x AS INTEGER) AS x, CAST(y AS INTEGER) AS y FROM (SELECT x, y, zone_id FROM o_cell p JOIN o_side ON {RING_HIT} GROUP BY ALL HAVING count(*) % 2 = 1)",
+    "o_rim": """SELECT zone_id, lon AS lon1, lat AS lat1, coalesce(LEAD(lon) OVER w, first_value(lon) OVER w) AS lon2, coalesce(LEAD(lat) OVER w, first_value(lat) OVER w) AS lat2 FROM x_lake WINDOW w AS (PARTITION BY zone_id ORDER BY pos)""",
+    "o_traced": f"""SELECT DISTINCT {cell_sql('lon1 + (lon2 - lon1) * s / n', 'lat1 + (lat2 - lat1) * s / n')} FROM (SELECT *, {TRACE} FROM
+  (SELECT lon1, lat1, lon2, lat2 FROM o_rim UNION ALL SELECT * FROM (SELECT lon AS lon1, lat AS lat1, lead(lon) OVER w AS lon2, lead(lat) OVER w AS lat2 FROM x_river WINDOW w AS (PARTITION BY line_id ORDER BY pos)) WHERE lon2 IS NOT NULL))""",
+    "o_filled": f"SELECT DISTINCT CAST(x AS INTEGER) AS x, CAST(y AS INTEGER) AS y FROM (SELECT x, y, zone_id FROM o_cell p JOIN o_rim ON {RING_HIT} GROUP BY ALL HAVING count(*) % 2 = 1)",
+    "o_water": """SELECT CAST(x AS INTEGER) AS x, CAST(y AS INTEGER) AS y FROM (SELECT x, y FROM o_cell EXCEPT SELECT x, y FROM o_land) UNION SELECT (x + dx + 360) % 360, y + dy FROM (SELECT x, y FROM o_traced UNION SELECT x, y FROM o_filled)
+  CROSS JOIN (SELECT unnest([-1, 0, 1]) AS dx) CROSS JOIN (SELECT unnest([-1, 0, 1]) AS dy) WHERE y + dy BETWEEN 0 AND 179""",
+    # the audit's walk: a line's first point, then the ends of steps of at most 5 km
+    "o_walked": """SELECT edge_id, mode, seg, s, lon + (lon2 - lon) * f AS lon, degrees(2 * atan(exp(y1 + (y2 - y1) * f)) - pi() / 2) AS lat, seg_km / n AS step_km
+FROM (SELECT *, s / n AS f FROM (SELECT *, unnest(range(1, CAST(n AS BIGINT) + 1)) AS s FROM (SELECT *, greatest(1, ceil(seg_km / 5)) AS n FROM o_cut)))
+UNION ALL SELECT edge_id, mode, 0, 0, lon, lat, 0 FROM o_cut WHERE seg = 0""",
+    "o_walked_dry": f"SELECT DISTINCT edge_id, seg, s FROM (SELECT p.edge_id, p.seg, p.s, zone_id FROM o_walked p JOIN o_side ON {RING_HIT} WHERE p.mode IN ('rail', 'truck') GROUP BY ALL HAVING count(*) % 2 = 1)",
+    "o_audit": f"""SELECT p.*, w.x IS NULL AS is_bad FROM (SELECT *, {cell_sql('lon', 'lat')} FROM o_walked WHERE mode = 'sea') p LEFT JOIN o_water w ON w.x = p.x AND w.y = p.y
+UNION ALL SELECT p.*, 0, 0, d.s IS NULL FROM o_walked p LEFT JOIN o_walked_dry d ON d.edge_id = p.edge_id AND d.seg = p.seg AND d.s = p.s WHERE p.mode IN ('rail', 'truck')""",
+    "o_audit_island": "SELECT *, sum(CAST(NOT is_bad AS INTEGER)) OVER (PARTITION BY edge_id ORDER BY seg, s) AS island, sum(CAST(NOT is_bad AS INTEGER)) OVER (PARTITION BY edge_id ORDER BY seg DESC, s DESC) AS back, coalesce(lead(step_km) OVER (PARTITION BY edge_id ORDER BY seg, s), 0) AS far_km FROM o_audit",
+    "o_audit_longest": "SELECT edge_id, mode, max(km) AS km FROM (SELECT edge_id, mode, island, sum(step_km) AS km FROM o_audit_island WHERE is_bad GROUP BY edge_id, mode, island) GROUP BY edge_id, mode",
+    "o_audit_end": """SELECT edge_id, mode, 'head' AS side, sum(step_km) AS km FROM o_audit_island WHERE island = 0 GROUP BY edge_id, mode
+UNION ALL SELECT edge_id, mode, 'tail', sum(far_km) FROM o_audit_island WHERE back = 0 GROUP BY edge_id, mode""",
+}
 
 
 ORACLE_VIEWS |= {
@@ -160,12 +201,7 @@ ORACLE_VIEWS |= {
     "o_medium": "SELECT p.*, NOT EXISTS (SELECT 1 FROM o_land_hit h WHERE h.edge_id = p.edge_id AND h.seg = p.seg AND h.s = p.s) AS is_bad FROM o_sample p",
     "o_island": "SELECT *, sum(CAST(NOT is_bad AS INTEGER)) OVER w AS island, row_number() OVER w AS n FROM o_medium WINDOW w AS (PARTITION BY edge_id ORDER BY seg, s)",
     "o_run": "SELECT edge_id, island, sum(step_km) AS km, arg_min(lon, n) AS from_lon, arg_max(lon, n) AS to_lon, arg_min(lat, n) AS from_lat, arg_max(lat, n) AS to_lat, min(n) AS n FROM o_island WHERE is_bad GROUP BY edge_id, island",
-    "o_audit": "SELECT edge_id, mode, seg, s, lon, lat, step_km, (mode = 'sea') = (NOT is_bad) AS is_bad FROM o_medium WHERE mode <> 'air'",
-    "o_audit_island": "SELECT *, sum(CAST(NOT is_bad AS INTEGER)) OVER (PARTITION BY edge_id ORDER BY seg, s) AS island, sum(CAST(NOT is_bad AS INTEGER)) OVER (PARTITION BY edge_id ORDER BY seg DESC, s DESC) AS back FROM o_audit",
-    "o_audit_longest": "SELECT edge_id, mode, max(km) AS km FROM (SELECT edge_id, mode, island, sum(step_km) AS km FROM o_audit_island WHERE is_bad GROUP BY edge_id, mode, island) GROUP BY edge_id, mode",
     "o_longest": "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY edge_id ORDER BY round(km, 6) DESC, n) AS r FROM o_run) WHERE r = 1",
-    "o_head": "SELECT edge_id, sum(step_km) AS km FROM o_island WHERE island = 0 GROUP BY edge_id",
-    "o_tail": "SELECT edge_id, sum(step_km) AS km FROM (SELECT *, sum(CAST(NOT is_bad AS INTEGER)) OVER (PARTITION BY edge_id ORDER BY seg DESC, s DESC) AS back FROM o_medium) WHERE back = 0 GROUP BY edge_id",
 }
 ENDS = [F"{a}_{b}" for a in ("from", "to") for b in ("lon", "lat")]
 
@@ -175,9 +211,9 @@ def p5_longest_bad_run(t: Tables) -> DataFrame:
     return spatial.longest_bad_run(medium_samples(t)).select("edge_id", *[F.round(c, 3).alias(c) for c in ("km", *ENDS)])
 
 
-@query("SELECT edge_id, 'head' AS side, round(km, 3) AS km FROM o_head UNION ALL SELECT edge_id, 'tail', round(km, 3) FROM o_tail")
+@query("SELECT edge_id, side, round(km, 3) AS km FROM o_audit_end")
 def p6_leading_run(t: Tables) -> DataFrame:
-    s = medium_samples(t)
+    s = audited_samples(t)
     run = lambda back, name: spatial.leading_run(s, back).select("edge_id", F.lit(name).alias("side"), F.round("km", 3).alias("km"))
     return run(False, "head").unionByName(run(True, "tail"))
 
@@ -199,14 +235,15 @@ def hub_pairs(t: Tables) -> DataFrame:
     return a.join(hub.select(F.col("node_id").alias("dst"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2")), F.col("src") < F.col("dst"))
 
 
-@query("SELECT src, dst, CAST(sum(CAST(pow(2, shape_id) AS BIGINT)) AS BIGINT) AS mask FROM o_air_tag GROUP BY src, dst")
+@query("SELECT src, dst, CAST(bit // 64 AS INTEGER) AS word, bit_or(CAST(1 AS BIGINT) << (bit % 64)) AS mask FROM o_air_tag JOIN x_shape_bit USING (shape_id) GROUP BY src, dst, bit // 64")
 def j15_tag_airspace(t: Tables) -> DataFrame:
-    zones = t.sql("SELECT r_regionkey AS shape_id, CAST(r_regionkey AS INT) AS bit FROM region")
-    return spatial.airspace_mask(spatial.tag_airspace(hub_pairs(t), t.x_ring), zones)
+    return spatial.airspace_mask(spatial.tag_airspace(hub_pairs(t), t.x_ring), t.x_shape_bit)
+
+
+ASKED = "SELECT origin AS src, destination AS dst, CAST(request_id % 5 * 50 AS INT) AS bit FROM f_request"
 
 
-@query("""SELECT edge_id, r_regionkey AS shape_id FROM f_edge e JOIN (SELECT origin AS src, destination AS dst, bit_or(CAST(request_id % 32 AS BIGINT)) AS mask FROM f_request GROUP BY ALL) m
-  ON (m.src = e.src AND m.dst = e.dst) OR (m.src = e.dst AND m.dst = e.src) JOIN region ON (m.mask & CAST(pow(2, r_regionkey) AS BIGINT)) <> 0 WHERE e.mode = 'air' GROUP BY ALL""")
+@query(f"""SELECT DISTINCT edge_id, shape_id FROM f_edge e JOIN ({ASKED}) m ON (m.src = e.src AND m.dst = e.dst) OR (m.src = e.dst AND m.dst = e.src) JOIN x_shape_bit b ON b.bit = m.bit WHERE e.mode = 'air'""")
 def j16_airspace_on_leg(t: Tables) -> DataFrame:
-    mask = t.sql("SELECT origin AS src, destination AS dst, bit_or(CAST(request_id % 32 AS BIGINT)) AS mask FROM f_request GROUP BY origin, destination")
-    return spatial.airspace_on_leg(t.f_edge, mask, t.sql("SELECT r_regionkey AS shape_id, CAST(r_regionkey AS INT) AS bit FROM region"))
+    mask = t.sql(f"SELECT src, dst, CAST(FLOOR(bit / 64) AS INT) AS word, bit_or(shiftleft(1L, bit % 64)) AS mask FROM ({ASKED}) GROUP BY src, dst, CAST(FLOOR(bit / 64) AS INT)")
+    return spatial.airspace_on_leg(t.f_edge, mask, t.x_shape_bit)

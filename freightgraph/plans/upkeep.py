@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from freightgraph.functions.geo import raster_cell
 from freightgraph.operators import network, quality
-from freightgraph.operators.components import connected_components
+from freightgraph.operators.components import connected_components, cut_off
 from freightgraph.plans.feeds import NOW, now
-from freightgraph.plans.geometry import RING_HIT, audited_samples
-from freightgraph.plans.tables import ORACLE_VIEWS, ORACLES, Tables, km_sql, query, whole
+from freightgraph.plans.geometry import RES, RING_HIT, audited_samples, cell_sql, land, water
+from freightgraph.plans.tables import ORACLE_VIEWS, ORACLES, Tables, km_sql, query
 from freightgraph.sources import feeds
 from freightgraph.streaming import refresh
 
@@ -42,12 +42,14 @@ def d4_check_generated(t: Tables) -> DataFrame:
     return quality.check_generated(t.f_edge.where("mode = 'truck'"), t.f_node.where("node_id % 5 != 0"))
 
 
-@whole(detail("""SELECT 'seaports without a lane' AS "check", off AS key, n AS detail FROM (SELECT count(*) AS n, count(CASE WHEN node_id NOT IN (SELECT src FROM f_edge WHERE mode = 'sea' UNION SELECT dst FROM f_edge WHERE mode = 'sea') THEN 1 END) AS off FROM f_node WHERE kind = 'seaport') WHERE off * 2 > n
-UNION ALL SELECT 'places without a road', off, n FROM (SELECT count(*) AS n, count(CASE WHEN node_id NOT IN (SELECT src FROM f_edge WHERE mode = 'truck' UNION SELECT dst FROM f_edge WHERE mode = 'truck') THEN 1 END) AS off FROM f_node) WHERE off * 2 > n"""))
-@query(detail("""SELECT 'seaports without a lane' AS "check", off AS key, n AS detail FROM (SELECT count(*) AS n, count(CASE WHEN node_id NOT IN (SELECT src FROM f_edge WHERE mode = 'sea' AND edge_id % 9 = 0 UNION SELECT dst FROM f_edge WHERE mode = 'sea' AND edge_id % 9 = 0) THEN 1 END) AS off FROM f_node WHERE kind = 'seaport') WHERE off * 2 > n
-UNION ALL SELECT 'places without a road', off, n FROM (SELECT count(*) AS n, count(CASE WHEN node_id NOT IN (SELECT src FROM f_edge WHERE mode = 'truck' AND edge_id % 9 = 0 UNION SELECT dst FROM f_edge WHERE mode = 'truck' AND edge_id % 9 = 0) THEN 1 END) AS off FROM f_node) WHERE off * 2 > n"""))
+def ends_sql(mode: str) -> str:
+    return f"SELECT src FROM f_edge WHERE mode = '{mode}' UNION SELECT dst FROM f_edge WHERE mode = '{mode}'"
+
+
+@query(detail(f"""SELECT 'seaports without a lane' AS "check", off AS key, n AS detail FROM (SELECT count(*) AS n, count(CASE WHEN node_id NOT IN ({ends_sql('sea')}) THEN 1 END) AS off FROM x_grown_node WHERE kind = 'seaport') WHERE off * 2 > n
+UNION ALL SELECT 'places without a road', off, n FROM (SELECT count(*) AS n, count(CASE WHEN kind <> 'military' AND node_id NOT IN ({ends_sql('truck')}) THEN 1 END) AS off FROM x_grown_node) WHERE off * 2 > n"""))
 def d5_check_coverage(t: Tables) -> DataFrame:
-    return quality.check_coverage(t.f_node, t.f_edge if t.whole else t.f_edge.where("edge_id % 9 = 0"))
+    return quality.check_coverage(t.x_grown_node, t.f_edge.where("mode = 'sea'"), t.f_edge.where("mode = 'truck'"))
 
 
 @query(detail("""SELECT DISTINCT 'no gauge' AS "check", country AS key, country AS detail FROM f_edge e JOIN f_node n ON n.node_id = e.src OR n.node_id = e.dst WHERE mode = 'rail' AND country NOT IN (SELECT country FROM x_country_gauge)
@@ -56,9 +58,9 @@ def d6_check_gauges(t: Tables) -> DataFrame:
     return quality.check_gauges(t.f_edge, t.f_node, t.x_country_gauge, t.x_node_gauge)
 
 
-@query(detail("""SELECT 'ring too short' AS "check", zone_id AS key, 2 AS detail FROM f_zone_vertex WHERE pos = 0 AND zone_id = 3 UNION ALL SELECT 'bad month', zone_id, delay_month + 3 FROM f_zone WHERE delay_month + 3 > 12"""))
+@query(detail("""SELECT 'ring too short' AS "check", zone_id AS key, 2 AS detail FROM f_zone_vertex WHERE pos = 0 AND zone_id = 3 UNION ALL SELECT 'bad month', zone_id, delay_month + 3 FROM f_zone WHERE delay_month + 3 > 12 UNION ALL SELECT 'bad closed month', zone_id, month + 6 FROM x_closed_month WHERE month + 6 > 12"""))
 def d7_check_zones(t: Tables) -> DataFrame:
-    return quality.check_zones(t.f_zone.withColumn("delay_month", F.col("delay_month") + 3), t.f_zone_vertex.where("zone_id != 3 or pos < 2"), t.f_zone_mode)
+    return quality.check_zones(t.f_zone.withColumn("delay_month", F.col("delay_month") + 3), t.f_zone_vertex.where("zone_id != 3 or pos < 2"), t.f_zone_mode, t.x_closed_month.withColumn("month", F.col("month") + 6))
 
 
 @query(detail("""SELECT DISTINCT 'unknown zone' AS "check", edge_id AS key, zone_id AS detail FROM x_edge_zone WHERE zone_id % 60 = 0 UNION ALL SELECT 'zone on no leg', zone_id, zone_id FROM f_zone WHERE zone_id % 60 <> 0 AND zone_id NOT IN (SELECT zone_id FROM x_edge_zone)"""))
@@ -66,22 +68,17 @@ def d8_check_tags(t: Tables) -> DataFrame:
     return quality.check_tags(t.x_edge_zone, t.f_zone.where("zone_id % 60 != 0"))
 
 
-@whole(detail("""SELECT 'id collision' AS "check", min(zone_id) AS key, 'CHINA' AS detail FROM f_zone UNION ALL SELECT 'unknown country', -zone_id - 2, 'Atlantis' FROM f_zone WHERE zone_id % 100 = 0 UNION ALL SELECT 'charge by km', -zone_id - 2, '2.5' FROM f_zone WHERE zone_id % 140 = 0
-UNION ALL SELECT 'unknown banned country', -3, 'Lemuria' UNION ALL SELECT 'unknown airspace', -1, '-1' UNION ALL SELECT 'unknown node', -1, '999999999'"""))
-@query(detail("""SELECT 'unknown country' AS "check", zone_id AS key, 'Atlantis' AS detail FROM f_zone WHERE zone_id % 100 = 0 UNION ALL SELECT 'charge by km', zone_id, 2.5 FROM f_zone WHERE zone_id % 140 = 0
-UNION ALL SELECT 'unknown airspace', -1, -1 UNION ALL SELECT DISTINCT 'unknown node', -1, 999999999"""))
+@query(detail("""SELECT 'id collision' AS "check", min(zone_id) AS key, 'CHINA' AS detail FROM f_zone UNION ALL SELECT 'unknown country', -zone_id - 2, 'Atlantis' FROM f_zone WHERE zone_id % 100 = 0 UNION ALL SELECT 'charge by km', -zone_id - 2, '2.5' FROM f_zone WHERE zone_id % 140 = 0
+UNION ALL SELECT 'unknown mode', -zone_id - 2, 'barge' FROM f_zone WHERE zone_id % 180 = 0 UNION ALL SELECT 'unknown banned country', -3, 'Lemuria' UNION ALL SELECT 'unknown airspace', -1, '-1' UNION ALL SELECT 'unknown node', -1, '999999999'"""))
 def d9_check_airspace(t: Tables) -> DataFrame:
-    air = t.f_zone.select(F.col("zone_id").alias("shape_id"), F.when(F.col("zone_id") % 100 == 0, "Atlantis").otherwise(F.lit("CHINA")).alias("country"), F.when(F.col("zone_id") % 140 == 0, 2.5).otherwise(0.0).alias("surcharge"))
+    """Airspace has the negative ids; the faults are extra rows: one shape with a zone's id, one ban of an unknown country, a tag of no shape."""
+    some = lambda n, a, b: F.when(F.col("zone_id") % n == 0, a).otherwise(b)
+    shape = t.f_zone.select((-F.col("zone_id") - 2).alias("shape_id"), some(100, "Atlantis", "CHINA").alias("country"), some(140, 2.5, 0.0).alias("surcharge"), F.array(some(180, "barge", "air")).alias("modes"))
     tags = t.f_node.select(F.lit(-1).cast("long").alias("shape_id"), F.lit(999999999).cast("long").alias("src"), F.col("node_id").alias("dst"))
     nodes = t.f_node.select("node_id", "country").unionByName(t.f_node.limit(1).select("node_id", F.lit("CHINA").alias("country")))
-    if not t.whole:
-        return quality.check_airspace(air, t.f_zone.where("zone_id < 0"), air.where("shape_id < 0"), tags, nodes)
-    # airspace has the negative ids; the faults are extra rows: one shape with a zone's id, one ban of an unknown country, a tag of no shape
-    shape = air.withColumn("shape_id", -F.col("shape_id") - 2)
+    taken = t.f_zone.agg(F.min("zone_id").alias("shape_id")).select("shape_id", F.lit("CHINA").alias("country"), F.lit(0.0).alias("surcharge"), F.array(F.lit("air")).alias("modes"))
+    lost = t.spark.range(1).select(F.lit(-3).cast("long").alias("shape_id"), F.lit("Lemuria").alias("country"))
     ban = shape.select("shape_id", F.lit("CHINA").alias("country"))
-    one = t.spark.range(1)
-    taken = t.f_zone.agg(F.min("zone_id").alias("shape_id")).select("shape_id", F.lit("CHINA").alias("country"), F.lit(0.0).alias("surcharge"))
-    lost = one.select(F.lit(-3).cast("long").alias("shape_id"), F.lit("Lemuria").alias("country"))
     return quality.check_airspace(shape.unionByName(taken), t.f_zone, ban.unionByName(lost), tags, nodes)
 
 
@@ -131,13 +128,10 @@ def d15_audit_medium(t: Tables) -> DataFrame:
     return quality.audit_medium(audited_samples(t)).select("edge_id", F.round("km", 3).alias("km"))
 
 
-@query(f"""SELECT 'lane begins on land' AS "check", node_id, round(max(km), 3) AS km FROM (SELECT e.src AS node_id, h.km FROM (SELECT edge_id, sum(step_km) AS km FROM o_audit_island WHERE island = 0 AND mode = 'sea' GROUP BY edge_id) h JOIN f_edge e ON e.edge_id = h.edge_id
-  UNION ALL SELECT e.dst, h.km FROM (SELECT edge_id, sum(step_km) AS km FROM o_audit_island WHERE back = 0 AND mode = 'sea' GROUP BY edge_id) h JOIN f_edge e ON e.edge_id = h.edge_id) GROUP BY node_id HAVING max(km) > 25
-UNION ALL SELECT DISTINCT 'port off water', node_id, CAST(NULL AS DOUBLE) FROM (SELECT node_id, zone_id FROM f_node p JOIN o_side ON {RING_HIT} WHERE p.kind = 'seaport' GROUP BY node_id, zone_id HAVING count(*) % 2 = 1)""")
+@query("""SELECT 'lane begins on land' AS "check", node_id, round(max(km), 3) AS km FROM (SELECT CASE h.side WHEN 'head' THEN e.src ELSE e.dst END AS node_id, h.km FROM o_audit_end h JOIN f_edge e ON e.edge_id = h.edge_id WHERE h.mode = 'sea') GROUP BY node_id HAVING max(km) > 25
+UNION ALL SELECT 'port off water', node_id, CAST(NULL AS DOUBLE) FROM (SELECT node_id, """ + cell_sql("lon", "lat") + """ FROM f_node WHERE kind = 'seaport') p WHERE NOT EXISTS (SELECT 1 FROM o_water w WHERE w.x = p.x AND w.y = p.y)""")
 def d16_audit_endpoints(t: Tables) -> DataFrame:
-    ports = t.f_node.where("kind = 'seaport'").select(F.col("node_id").alias("point_id"), "lat", "lon")
-    dry = network.exact_land_test(ports, t.f_zone_vertex).where("is_land").select(F.col("point_id").alias("node_id"))
-    found = quality.audit_endpoints(audited_samples(t).where("mode = 'sea'"), t.f_edge, dry)
+    found = quality.audit_endpoints(audited_samples(t).where("mode = 'sea'"), t.f_edge, quality.ports_off_water(t.f_node, water(t), RES))
     return found.select("check", "node_id", F.round("km", 3).alias("km"))
 
 
@@ -146,17 +140,6 @@ def d17_audit_gaps(t: Tables) -> DataFrame:
     return quality.audit_gaps(t.f_edge_point)
 
 
-RES = 1.0
-ORACLE_VIEWS |= {
-    "o_cell": "SELECT x, y, x + 0.5e0 - 180 AS lon, y + 0.5e0 - 90 AS lat FROM (SELECT unnest(range(0, 360)) AS x) CROSS JOIN (SELECT unnest(range(0, 180)) AS y)",
-    "o_land": f"SELECT DISTINCT CAST(x AS INTEGER) AS x, CAST(y AS INTEGER) AS y FROM (SELECT x, y, zone_id FROM o_cell p JOIN o_side ON {RING_HIT} GROUP BY ALL HAVING count(*) % 2 = 1)",
-}
-
-
-def land(t: Tables) -> DataFrame:
-    return network.rasterize(t.f_zone_vertex, RES)
-
-
 @query("SELECT x, y FROM o_land")
 def n1_rasterize(t: Tables) -> DataFrame:
     return land(t)
@@ -166,12 +149,9 @@ def points_cells(t: Tables) -> DataFrame:
     return t.f_node.select("node_id", "lat", "lon", raster_cell("lon", "lat", RES).alias("c")).select("node_id", "lat", "lon", "c.x", "c.y")
 
 
-@query("""SELECT CAST(x AS INTEGER) AS x, CAST(y AS INTEGER) AS y FROM (SELECT x, y FROM o_cell EXCEPT SELECT x, y FROM o_land) UNION SELECT (CAST(floor(lon + 180) AS INTEGER) + dx + 360) % 360, CAST(floor(lat + 90) AS INTEGER) + dy FROM f_node CROSS JOIN (SELECT unnest([-1, 0, 1]) AS dx) CROSS JOIN (SELECT unnest([-1, 0, 1]) AS dy) WHERE kind = 'seaport'""")
+@query("SELECT x, y FROM o_water")
 def n2_water_cells(t: Tables) -> DataFrame:
-    area = t.spark.range(360 * 180).select((F.col("id") % 360).cast("int").alias("x"), F.floor(F.col("id") / 360).cast("int").alias("y"))
-    ports = t.f_node.where("kind = 'seaport'").select("node_id")
-    found = network.water_cells(area, land(t), points_cells(t).join(ports, "node_id", "left_semi").select("x", "y"), RES)
-    return found.select(F.col("x").cast("int").alias("x"), F.col("y").cast("int").alias("y"))
+    return water(t)
 
 
 @query()
@@ -206,18 +186,25 @@ def n7_rank_keep(t: Tables) -> DataFrame:
     return network.rank_keep(t.f_edge.join(polyline_km(t.f_edge_point), "edge_id").select("src", "dst", "km"), 3).select("src", "dst")
 
 
-@query("SELECT edge_id FROM o_audit_longest WHERE mode = 'rail' AND km > 25")
+@query("SELECT edge_id FROM o_audit_longest WHERE km > 25 AND (mode = 'rail' OR edge_id IN (SELECT edge_id FROM x_inland))")
 def n8_needs_geometry(t: Tables) -> DataFrame:
-    return quality.audit_medium(audited_samples(t).where("mode = 'rail'")).select("edge_id")
+    return quality.needs_geometry(audited_samples(t), t.x_inland)
 
 
-@whole("""SELECT node, min(reach) AS component FROM (WITH RECURSIVE e AS (SELECT src AS a, dst AS b FROM f_edge WHERE mode = 'sea' UNION SELECT dst, src FROM f_edge WHERE mode = 'sea'),
-r AS (SELECT a AS node, a AS reach FROM e UNION SELECT r.node, e.b FROM r JOIN e ON e.a = r.reach) SELECT * FROM r) GROUP BY node""")
-@query("""SELECT node, min(reach) AS component FROM (WITH RECURSIVE e AS (SELECT src AS a, dst AS b FROM f_edge WHERE mode = 'sea' AND edge_id % 4 = 0 UNION SELECT dst, src FROM f_edge WHERE mode = 'sea' AND edge_id % 4 = 0),
-r AS (SELECT a AS node, a AS reach FROM e UNION SELECT r.node, e.b FROM r JOIN e ON e.a = r.reach) SELECT * FROM r) GROUP BY node""")
+ORACLE_VIEWS["o_lane_part"] = """SELECT node, min(reach) AS component FROM (WITH RECURSIVE e AS (SELECT src AS a, dst AS b FROM f_edge WHERE mode = 'sea' UNION SELECT dst, src FROM f_edge WHERE mode = 'sea'),
+r AS (SELECT a AS node, a AS reach FROM e UNION SELECT r.node, e.b FROM r JOIN e ON e.a = r.reach) SELECT * FROM r) GROUP BY node"""
+ORACLE_VIEWS["o_lane_size"] = "SELECT component, count(*) AS size, row_number() OVER (ORDER BY count(*) DESC, component) AS place, rank() OVER (ORDER BY count(*) DESC) AS r FROM o_lane_part GROUP BY component"
+
+
+@query("SELECT node, component FROM o_lane_part")
 def r15_connected_components(t: Tables) -> DataFrame:
-    sea = t.f_edge.where("mode = 'sea'")
-    return connected_components(sea if t.whole else sea.where("edge_id % 4 = 0"))
+    return connected_components(t.f_edge.where("mode = 'sea'"))
+
+
+@query("""SELECT node, p.component, size, CAST(CASE WHEN place = 1 THEN 1 ELSE 2 + (SELECT count(*) FROM o_lane_size b WHERE b.place > 1 AND b.size > s.size) END AS INTEGER) AS rank, place > 1 AS cut_off FROM o_lane_part p JOIN o_lane_size s ON s.component = p.component""")
+def r15_cut_off(t: Tables) -> DataFrame:
+    """Ports with the size and rank of their network; all but the largest are cut off."""
+    return cut_off(connected_components(t.f_edge.where("mode = 'sea'")))
 
 
 ORACLE_VIEWS["o_refreshed"] = f"""SELECT f.source, zone_id, coalesce(active_until, {OUTCOME_NOW} + INTERVAL 24 HOUR) AS active_until, FALSE AS retained FROM x_fetched f JOIN x_outcome o ON o.source = f.source WHERE o.ok
@@ -247,6 +234,13 @@ def t3_source_freshness(t: Tables) -> DataFrame:
     return refresh.source_freshness(refresh.source_status(t.x_outcome, refreshed(t), run_time()), F.expr("TIMESTAMP_NTZ '2024-01-06 12:30:00'"))
 
 
+@query("""SELECT CASE WHEN n = 0 THEN 'unverified' WHEN ok = n THEN 'current' WHEN gone = n THEN 'unavailable' ELSE 'degraded' END AS summary FROM
+  (SELECT count(*) AS n, count(CASE WHEN NOT (expires <= TIMESTAMP '2024-01-06 12:30:00') AND status = 'ok' THEN 1 END) AS ok, count(CASE WHEN expires <= TIMESTAMP '2024-01-06 12:30:00' OR status = 'unavailable' THEN 1 END) AS gone FROM o_status)""")
+def t3_freshness_summary(t: Tables) -> DataFrame:
+    status = refresh.source_status(t.x_outcome, refreshed(t), run_time())
+    return refresh.freshness_summary(refresh.source_freshness(status, F.expr("TIMESTAMP_NTZ '2024-01-06 12:30:00'")))
+
+
 @query("SELECT zone_id, source FROM x_fetched UNION ALL SELECT zone_id, source FROM x_previous")
 def t4_merge_sources(t: Tables) -> DataFrame:
     return refresh.merge_sources(t.x_fetched.select("zone_id", "source"), t.x_previous.select("zone_id", "source"))
@@ -274,11 +268,13 @@ def t7_expire_late(t: Tables) -> DataFrame:
     return refresh.expire_late(t.f_zone, run_time()).select("zone_id")
 
 
-@whole("SELECT zone_id, source FROM x_fetched UNION ALL SELECT zone_id, source FROM x_previous WHERE NOT EXISTS (SELECT 1 FROM x_fetched)")
-@query("SELECT zone_id, source FROM x_previous")
+@query("SELECT 'answered' AS fetch, zone_id, source FROM x_fetched UNION ALL SELECT 'empty', zone_id, source FROM x_previous")
 def t8_keep_last_good(t: Tables) -> DataFrame:
-    fetched = t.x_fetched if t.whole else t.x_fetched.where("source < 0")
-    return refresh.keep_last_good(fetched.select("zone_id", "source"), t.x_previous.select("zone_id", "source"))
+    """A fetch with rows replaces what is stored, an empty one keeps it."""
+    fetched, stored = t.x_fetched.select("zone_id", "source"), t.x_previous.select("zone_id", "source")
+    empty = fetched.where(F.col("zone_id").isNull())
+    case = lambda name, new: refresh.keep_last_good(new, stored).select(F.lit(name).alias("fetch"), "zone_id", "source")
+    return case("answered", fetched).unionByName(case("empty", empty))
 
 
 @query("""SELECT hazard_kind, strftime(run, '%Y-%m') AS month, count(*) AS runs, round(count(*) / any_value(n), 6) AS share FROM (SELECT DISTINCT hazard_kind, time_bucket(INTERVAL 6 HOUR, active_from, TIMESTAMP '2024-01-01') AS run FROM f_zone)

@@ -8,7 +8,7 @@ import unicodedata
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from freightgraph.functions.geo import destination_point, haversine_km, js_round
+from freightgraph.functions.geo import cell_grid, cell_reach, destination_point, haversine_km, js_round
 
 #: Hazards of the disaster feed, by event type.
 EVENT_TYPES = {  # type: (kind, modes, radius Orange, radius Red, surcharge, security)
@@ -165,9 +165,8 @@ def filter_transit_sites(df: DataFrame, bad_classes: list[str], airfield_classes
 
 def dedupe_near(df: DataFrame, ref: DataFrame, km: float = 3.0, key: str = "item") -> DataFrame:
     """Rows with no place of ``ref`` within km, met through grid cells."""
-    deg = max(km / 111.0 * 1.01, 1e-6)
-    reach = F.ceil(1 / F.greatest(F.cos(F.radians(F.least(F.abs(F.col("lat")) + deg, F.lit(89.0)))), F.lit(0.02))).cast("int")
-    span = round(360 / deg)
+    deg, span = cell_grid(max(km, 1e-4))
+    reach = cell_reach(F.col("lat"), deg, span)
     cell = lambda c: F.floor(F.col(c) / deg)
     near = df.select(key, "lat", "lon", F.explode(F.sequence(-reach, reach)).alias("dx")).select("*", F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1))).alias("dy"))
     near = near.select(key, "lat", "lon", F.pmod(cell("lon") + F.col("dx"), F.lit(span)).alias("cx"), (cell("lat") + F.col("dy")).alias("cy"))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Iterator
+from datetime import datetime
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -10,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.streaming.query import StreamingQuery
 
-from freightgraph.functions.scratch import delete
+from freightgraph.functions.scratch import delete, written
 
 MAX_AGE_HOURS = 24
 HISTORY_CAP = 1460
@@ -147,26 +149,109 @@ def read_last_good(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(last_good_versions(spark, path)[-1])
 
 
-def stream_source_status(outcomes: DataFrame) -> DataFrame:
-    """(source, status, last_success) after each batch of outcomes (source, ts, ok): ok, stale within a day of the last success, else unavailable.
+def stream_source_status(outcomes: DataFrame, delay: str = "1 day") -> DataFrame:
+    """(source, status, last_success) whenever it is judged anew, from outcomes (source, ts, ok): ok, stale within a day of the last success, else unavailable.
 
-    The state of a source is the time of its last success.
+    The state of a source is the time of its last success and its newest outcome, so an outcome that
+    arrives late changes neither unless it is newer. A source that falls silent becomes unavailable by a timer of event
+    time, a day after its last success, once the watermark (``delay`` behind the newest outcome of any source) has passed it.
     """
+    day = pd.Timedelta(hours=MAX_AGE_HOURS)
 
     def judge(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        at, last, ok = (pd.Timestamp(state.get[0]) if state.exists else None), None, False
+        at, last, ok = (pd.Timestamp(x) if isinstance(x, datetime) else x for x in state.get) if state.exists else (None, None, False)
         for batch in batches:
+            if batch.empty:  # a timer's
+                continue
             good = batch.loc[batch["ok"], "ts"].max()
             at = good if pd.notna(good) and (at is None or good > at) else at
             newest = batch.loc[batch["ts"].idxmax()]
             if last is None or newest["ts"] >= last:
                 last, ok = newest["ts"], bool(newest["ok"])
-        if at is not None:
-            state.update((at.to_pydatetime(),))
-        fresh = at is not None and last - at <= pd.Timedelta(hours=MAX_AGE_HOURS)
-        yield pd.DataFrame({"source": [key[0]], "status": ["ok" if ok else "stale" if fresh else "unavailable"], "last_success": [at if at is not None else pd.NaT]})
+        until = None if at is None else int((at + day).timestamp() * 1000)
+        expired = state.hasTimedOut or until is None or until <= state.getCurrentWatermarkMs() or last - at > day
+        state.update((None if at is None else at.to_pydatetime(), last.to_pydatetime(), ok))
+        if not expired:
+            state.setTimeoutTimestamp(until)
+        status = "unavailable" if expired else "ok" if ok else "stale"
+        yield pd.DataFrame({"source": [key[0]], "status": [status], "last_success": [at if at is not None else pd.NaT]})
 
-    return outcomes.groupBy("source").applyInPandasWithState(judge, "source string, status string, last_success timestamp", "last_success timestamp", "update", GroupStateTimeout.NoTimeout)
+    timed = outcomes.withWatermark("ts", delay).groupBy("source")
+    return timed.applyInPandasWithState(judge, "source string, status string, last_success timestamp", "last_success timestamp, newest timestamp, ok boolean", "update", GroupStateTimeout.EventTimeTimeout)
+
+
+def stream_expire_late(zones: DataFrame, delay: str = "1 day", now: Column | None = None) -> DataFrame:
+    """Zones (source, zone_id, ts of issue, active_until) still running, once each: a forecast that arrives later than the watermark allows is dropped, and so is one that has ended by ``now``, the time of the batch."""
+    running = F.col("active_until").isNull() | ((F.col("active_until") > F.col("ts")) & (F.col("active_until") > (F.current_timestamp() if now is None else now)))
+    return zones.withWatermark("ts", delay).where(running).dropDuplicatesWithinWatermark(["source", "zone_id"])
+
+
+def write_refreshed(fetches: DataFrame, path: str, checkpoint: str, now: Column) -> StreamingQuery:
+    """Each source's zones replaced by its newest fetch. fetches: source, ts, ok, zone_id, detected_at, active_until; a fetch without zones has one row without zone_id.
+
+    A batch writes one version with the sources it refreshed, by ``refresh_source`` over what the versions
+    before it hold, so it may run again and changes nothing then. A version counts once it is whole; one whose
+    sources all have newer versions is deleted a batch later (``read_refreshed``).
+    """
+
+    def store(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        if batch.isEmpty():
+            return
+        newest = batch.groupBy("source").agg(F.max_by(F.struct("ts", "ok"), "ts").alias("f")).select("source", "f.ts", "f.ok")
+        fetched = batch.join(newest.where("ok"), ["source", "ts", "ok"], "left_semi").where("zone_id is not null").select("source", "zone_id", "active_until")
+        held = read_refreshed(spark, path, number)
+        good = batch.where("ok").groupBy("source").agg(F.max("ts").alias("in_batch"))
+        if held is None:
+            before, success = fetched.limit(0).withColumn("detected_at", F.col("active_until")), None
+        else:
+            before, success = held
+        outcome = newest.join(good, "source", "left")
+        outcome = outcome.join(success, "source", "left") if success is not None else outcome.withColumn("known", F.lit(None).cast("timestamp"))
+        outcome = written(outcome.select("source", "ok", F.greatest("in_batch", "known").alias("last_success")), "outcome")
+        # what a source fetched earlier in this batch is what it holds if its newest fetch failed
+        earlier = batch.where("ok").join(good, (batch["source"] == good["source"]) & (batch["ts"] == good["in_batch"]), "left_semi").where("zone_id is not null").select("source", "zone_id", "detected_at", "active_until")
+        previous = before.join(good, "source", "left_anti").select("source", "zone_id", "detected_at", "active_until").unionByName(earlier)
+        zones = refresh_source(fetched, outcome.select("source", "ok", "last_success"), previous, now)
+        version = f"{path}/version={number:012d}"
+        zones.write.mode("overwrite").parquet(f"{version}/zones")
+        outcome.select("source", "last_success").write.mode("overwrite").parquet(f"{version}/sources")
+        older = _versions(spark, path, number)
+        if len(older) > 1:
+            current = _newest(spark, older).select("version").distinct()
+            kept = {r[0] for r in current.collect()}  # no more than there are versions
+            for n, at in older.items():
+                if n not in kept:
+                    delete(spark, at)
+
+    return fetches.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def _versions(spark: SparkSession, path: str, before: int | None = None) -> dict[int, str]:
+    """Folders of the whole versions by number."""
+    pattern = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/version=*/sources/_SUCCESS")
+    found = pattern.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(pattern) or []
+    at = [str(f.getPath().getParent().getParent()) for f in found]
+    numbered = {int(a.rsplit("version=", 1)[1]): a for a in sorted(at)}
+    return {n: a for n, a in numbered.items() if before is None or n < before}
+
+
+def _newest(spark: SparkSession, versions: dict[int, str]) -> DataFrame:
+    """(source, version, last_success)."""
+    tables = [spark.read.parquet(f"{a}/sources").withColumn("version", F.lit(n)) for n, a in versions.items()]
+    return functools.reduce(DataFrame.unionByName, tables).groupBy("source").agg(F.max_by(F.struct("version", "last_success"), "version").alias("v")).select("source", "v.version", "v.last_success")
+
+
+def read_refreshed(spark: SparkSession, path: str, before: int | None = None) -> tuple[DataFrame, DataFrame] | None:
+    """The zones (source, zone_id, active_until, detected_at, retained) of each source's newest version, and (source, known) its last success; None if there is no version yet."""
+    versions = _versions(spark, path, before)
+    if not versions:
+        return None
+    newest = _newest(spark, versions)
+    tables = [spark.read.parquet(f"{a}/zones").withColumn("version", F.lit(n)) for n, a in versions.items()]
+    zones = functools.reduce(DataFrame.unionByName, tables).join(newest.select("source", "version"), ["source", "version"], "left_semi").drop("version")
+    # a retained zone ends a day after its source's success, however often it is retained
+    return zones.withColumn("detected_at", F.lit(None).cast("timestamp")), newest.select("source", F.col("last_success").alias("known"))
 
 
 def run_available(df: DataFrame, checkpoint: str, sink: Callable[[DataFrame, int], None], mode: str = "append") -> None:

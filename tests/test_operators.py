@@ -8,8 +8,8 @@ import random
 from collections import Counter, defaultdict
 
 import pytest
-from freightgraph.operators import cluster, network, planning, pricing, routes
-from freightgraph.operators.components import connected_components
+from freightgraph.operators import cluster, network, planning, pricing, quality, routes, spatial
+from freightgraph.operators.components import connected_components, cut_off
 from freightgraph.sources import feeds, sinks
 from freightgraph.streaming import refresh
 from pyspark.sql import functions as F
@@ -70,33 +70,14 @@ def test_components(spark):
     assert connected_components(spark.createDataFrame([], "src long, dst long")).count() == 0
 
 
-def test_greedy_clusters_equal_one_pass(spark):
-    import pandas as pd
-
-    rng = random.Random(1)
-    pts = [(i, rng.choice([10, 12, 40]) + rng.random() * 2, rng.choice([0, 3, 50]) + rng.random() * 2) for i in range(300)]
-    df = spark.createDataFrame(pts, "seq long, lat double, lon double")
-    deg = 30 / 111.32
-    whole = pd.DataFrame(pts, columns=["seq", "lat", "lon"])
-    whole["cx"], whole["cy"] = (whole["lon"] // deg).astype(int), (whole["lat"] // deg).astype(int)
-    want = dict(cluster._greedy(whole, 30).itertuples(index=False))
-    assert {r["seq"]: r["cluster_id"] for r in cluster.cluster_points(df, 30).collect()} == want
-    assert cluster.cluster_cells(df, 30).count() == cluster.cluster_points(df, 30, most=1).count() == 300
-
-
 def test_large_group_is_clustered_greedily(spark):
-    import pandas as pd
-
     rng = random.Random(2)
     pts = [(i, 10 + rng.random() * 2, rng.random() * 2) for i in range(600)]  # one group of touching cells
-    whole = pd.DataFrame(pts, columns=["seq", "lat", "lon"])
-    deg = 30 / 111.32
-    whole["cx"], whole["cy"] = (whole["lon"] // deg).astype(int), (whole["lat"] // deg).astype(int)
-    want = dict(cluster._greedy(whole, 30).itertuples(index=False))
+    want = plain_greedy(pts, 30)
     batch = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 50)
     try:
-        got = cluster.cluster_points(spark.createDataFrame(pts, "seq long, lat double, lon double"), 30, most=100).collect()
+        got = cluster.cluster_points(spark.createDataFrame(pts, "seq long, lat double, lon double"), 30).collect()
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
     assert {r["seq"]: r["cluster_id"] for r in got} == want and len(set(want.values())) > 5
@@ -134,18 +115,63 @@ def test_streams(spark, tmp_path):
     assert refresh.read_last_good(spark, f"{tmp_path}/out").count() == 1
 
 
+def append(spark, path, rows, schema):
+    spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(path)
+
+
 def test_source_status_stream(spark, tmp_path):
-    now = dt.datetime.now().replace(microsecond=0)
-    rows = [("a", now, True), ("a", now + dt.timedelta(seconds=1), False), ("b", now, False), ("c", now, True)]
-    outcomes = spark.createDataFrame(rows, "source string, ts timestamp, ok boolean")
-    outcomes.write.parquet(f"{tmp_path}/in")
+    at = lambda day, hour: dt.datetime(2024, 1, day, hour)
+    schema, folder = "source string, ts timestamp, ok boolean", f"{tmp_path}/in"
+    append(spark, folder, [("a", at(1, 9), True), ("a", at(1, 10), False), ("b", at(1, 10), False), ("c", at(1, 10), True)], schema)
+    seen = []
+    status = refresh.stream_source_status(spark.readStream.schema(schema).parquet(folder), "1 hour")
+    run = lambda: refresh.run_available(status, f"{tmp_path}/c", lambda b, _: seen.extend(b.collect()), "update")
+    last = lambda: {r["source"]: r["status"] for r in seen}
+    run()
+    assert last() == {"a": "stale", "b": "unavailable", "c": "ok"}
+    append(spark, folder, [("c", at(1, 9), False), ("a", at(1, 11), True)], schema)  # a late failure changes nothing
+    run()
+    assert last() == {"a": "ok", "b": "unavailable", "c": "ok"}
+    append(spark, folder, [("b", at(3, 12), True)], schema)  # the others are silent
+    run()
+    append(spark, folder, [("b", at(3, 13), True)], schema)
+    run()
+    assert last() == {"a": "unavailable", "b": "ok", "c": "unavailable"}
+
+
+def test_expire_late_stream(spark, tmp_path):
+    at = lambda day, hour: dt.datetime(2024, 1, day, hour)
+    schema, folder = "source string, zone_id long, ts timestamp, active_until timestamp", f"{tmp_path}/in"
+    append(spark, folder, [("f", 1, at(5, 0), at(9, 0)), ("f", 2, at(5, 0), at(4, 0)), ("f", 3, at(5, 0), None), ("f", 5, at(5, 1), at(5, 2))], schema)
     seen = []
-    status = refresh.stream_source_status(spark.readStream.schema(outcomes.schema).parquet(f"{tmp_path}/in"))
-    refresh.run_available(status, f"{tmp_path}/c", lambda b, _: seen.extend(b.collect()), "update")
-    assert {r["source"]: r["status"] for r in seen} == {"a": "stale", "b": "unavailable", "c": "ok"}
-    spark.createDataFrame([("a", now + dt.timedelta(days=2), False)], "source string, ts timestamp, ok boolean").write.mode("append").parquet(f"{tmp_path}/in")
-    refresh.run_available(status, f"{tmp_path}/c", lambda b, _: seen.extend(b.collect()), "update")
-    assert (seen[-1]["source"], seen[-1]["status"]) == ("a", "unavailable")  # its success is older than a day
+    zones = refresh.stream_expire_late(spark.readStream.schema(schema).parquet(folder), "6 hours", F.lit(at(5, 3)))
+    run = lambda: refresh.run_available(zones, f"{tmp_path}/c", lambda b, _: seen.extend(r["zone_id"] for r in b.collect()))
+    run()
+    append(spark, folder, [("f", 4, at(4, 12), at(9, 0)), ("f", 6, at(5, 2), at(9, 0)), ("f", 1, at(5, 2), at(9, 0))], schema)  # 4 is later than the watermark allows
+    run()
+    assert sorted(seen) == [1, 3, 6]
+
+
+def test_refresh_stream(spark, tmp_path):
+    at = lambda day, hour: dt.datetime(2024, 1, day, hour)
+    schema, folder, out = "source string, ts timestamp, ok boolean, zone_id long, detected_at timestamp, active_until timestamp", f"{tmp_path}/in", f"{tmp_path}/out"
+    now = F.lit(at(5, 12))
+    os.makedirs(folder)
+    fetches = spark.readStream.schema(schema).parquet(folder)
+    run = lambda checkpoint="c": refresh.write_refreshed(fetches, out, f"{tmp_path}/{checkpoint}", now).awaitTermination()
+    held = lambda: {(r["source"], r["zone_id"], r["retained"]) for r in refresh.read_refreshed(spark, out)[0].collect()}
+    append(spark, folder, [("a", at(5, 1), True, 1, None, None), ("a", at(5, 1), True, 2, None, at(5, 6)), ("b", at(5, 1), True, 3, None, None), ("d", at(3, 1), True, 9, None, None)], schema)
+    run()
+    assert held() == {("a", 1, False), ("a", 2, False), ("b", 3, False), ("d", 9, False)}
+    # a fails and keeps what has not ended, b answers with nothing, c is new, d failed too long after its success
+    append(spark, folder, [("a", at(5, 2), False, None, None, None), ("b", at(5, 2), True, None, None, None), ("c", at(5, 2), True, 4, None, None), ("d", at(5, 2), False, None, None, None)], schema)
+    run()
+    want = {("a", 1, True), ("c", 4, False)}
+    assert held() == want
+    spark.read.schema(schema).parquet(folder).where("ts = '2024-01-05 02:00:00'").write.parquet(f"{tmp_path}/again")
+    before = refresh._versions(spark, out)
+    refresh.write_refreshed(spark.readStream.schema(schema).parquet(f"{tmp_path}/again"), out, f"{tmp_path}/c2", now).awaitTermination()  # that batch once more, as number 0
+    assert set(refresh._versions(spark, out)) == set(before) and held() == want
 
 
 def test_whole_routes_equal_dijkstra(spark):
@@ -171,9 +197,21 @@ def test_whole_routes_equal_dijkstra(spark):
             for to, by, weight in steps[objective, node]:
                 if to != source:
                     heapq.heappush(heap, (cost + weight + (0 if by == mode else loads[objective, node, by]), to, by))
-    found = registry.QUERIES["r2_shortest_paths_whole"](spark, data).collect()
+    found = registry.QUERIES["r2_shortest_paths"](spark, data).collect()
     assert {(r["objective"], r["source"], r["target"]): r["cost"] for r in found} == pytest.approx(want, abs=2e-3)
-    assert max(r["hops"] for r in found) > access.MAX_LEGS
+    assert max(r["hops"] for r in found) > 3
+    # with targets alone, and with few rows a broadcast may have, so that every round joins by a shuffle
+    weighted = routes.objectives(access.graph(tables.Tables(spark, data)))
+    asked = [(s, t) for s, t in {(s, t) for _, s, t in want} if (s + t) % 3 == 0]
+    targets = spark.createDataFrame(asked, "source long, target long")
+    small, routes.SMALL = routes.SMALL, 5
+    try:
+        some = routes.shortest_paths(weighted, targets.select(F.col("source").alias("node_id")), targets=targets).collect()
+    finally:
+        routes.SMALL = small
+    assert {(r["objective"], r["source"], r["target"]): r["cost"] for r in some} == pytest.approx({k: c for k, c in want.items() if k[1:] in set(asked)}, abs=1e-6)
+    paths = {(r["objective"], r["source"], r["target"]): r["path"] for r in found}
+    assert all(">".join(map(str, r["path"])) == paths[r["objective"], r["source"], r["target"]] for r in some)
 
 
 def km(a, b):
@@ -323,7 +361,7 @@ def test_planned_routes_equal_dijkstra_under_each_request_s_rules(spark):
     data = "/root/testdata/sf0.001"
     t = tables.Tables(spark, data)
     net = access.network_of(t)
-    request = access.planned(t).where("request_id % 40 = 1")
+    request = access.planned(t).where("crc32(cast(request_id as string)) % 10 = 1")  # both classes of cargo
     rows = lambda df: [r.asDict() for r in df.collect()]
     node, mode, zone = ({r[k]: r for r in rows(df)} for df, k in ((net.node, "node_id"), (net.mode, "mode"), (net.zone, "zone_id")))
     length, condition, detour = {r["edge_id"]: r["km"] for r in rows(net.length)}, {r["zone_id"]: r["delay_factor"] for r in rows(net.condition)}, {r["zone_id"]: r["detour_factor"] for r in rows(net.detour)}
@@ -411,7 +449,7 @@ def test_planned_routes_equal_dijkstra_under_each_request_s_rules(spark):
     assert {k[0] for k in got} == {k[0] for k in want} and want
     for k, total in got.items():  # an option equal to an earlier one is left out
         assert total == pytest.approx(want[k], rel=1e-9)
-    assert max(lengths.values()) > 3
+    assert max(lengths.values()) > 3 and {r["cargo_class"] for r in rows(request) if any(k[0] == r["request_id"] for k in got)} == {"civilian", "military"}
     found = {r["request_id"] for r in rows(planning.routable(net, request, t.x_stop))}
     assert found == {k[0] for k in want}
     reasons = {r["request_id"]: r for r in rows(planning.no_route_reason(net, request, t.x_stop))}
@@ -420,3 +458,84 @@ def test_planned_routes_equal_dijkstra_under_each_request_s_rules(spark):
         if r["request_id"] in reasons:
             site = r["cargo_class"] != "military" and any(node[n]["kind"] == "military" for n in stops[r["request_id"]])
             assert (reasons[r["request_id"]]["reason"] == "restricted military site") == site
+
+
+def test_pairs_over_the_dateline(spark):
+    at = [(1, 57.895, -178.29), (2, 57.733, 178.363), (3, 89.9, 10.0), (4, 89.8, -170.0), (5, -89.95, 0.0), (6, -89.9, 179.0)]
+    rng = random.Random(5)
+    at += [(10 + i, rng.uniform(-89, 89), (180 + rng.uniform(-4, 4)) % 360 - 180) for i in range(400)]
+    df = spark.createDataFrame(at, "node_id long, lat double, lon double")
+    for reach in (200, 333):
+        want = {(a[0], b[0]) for a in at for b in at if a[0] != b[0] and km(a[1:], b[1:]) <= reach}
+        assert {(r["src"], r["dst"]) for r in network.near_pairs(df, reach).collect()} == want and (1, 2) in want and (3, 4) in want
+    sites = df.select(F.col("node_id").alias("item"), "lat", "lon").where("item = 1")
+    assert feeds.dedupe_near(sites, df.where("node_id = 2"), 200).count() == 0 and feeds.dedupe_near(sites, df.where("node_id = 2"), 198).count() == 1
+
+
+def test_masks_of_many_shapes(spark):
+    tags = spark.createDataFrame([(1, 2, s) for s in range(200) if s % 3 != 1] + [(3, 1, 63), (3, 1, 64)], "src long, dst long, shape_id long")
+    places = spark.range(200).select(F.col("id").alias("shape_id"), F.col("id").cast("int").alias("bit"))
+    edge = spark.createDataFrame([(7, 2, 1, "air"), (8, 3, 1, "air"), (9, 1, 2, "sea")], "edge_id long, src long, dst long, mode string")
+    got = {(r["edge_id"], r["shape_id"]) for r in spatial.airspace_on_leg(edge, spatial.airspace_mask(tags, places), places).collect()}
+    assert got == {(7, s) for s in range(200) if s % 3 != 1} | {(8, 63), (8, 64)}
+
+
+def test_air_network_without_hubs(spark):
+    node = spark.createDataFrame([(i, 10.0 * i, 5.0) for i in (1, 2, 3)], "node_id long, lat double, lon double")
+    pairs = lambda hubs: {(r["src"], r["dst"]) for r in network.air_network(node, node.where(hubs)).collect()}
+    assert pairs("false") == pairs("node_id = 2") == {(1, 2), (1, 3), (2, 3)}
+    assert pairs("node_id < 3") == {(1, 2), (3, 1), (3, 2)}
+
+
+def test_coverage_leaves_military_places_out(spark):
+    node = spark.createDataFrame([(1, "city"), (2, "military"), (3, "military"), (4, "city")], "node_id long, kind string")
+    none = spark.createDataFrame([], "src long, dst long")
+    assert quality.check_coverage(node, none, spark.createDataFrame([(1, 1)], "src long, dst long")).count() == 0
+    assert quality.check_coverage(node.where("kind = 'city'"), none, none).count() == 1
+
+
+def test_leading_run_needs_a_bad_first_point(spark):
+    rows = [(1, 0, s, 0.0 if s < 0 else 5.0, bad) for s, bad in ((-1, False), (0, True), (1, True), (2, False))]
+    rows += [(2, 0, s, 0.0 if s < 0 else 5.0, bad) for s, bad in ((-1, True), (0, True), (1, False), (2, True))]
+    samples = spark.createDataFrame(rows, "edge_id long, seg long, s long, step_km double, is_bad boolean")
+    run = lambda tail: {r["edge_id"]: r["km"] for r in spatial.leading_run(samples, tail).collect()}
+    assert run(False) == {2: 5.0} and run(True) == {2: 0.0}
+
+
+def test_cut_off_components(spark):
+    edges = spark.createDataFrame([(1, 2), (2, 3), (10, 11), (20, 21), (30, 31), (31, 32)], "src long, dst long")
+    got = {r["node"]: (r["component"], r["size"], r["rank"], r["cut_off"]) for r in cut_off(connected_components(edges)).collect()}
+    assert got[2] == (1, 3, 1, False) and got[31] == (30, 3, 2, True) and got[10] == (10, 2, 3, True) == (10, *got[11][1:]) and got[20][2] == 3
+
+
+def test_bitmaps_hold_every_cell(spark):
+    cells = spark.createDataFrame([(0, 0), (63, 0), (64, 0), (359, 179), (127, 90)], "x int, y int")
+    points = spark.createDataFrame([(x, y, x - 179.5, y - 89.5) for x in (0, 1, 63, 64, 65, 127, 359) for y in (0, 90, 179)], "x int, y int, lon double, lat double").withColumnRenamed("x", "px").withColumnRenamed("y", "py")
+    got = {(r["px"], r["py"]) for r in network.in_cells(points, cells, 1.0).where("hit").collect()}
+    assert got == {(0, 0), (63, 0), (64, 0), (359, 179), (127, 90)}
+
+
+def test_waters_equal_a_plain_trace(spark):
+    res, nx, ny = 1.0, 360, 180
+    line = [(179.2, 10.3), (181.9, 12.8), (183.0, 12.0)]
+    lake = [(20.0, 30.0), (24.5, 31.0), (22.0, 34.5)]
+    def trace(a, b):
+        n = max(1, math.ceil(max(abs(b[0] - a[0]), abs(b[1] - a[1])) / (res / 2)))
+        for s in range(n + 1):
+            x, y = a[0] + (b[0] - a[0]) * s / n, a[1] + (b[1] - a[1]) * s / n
+            yield int((x + 180) % 360 // res), min(ny - 1, max(0, int((y + 90) // res)))
+
+    inland = {c for a, b in zip(line, line[1:]) for c in trace(a, b)} | {c for a, b in zip(lake, lake[1:] + lake[:1]) for c in trace(a, b)}  # noqa: B905
+    for x in range(nx):
+        for y in range(ny):
+            px, py, odd = x - 179.5, y - 89.5, False
+            for a, b in zip(lake, lake[1:] + lake[:1]):  # noqa: B905
+                odd ^= (a[1] > py) != (b[1] > py) and px < a[0] + (b[0] - a[0]) * (py - a[1]) / (b[1] - a[1])
+            if odd:
+                inland.add((x, y))
+    want = {((x + dx) % nx, y + dy) for x, y in inland for dx in (-1, 0, 1) for dy in (-1, 0, 1)}
+    every = spark.range(nx * ny).select((F.col("id") % nx).cast("int").alias("x"), F.floor(F.col("id") / nx).cast("int").alias("y"))
+    lines = spark.createDataFrame([(1, i, *p) for i, p in enumerate(line)], "line_id long, pos int, lon double, lat double")
+    lakes = spark.createDataFrame([(1, i, *p) for i, p in enumerate(lake)], "zone_id long, pos int, lon double, lat double")
+    assert {(r["x"], r["y"]) for r in network.water_cells(every, lines, lakes, res).collect()} == want
+    assert network.water_cells(every.where("x != 7"), lines.where("false"), lakes.where("false"), res).count() == ny

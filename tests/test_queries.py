@@ -47,13 +47,9 @@ def test_entry(spark):
     assert os.path.isdir(DATA)
 
 
-def test_whole_tables_reach_the_checks(spark):
+def test_checks_find_something(spark):
     run = lambda name: registry.QUERIES[name](spark, DATA)
-    checks = {r["check"] for r in run("d9_check_airspace_whole").collect()}
-    assert {"id collision", "unknown banned country"} <= checks
+    assert {"id collision", "unknown banned country", "unknown mode"} <= {r["check"] for r in run("d9_check_airspace").collect()}
+    assert run("d5_check_coverage").count() > 0 and run("d15_audit_medium").count() > 0 and run("n8_needs_geometry").count() > 0
     sea = Tables(spark, DATA).f_edge.where("mode = 'sea'")
-    places = sea.select("src").union(sea.select("dst")).distinct().count()
-    assert run("r15_connected_components_whole").count() == places > run("r15_connected_components").count()
-    fetched = Tables(spark, DATA).x_fetched.count()
-    assert run("t8_keep_last_good_whole").count() == fetched > 0
-    assert run("d5_check_coverage_whole").count() < run("d5_check_coverage").count()
+    assert run("r15_connected_components").count() == sea.select("src").union(sea.select("dst")).distinct().count()
