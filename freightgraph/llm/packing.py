@@ -21,6 +21,7 @@ from freightgraph.llm.blocks import Block, blocks
 MAX_LENGTH = 2048
 END_ID = 1
 CACHE_WORDS = 80_000
+MAX_BASES = 1_000_000
 
 
 class WordIds(dict):
@@ -179,8 +180,11 @@ def pack_documents(
     bases = counts.withColumn("in_bucket", F.coalesce(F.sum("n").over(before("length").orderBy("task")), F.lit(0)))
     sizes = counts.groupBy("length").agg(F.sum("n").alias("n"))  # one row for each power of two
     buckets = sizes.select("length", F.coalesce(F.sum("n").over(before().orderBy("length")), F.lit(0)).alias("before"))
+    # a row for each task that read texts and length: they grow with the table, so they are broadcast up to a bound only
+    bases = written(bases.drop("n"), "bases")
+    bases = F.broadcast(bases) if bases.count() <= MAX_BASES else bases
     return (
-        pieces.join(F.broadcast(bases.drop("n")), ["length", "task"]).join(F.broadcast(buckets), "length")
+        pieces.join(bases, ["length", "task"]).join(F.broadcast(buckets), "length")
         .withColumn("slot", F.col("in_bucket") + F.col("local"))
         .select(
             F.col("key").alias(key), "start", "length", "ids_crc32", "doc_tokens", F.col("length").alias("bucket"), "slot",
