@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from freightgraph.functions.numbering import number_rows
+from freightgraph.functions.numbering import free_name, number_rows
 from freightgraph.llm.blocks import U64, mix
 
 ROUNDS = 6
@@ -43,10 +43,10 @@ def shard_rows(docs: DataFrame, order: list[str], shards: int, seed: int = 42) -
     row r goes to shard ``shuffled % shards`` at ``shuffled // shards``. Rows that agree on all of
     ``order`` are interchangeable; a null comes before any value. Pass narrow rows: they are
     range-partitioned and written once. An empty table gives an empty result; repeated rows get a place
-    each; columns of ``docs`` with an added name are left out.
+    each; columns of ``docs`` with an added name, in any case of letters, are left out, all others stay.
     """
-    keys = [f"_order_{i}" for i in range(len(order))]
-    free = [c for c in docs.columns if c not in ADDED and c not in keys]
+    free = [c for c in docs.columns if c.lower() not in ADDED]
+    keys = [free_name(free, f"_order_{i}") for i in range(len(order))]
     numbered = number_rows(docs.select(*[docs[c] for c in free], *[docs[c].alias(k) for c, k in zip(order, keys, strict=True)]), keys).drop(*keys)
     n = numbered.count()
 
