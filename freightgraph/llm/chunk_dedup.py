@@ -17,6 +17,7 @@ from freightgraph.llm.blocks import U64, Block, blocks, mix
 LEAST, MOST = 16, 112  # bytes
 MIN_WORDS = 16
 HOT_PARTS = 1000
+REACH = 192  # bytes looked at beyond a run
 _MASK = U64(31)  # a cut at one byte in 32, before the least size
 _WINDOW = 16  # the bits that the mask looks at depend on this many bytes
 #: The gear table: one 64-bit value for each byte, from the mixing function.
@@ -101,24 +102,126 @@ def chunks(docs: DataFrame, key: str, text: str) -> DataFrame:
     return rows.mapInArrow(run, f"key {kind}, seq int, start long, length int, words int, d1 long, d2 long")
 
 
+BLANKS = b" \t\n\x0b\x0c\r"
+
+
+def agreement(a: bytes, b: bytes, reach: int = REACH) -> tuple[int, int, bool]:
+    """(bytes to the last word boundary, bytes that agree, whether it may go on) of two texts' beginnings, looked at for ``reach`` bytes.
+
+    A boundary is where both texts end, or a blank stands before or after. The same holds for ends of
+    texts read backwards.
+    """
+    least = min(len(a), len(b))
+    if a[:least] == b[:least]:
+        n = least
+    else:
+        n = int(np.argmax(np.frombuffer(a, np.uint8, least) != np.frombuffer(b, np.uint8, least)))
+    whole = n == reach
+    stops = lambda x: (n == len(x) and n < reach) or (n < len(x) and x[n] in BLANKS)
+    if n and (a[n - 1] in BLANKS or (stops(a) and stops(b))):
+        return n, n, whole
+    return 1 + max(a.rfind(c, 0, n) for c in BLANKS_EACH) if n else 0, n, whole
+
+
+BLANKS_EACH = [bytes([c]) for c in BLANKS]
+
+
+def _windows(docs: DataFrame, asked: DataFrame, kind: str) -> DataFrame:
+    """(doc, pos, back, w): REACH bytes of a text from pos on, or back from it, reversed. asked: doc, pos, back. Rows of one id with different texts give the least."""
+    names = ["doc", "pos", "back", "w"]
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple[int, int, bool, bytes]] = []
+            for i, (text, at) in enumerate(zip(batch.column(1), batch.column(2), strict=True)):
+                raw = text.as_py().encode()
+                for p in at.as_py():
+                    pos, back = p["pos"], p["back"]
+                    out.append((i, pos, back, raw[max(0, pos - REACH) : pos][::-1] if back else raw[pos : pos + REACH]))
+            if out:
+                row, pos, back, w = zip(*out, strict=True)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(pos), pa.array(back), pa.array(w, pa.binary())], names)
+
+    lists = asked.groupBy("doc").agg(F.collect_set(F.struct("pos", "back")).alias("at"))  # no more than a text has chunks
+    found = docs.join(lists, "doc").select("doc", "text", "at").mapInArrow(run, f"doc {kind}, pos long, back boolean, w binary")
+    return found.groupBy("doc", "pos", "back").agg(F.min("w").alias("w"))
+
+
+def _extended(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges a window further: ``taken`` bytes and ``words`` are sure, ``loose`` bytes agree but have met no boundary yet."""
+    names = ["key", "start", "back", "pos", "doc2", "pos2", "taken", "words", "loose", "open"]
+    for batch in batches:
+        column = lambda c: batch.column(batch.schema.get_field_index(c)).to_pylist()
+        taken, words, loose = column("taken"), column("words"), column("loose")
+        moved, going = [], []
+        for i, (a, b) in enumerate(zip(column("w"), column("w2"), strict=True)):
+            sure, n, whole = agreement(a, b)
+            at_blank = not a or a[0] in BLANKS
+            if sure or (not n and loose[i] and at_blank and (not b or b[0] in BLANKS)):
+                taken[i] += loose[i] + sure
+                words[i] += len(a[:sure].split()) + (loose[i] > 0 and at_blank)
+                loose[i] = 0
+                moved.append(sure)
+            else:
+                moved.append(n if whole else 0)
+                loose[i] = loose[i] + n if whole else 0
+            going.append(whole)
+        step = np.asarray(moved, np.int64) * np.where(np.asarray(column("back"), bool), -1, 1)
+        own, other = (np.asarray(column(c), np.int64) + step for c in ("pos", "pos2"))
+        keep = {c: batch.column(batch.schema.get_field_index(c)) for c in ("key", "start", "back", "doc2")}
+        yield pa.RecordBatch.from_arrays(
+            [keep["key"], keep["start"], keep["back"], pa.array(own), keep["doc2"], pa.array(other), pa.array(taken, pa.int64()), pa.array(words, pa.int64()), pa.array(loose, pa.int64()), pa.array(going, pa.bool_())], names)
+
+
+def _extensions(texts: DataFrame, runs: DataFrame, kind: str) -> DataFrame:
+    """(key, start, left, right, more): how many bytes each run goes on to either side as its holder does, to whole words, and their words.
+
+    Windows of REACH bytes are compared, for as long as one agrees whole; equal text of that length mostly has a whole
+    chunk in common with its holder's, so there is seldom a second look.
+    """
+    sides = F.explode(F.array(
+        F.struct(F.lit(True).alias("back"), F.col("start").alias("pos"), F.col("left.doc").alias("doc2"), F.col("left.pos").alias("pos2")),
+        F.struct(F.lit(False).alias("back"), (F.col("start") + F.col("length")).alias("pos"), F.col("right.doc").alias("doc2"), F.col("right.pos").alias("pos2")))).alias("s")
+    zero = F.lit(0).cast("long")
+    edges = runs.select("key", "start", sides).select("key", "start", "s.*").where(~F.col("back") | ((F.col("pos") > 0) & (F.col("pos2") > 0))).select("*", zero.alias("taken"), zero.alias("words"), zero.alias("loose"))
+    schema = f"key {kind}, start long, back boolean, pos long, doc2 {kind}, pos2 long, taken long, words long, loose long, open boolean"
+    done = None
+    while True:
+        asked = edges.select(F.col("key").alias("doc"), "pos", "back").unionByName(edges.select(F.col("doc2").alias("doc"), F.col("pos2").alias("pos"), "back")).distinct()
+        seen = written(_windows(texts, asked, kind), "windows")
+        own, other = seen.withColumnRenamed("doc", "key"), seen.select(F.col("doc").alias("doc2"), F.col("pos").alias("pos2"), "back", F.col("w").alias("w2"))
+        met = written(edges.join(own, ["key", "pos", "back"]).join(other, ["doc2", "pos2", "back"]).mapInArrow(_extended, schema), "edges")
+        found = met.where("not open")
+        done = found if done is None else done.unionByName(found)
+        edges = met.where("open").drop("open")
+        if edges.isEmpty():
+            break
+    side = lambda back: F.coalesce(F.max(F.when(F.col("back") == back, F.col("taken"))), zero)
+    return done.groupBy("key", "start").agg(side(True).alias("left"), side(False).alias("right"), F.sum("words").alias("more"))
+
+
 def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """Stretches of each text that stand in a document with a smaller key: (key, start, length, n_chunks, n_words, first_key, digests).
+    """Stretches of each text that stand in a document with a smaller key: (key, start, length, n_chunks, n_words, first_key, holders).
 
     Texts are cut into content-defined chunks; a chunk's first holder is the smallest key whose text has
-    it. Neighbouring chunks that all have earlier holders form one span; spans of fewer than
-    ``min_words`` words (standard lines, chance) are left alone. ``start`` and ``length`` are UTF-8
-    bytes, ``first_<key>`` is the first holder of most of it (the smallest on a tie by chunk count),
-    ``holders`` all first holders in it.
+    it. Neighbouring chunks that all have earlier holders form one run, and a run goes on to both
+    sides, to whole words, as far as its first and last chunk's holders read the same there. Runs that
+    then meet or overlap are one span; spans of fewer than ``min_words`` words (standard lines, chance) are
+    left alone. ``start`` and ``length`` are UTF-8 bytes; ``n_words`` are the words of the chunks and
+    of the ends, those between two runs that overlap counted with both. ``first_<key>`` is the first holder of
+    most of the run of most chunks (the smallest on a tie by chunk count), ``holders`` all first holders in it.
 
     The first holders come from a group partly aggregated before the shuffle, and only digests with two
     holders join back. A digest of more than one in HOT_PARTS chunks, of which there can be no more than
-    HOT_PARTS, joins as a broadcast, so no task gets more than that share of one digest. Null and
+    HOT_PARTS, joins as a broadcast, so no task gets more than that share of one digest. The ends are compared as
+    windows of REACH bytes, cut from the texts that have runs or hold them. Null and
     empty texts have no chunks; rows with a null key are left out; repeated rows of one key count as one
     holder, so they are not repeats of each other; repeats within one document are none either. An
     empty table gives an empty result; other columns are ignored.
     """
+    kind = dict(docs.dtypes)[key]
     cut = chunks(docs, key, text).where("key is not null")
-    held = written(cut.groupBy("d1", "d2").agg(F.min("key").alias("first"), F.max("key").alias("last"), F.count("*").alias("n")).where("first < last").drop("last"), "holders")
+    held = written(cut.groupBy("d1", "d2").agg(F.min(F.struct("key", "start")).alias("first"), F.max("key").alias("last"), F.count("*").alias("n")).where("first.key < last").drop("last"), "holders")
     share = (held.agg(F.sum("n")).first()[0] or 0) / HOT_PARTS
     hot = held.where(F.col("n") > share).select("d1", "d2", F.col("first").alias("hot_first"))
     shared = held.where(F.col("n") <= share).select(F.col("d1").alias("j1"), F.col("d2").alias("j2"), F.col("first").alias("cold_first"))
@@ -126,28 +229,47 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", min
     away = F.xxhash64("key", "seq")
     met = cut.join(F.broadcast(hot), ["d1", "d2"], "left").withColumn("j1", F.when(F.col("hot_first").isNull(), F.col("d1")).otherwise(away)).withColumn("j2", F.col("d2"))
     late = (
-        met.join(shared, ["j1", "j2"], "left").withColumn("first", F.coalesce("hot_first", "cold_first"))
-        .where("key > first").select("key", "seq", "start", "length", "words", "first").distinct()
+        met.join(shared, ["j1", "j2"], "left").withColumn("h", F.coalesce("hot_first", "cold_first"))
+        .where("key > h.key").select("key", "seq", "start", "length", "words", F.col("h.key").alias("first"), F.col("h.start").alias("at")).distinct()
     )
     by_seq = Window.partitionBy("key").orderBy("seq")
-    spans = (
+    runs = written(
         late.withColumn("run", F.col("seq") - F.row_number().over(by_seq))
         .groupBy("key", "run")
         .agg(
             F.min("start").alias("start"), F.sum("length").cast("long").alias("length"), F.count("*").alias("n_chunks"),
-            F.sum("words").cast("long").alias("n_words"), F.mode("first", deterministic=True).alias(f"first_{key}"), F.sort_array(F.collect_set("first")).alias("holders"),
-        )
-        .where(F.col("n_words") >= min_words)
+            F.sum("words").cast("long").alias("n_words"), F.mode("first", deterministic=True).alias("first"), F.sort_array(F.collect_set("first")).alias("holders"),
+            F.min_by(F.struct(F.col("first").alias("doc"), F.col("at").alias("pos")), "seq").alias("left"),
+            F.max_by(F.struct(F.col("first").alias("doc"), (F.col("at") + F.col("length")).alias("pos")), "seq").alias("right"),
+        ).drop("run"),
+        "runs",
     )
-    return spans.drop("run").withColumnRenamed("key", key)
+    texts = docs.select(docs[key].alias("doc"), docs[text].cast("string").alias("text")).where("doc is not null and length(text) > 0")
+    ends = _extensions(texts, runs, kind)
+    zero = F.lit(0)
+    whole = runs.drop("left", "right").join(ends, ["key", "start"], "left").select(
+        "key", (F.col("start") - F.coalesce("left", zero)).alias("start"), (F.col("start") + F.col("length") + F.coalesce("right", zero)).alias("end"),
+        "n_chunks", (F.col("n_words") + F.coalesce("more", zero)).alias("n_words"), "first", "holders")
+    in_order = Window.partitionBy("key").orderBy("start", "end")
+    apart = F.coalesce(F.col("start") > F.max("end").over(in_order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True))
+    joined = whole.withColumn("apart", apart.cast("int")).withColumn("span", F.sum("apart").over(in_order.rowsBetween(Window.unboundedPreceding, 0)))
+    spans = joined.groupBy("key", "span").agg(
+        F.min("start").alias("start"), (F.max("end") - F.min("start")).alias("length"), F.sum("n_chunks").alias("n_chunks"), F.sum("n_words").alias("n_words"),
+        F.min(F.struct((-F.col("n_chunks")).alias("n"), "first")).alias("most"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("holders")))).alias("holders"))
+    kept = spans.where(F.col("n_words") >= min_words)
+    return kept.select(F.col("key").alias(key), "start", "length", "n_chunks", "n_words", F.col("most.first").alias(f"first_{key}"), "holders")
 
 
 def drop_spans(text: bytes, spans: list[tuple[int, int]]) -> str:
-    """``text`` without the spans (start, length)."""
+    """``text`` without the spans (start, length); where two words would meet, a blank at an end of what goes stays."""
     kept, at = [], 0
     for start, length in sorted(spans):
         kept.append(text[at:start])
-        at = max(at, start + length)
+        end = max(at, start + length)
+        gone, before, after = text[max(at, start) : end], text[:start][-1:], text[end : end + 1]
+        if gone and before and after and before not in BLANKS and after not in BLANKS:
+            kept.append(gone[:1] if gone[:1] in BLANKS else gone[-1:] if gone[-1:] in BLANKS else b"")
+        at = end
     return b"".join([*kept, text[at:]]).decode("utf-8", "replace")
 
 
