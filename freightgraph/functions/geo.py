@@ -88,13 +88,6 @@ def circle_box(lat, lon, radius_km) -> list[Column]:
     return [(lon - d_lon).alias("min_lon"), (lat - d_lat).alias("min_lat"), (lon + d_lon).alias("max_lon"), (lat + d_lat).alias("max_lat")]
 
 
-def crosses(lat, lon1, lat1, lon2, lat2, lon) -> Column:
-    """Whether a ray to the east from (lon, lat) crosses the segment; half-open in latitude."""
-    lat, lon, lon1, lat1, lon2, lat2 = map(_col, (lat, lon, lon1, lat1, lon2, lat2))
-    at = lon1 + F.try_divide((lon2 - lon1) * (lat - lat1), lat2 - lat1)
-    return ((lat1 > lat) != (lat2 > lat)) & F.coalesce(lon < at, F.lit(False))
-
-
 def cell_grid(max_km: float) -> tuple[float, int]:
     """(width in degrees, columns) of the finest grid whose cells are at least max_km high and go round the globe without a rest."""
     columns = max(1, math.floor(360 * 111.0 / max_km))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import contextlib
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -58,3 +58,36 @@ def discarded(spark: SparkSession) -> Iterator[None]:
     finally:
         _scopes.remove(folder)
         delete(spark, folder)
+
+
+class Versions:
+    """Rows of a table in versions, the least of which hold: what changed is added, and all is merged when it has doubled."""
+
+    def __init__(self, spark: SparkSession, merge: Callable[[DataFrame], DataFrame]):
+        self.spark, self.merge, self.paths, self.rows, self.merged = spark, merge, [], 0, 0
+        self.spent: list[str] = []  # versions that were merged; the next frontier may still read the last of them
+
+    def read(self) -> DataFrame:
+        return self.spark.read.parquet(*self.paths)
+
+    def add(self, path: str, rows: int, columns: list[str]) -> None:
+        self._drop()
+        self.columns = columns
+        self.paths.append(path)
+        self.rows += rows
+        if len(self.paths) > 2 and self.rows > 2 * self.merged + 1_000_000:
+            self.settle()
+
+    def settle(self) -> DataFrame:
+        """One version of all."""
+        whole, path = stored(self.merge(self.read().select(self.columns)), "settled")
+        self._drop()
+        self.spent = self.paths
+        self.paths, self.rows = [path], whole.count()
+        self.merged = self.rows
+        return whole
+
+    def _drop(self) -> None:
+        for path in self.spent:
+            delete(self.spark, path)
+        self.spent = []

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from freightgraph.functions.scratch import written
 from freightgraph.functions.geo import js_round
 
 DEFAULT_ECON, DEFAULT_SECURITY = 30, 50
@@ -67,11 +68,27 @@ def mentions_by_country(article: DataFrame, watchlist: DataFrame, now: Column, d
     return recent.groupBy("country").agg(F.least(F.count("*"), F.lit(cap)).alias("mentions"))
 
 
-def upper_median(df: DataFrame, by: list[str], value: str, name: str) -> DataFrame:
-    """(*by, name, n): of an even number of values, the larger middle one."""
-    w = Window.partitionBy(*by).orderBy(value)
-    ranked = df.where(F.col(value).isNotNull()).select(*by, F.col(value).alias("_v"), F.row_number().over(w).alias("_r"), F.count("*").over(Window.partitionBy(*by)).alias("n"))
-    return ranked.where("_r = floor(n / 2) + 1").select(*by, F.col("_v").alias(name), "n")
+def upper_median(df: DataFrame, by: list[str], value: str, name: str, bins: int = 1024, most: int = 100_000) -> DataFrame:
+    """(*by, name, n): of an even number of values, the larger middle one. Nulls do not count.
+
+    Equal values of a key are counted first, partly before the shuffle. A key with more than ``most`` different values is
+    narrowed down by histograms: of ``bins`` equal parts of its range the one with the middle rank
+    goes on, until few enough are left. So no task sorts more than ``most`` values of a key.
+    """
+    counted = written(df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_v")).agg(F.count("*").alias("_c")), "counted")
+    keys = counted.groupBy(*by).agg(F.sum("_c").alias("n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.count("*").alias("_d"))
+    todo = written(keys.select("*", (F.floor(F.col("n") / 2) + 1).alias("_rank"), F.lit(0).cast("long").alias("_below")), "ranges")
+    upto = Window.partitionBy(*by)
+    within = lambda ranges: counted.join(ranges, by).where("_v between _lo and _hi")
+    while not todo.where(F.col("_d") > most).isEmpty():
+        part = F.floor((F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * bins)
+        wide = within(todo.where(F.col("_d") > most)).withColumn("_b", F.least(F.lit(bins - 1), part))
+        bars = wide.groupBy(*by, "_b", "n", "_rank", "_below").agg(F.sum("_c").alias("_s"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.count("*").alias("_d"))
+        run = bars.withColumn("_to", F.col("_below") + F.sum("_s").over(upto.orderBy("_b")))  # one row a bar
+        found = run.where((F.col("_to") >= F.col("_rank")) & (F.col("_to") - F.col("_s") < F.col("_rank"))).select(*by, "n", "_lo", "_hi", "_d", "_rank", (F.col("_to") - F.col("_s")).alias("_below"))
+        todo = written(todo.where(F.col("_d") <= most).unionByName(found), "ranges")
+    run = within(todo).withColumn("_to", F.col("_below") + F.sum("_c").over(upto.orderBy("_v")))
+    return run.where((F.col("_to") >= F.col("_rank")) & (F.col("_to") - F.col("_c") < F.col("_rank"))).select(*by, F.col("_v").alias(name), "n")
 
 
 def border_waits(crossing: DataFrame, reportable: int = 30) -> DataFrame:

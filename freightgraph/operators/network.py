@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from freightgraph.functions.geo import cell_center, cell_grid, cell_reach, haversine_km, raster_cell
-from freightgraph.functions.scratch import written
+from freightgraph.functions.scratch import Versions, stored, written
 from freightgraph.operators.components import connected_components
 from freightgraph.operators.spatial import point_in_ring, ring_edges
 
@@ -200,24 +200,37 @@ def exact_land_test(points: DataFrame, ring_vertex: DataFrame) -> DataFrame:
     return points.select("point_id").join(inside, "point_id", "left").select("point_id", F.coalesce("hit", F.lit(False)).alias("is_land"))
 
 
-def overland_km(pair: DataFrame, cell_edge: DataFrame, ratio: float = 2.5, max_km: float = 700.0) -> DataFrame:
+def overland_km(pair: DataFrame, cell_edge: DataFrame, ratio: float = 2.5, max_km: float = 700.0, res: float = RES) -> DataFrame:
     """(src, dst, km): cheapest way over 8-neighbour land cells for each pair, within its budget of min(700, 2.5 × straight).
 
     pair: src, dst, from_cell, to_cell, straight_km; cell_edge: a, b, km both ways. All pairs advance
-    together; a state over its pair's budget is dropped at once, so the search stays near each pair.
+    together; a state goes on only if its way so far and the straight way left keep within its pair's
+    budget, and within the best way that its pair has found, so the search stays between the two places.
+    Only states that got better are written and go on.
     """
+    nx = round(360 / res)
+    at = lambda c: cell_center(F.pmod(F.col(c), F.lit(nx)).cast("int"), F.floor(F.col(c) / nx).cast("int"), res)
     budget = F.least(F.lit(max_km), F.greatest(F.lit(1.0), ratio * F.col("straight_km")))
-    todo = pair.select("src", "dst", F.col("to_cell").alias("goal"), budget.alias("budget"))
-    best = pair.select("src", "dst", F.col("from_cell").alias("cell"), F.lit(0.0).alias("km"), F.lit(True).alias("new")).checkpoint()
+    todo = written(pair.select("src", "dst", F.col("to_cell").alias("goal"), at("to_cell").alias("g"), budget.alias("budget")), "pairs")
+    state = ["src", "dst", "cell"]
+    known = Versions(pair.sparkSession, lambda df: df.groupBy(*state).agg(F.min("km").alias("km")))
+    frontier, path = stored(pair.select("src", "dst", F.col("from_cell").alias("cell"), F.lit(0.0).alias("km")), "reached")
+    known.add(path, frontier.count(), [*state, "km"])
+    steps = cell_edge.select(F.col("a").alias("cell"), "b", at("b").alias("p"), F.col("km").alias("w"))
     while True:
-        ahead = best.where("new").join(todo, ["src", "dst"]).join(cell_edge.select(F.col("a").alias("cell"), "b", F.col("km").alias("w")), "cell")
-        reached = ahead.select("src", "dst", F.col("b").alias("cell"), (F.col("km") + F.col("w")).alias("n"), "budget").where("n <= budget").groupBy("src", "dst", "cell").agg(F.min("n").alias("n"))
-        after = best.drop("new").join(reached, ["src", "dst", "cell"], "full").select(
-            "src", "dst", "cell", F.least("km", "n").alias("km"), (F.col("n").isNotNull() & (F.col("km").isNull() | (F.col("n") < F.col("km") - 1e-9))).alias("new"))
-        best = after.checkpoint()
-        if best.where("new").isEmpty():
+        so_far = known.read().groupBy(*state).agg(F.min("km").alias("km"))
+        best = so_far.join(todo.select("src", "dst", F.col("goal").alias("cell")), state).select("src", "dst", F.col("km").alias("best"))
+        ahead = frontier.join(todo.join(best, ["src", "dst"], "left"), ["src", "dst"]).join(steps, "cell").withColumn("n", F.col("km") + F.col("w"))
+        left = haversine_km("p.lat", "p.lon", "g.lat", "g.lon")
+        ahead = ahead.where(F.col("n") + left <= F.least("budget", F.coalesce("best", "budget")) + 1e-6)
+        reached = ahead.groupBy("src", "dst", F.col("b").alias("cell")).agg(F.min("n").alias("n"))
+        better = reached.join(so_far, state, "left").where(F.col("km").isNull() | (F.col("n") < F.col("km") - 1e-9)).select(*state, F.col("n").alias("km"))
+        frontier, path = stored(better, "reached")
+        n = frontier.count()
+        known.add(path, n, [*state, "km"])
+        if not n:
             break
-    return best.join(todo, ["src", "dst"]).where("cell = goal").select("src", "dst", "km")
+    return known.settle().join(todo, ["src", "dst"]).where("cell = goal and km <= budget").select("src", "dst", "km")
 
 
 def land_cell_edges(land: DataFrame, res: float = RES) -> DataFrame:

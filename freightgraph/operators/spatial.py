@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from freightgraph.functions.geo import CELL_DEG, RING_CELL_DEG, circle_box, crosses, great_circle_point, haversine_km, js_round, mercator_point
+from freightgraph.functions.geo import CELL_DEG, RING_CELL_DEG, circle_box, great_circle_point, haversine_km, js_round, mercator_point
 
 
 def point_in_circle(points: DataFrame, circles: DataFrame, cell_deg: int = CELL_DEG) -> DataFrame:
@@ -32,19 +32,61 @@ def ring_edges(vertices: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
-def _in_rings(points: DataFrame, vertices: DataFrame, by: list[str], keep: tuple[str, ...] = (), cell_deg: int = RING_CELL_DEG) -> DataFrame:
+def ring_cover(vertices: DataFrame, by: list[str], cell_deg: float = RING_CELL_DEG) -> tuple[DataFrame, DataFrame]:
+    """Rings as cells of a grid: (*by, cx, cy, whole) of the cells whose south-west corner is inside, and (*by, cx, cy, side) of the sides that touch a cell.
+
+    A cell that no side touches lies ``whole`` inside if its corner does. Corners are found row by row: the sides
+    that cross a row's latitude are sorted and paired. So there is a row for each cell inside and
+    for each cell that a side passes, however wide the ring.
+    """
+    sides = ring_edges(vertices, by).select(*by, F.struct("lon1", "lat1", "lon2", "lat2").alias("side"), "lon1", "lat1", "lon2", "lat2")
+    row = lambda lat: F.floor(lat / cell_deg)
+    low, high = F.least("lat1", "lat2"), F.greatest("lat1", "lat2")
+    at = lambda lat: F.col("lon1") + F.try_divide((F.col("lon2") - F.col("lon1")) * (lat - F.col("lat1")), F.col("lat2") - F.col("lat1"))
+    # a half-open rule in latitude, as for points
+    crossed = sides.where("lat1 != lat2").select("*", F.explode(F.sequence(row(low), row(high))).alias("cy")).withColumn("lat", F.col("cy") * cell_deg)
+    crossed = crossed.where((F.col("lat1") > F.col("lat")) != (F.col("lat2") > F.col("lat"))).select(*by, "cy", at(F.col("lat")).alias("lon"))
+    w = Window.partitionBy(*by, "cy").orderBy("lon")
+    pairs = crossed.select(*by, "cy", "lon", F.lead("lon").over(w).alias("to"), F.row_number().over(w).alias("r")).where("r % 2 = 1")
+    first, last = F.ceil(F.col("lon") / cell_deg), F.ceil(F.col("to") / cell_deg) - 1
+    corners = pairs.select(*by, "cy", first.alias("a"), last.alias("b")).where("a <= b").select(*by, F.explode(F.sequence("a", "b")).alias("cx"), "cy")
+    bands = sides.select("*", F.explode(F.sequence(row(low), row(high))).alias("cy"))
+    south, north = F.greatest(low, F.col("cy") * cell_deg), F.least(high, (F.col("cy") + 1) * cell_deg)
+    level = F.col("lat1") == F.col("lat2")
+    ends = [F.when(level, F.col(c)).otherwise(at(lat)) for c, lat in (("lon1", south), ("lon2", north))]
+    slack = 1e-9
+    span = F.sequence(F.floor((F.least(*ends) - slack) / cell_deg), F.floor((F.greatest(*ends) + slack) / cell_deg))
+    touched = bands.select(*by, "side", F.explode(span).alias("cx"), "cy")
+    border = touched.select(*by, "cx", "cy", F.lit(True).alias("bordered")).distinct()
+    corners = corners.join(border, [*by, "cx", "cy"], "left").select(*by, "cx", "cy", F.col("bordered").isNull().alias("whole"))
+    return corners, touched
+
+
+def _in_rings(points: DataFrame, vertices: DataFrame, by: list[str], keep: tuple[str, ...] = (), cell_deg: float = RING_CELL_DEG) -> DataFrame:
     """(point_id, *keep, *by) of the rings that hold the point by the even-odd rule.
 
-    A ray to the east crosses sides of its own latitude only, and a point outside a ring's box is not in it:
-    so a side meets the points of the cells in its latitude band, over the width of its ring's box.
+    Points meet the cells of ``ring_cover``. In a cell wholly inside nothing is left to test; in one that
+    sides pass, the corner's parity changes with each of those sides between the corner and the point, first northward
+    along the cell's edge, then eastward.
     """
-    band = F.explode(F.sequence(F.floor(F.least("lat1", "lat2") / cell_deg), F.floor(F.greatest("lat1", "lat2") / cell_deg))).alias("cy")
-    width = vertices.groupBy(*by).agg(F.floor(F.min("lon") / cell_deg).alias("first"), F.floor(F.max("lon") / cell_deg).alias("last"))
-    sides = ring_edges(vertices, by).where("lat1 != lat2").select("*", band).join(width, by)
-    sides = sides.select("*", F.explode(F.sequence("first", "last")).alias("cx")).drop("first", "last")
+    corners, touched = ring_cover(vertices, by, cell_deg)
     p = points.select("point_id", *keep, "lat", "lon", F.floor(F.col("lon") / cell_deg).alias("cx"), F.floor(F.col("lat") / cell_deg).alias("cy"))
-    hit = crosses("lat", "lon1", "lat1", "lon2", "lat2", "lon")
-    return p.join(sides, ["cx", "cy"]).where(hit).groupBy("point_id", *keep, *by).count().where("count % 2 = 1").drop("count")
+    row = ["point_id", *keep, *by]
+    inside = p.join(corners, ["cx", "cy"])
+    west, south = F.col("cx") * cell_deg, F.col("cy") * cell_deg
+    lon1, lat1, lon2, lat2 = (F.col(f"side.{c}") for c in ("lon1", "lat1", "lon2", "lat2"))
+    at_lon = lon1 + F.try_divide((lon2 - lon1) * (F.col("lat") - lat1), lat2 - lat1)
+    at_lat = lat1 + F.try_divide((lat2 - lat1) * (west - lon1), lon2 - lon1)
+    yes = lambda c: F.coalesce(c, F.lit(False)).cast("int")
+    east = yes(((lat1 > F.col("lat")) != (lat2 > F.col("lat"))) & (at_lon > west) & (at_lon <= F.col("lon")))
+    # on a side that leans east the ray still passes at the very crossing, on any other it has passed already
+    leans = (lon2 - lon1) * (lat2 - lat1) > 0
+    between = F.when(leans, (at_lat >= south) & (at_lat < F.col("lat"))).otherwise((at_lat > south) & (at_lat <= F.col("lat")))
+    north = yes(((lon1 > west) != (lon2 > west)) & between)
+    turns = p.join(touched, ["cx", "cy"]).select(*row, (east + north).alias("n")).where("n > 0")
+    begun = inside.where("not whole").select(*row, F.lit(1).alias("n"))
+    bordering = begun.unionByName(turns).groupBy(*row).agg(F.sum("n").alias("n")).where("n % 2 = 1").drop("n")
+    return inside.where("whole").select(*row).unionByName(bordering)
 
 
 def point_in_ring(points: DataFrame, vertices: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -84,7 +126,10 @@ def zones_at_points(points: DataFrame, zone: DataFrame, vertices: DataFrame, kee
         zone.select("zone_id", F.col("lat").alias("z_lat"), F.col("lon").alias("z_lon"), "radius_km"), "zone_id")
     p = points.select("point_id", *keep, "lat", "lon", F.floor(F.col("lon") / CELL_DEG).alias("cx"), F.floor(F.col("lat") / CELL_DEG).alias("cy"))
     circles = p.join(cells, ["cx", "cy"]).where(haversine_km("lat", "lon", "z_lat", "z_lon") <= F.col("radius_km")).select("point_id", *keep, "zone_id")
-    return circles.unionByName(point_in_ring(points, vertices, keep)).distinct()
+    both = circles.unionByName(point_in_ring(points, vertices, keep))
+    # either part has a point and zone once; only a zone with two shapes, or one listed twice, can give them twice
+    shapes = zone.select("zone_id").unionByName(vertices.select("zone_id").distinct()).groupBy("zone_id").count().where("count > 1")
+    return both if shapes.isEmpty() else both.distinct()
 
 
 def _segments(edge_point: DataFrame) -> DataFrame:

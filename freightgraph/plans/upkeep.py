@@ -170,12 +170,25 @@ def n5_exact_land_test(t: Tables) -> DataFrame:
     return network.exact_land_test(t.x_point, t.f_zone_vertex)
 
 
-@query()
+OVERLAND_KM, OVERLAND_BUDGET = 3000, 5000
+ORACLE_VIEWS |= {
+    "o_snapped": ORACLES["n4_snap_to_land"],
+    "o_cell_step": f"""SELECT a.y * 360 + a.x AS a, b.y * 360 + b.x AS b, {km_sql('a.y + 0.5e0 - 90', 'a.x + 0.5e0 - 180', 'b.y + 0.5e0 - 90', 'b.x + 0.5e0 - 180')} AS km
+  FROM (SELECT *, unnest([-1, 0, 1]) AS dx FROM o_land) a JOIN (SELECT unnest([-1, 0, 1]) AS dy) d ON dx <> 0 OR dy <> 0 JOIN o_land b ON b.x = (a.x + dx + 360) % 360 AND b.y = a.y + dy""",
+    "o_near_pair": f"""SELECT a.node_id AS src, b.node_id AS dst, p.y * 360 + p.x AS from_cell, q.y * 360 + q.x AS to_cell, least({OVERLAND_BUDGET}, greatest(1, 2.5e0 * {km_sql('a.lat', 'a.lon', 'b.lat', 'b.lon')})) AS budget
+  FROM f_node a JOIN f_node b ON a.node_id < b.node_id AND {km_sql('a.lat', 'a.lon', 'b.lat', 'b.lon')} <= {OVERLAND_KM} JOIN o_snapped p ON p.node_id = a.node_id JOIN o_snapped q ON q.node_id = b.node_id""",
+    "o_overland": """SELECT * FROM (WITH RECURSIVE w(src, dst, cell, km) USING KEY (src, dst, cell) AS (SELECT src, dst, from_cell, 0.0e0 FROM o_near_pair
+  UNION (SELECT n.src, n.dst, n.cell, n.km FROM (SELECT w.src, w.dst, s.b AS cell, min(w.km + s.km) AS km FROM w JOIN o_cell_step s ON s.a = w.cell JOIN o_near_pair p ON p.src = w.src AND p.dst = w.dst WHERE w.km + s.km <= p.budget GROUP BY w.src, w.dst, s.b) n
+  LEFT JOIN recurring.w r ON r.src = n.src AND r.dst = n.dst AND r.cell = n.cell WHERE r.km IS NULL OR n.km < r.km - 1e-9)) SELECT * FROM w)""",
+}
+
+
+@query("SELECT p.src, p.dst, round(o.km, 3) AS km FROM o_overland o JOIN o_near_pair p ON p.src = o.src AND p.dst = o.dst AND p.to_cell = o.cell")
 def n6_overland_km(t: Tables) -> DataFrame:
     cells = network.snap_to_land(points_cells(t), land(t), res=RES).select("node_id", (F.col("y").cast("long") * 360 + F.col("x")).alias("cell"))
-    near = network.near_pairs(t.f_node, 1200).where("src < dst").withColumnRenamed("km", "straight_km")
+    near = network.near_pairs(t.f_node, OVERLAND_KM).where("src < dst").withColumnRenamed("km", "straight_km")
     pair = near.join(cells.select(F.col("node_id").alias("src"), F.col("cell").alias("from_cell")), "src").join(cells.select(F.col("node_id").alias("dst"), F.col("cell").alias("to_cell")), "dst")
-    found = network.overland_km(pair, network.land_cell_edges(land(t), RES), max_km=1200)
+    found = network.overland_km(pair, network.land_cell_edges(land(t), RES), max_km=OVERLAND_BUDGET, res=RES)
     return found.select("src", "dst", F.round("km", 3).alias("km"))
 
 

@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 import pytest
 from freightgraph.operators import cluster, network, planning, pricing, quality, routes, spatial
 from freightgraph.operators.components import connected_components, cut_off
+from freightgraph.operators.indices import upper_median
 from freightgraph.sources import feeds, sinks
 from freightgraph.streaming import refresh
 from pyspark.sql import functions as F
@@ -327,7 +328,7 @@ def test_overland_equals_dijkstra(spark):
         if b in done and done[b] <= min(2500.0, max(1.0, 2.5 * straight)):
             want[src, dst] = done[b]
     table = spark.createDataFrame(pairs, "src long, dst long, from_cell long, to_cell long, straight_km double")
-    got = {(r["src"], r["dst"]): r["km"] for r in network.overland_km(table, edges, max_km=2500.0).collect()}
+    got = {(r["src"], r["dst"]): r["km"] for r in network.overland_km(table, edges, max_km=2500.0, res=res).collect()}
     assert got == pytest.approx(want) and len(want) == 3
 
 
@@ -539,3 +540,34 @@ def test_waters_equal_a_plain_trace(spark):
     lakes = spark.createDataFrame([(1, i, *p) for i, p in enumerate(lake)], "zone_id long, pos int, lon double, lat double")
     assert {(r["x"], r["y"]) for r in network.water_cells(every, lines, lakes, res).collect()} == want
     assert network.water_cells(every.where("x != 7"), lines.where("false"), lakes.where("false"), res).count() == ny
+
+
+@pytest.mark.parametrize("most", [100_000, 5])
+def test_upper_median_equals_sorting(spark, most):
+    rng = random.Random(9)
+    rows = [("a", rng.gauss(0, 10)) for _ in range(401)] + [("b", float(rng.randrange(30))) for _ in range(400)] + [("c", 1.5)] * 7 + [("d", None)] + [("e", rng.choice([1e-9, 1.0, 1e12]) * rng.random()) for _ in range(300)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    want = {k: (sorted(v for c, v in rows if c == k)[sum(c == k for c, _ in rows) // 2], sum(c == k for c, _ in rows)) for k in "abce"}
+    assert {r["k"]: (r["m"], r["n"]) for r in upper_median(df, ["k"], "v", "m", 4, most).collect()} == want
+
+
+def test_rings_equal_plain_ray_cast(spark):
+    """Slanted, concave and nested rings and rings on cell borders, with points everywhere, on grid lines too."""
+    rng = random.Random(11)
+    rings = {(1, 0): [(-150.0, -40.0), (-115.0, -40.0), (-115.0, -10.0), (-150.0, -10.0)], (2, 0): [(0.0, 0.0), (20.0, 3.0), (9.0, 7.5), (19.0, 18.0), (4.0, 12.0)], (2, 1): [(5.0, 4.0), (8.0, 5.0), (7.0, 8.0)], (3, 0): [(30.1, 30.2), (30.4, 30.3), (30.2, 30.9)]}
+    rings[4, 0] = [(50 + (8 if i % 2 else 3) * math.cos(i * math.pi / 9), -20 + (8 if i % 2 else 3) * math.sin(i * math.pi / 9)) for i in range(18)]
+    at = [(rng.uniform(-160, 70), rng.uniform(-45, 40)) for _ in range(1500)] + [(rng.uniform(-2, 22), rng.uniform(-1, 19)) for _ in range(1500)] + [(rng.uniform(40, 60), rng.uniform(-30, -10)) for _ in range(1000)] + [(rng.uniform(30, 30.5), rng.uniform(30, 31)) for _ in range(300)]
+    at += [(2.0 * x, y + 0.31) for x in range(-80, 35) for y in range(-44, 40, 3)] + [(x + 0.37, 2.0 * y) for x in range(-160, 70, 3) for y in range(-22, 20)]
+
+    def inside(ring, x, y):
+        odd = False
+        for (x1, y1), (x2, y2) in zip(ring, ring[1:] + ring[:1]):  # noqa: B905
+            odd ^= (y1 > y) != (y2 > y) and x < x1 + (x2 - x1) * (y - y1) / (y2 - y1)
+        return odd
+
+    table = spark.createDataFrame([(s, r, i, *p) for (s, r), ring in rings.items() for i, p in enumerate(ring)], "shape_id long, ring_no long, pos long, lon double, lat double")
+    points = spark.createDataFrame([(i, *p) for i, p in enumerate(at)], "point_id long, lon double, lat double")
+    got = {tuple(r) for r in spatial._in_rings(points, table, ["shape_id", "ring_no"]).collect()}
+    assert got == {(i, *k) for i, p in enumerate(at) for k, ring in rings.items() if inside(ring, *p)}
+    corners, touched = spatial.ring_cover(table, ["shape_id", "ring_no"])
+    assert touched.where("shape_id = 1").count() <= 100 and corners.where("shape_id = 1 and whole").count() > 200
