@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -71,9 +72,9 @@ def cut_points(block: Block, least: int = LEAST, most: int = MOST) -> list[list[
 
 
 def chunks(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, seq, start, length, words, d1, d2): every chunk with its 128-bit digest. Bytes of UTF-8."""
+    """(key, seq, start, length, words, d1, d2, again): every chunk with its 128-bit digest, and whether its text has it before. Bytes of UTF-8."""
     kind = dict(docs.dtypes)[key]
-    names = ["key", "seq", "start", "length", "words", "d1", "d2"]
+    names = ["key", "seq", "start", "length", "words", "d1", "d2", "again"]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, "text"):
@@ -94,12 +95,14 @@ def chunks(docs: DataFrame, key: str, text: str) -> DataFrame:
             edge[0] = not blank[0]
             edge[block.offsets[:-1][block.offsets[:-1] < len(raw)]] = True
             words = np.concatenate([[0], np.cumsum(edge)])
+            again = np.ones(len(ends), bool)
+            again[np.unique(mix(digests[:, 0].view(U64) + mix(row.astype(U64))), return_index=True)[1]] = False
             yield pa.RecordBatch.from_arrays(
                 [block.batch.column(0).take(pa.array(row)), pa.array(seq.astype(np.int32)), pa.array(starts - block.offsets[row]), pa.array((ends - starts).astype(np.int32)),
-                 pa.array((words[ends] - words[starts]).astype(np.int32)), pa.array(digests[:, 0]), pa.array(digests[:, 1])], names)
+                 pa.array((words[ends] - words[starts]).astype(np.int32)), pa.array(digests[:, 0]), pa.array(digests[:, 1]), pa.array(again)], names)
 
     rows = docs.select(docs[key].alias("key"), docs[text].cast("string").alias("text")).where(F.length("text") > 0)
-    return rows.mapInArrow(run, f"key {kind}, seq int, start long, length int, words int, d1 long, d2 long")
+    return rows.mapInArrow(run, f"key {kind}, seq int, start long, length int, words int, d1 long, d2 long, again boolean")
 
 
 BLANKS = b" \t\n\x0b\x0c\r"
@@ -126,8 +129,8 @@ def agreement(a: bytes, b: bytes, reach: int = REACH) -> tuple[int, int, bool]:
 BLANKS_EACH = [bytes([c]) for c in BLANKS]
 
 
-def _windows(docs: DataFrame, asked: DataFrame, kind: str) -> DataFrame:
-    """(doc, pos, back, w): REACH bytes of a text from pos on, or back from it, reversed. asked: doc, pos, back. Rows of one id with different texts give the least."""
+def _windows(docs: DataFrame, asked: DataFrame, kind: str, reach: int) -> DataFrame:
+    """(doc, pos, back, w): ``reach`` bytes of a text from pos on, or back from it, reversed. asked: doc, pos, back. Rows of one id with different texts give the least."""
     names = ["doc", "pos", "back", "w"]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,7 +140,7 @@ def _windows(docs: DataFrame, asked: DataFrame, kind: str) -> DataFrame:
                 raw = text.as_py().encode()
                 for p in at.as_py():
                     pos, back = p["pos"], p["back"]
-                    out.append((i, pos, back, raw[max(0, pos - REACH) : pos][::-1] if back else raw[pos : pos + REACH]))
+                    out.append((i, pos, back, raw[max(0, pos - reach) : pos][::-1] if back else raw[pos : pos + reach]))
             if out:
                 row, pos, back, w = zip(*out, strict=True)
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(pos), pa.array(back), pa.array(w, pa.binary())], names)
@@ -147,7 +150,7 @@ def _windows(docs: DataFrame, asked: DataFrame, kind: str) -> DataFrame:
     return found.groupBy("doc", "pos", "back").agg(F.min("w").alias("w"))
 
 
-def _extended(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _extended(batches: Iterable[pa.RecordBatch], reach: int) -> Iterator[pa.RecordBatch]:
     """Edges a window further: ``taken`` bytes and ``words`` are sure, ``loose`` bytes agree but have met no boundary yet."""
     names = ["key", "start", "back", "pos", "doc2", "pos2", "taken", "words", "loose", "open"]
     for batch in batches:
@@ -155,7 +158,7 @@ def _extended(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         taken, words, loose = column("taken"), column("words"), column("loose")
         moved, going = [], []
         for i, (a, b) in enumerate(zip(column("w"), column("w2"), strict=True)):
-            sure, n, whole = agreement(a, b)
+            sure, n, whole = agreement(a, b, reach)
             at_blank = not a or a[0] in BLANKS
             if sure or (not n and loose[i] and at_blank and (not b or b[0] in BLANKS)):
                 taken[i] += loose[i] + sure
@@ -176,7 +179,7 @@ def _extended(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _extensions(texts: DataFrame, runs: DataFrame, kind: str) -> DataFrame:
     """(key, start, left, right, more): how many bytes each run goes on to either side as its holder does, to whole words, and their words.
 
-    Windows of REACH bytes are compared, for as long as one agrees whole; equal text of that length mostly has a whole
+    Windows of REACH bytes are compared, and of four times as many for as long as one agrees whole; equal text of that length mostly has a whole
     chunk in common with its holder's, so there is seldom a second look.
     """
     sides = F.explode(F.array(
@@ -185,17 +188,18 @@ def _extensions(texts: DataFrame, runs: DataFrame, kind: str) -> DataFrame:
     zero = F.lit(0).cast("long")
     edges = runs.select("key", "start", sides).select("key", "start", "s.*").where(~F.col("back") | ((F.col("pos") > 0) & (F.col("pos2") > 0))).select("*", zero.alias("taken"), zero.alias("words"), zero.alias("loose"))
     schema = f"key {kind}, start long, back boolean, pos long, doc2 {kind}, pos2 long, taken long, words long, loose long, open boolean"
-    done = None
+    done, reach = None, REACH
     while True:
         asked = edges.select(F.col("key").alias("doc"), "pos", "back").unionByName(edges.select(F.col("doc2").alias("doc"), F.col("pos2").alias("pos"), "back")).distinct()
-        seen = written(_windows(texts, asked, kind), "windows")
+        seen = written(_windows(texts, asked, kind, reach), "windows")
         own, other = seen.withColumnRenamed("doc", "key"), seen.select(F.col("doc").alias("doc2"), F.col("pos").alias("pos2"), "back", F.col("w").alias("w2"))
-        met = written(edges.join(own, ["key", "pos", "back"]).join(other, ["doc2", "pos2", "back"]).mapInArrow(_extended, schema), "edges")
+        met = written(edges.join(own, ["key", "pos", "back"]).join(other, ["doc2", "pos2", "back"]).mapInArrow(functools.partial(_extended, reach=reach), schema), "edges")
         found = met.where("not open")
         done = found if done is None else done.unionByName(found)
         edges = met.where("open").drop("open")
         if edges.isEmpty():
             break
+        reach *= 4
     side = lambda back: F.coalesce(F.max(F.when(F.col("back") == back, F.col("taken"))), zero)
     return done.groupBy("key", "start").agg(side(True).alias("left"), side(False).alias("right"), F.sum("words").alias("more"))
 
@@ -221,7 +225,9 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", min
     """
     kind = dict(docs.dtypes)[key]
     cut = chunks(docs, key, text).where("key is not null")
-    held = written(cut.groupBy("d1", "d2").agg(F.min(F.struct("key", "start")).alias("first"), F.max("key").alias("last"), F.count("*").alias("n")).where("first.key < last").drop("last"), "holders")
+    # of numbers alone, so that they are added up without sorting; the first holder has a chunk once that is not said again
+    ends_of = cut.groupBy("d1", "d2").agg(F.min("key").alias("key"), F.min_by("start", F.when(~F.col("again"), F.col("key"))).alias("start"), F.max("key").alias("last"), F.count("*").alias("n"))
+    held = written(ends_of.where("key < last").select("d1", "d2", F.struct("key", "start").alias("first"), "n"), "holders")
     share = (held.agg(F.sum("n")).first()[0] or 0) / HOT_PARTS
     hot = held.where(F.col("n") > share).select("d1", "d2", F.col("first").alias("hot_first"))
     shared = held.where(F.col("n") <= share).select(F.col("d1").alias("j1"), F.col("d2").alias("j2"), F.col("first").alias("cold_first"))
