@@ -20,6 +20,7 @@ WIDTH = 1 + len(PREFIXES)  # a word and its prefixes; as many columns again say
 SPAN = 2 * WIDTH * BUCKETS  # features
 LEXICON_SUPPORT = 5
 BROADCAST_LABELS = 2_000_000  # two numbers each
+MAX_PATTERNS = 1_000_000  # of votes, broadcast to the rows; more are joined
 #: The classifier uses features whose share of the labelled rows differs between the classes by so many deviations.
 DEVIATIONS = 4.0
 ROUNDS, SHRINK = 40, 1e-3  # of the classifier's fit, and its ridge penalty
@@ -277,7 +278,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text:
 
     ``docs`` are the rows whose labels may be used. Every step covers every row: the mined lexicons and
     the classifier's features are counted over all labelled rows, the label model has all votes and all
-    labels, and the classifier is fitted on all rows, a labelled one with its label as the posterior. Texts
+    labels, which anchor it, and the classifier is fitted on the posteriors of all rows, labelled or not. Texts
     are read twice; labels join the rows' votes and few features by key, so the text of a row without
     a label is never shuffled. The driver holds counts by feature (SPAN at most), vote patterns and
     weights, no rows. Null and empty texts are rows without features;
@@ -301,8 +302,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text:
         return ToxicityModel(np.zeros(SPAN), -3.0, accuracies, model.correlations)
     patterns = every.index.to_numpy(np.int64)
     judged = docs.sparkSession.createDataFrame(list(zip(patterns.tolist(), model.posterior(patterns).tolist(), strict=True)), "votes long, posterior double")
-    target = F.when(F.col("y") >= 0, F.col("y").cast("double")).otherwise(F.col("posterior"))
-    weights, bias = fit_linear(written(rows.join(F.broadcast(judged), "votes").select(target.alias("target"), "features"), "instances"), used)
+    judged = F.broadcast(judged) if len(patterns) <= MAX_PATTERNS else judged
+    weights, bias = fit_linear(written(rows.join(judged, "votes").select(F.col("posterior").alias("target"), "features"), "instances"), used)
     return ToxicityModel(weights, bias, accuracies, model.correlations)
 
 

@@ -1,6 +1,7 @@
 """Each operator against a plain version of its contract, on the small tables and on odd rows."""
 
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -20,7 +21,7 @@ from freightgraph.llm.packing import Encoder, lengths, pack_documents
 from freightgraph.llm.sharding import feistel, shard_rows
 from freightgraph.llm.near_dedup import Sets, drop_near_duplicates, exact_forest, near_duplicate_groups, shingle_sets
 from freightgraph.llm.simhash import fingerprint, forest, near_duplicates
-from freightgraph.llm.toxicity import VOTERS, LabelModel, classes_of, feature_counts, fit_toxicity, labelled, score_toxicity
+from freightgraph.llm.toxicity import VOTERS, LabelModel, ToxicityModel, classes_of, feature_counts, fit_toxicity, labelled, score_toxicity
 from freightgraph.llm.url_filter import Rule, filter_urls, split_url
 
 DATA = "/root/testdata/sf0.001"
@@ -740,6 +741,66 @@ def test_feature_counts_equal_plain_count(spark, docs, texts):
     assert got == {f: tuple(n) for f, n in want.items()}
 
 
+def plain_label_model(patterns, counts, prior, known, rounds=25):
+    """The label model's posteriors voter by voter and row by row."""
+    m, eps = len(VOTERS), 1e-4
+    rows = [(p, n, None) for p, n in zip(patterns, counts)] + [(p, w, c) for p, c, w in zip(*known)]
+    post = {p: 0.5 if p else 0.02 for p in patterns}
+    bit = lambda p, v: p >> v & 1
+    for _ in range(rounds):
+        rates, silence, corr = [], [], [[0.0] * m for _ in range(m)]
+        for c in (0, 1):
+            weight = [(n * (post[p] if c else 1 - post[p])) if y is None else n * (y == c) for p, n, y in rows]
+            total = sum(weight) + 2.0
+            mean = [(sum(w for (p, _, _), w in zip(rows, weight) if bit(p, v)) + 0.02) / total for v in range(m)]
+            silence.append((sum(w for (p, _, _), w in zip(rows, weight) if p == 0) + 0.02) / total)
+            rates.append([min(1 - eps, max(eps, x)) for x in mean])
+            for a in range(m):
+                for b in range(m):
+                    if a != b:
+                        both = sum(w for (p, _, _), w in zip(rows, weight) if bit(p, a) and bit(p, b)) / total - mean[a] * mean[b]
+                        scale = math.sqrt(max(mean[a] * (1 - mean[a]), 1e-6)) * math.sqrt(max(mean[b] * (1 - mean[b]), 1e-6))
+                        corr[a][b] += 0.5 * min(1, max(0, both / scale))
+        share = [1 / (1 + sum(corr[v])) for v in range(m)]
+        for p in post:
+            odds = math.log(prior / (1 - prior)) + (min(0, math.log(silence[1] / silence[0])) if p == 0 else 0)
+            odds += sum(share[v] * max(0, math.log(rates[1][v] / rates[0][v])) for v in range(m) if bit(p, v))
+            post[p] = 1 / (1 + math.exp(-max(-30, min(30, odds))))
+    return post
+
+
+def test_label_model_equals_plain_version():
+    rng = np.random.default_rng(3)
+    y = rng.random(3000) < 0.15
+    votes = sum((np.where(y, rng.random(3000) < 0.6, rng.random(3000) < 0.03) << v for v in (0, 3, 5)), np.zeros(3000, np.int64))
+    votes |= (votes & 1) << 7
+    patterns, counts = np.unique(votes, return_counts=True)
+    known = (votes[:300], y[:300].astype(float), np.full(300, 2.0))
+    model = LabelModel(patterns, counts.astype(float), 0.15, known)
+    want = plain_label_model(patterns.tolist(), counts.tolist(), 0.15, [k.tolist() for k in known])
+    assert dict(zip(patterns.tolist(), model.posterior(patterns).tolist())) == pytest.approx(want, abs=1e-9)
+
+
+def test_scores_equal_plain_sum(spark, docs, texts):
+    """A score is the logistic of the intercept and the weights of the words and prefixes that a text has once, and twice or more."""
+    rng = np.random.default_rng(4)
+    weights = np.zeros(14 << 18)
+    some = rng.choice(len(weights), len(weights) // 3, replace=False)
+    weights[some] = rng.normal(size=len(some)) / 50
+    model = ToxicityModel(weights, -0.3, {}, np.empty(0))
+    word = re.compile(rb"[A-Za-z\x80-\xff]+")
+    got = {r["doc_id"]: r["score"] for r in score_toxicity(docs, model).collect()}
+    for i in sorted(texts)[:60]:
+        seen = Counter()
+        for w in word.findall((texts[i] or "").translate(LOWER).encode()):
+            for column, n in enumerate((None, 4, 5, 6, 7, 8, 9)):
+                if n is None or len(w) >= n:
+                    piece = w if n is None else w[:n]
+                    seen[column << 18 | plain_mix(sum((b + 1) * pow(0x9E3779B97F4A7C15, j, 1 << 64) for j, b in enumerate(piece)) & WORD_MASK) >> 46] += 1
+        total = -0.3 + sum(weights[f] + (weights[f + (7 << 18)] if n > 1 else 0) for f, n in seen.items())
+        assert got[i] == pytest.approx(1 / (1 + math.exp(-max(-30, min(30, total)))), abs=1e-9)
+
+
 def test_label_model_shares_weight_of_dependent_voters():
     rng = np.random.default_rng(1)
     y = rng.random(20_000) < 0.1
