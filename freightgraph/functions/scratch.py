@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import contextlib
+import contextvars
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
-_scopes: list[str] = []  # folders of the open ``discarded`` blocks, the innermost last
+#: Folders of the open ``discarded`` blocks of this thread, the innermost last.
+_scopes: contextvars.ContextVar[tuple[str, ...]] = contextvars.ContextVar("scopes", default=())
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -32,7 +34,8 @@ def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     numbers), and survives the loss of any executor.
     """
     spark = df.sparkSession
-    path = f"{_scopes[-1] if _scopes else shared_dir(spark) + '/tables'}/{uuid.uuid4().hex}/{name}"
+    scopes = _scopes.get()
+    path = f"{scopes[-1] if scopes else shared_dir(spark) + '/tables'}/{uuid.uuid4().hex}/{name}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
@@ -50,13 +53,17 @@ def delete(spark: SparkSession, path: str) -> None:
 
 @contextlib.contextmanager
 def discarded(spark: SparkSession) -> Iterator[None]:
-    """Tables ``written`` in this block are deleted at its end: write what is to outlive it before that."""
+    """Tables ``written`` in this block are deleted at its end: write what is to outlive it before that.
+
+    A query's own tables outlive it otherwise, as its result reads them; whoever runs it in such a block owns
+    them. Blocks of different threads do not see each other.
+    """
     folder = f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}"
-    _scopes.append(folder)
+    token = _scopes.set((*_scopes.get(), folder))
     try:
         yield
     finally:
-        _scopes.remove(folder)
+        _scopes.reset(token)
         delete(spark, folder)
 
 

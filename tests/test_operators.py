@@ -8,6 +8,7 @@ import random
 from collections import Counter, defaultdict
 
 import pytest
+from freightgraph.functions import scratch
 from freightgraph.operators import cluster, network, planning, pricing, quality, routes, spatial
 from freightgraph.operators.components import connected_components, cut_off
 from freightgraph.operators.indices import upper_median
@@ -571,3 +572,17 @@ def test_rings_equal_plain_ray_cast(spark):
     assert got == {(i, *k) for i, p in enumerate(at) for k, ring in rings.items() if inside(ring, *p)}
     corners, touched = spatial.ring_cover(table, ["shape_id", "ring_no"])
     assert touched.where("shape_id = 1").count() <= 100 and corners.where("shape_id = 1 and whole").count() > 200
+
+
+def test_scratch_tables_belong_to_their_block(spark):
+    import threading
+
+    df, seen = spark.range(3), {}
+    with scratch.discarded(spark):
+        inner, path = scratch.stored(df, "t")
+        thread = threading.Thread(target=lambda: seen.update(path=scratch.stored(df, "t")[1]))
+        thread.start()
+        thread.join()
+        assert inner.count() == 3
+    assert not os.path.exists(path.removeprefix("file:")) and os.path.exists(seen["path"].removeprefix("file:"))
+    assert spark.read.parquet(seen["path"]).count() == 3
