@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from freightgraph.functions.scratch import discarded, shared_dir
+from freightgraph.functions.scratch import delete, discarded, shared_dir
 from freightgraph.llm.chunk_dedup import dedup_substrings
 from freightgraph.llm.decontaminate import contaminated
 from freightgraph.llm.language_id import UNKNOWN, LanguageModel, identify_languages
@@ -20,7 +20,7 @@ from freightgraph.llm.registry import fold, tokenizer_paths
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 #: Texts travel to Python in Arrow batches of this size, not Spark's 64 MB, for every stage of the session.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES, BATCH_SETTING = 4 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
 #: Python workers, which Spark keeps for the next task, give memory back when it is free.
 WORKERS = {"MALLOC_TRIM_THRESHOLD_": "131072", "MALLOC_ARENA_MAX": "2", "ARROW_DEFAULT_MEMORY_POOL": "system"}
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -31,7 +31,7 @@ def bounded(stage: Stage) -> Stage:
 
     @functools.wraps(stage)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+        spark.conf.set(BATCH_SETTING, BATCH_BYTES)
         for name, value in WORKERS.items():
             spark.sparkContext.environment.setdefault(name, value)
         return stage(spark, docs, sf_dir)
@@ -107,12 +107,19 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each result is written as Parquet to the shared folder and read again.
 
-    A stage's intermediate tables are deleted when its result is written.
+    A stage's intermediate tables are deleted when its result is written, and so are the results of all stages
+    but the last at the end, where the session gets its own batch size back.
     """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     folder = f"{shared_dir(spark)}/pipeline/{uuid.uuid4().hex}"
-    for name, stage in STAGES:
-        with discarded(spark):
-            stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
-        docs = spark.read.parquet(f"{folder}/{name}")
+    batch = spark.conf.get(BATCH_SETTING)
+    try:
+        for name, stage in STAGES:
+            with discarded(spark):
+                stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+            docs = spark.read.parquet(f"{folder}/{name}")
+        for name, _ in STAGES[:-1]:
+            delete(spark, f"{folder}/{name}")
+    finally:
+        spark.conf.set(BATCH_SETTING, batch)
     return docs
