@@ -10,16 +10,23 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-#: The vocabulary, term → weight. One strict term rejects.
-STRICT = {
-    "porn": 5.0, "xxx": 5.0, "hentai": 5.0, "camgirl": 5.0, "escorts": 4.0, "sexcam": 5.0, "nudes": 4.0,
-    "onlyfans": 4.0, "warez": 4.0, "keygen": 4.0, "malware": 4.0, "phishing": 4.0,
+#: The vocabulary by language, term → weight, as it stands in urls (without accents). One strict term rejects.
+STRICT_BY_LANGUAGE = {
+    "any": {"porn": 5.0, "porno": 5.0, "xxx": 5.0, "hentai": 5.0, "onlyfans": 4.0, "warez": 4.0, "keygen": 4.0, "malware": 4.0, "phishing": 4.0, "sexcam": 5.0, "sexcams": 5.0},
+    "en": {"camgirl": 5.0, "escorts": 4.0, "nudes": 4.0},
+    "de": {"pornos": 5.0, "huren": 4.0, "nutten": 4.0, "fickfilme": 5.0, "raubkopien": 4.0},
+    "fr": {"pornographie": 5.0, "salopes": 4.0, "putes": 4.0, "partouze": 4.0},
+    "es": {"pornografia": 5.0, "putas": 4.0, "prostitutas": 4.0, "follando": 5.0},
 }
-SOFT = {
-    "adult": 1.0, "sex": 1.5, "sexy": 1.5, "nude": 1.5, "erotic": 1.5, "dating": 0.5, "casino": 1.5, "poker": 1.0,
-    "betting": 1.0, "jackpot": 1.0, "slots": 1.0, "pills": 1.0, "viagra": 1.5, "torrent": 1.0, "crack": 0.5,
-    "free": 0.25, "cheap": 0.25, "hot": 0.25, "teen": 1.0, "girls": 0.5, "webcam": 0.5, "loan": 0.5,
+SOFT_BY_LANGUAGE = {
+    "any": {"sex": 1.5, "sexy": 1.5, "casino": 1.5, "poker": 1.0, "jackpot": 1.0, "viagra": 1.5, "torrent": 1.0, "crack": 0.5, "webcam": 0.5},
+    "en": {"adult": 1.0, "nude": 1.5, "erotic": 1.5, "dating": 0.5, "betting": 1.0, "slots": 1.0, "pills": 1.0, "free": 0.25, "cheap": 0.25, "hot": 0.25, "teen": 1.0, "girls": 0.5, "loan": 0.5},
+    "de": {"erotik": 1.5, "nackt": 1.5, "wetten": 1.0, "pillen": 1.0, "partnersuche": 0.5, "gratis": 0.25, "billig": 0.25, "kredit": 0.5, "gluecksspiel": 1.5},
+    "fr": {"sexe": 1.5, "erotique": 1.5, "nue": 1.0, "rencontres": 0.5, "paris-sportifs": 1.0, "pilules": 1.0, "gratuit": 0.25, "libertine": 1.0},
+    "es": {"sexo": 1.5, "erotico": 1.5, "desnuda": 1.5, "apuestas": 1.0, "pastillas": 1.0, "citas": 0.5, "barato": 0.25, "prestamo": 0.5, "chicas": 0.5},
 }
+STRICT = {term: weight for words in STRICT_BY_LANGUAGE.values() for term, weight in words.items()}
+SOFT = {term: weight for words in SOFT_BY_LANGUAGE.values() for term, weight in words.items()}
 SOFT_HITS = 2
 
 
@@ -112,7 +119,8 @@ def filter_urls(
 
     A rule decides where one fits (longest host, then longest path); else the url is blocked if one
     strict or ``soft_hits`` distinct soft terms stand in it as whole words. No shuffle, one pass,
-    only two columns read. A null or empty url, or one without ``://``, has an empty host and path,
+    only two columns read. The terms' ``weight`` is the result's score, to rank and review by; the
+    decision counts distinct terms, as the method says. A null or empty url, or one without ``://``, has an empty host and path,
     fits no rule and is judged by its terms alone (so null is allowed). Repeated rows are judged each;
     an empty table gives an empty result; other columns are ignored, whatever their names.
     """

@@ -43,12 +43,14 @@ def test_url_verdicts(spark):
         (1, "https://a.example.org/es/x"), (2, "https://notexample.org/es/"), (3, "https://example.org/en/12"), (4, "http://org/"),
         (5, "http://org"), (6, "http://x.com/fr/free-sex"), (7, "http://x.com/de/"), (8, "http://x.net/porn"), (9, "http://x.net/pornography"),
         (10, "http://x.net/casino-poker"), (11, "http://x.net/casino/casino"), (12, None), (13, ""), (14, "http://X.NET/PoRn"), (14, "http://X.NET/PoRn"),
+        (15, "http://x.net/wetten-und-erotik"), (16, "http://x.net/rencontres"), (17, "http://x.net/citas/apuestas?x=1"), (18, "http://x.net/sexe-rencontres"), (19, "http://x.net/nutten"), (20, "http://x.net/essex/adultery"),
     ]
     got = {r["page_id"]: (r["rule"], r["verdict"]) for r in filter_urls(spark.createDataFrame(rows, "page_id long, url string")).collect()}
     assert got == {
         1: ("example.org/es/", "block"), 2: ("org/", "allow"), 3: ("example.org/en/1", "block"), 4: ("org/", "allow"), 5: (None, "allow"),
         6: ("com/fr/", "allow"), 7: ("com/de/", "block"), 8: (None, "block"), 9: (None, "allow"), 10: (None, "block"), 11: (None, "allow"),
         12: (None, "allow"), 13: (None, "allow"), 14: (None, "block"),
+        15: (None, "block"), 16: (None, "allow"), 17: (None, "block"), 18: (None, "block"), 19: (None, "block"), 20: (None, "allow"),
     }
     own = filter_urls(spark.createDataFrame([(1, "http://a.b.net/x")], "page_id long, url string"), rules=[Rule("net/", True), Rule("b.net/x", False)])
     assert own.first()["rule"] == "b.net/x"
