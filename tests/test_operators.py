@@ -288,6 +288,29 @@ def test_zones_of_clusters(spark):
     assert 0 < len(zones) <= len(groups)
 
 
+def test_conflict_zones_equal_plain_sums(spark):
+    """Every column of each zone: size, deaths, the country most named (of equals the first), security, middle and radius."""
+    rng = random.Random(12)
+    pts = [(i, 10 + rng.random() * 4, 20 + rng.random() * 4, rng.choice(["X", "Y", "Z"]), rng.randrange(9)) for i in range(400)]
+    df = spark.createDataFrame(pts, "seq long, lat double, lon double, country string, deaths int")
+    groups = defaultdict(list)
+    for seq, c in plain_greedy([p[:3] for p in pts], 30).items():
+        groups[c].append(pts[seq])
+    want = {}
+    for c, g in groups.items():
+        if len(g) < 3:
+            continue
+        middle = sum(p[1] for p in g) / len(g), sum(p[2] for p in g) / len(g)
+        named = Counter(p[3] for p in g)
+        country = min(named, key=lambda k: (-named[k], min(p[0] for p in g if p[3] == k)))
+        deaths = sum(p[4] for p in g)
+        security = next(s for least, s in ((100, 5), (25, 10), (5, 15), (0, 25)) if deaths >= least)
+        far = round(max(km(middle, p[1:3]) for p in g) + 15, 6)
+        want[c] = (len(g), deaths, country, security, pytest.approx(middle[0], abs=6e-4), pytest.approx(middle[1], abs=6e-4), math.floor(min(120, max(25, far)) + 0.5))
+    got = {r["cluster_id"]: (r["n"], r["deaths"], r["country"], r["security"], r["lat"], r["lon"], r["radius_km"]) for r in cluster.conflict_zones(df, cluster.cluster_points(df, 30)).collect()}
+    assert got == want and len(want) > 5 and len({w[3] for w in want.values()}) > 1
+
+
 def test_landmasses_equal_flood_fill(spark):
     rng = random.Random(6)
     cells = {(x % 36, y) for _ in range(14) for x0, y0 in [(rng.randrange(36), rng.randrange(18))] for x in range(x0, x0 + rng.randrange(1, 6)) for y in range(y0, min(18, y0 + 2))}
