@@ -279,16 +279,17 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text:
     ``docs`` are the rows whose labels may be used. Every step covers every row: the mined lexicons and
     the classifier's features are counted over all labelled rows, the label model has all votes and all
     labels, which anchor it, and the classifier is fitted on the posteriors of all rows, labelled or not. Texts
-    are read twice; labels join the rows' votes and few features by key, so the text of a row without
-    a label is never shuffled. The driver holds counts by feature (SPAN at most), vote patterns and
+    are read twice; labels join the rows' votes alone by key, so neither the text of a row without
+    a label nor any row's features are shuffled. The driver holds counts by feature (SPAN at most), vote patterns and
     weights, no rows. Null and empty texts are rows without features;
     repeated rows count each; a key with two labels counts as toxic; labels of unknown keys are left
     out. Without labels of both classes no feature is told apart and every text gets the same low score.
     """
     held = written(classes_of(labels, key, toxic), "classes")
     lexicon, used = mine(written(feature_counts(labelled(docs, held, key, text)), "feature_counts"))
-    rows = written(described(docs, key, text, lexicon, used), "votes").join(held, "key", "left").withColumn("y", F.coalesce("y", F.lit(-1)))
-    table = rows.groupBy("votes", "y").agg(F.count("*").alias("n")).toPandas()
+    rows = written(described(docs, key, text, lexicon, used), "votes")
+    sure = rows.select("key", "votes").join(held, "key", "left").withColumn("y", F.coalesce("y", F.lit(-1)))
+    table = sure.groupBy("votes", "y").agg(F.count("*").alias("n")).toPandas()
     rate = labels.agg(F.avg(labels[toxic].cast("double"))).first()[0] or 0.05
     # labelled rows weigh as much as they stand for
     share = lambda y, n: np.where(y == 1, rate / max(1, n[y == 1].sum()), (1 - rate) / max(1, n[y == 0].sum()))
