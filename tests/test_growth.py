@@ -1,6 +1,9 @@
 """Plans and figures that must not grow faster than the tables."""
 
-from freightgraph.plans.tables import QUERIES, Tables
+from freightgraph.operators import spatial
+from freightgraph.plans.registry import ORACLES, QUERIES
+from freightgraph.plans.tables import Tables
+from pyspark.sql import functions as F
 
 DATA = "/root/testdata/sf0.001"
 
@@ -15,3 +18,23 @@ def test_legs_and_zones_meet_by_remainder(spark):
     assert "BroadcastHashJoin" in plan and "NestedLoop" not in plan and plan.count("Exchange hashpartitioning") == 1
     for name in ("c5_live_delay", "d8_check_tags", "j2_merge_edge_zones"):
         assert "NestedLoop" not in plan_of(QUERIES[name](spark, DATA))
+
+
+def test_oracles_write_no_negative_zero():
+    """A coordinate that rounds to zero has no sign, in the SQL of g4 and of the features."""
+    import duckdb
+    from freightgraph.plans.feeds import POINT_SQL
+
+    assert duckdb.sql(f"SELECT {POINT_SQL} FROM (SELECT -0.00001e0 AS lon, -0.00002e0 AS lat)").fetchall() == [("[0.0,0.0]",)]
+    con = duckdb.connect()
+    con.sql("CREATE TABLE f_edge AS SELECT 1 AS edge_id, 1 AS src, 2 AS dst")
+    con.sql("CREATE TABLE f_node AS SELECT * FROM (VALUES (1, -0.0003e0, 0.0e0), (2, -0.0003e0, 50.0e0)) AS n(node_id, lat, lon)")
+    sql = ORACLES["g4_great_circle_point"]
+    assert str(con.sql(sql[sql.index("SELECT edge_id, round(degrees(") :]).fetchall()[0][2]) == "0.0"
+
+
+def test_walk_ends_on_the_segments_end(spark):
+    """Not an ulp beside it, where a cell's border may lie between."""
+    points = spark.createDataFrame([(i, "sea", p, lon, lat) for i in range(300) for p, lon, lat in ((0, 0.0, i / 7 - 20), (2, 9.0, float(i % 70)))], "edge_id long, mode string, pos int, lon double, lat double")
+    rows = spatial.sample_polyline(points, 50, midpoint=False).groupBy("edge_id").agg(F.max_by("lat", "s").alias("lat"), F.max_by("lon", "s").alias("lon")).collect()
+    assert len(rows) == 300 and all((r["lon"], r["lat"]) == (9.0, float(r["edge_id"] % 70)) for r in rows)
