@@ -1,5 +1,8 @@
 """Plans and figures that must not grow faster than the tables."""
 
+import random
+
+from freightgraph.functions import geo
 from freightgraph.operators import spatial
 from freightgraph.plans.registry import ORACLES, QUERIES
 from freightgraph.plans.tables import Tables
@@ -38,3 +41,27 @@ def test_walk_ends_on_the_segments_end(spark):
     points = spark.createDataFrame([(i, "sea", p, lon, lat) for i in range(300) for p, lon, lat in ((0, 0.0, i / 7 - 20), (2, 9.0, float(i % 70)))], "edge_id long, mode string, pos int, lon double, lat double")
     rows = spatial.sample_polyline(points, 50, midpoint=False).groupBy("edge_id").agg(F.max_by("lat", "s").alias("lat"), F.max_by("lon", "s").alias("lon")).collect()
     assert len(rows) == 300 and all((r["lon"], r["lat"]) == (9.0, float(r["edge_id"] % 70)) for r in rows)
+
+
+def test_circles_by_finer_cells(spark):
+    """The same pairs as by the 10-degree cells of the boxes and the distance alone, also at poles and the dateline."""
+    rng = random.Random(3)
+    zones = [(i, rng.uniform(-89.5, 89.5), rng.uniform(-180, 180), rng.choice((5.0, 300.0, 900.0, 9000.0, 25000.0))) for i in range(60)] + [(60, 20.0, 179.5, 700.0), (61, 89.9, 0.0, 400.0), (62, 0.0, 0.0, 0.0)]
+    points = [(i, rng.uniform(-90, 90), rng.uniform(-180, 180)) for i in range(3000)] + [(3000, 0.0, 0.0), (3001, float("nan"), 0.0)]
+    z = spark.createDataFrame(zones, "zone_id long, lat double, lon double, radius_km double")
+    p = spark.createDataFrame(points, "point_id long, lat double, lon double")
+    none = spark.createDataFrame([], "zone_id long, pos int, lon double, lat double")
+    at = z.select("zone_id", F.col("lat").alias("z_lat"), F.col("lon").alias("z_lon"), "radius_km")
+    cells = spatial.zone_grid_cells(z.select("zone_id", *geo.circle_box("lat", "lon", "radius_km"))).join(at, "zone_id")
+    near = geo.haversine_km("lat", "lon", "z_lat", "z_lon") <= F.col("radius_km")
+    want = p.join(cells, (F.floor(F.col("lon") / 10) == F.col("cx")) & (F.floor(F.col("lat") / 10) == F.col("cy"))).where(near).select("point_id", "zone_id")
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    assert rows(spatial.zones_at_points(p, z, none)) == rows(want)
+    assert rows(spatial.point_in_circle(p, z)) == rows(p.crossJoin(at).where(near).select("point_id", "zone_id"))
+
+
+def test_samples_and_hits_stay_in_even_tasks(spark):
+    """Polylines are spread by number before they are sampled; pairs of points and circles are not shuffled again."""
+    t = Tables(spark, DATA)
+    assert "REPARTITION_BY_NUM" in plan_of(spatial.sample_polyline(t.f_edge_point))
+    assert "HashAggregate" not in plan_of(spatial.point_in_circle(t.x_point, t.f_zone)).split("BroadcastHashJoin")[0]
