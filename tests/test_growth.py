@@ -5,7 +5,7 @@ import random
 from freightgraph.functions import geo
 from freightgraph.operators import spatial
 from freightgraph.plans.registry import ORACLES, QUERIES
-from freightgraph.plans.tables import Tables
+from freightgraph.plans.tables import ORACLE_VIEWS, Tables
 from pyspark.sql import functions as F
 
 DATA = "/root/testdata/sf0.001"
@@ -65,3 +65,16 @@ def test_samples_and_hits_stay_in_even_tasks(spark):
     t = Tables(spark, DATA)
     assert "REPARTITION_BY_NUM" in plan_of(spatial.sample_polyline(t.f_edge_point))
     assert "HashAggregate" not in plan_of(spatial.point_in_circle(t.x_point, t.f_zone)).split("BroadcastHashJoin")[0]
+
+
+def test_hazards_listed_twice_are_counted_twice():
+    """5120 is a zone that the query's input lists twice and without a circle, 280 a flood whose kind it renames."""
+    import duckdb
+
+    con = duckdb.connect()
+    con.sql("CREATE TABLE f_zone AS SELECT * FROM (VALUES (5120, 'hazard', 'volcano'), (280, 'hazard', 'flood')) AS z(zone_id, access, hazard_kind)")
+    con.sql("CREATE TABLE x_hazard_edge_zone AS SELECT 1 AS edge_id, 1 AS zone_id WHERE FALSE")
+    con.sql("CREATE VIEW o_hazard_row AS " + ORACLE_VIEWS["o_hazard_row"])
+    sql = ORACLES["d12_check_hazards"]
+    rows = sorted(con.sql(sql[sql.index('SELECT "check", CAST(key') :]).fetchall())
+    assert rows == [("duplicate hazard", "5120", "2"), ("no circle", "5120", "volcano"), ("no circle", "5120", "volcano"), ("unknown kind", "280", "flood2")]
