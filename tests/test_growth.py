@@ -78,3 +78,17 @@ def test_hazards_listed_twice_are_counted_twice():
     sql = ORACLES["d12_check_hazards"]
     rows = sorted(con.sql(sql[sql.index('SELECT "check", CAST(key') :]).fetchall())
     assert rows == [("duplicate hazard", "5120", "2"), ("no circle", "5120", "volcano"), ("no circle", "5120", "volcano"), ("unknown kind", "280", "flood2")]
+
+
+def test_legs_that_are_alike_meet_the_zones_once(spark, monkeypatch):
+    """What is derived by leg from x_edge_zone comes from the rows of one leg for each kind: none of its queries reads the view itself."""
+    t = Tables(spark, DATA)
+    like, edge_zone = t.alike()
+    legs = like.join(edge_zone.withColumnRenamed("edge_id", "like"), "like").select("edge_id", "zone_id", "km")
+    assert sorted(map(tuple, legs.collect())) == sorted(map(tuple, t.x_edge_zone.select("edge_id", "zone_id", "km").collect())) != []
+    made, crossing = [], Tables.crossing
+    monkeypatch.setattr(Tables, "crossing", lambda self, name, legs=None: (made.append(legs is not None), crossing(self, name, legs))[1])
+    for name in ("j6_overflight_detour", "c2_leg_distance", "c3_zone_charges", "c4_seasonal_delay", "c5_live_delay", "c6_leg_cost", "c9_risk_penalty", "c10_usable_legs"):
+        QUERIES[name](spark, DATA)
+        assert made and all(made), name
+        made.clear()
