@@ -4,6 +4,7 @@ import random
 
 from freightgraph.functions import geo
 from freightgraph.operators import spatial
+from freightgraph.plans.geometry import hub_pairs
 from freightgraph.plans.registry import ORACLES, QUERIES
 from freightgraph.plans.tables import ORACLE_VIEWS, Tables
 from pyspark.sql import functions as F
@@ -92,3 +93,10 @@ def test_legs_that_are_alike_meet_the_zones_once(spark, monkeypatch):
         QUERIES[name](spark, DATA)
         assert made and all(made), name
         made.clear()
+
+
+def test_airspace_samples_are_made_once_in_even_tasks(spark):
+    """The formula's steps stand in the plan once, not wherever they are used; a pair's samples stay in the task they are made in."""
+    plan = plan_of(spatial.tag_airspace(hub_pairs(Tables(spark, DATA)), Tables(spark, DATA).x_ring))
+    assert plan.count("ASIN(") <= 4 and plan.count("ATAN2(") == 2
+    assert "REPARTITION_BY_NUM" in plan and "hashpartitioning(src" in plan and "hashpartitioning(point_id" not in plan
