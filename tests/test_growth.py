@@ -4,6 +4,7 @@ import random
 
 from freightgraph.functions import geo
 from freightgraph.operators import spatial
+from freightgraph.plans import access
 from freightgraph.plans.geometry import hub_pairs
 from freightgraph.plans.registry import ORACLES, QUERIES
 from freightgraph.plans.tables import ORACLE_VIEWS, Tables
@@ -100,3 +101,12 @@ def test_airspace_samples_are_made_once_in_even_tasks(spark):
     plan = plan_of(spatial.tag_airspace(hub_pairs(Tables(spark, DATA)), Tables(spark, DATA).x_ring))
     assert plan.count("ASIN(") <= 4 and plan.count("ATAN2(") == 2
     assert "REPARTITION_BY_NUM" in plan and "hashpartitioning(src" in plan and "hashpartitioning(point_id" not in plan
+
+
+def test_prices_are_made_once(spark, monkeypatch):
+    """Routes' legs read the prices of the search."""
+    made = []
+    priced = access.costs
+    monkeypatch.setattr(access, "costs", lambda t: (made.append(t), priced(t))[1])
+    assert access.legs_of(Tables(spark, DATA)).columns[:3] == ["request_id", "objective", "leg_no"]
+    assert len(made) == 1
