@@ -3,7 +3,7 @@
 import random
 
 from freightgraph.functions import geo
-from freightgraph.operators import spatial
+from freightgraph.operators import planning, spatial
 from freightgraph.plans import access
 from freightgraph.plans.geometry import hub_pairs
 from freightgraph.plans.registry import ORACLES, QUERIES
@@ -110,3 +110,14 @@ def test_prices_are_made_once(spark, monkeypatch):
     monkeypatch.setattr(access, "costs", lambda t: (made.append(t), priced(t))[1])
     assert access.legs_of(Tables(spark, DATA)).columns[:3] == ["request_id", "objective", "leg_no"]
     assert len(made) == 1
+
+
+def test_planning_prices_once(spark, monkeypatch):
+    """The second search of safer offers and the tries without flags use the prices of the first."""
+    made = []
+    price = planning.price
+    monkeypatch.setattr(planning, "price", lambda *a: (made.append(a), price(*a))[1])
+    for name in ("r13_safer_offer", "r14_no_route_reason"):
+        QUERIES[name](spark, DATA)
+        assert len(made) == 1, name
+        made.clear()
