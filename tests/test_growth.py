@@ -1,5 +1,6 @@
 """Plans and figures that must not grow faster than the tables."""
 
+import dataclasses
 import random
 
 from freightgraph.functions import geo
@@ -121,3 +122,29 @@ def test_planning_prices_once(spark, monkeypatch):
         QUERIES[name](spark, DATA)
         assert len(made) == 1, name
         made.clear()
+
+
+def test_planning_meets_zones_once_for_legs_that_are_alike(spark):
+    """No row for each leg and zone: planning prices without them, by the zones of one leg of each kind, which are spread over tasks."""
+    net = access.network_of(Tables(spark, DATA))
+    assert "REPARTITION_BY_NUM" in plan_of(net.like_zone)
+    classes = planning.constraint_sets(net, access.planned(Tables(spark, DATA))).select("class_id", "civilian", "month", "day").distinct()
+    alike = planning.price(dataclasses.replace(net, edge_zone=None), classes)
+    single = planning.price(dataclasses.replace(net, like=None, like_zone=None), classes)
+    rows = lambda df: sorted((r["class_id"], r["edge_id"], r["mode"], *(round(r[c], 6) for c in ("usd", "hours", "km"))) for r in df.collect())
+    assert rows(alike.legs) == rows(single.legs) != []
+
+
+def test_requests_that_ask_alike_are_ruled_once(spark, monkeypatch):
+    """Rules and modes grow with the kinds of requests, not with the requests."""
+    ruled = []
+    resolve = planning.rules.resolve_cargo
+    monkeypatch.setattr(planning.rules, "resolve_cargo", lambda request, *a: (ruled.append(request.count()), resolve(request, *a))[1])
+    t = Tables(spark, DATA)
+    asked = access.planned(t)
+    net = access.network_of(t)
+    want = sorted(map(tuple, planning.constraint_sets(net, asked).collect()))
+    more = asked.unionByName(asked.withColumn("request_id", F.col("request_id") + 10**9))
+    got = sorted(map(tuple, planning.constraint_sets(net, more).collect()))
+    assert got == sorted(want + [(w[0] + 10**9, *w[1:]) for w in want]) != []
+    assert len(ruled) == 2 and ruled[0] == ruled[1]
