@@ -148,3 +148,17 @@ def test_requests_that_ask_alike_are_ruled_once(spark, monkeypatch):
     got = sorted(map(tuple, planning.constraint_sets(net, more).collect()))
     assert got == sorted(want + [(w[0] + 10**9, *w[1:]) for w in want]) != []
     assert len(ruled) == 2 and ruled[0] == ruled[1]
+
+
+def test_zones_on_no_leg_are_told_by_legs_that_are_alike(spark, monkeypatch):
+    """The pairs of legs and zones are made once, for the answer's own rows, of zones that are unknown alone."""
+    made, crossing = [], Tables.crossing
+    monkeypatch.setattr(Tables, "crossing", lambda self, name, legs=None: (made.append(legs is not None), crossing(self, name, legs))[1])
+    df = QUERIES["d8_check_tags"](spark, DATA)
+    assert sorted(made) == [False, True]
+    plan = plan_of(df)
+    assert plan.index("LeftAnti") > plan.index("pmod(")  # unknown zones are told before they meet the legs
+    t = Tables(spark, DATA)
+    on = {r["zone_id"] for r in t.x_edge_zone.select("zone_id").distinct().collect()}
+    bare = {r["zone_id"] for r in t.f_zone.where("zone_id % 60 != 0").collect()} - on
+    assert {int(r["key"]) for r in df.where("check = 'zone on no leg'").collect()} == bare
